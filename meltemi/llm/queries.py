@@ -5,20 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meltemi.llm import rules
+from meltemi.llm import pii, rules
+
+
+#: The secret of the pseudonyms; a deployment passes its own.
+PII_KEY = "meltemi-2020"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and what was replaced by kind."""
+    out = pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY)
+    kinds = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", F.transform("pii", lambda x: x["pseudonym"]).alias("pseudonyms"), *kinds)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
         "op10_quality_rules": op10_quality_rules,
     }
 
