@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and what was replaced by kind."""
     out = pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY)
-    kinds = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    kinds = [F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", "text", F.transform("pii", lambda x: x["pseudonym"]).alias("pseudonyms"), *kinds)
 
 
