@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import pii, rules
+from meltemi.llm import kernel, pii, rules, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and what was replaced by kind."""
     out = pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY)
@@ -25,13 +29,19 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.transform("pii", lambda x: x["pseudonym"]).alias("pseudonyms"), *kinds)
 
 
+def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc_archives": op2_warc_archives,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+        "op9_fourier_quality": op9_fourier_quality,
         "op10_quality_rules": op10_quality_rules,
     }
 
