@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import kernel, pii, rules, warc
+from meltemi.llm import kernel, pii, rules, toxicity, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -29,6 +29,10 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.transform("pii", lambda x: x["pseudonym"]).alias("pseudonyms"), *kinds)
 
 
+def op8_dictionary_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic")
+
+
 def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality")
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc_archives": op2_warc_archives,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+        "op8_dictionary_toxicity": op8_dictionary_toxicity,
         "op9_fourier_quality": op9_fourier_quality,
         "op10_quality_rules": op10_quality_rules,
     }
