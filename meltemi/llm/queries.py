@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import kernel, pii, rules, toxicity, warc
+from meltemi.llm import kernel, mixing, pii, rules, toxicity, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_entropy_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_entropy_mixture": op1_entropy_mixture,
         "op2_warc_archives": op2_warc_archives,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
         "op8_dictionary_toxicity": op8_dictionary_toxicity,
