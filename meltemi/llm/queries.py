@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import kernel, mixing, pii, rules, toxicity, warc
+from meltemi.llm import jaccard, kernel, mixing, pii, rules, toxicity, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -26,6 +26,10 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op4_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and what was replaced by kind."""
     out = pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY)
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mixture": op1_entropy_mixture,
         "op2_warc_archives": op2_warc_archives,
+        "op4_partenum_join": op4_partenum_join,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
         "op8_dictionary_toxicity": op8_dictionary_toxicity,
         "op9_fourier_quality": op9_fourier_quality,
