@@ -159,17 +159,36 @@ def fit(train: DataFrame, width: int = 128, length_scale: float = 4.0, ridge: fl
     return model
 
 
+def fitted(docs: DataFrame, labels: DataFrame, label_col: str, held_out: str) -> tuple[Model, DataFrame]:
+    """The model of the labelled rows that held_out doesn't name, and the statistics of all documents."""
+    stats = written(with_statistics(docs), "statistics")
+    y = pruned(labels, "doc_id", label_col).toDF("doc_id", "y").where(f"y in (0, 1) and not ({held_out})")
+    fold = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FOLDS)).cast("int")
+    train = written(stats.join(y, "doc_id").select("f", F.col("y").cast("double").alias("y"), fold.alias("fold")), "training")
+    return fit(train), stats
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: str = "false", threshold: float = 0.5) -> DataFrame:
+    """The documents that score at least threshold, as they are: each is scored where it stands, so no text is shuffled."""
+    model, _ = fitted(docs, labels, label_col, held_out)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                rows = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(at)])
+                yield b.filter(pa.array(model.score(rows) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: str = "crc32(cast(doc_id as string)) % 3 = 1", threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, held_out, score in [0, 1], predicted (score >= threshold).
 
     held_out is an expression over doc_id; labels of such rows are never read. Null labels and ids don't train. Without
     labelled rows, or with those of one label only, the score is their mean, or 0.5. Repeated rows get equal scores.
     """
-    stats = written(with_statistics(docs), "statistics")
-    y = pruned(labels, "doc_id", label_col).toDF("doc_id", "y").where(f"y in (0, 1) and not ({held_out})")
-    fold = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FOLDS)).cast("int")
-    train = written(stats.join(y, "doc_id").select("f", F.col("y").cast("double").alias("y"), fold.alias("fold")), "training")
-    model = fit(train)
+    model, stats = fitted(docs, labels, label_col, held_out)
 
     def run(batches):
         for b in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import jaccard, kernel, mixing, pii, rules, toxicity, warc
+from meltemi.llm import bpe, jaccard, kernel, mixing, pii, rules, toxicity, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -30,6 +30,16 @@ def op4_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and what was replaced by kind."""
     out = pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY)
@@ -54,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_entropy_mixture": op1_entropy_mixture,
         "op2_warc_archives": op2_warc_archives,
         "op4_partenum_join": op4_partenum_join,
+        "op5_chunked_bpe": op5_chunked_bpe,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
         "op8_dictionary_toxicity": op8_dictionary_toxicity,
         "op9_fourier_quality": op9_fourier_quality,

@@ -56,3 +56,12 @@ def test_nulls_empty_texts_and_empty_tables(spark):
     assert kernel.scored(d.limit(0), lab).count() == 0
     one = spark.createDataFrame([(2, 1), (3, None), (None, 0)], "doc_id long, quality int")
     assert {r.score for r in kernel.scored(d, one, held_out="doc_id = 9").collect()} == {1.0}
+
+
+def test_accepted_keeps_whole_rows(spark):
+    docs, labels = corpus(300)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {tuple(r) for r in kernel.accepted(d, lab).collect()}
+    good = {i for i, q, _ in labels if q}
+    assert got <= set(docs) and len({r[0] for r in got} ^ good) < 15
