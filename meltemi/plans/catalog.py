@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from meltemi.plans import daily, learning, mapping, places, projections, scalars, skill, zonal
+
+MODULES = (scalars, daily, skill, mapping, projections, zonal, places, learning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return skill.flagship(spark, sf_dir)
