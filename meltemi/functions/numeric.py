@@ -62,11 +62,26 @@ def quantiles(values: Column, n: int) -> Column:
 def interpolated(x: Column, xs: Column, ys: Column) -> Column:
     """Piecewise linear interpolation within an ascending xs; equal xs give the last of their ys, outside gives the ends."""
     n = F.size(xs)
-    k = F.size(F.filter(xs, lambda v: v <= x))
-    lo, hi = F.get(xs, k - 1), F.get(xs, k)
-    a, b = F.get(ys, k - 1), F.get(ys, k)
-    inside = a + (b - a) * (x - lo) / (hi - lo)
-    return F.when(x.isNull(), None).when(k == 0, F.get(ys, F.lit(0))).when(k == n, F.get(ys, n - 1)).otherwise(inside)
+
+    def at(k: Column) -> Column:
+        lo, hi = F.get(xs, k - 1), F.get(xs, k)
+        a, b = F.get(ys, k - 1), F.get(ys, k)
+        inside = a + (b - a) * (x - lo) / (hi - lo)
+        return F.when(x.isNull(), None).when(k == 0, F.get(ys, F.lit(0))).when(k == n, F.get(ys, n - 1)).otherwise(inside)
+
+    return let(F.size(F.filter(xs, lambda v: v <= x)), at)
+
+
+def rank(values: list[float], x: Column, step: int = 32) -> Column:
+    """How many of ascending constants are at most x: first among every step-th, then among the step after it."""
+    coarse, fine = F.array(*map(F.lit, values[::step])), F.array(*map(F.lit, values))
+    le = lambda v: v <= x
+    return let(F.size(F.filter(coarse, le)), lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(F.slice(fine, (c - 1) * step + 1, F.lit(step)), le))))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: expressions inside conditions aren't shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def gaussian(d: Column, sigma: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.functions.numeric import count_if, event, ratio, total
+from meltemi.functions.numeric import count_if, event, let, ratio, total
 
 # Events of the indices, as variable, comparison and threshold; null is a station's own P99.
 EVENTS = {"pr20": ("prcp", ">", 20.0), "pr50": ("prcp", ">", 50.0), "r99p": ("prcp", ">", None), "tmax35": ("tmax", ">", 35.0), "tmax37": ("tmax", ">", 37.0), "tmin0": ("tmin", "<", 0.0)}
@@ -65,10 +65,14 @@ def annual_stat(spec: str, c: Column) -> Column:
 
 def thornthwaite_pet(months: list[Column]) -> Column:
     """Annual potential evapotranspiration from twelve monthly means in degrees C, those missing counted as 0."""
-    t = [F.coalesce(m, F.lit(0.0)) for m in months]
-    i = sum((F.when(x > 0, F.pow(F.greatest(x, F.lit(0.0)) / 5.0, F.lit(1.514))).otherwise(0.0) for x in t), F.lit(0.0))
-    a = 6.75e-7 * F.pow(i, F.lit(3.0)) - 7.71e-5 * F.pow(i, F.lit(2.0)) + 1.792e-2 * i + 0.49239
-    return sum((F.when(x > 0, 16.0 * F.pow(10.0 * F.greatest(x, F.lit(0.0)) / F.nullif(i, F.lit(0.0)), a)).otherwise(0.0) for x in t), F.lit(0.0))
+    t = F.array(*[F.greatest(F.coalesce(m, F.lit(0.0)), F.lit(0.0)) for m in months])
+    added = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+
+    def pet(i: Column) -> Column:
+        a = 6.75e-7 * F.pow(i, F.lit(3.0)) - 7.71e-5 * F.pow(i, F.lit(2.0)) + 1.792e-2 * i + 0.49239
+        return let(a, lambda e: added(t, lambda x: F.when(x > 0, 16.0 * F.pow(10.0 * x / F.nullif(i, F.lit(0.0)), e)).otherwise(0.0)))
+
+    return let(added(t, lambda x: F.when(x > 0, F.pow(x / 5.0, F.lit(1.514))).otherwise(0.0)), pet)
 
 
 def aridity(df: DataFrame, keys: list[str], date: str, tmean: str, prcp: str) -> DataFrame:

@@ -125,3 +125,57 @@ def projection(df: DataFrame, keys: list[str], window: int = 15, length: int = 3
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", corrected double"
     return df.select(*names).groupBy(*keys).applyInPandas(run, schema)
+
+
+def without_each(df: DataFrame, key: str, folds: DataFrame) -> DataFrame:
+    """(fold, n, obs_mean) of all rows but the fold's own: the sums of everything less those of the fold."""
+    by = df.groupBy(key).agg(F.count("*").alias("_n"), F.sum("obs").alias("_s"))
+    whole = by.agg(F.sum("_n").alias("_wn"), F.sum("_s").alias("_ws"))
+    j = folds.join(by, key).join(F.broadcast(whole))  # one row
+    n = F.col("_wn") - F.col("_n")
+    return j.select(F.col(key).alias("fold"), n.alias("n"), F.round((F.col("_ws") - F.col("_s")) / n, 6).alias("obs_mean"))
+
+
+def leave_one_out(df: DataFrame, key: str, folds: DataFrame, n: int = 200, wet: float = 0.1) -> DataFrame:
+    """Rows of each fold with `mapped`, by the transfer of all other rows.
+
+    The pools of all folds differ by one fold's rows each, so they aren't written out: the values of everything are
+    counted once, and a fold's quantiles are read from those counts less its own. Distinct values, not rows, travel.
+    """
+    counts = lambda c, by: df.where(F.col("obs").isNotNull() & F.col("mdl").isNotNull()).groupBy(*by, F.col(c).alias("v")).agg(F.count("*").alias("c"))
+    side = lambda c: counts(c, [key]).select(key, F.lit(c).alias("side"), "v", "c")
+    own = side("obs").unionByName(side("mdl")).groupBy(key).agg(F.collect_list(F.struct("side", "v", "c")).alias("own"))
+    all_ = own.select(F.explode("own").alias("x")).groupBy("x.side", "x.v").agg(F.sum("x.c").alias("c"))
+    total = all_.agg(F.collect_list(F.struct("side", "v", "c")).alias("total"))
+    rows = df.join(folds, key)
+
+    def transfer(batches):
+        for b in batches:
+            out = []
+            for k, o, t in zip(b[key], b["own"], b["total"]):
+                vals = {}
+                for s in ("obs", "mdl"):
+                    left = {x["v"]: x["c"] for x in t if x["side"] == s}
+                    for x in o:
+                        if x["side"] == s:
+                            left[x["v"]] -= x["c"]
+                    v = np.array(sorted(left), float)
+                    vals[s] = np.repeat(v, [left[q] for q in v])
+                ob, md = vals["obs"], vals["mdl"]
+                om, mm = (float(v.mean()) if len(v) else 0.0 for v in (ob, md))
+                share = (ob > wet).mean() if len(ob) else 0.0
+                thr = float(np.quantile(md, 1 - share)) if share > 0 else 0.0
+                ob, md = ob[ob > wet], md[md > thr]
+                p = np.linspace(0, 1, n)
+                if len(ob) < 2 or len(md) < 2:
+                    both = np.concatenate([ob, md])
+                    mq = oq = np.linspace(both.min(), both.max(), n) if len(both) else p
+                else:
+                    mq, oq = np.quantile(md, p), np.quantile(ob, p)
+                out.append((k, mq.tolist(), oq.tolist(), om, mm, thr))
+            yield pd.DataFrame(out, columns=[key, *TRANSFER])
+
+    kind = df.schema[key].dataType.simpleString()
+    t = own.join(folds, key).join(F.broadcast(total))  # one row of distinct values
+    t = t.mapInPandas(transfer, f"{key} {kind}, mq array<double>, oq array<double>, obs_mean double, mdl_mean double, wet_thr double")
+    return rows.join(t, key).withColumn("mapped", applied(F.col("mdl"), True)).drop(*TRANSFER)
