@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import bpe, jaccard, kernel, mixing, pii, rules, toxicity, warc
+from meltemi.llm import bpe, jaccard, kernel, mixing, pii, rules, topk, toxicity, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -26,6 +26,10 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.searched(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mixture": op1_entropy_mixture,
         "op2_warc_archives": op2_warc_archives,
+        "op3_threshold_topk": op3_threshold_topk,
         "op4_partenum_join": op4_partenum_join,
         "op5_chunked_bpe": op5_chunked_bpe,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
@@ -74,5 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_threshold_topk": topk.ORACLE_SQL,
         "op10_quality_rules": rules.ORACLE_SQL,
     }
