@@ -18,7 +18,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.llm.components import components
@@ -161,16 +161,14 @@ def _stars(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["sig", "u", "v", "shared"])
 
     rows = written(sets.where("node is not null").select("node", "sigs").mapInArrow(run, "sig long, u long, v long, shared long"), "stars")
-    met = rows.where("sig is not null")
-    top = met.groupBy("sig").agg(F.max_by("u", F.struct("shared", "u")).alias("v"), F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("sig", "v")
-    far = met.select("sig", "u").join(top, "sig").where("u <> v")
+    # One shuffle of the signatures: a batch's row for a signature is all that is left of its sets.
+    top = F.first("u").over(Window.partitionBy("sig").orderBy(F.col("shared").desc(), "u"))
+    far = rows.where("sig is not null").select("u", top.alias("v")).where("u <> v")
     return rows.where("sig is null").select("u", "v").union(far.select("u", "v")).distinct()
 
 
 def _blocks(members: DataFrame, order: list) -> DataFrame:
     """members (family, ...) with block (from 0) of at most BLOCK rows each by `order`, and m, the family's blocks."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("family")
     n = members.withColumn("r", F.row_number().over(w.orderBy(*order)) - 1)
     return n.withColumn("block", (F.col("r") / BLOCK).cast("int")).withColumn("m", F.max("block").over(w) + 1)

@@ -76,7 +76,11 @@ def test_similar_sets_share_a_signature(num, den):
         assert set(s[owner == 0]) & set(s[owner == 1])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, monkeypatch, one_task):
+    import meltemi.llm.components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", one_task)
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
     comp = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -91,6 +95,9 @@ def test_components(spark):
 def test_links_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "HUBS", 2)
+    import meltemi.llm.components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", 0 if block == 8 else 1_000_000)
     rows = corpus(260, block)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, node int, family string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(df).collect()}
