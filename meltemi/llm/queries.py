@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import bpe, jaccard, kernel, mixing, pii, rules, topk, toxicity, warc
+from meltemi.llm import bpe, jaccard, kernel, mixing, pii, rules, topk, toxicity, trie, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -44,6 +44,10 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.scored(_table(spark, sf_dir, "documents"))
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and what was replaced by kind."""
     out = pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY)
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_threshold_topk": op3_threshold_topk,
         "op4_partenum_join": op4_partenum_join,
         "op5_chunked_bpe": op5_chunked_bpe,
+        "op6_elias_fano_lm": op6_elias_fano_lm,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
         "op8_dictionary_toxicity": op8_dictionary_toxicity,
         "op9_fourier_quality": op9_fourier_quality,

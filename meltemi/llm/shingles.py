@@ -44,12 +44,8 @@ def runs(texts: list[bytes]):
         yield first, len(texts)
 
 
-def shingle_sets(texts: list[bytes], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, number of them by text): each text's distinct shingles of k words, ascending, one text after the other.
-
-    Words are runs of other bytes than ASCII white space, A-Z lower-cased. A text of fewer than k words has its whole
-    sequence as one shingle, one without words has none.
-    """
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of its text) of every word; words are runs of other bytes than ASCII white space, A-Z lower-cased."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
@@ -58,6 +54,16 @@ def shingle_sets(texts: list[bytes], k: int = 3) -> tuple[np.ndarray, np.ndarray
     word = mixed((total[end] - total[start]) * _power("down", len(data))[start]) + (end - start).astype(np.uint64)
     where = np.cumsum([0] + [len(t) + 1 for t in texts])
     doc = np.searchsorted(where, start, "right") - 1
+    return word, doc
+
+
+def shingle_sets(texts: list[bytes], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of them by text): each text's distinct shingles of k words, ascending, one text after the other.
+
+    Words are runs of other bytes than ASCII white space, A-Z lower-cased. A text of fewer than k words has its whole
+    sequence as one shingle, one without words has none.
+    """
+    word, doc = words(texts)
     n_words = np.bincount(doc, minlength=len(texts))
     h = word.copy()
     for j in range(1, k):
