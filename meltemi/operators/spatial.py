@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_cells(targets: DataFrame, cells: DataFrame, k: int = 1, reach: int = 1, cell_size: float = 1.0) -> DataFrame:
+def nearest_cells(targets: DataFrame, cells: DataFrame, k: int = 1, reach: int = 1, cell_size: float | None = None) -> DataFrame:
     """(target_id, cell_id, d2, rank): the k nearest cells of each target, ties to the lower cell_id.
 
     Both have x and y. Cells are bucketed on a square grid and a target looks into the buckets within `reach`, an
     equi-join that scales with the rows. A target is settled when its k-th cell is no farther than the ring it has
     seen; the few others look into twice the reach, until all are.
     """
+    if cell_size is None:
+        # Buckets of about k cells settle nearly all targets in the first turn.
+        a = cells.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+        cell_size = max(1e-9, math.sqrt(max(a[1] or 0.0, 1e-9) * max(a[2] or 0.0, 1e-9) * k / max(a[0], 1))) if a[0] else 1.0
     bx, by = (F.floor(F.col(c) / cell_size).cast("long") for c in ("x", "y"))
     cells = cells.select("cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"), bx.alias("bx"), by.alias("by"))
     box = cells.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by")).first()
@@ -196,7 +200,7 @@ def terrain(points: DataFrame, grid: DataFrame, value: str = "v", x: str = "x",
 def contains(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, polygon): the first polygon (by its number) around each point, by crossings of its edges; edges have polygon, x1, y1, x2, y2."""
     j = points.join(bounded(edges), F.expr("(y1 > py) <> (y2 > py)"))
-    hit = F.col("px") < F.col("x1") + (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    hit = F.col("px") < F.col("x1") + (F.col("py") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1"))
     inside = j.where(hit).groupBy("id", "polygon").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
     return inside.groupBy("id").agg(F.min("polygon").alias("polygon"))
 
