@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from meltemi.llm.shared import pruned, written
 from meltemi.llm.shingles import _BYTES, _power, mixed, runs
@@ -40,7 +41,15 @@ class Codec:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        self.tokenizer, self._bytes, self._length = t, {}, {}
+        self.tokenizer = t
+        n = t.get_vocab_size(with_added_tokens=True)
+        # Of byte-level tokens each character stands for one byte: printable ones for themselves, the rest from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(i): i for i in plain} | {chr(256 + k): i for k, i in enumerate(sorted(set(range(256)) - set(plain)))}
+        names = [t.id_to_token(i) or "" for i in range(n)]
+        self.bytes = [bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode() for x in names]
+        self.size = np.array([len(x) for x in self.bytes], np.int64)
+        self.kind = "<u2" if n <= 65536 else "<u4"
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -54,14 +63,14 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """As the tokenizer's decode(ids, skip_special_tokens=False), in UTF-8."""
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
+        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        return raw.decode("utf-8", "replace").encode()
 
-    def lengths(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of each token; of byte-level tokens each character of the vocabulary stands for one byte."""
-        for i in np.unique(ids).tolist():
-            if i not in self._length:
-                self._length[i] = len(self.tokenizer.id_to_token(i))
-        return np.array([self._length[i] for i in ids.tolist()], np.int64)
+    def packed(self, ids: np.ndarray) -> bytes:
+        return ids.astype(self.kind).tobytes()
+
+    def unpacked(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, self.kind)
 
 
 def cuts(texts: list[bytes], window: int = WINDOW, mean: int = MEAN) -> list[np.ndarray]:
@@ -130,7 +139,7 @@ def stretches(ends: list[int], shared: list[bool], again: list[tuple[int, int]])
 
 def counted(codec: Codec, ids: np.ndarray, lo: int, hi: int) -> np.ndarray | None:
     """The tokens of bytes lo to hi of what ids encode; None if a token crosses either."""
-    at = np.concatenate([[0], np.cumsum(codec.lengths(ids))])
+    at = np.concatenate([[0], np.cumsum(codec.size[ids])])
     i, j = np.searchsorted(at, lo), np.searchsorted(at, hi)
     return ids[i:j] if at[min(i, len(at) - 1)] == lo and at[min(j, len(at) - 1)] == hi else None
 
@@ -189,7 +198,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ids = codec.encode(todo)
                 for uid, doc, t, plan, k in plans:
                     if plan is None:
-                        rows.append((uid, doc, *digests(codec, ids[k]), None, None, None, None, ids[k].tobytes() if with_ids else None, None))
+                        rows.append((uid, doc, *digests(codec, ids[k]), None, None, None, None, codec.packed(ids[k]) if with_ids else None, None))
                         continue
                     for seq, (a, z, lo, hi, what) in enumerate(plan[0]):
                         if what == "shared":
@@ -200,7 +209,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                         piece = counted(codec, ids[k], lo - a, hi - a)
                         k += 1
                         # Without agreement the piece is the bytes themselves, and the text is encoded as a whole.
-                        rows.append((uid, doc, None, None, None, None, seq, lo if piece is None else None, hi, t[lo:hi] if piece is None else piece.tobytes(), None))
+                        rows.append((uid, doc, None, None, None, None, seq, lo if piece is None else None, hi, t[lo:hi] if piece is None else codec.packed(piece), None))
                 types = [pa.int64(), b.column(1).type, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 cols = list(zip(*rows)) or [()] * len(types)
                 names = ["uid", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "h", "seq", "lo", "hi", "piece", "chunk"]
@@ -213,7 +222,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         codec = Codec.of(path)
         for b in batches:
             ids = codec.encode(_texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], ["h", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(codec.packed, ids)), pa.binary())], ["h", "chunk", "ids"])
 
     chunks = steps.where("chunk is not null").groupBy("h").agg(F.max("chunk").alias("chunk")).mapInArrow(once, "h long, chunk binary, ids binary")
 
@@ -222,33 +231,55 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             out, raw = [], []
             for lo, hi, c, x in zip(b.column("lo").to_pylist(), b.column("hi").to_pylist(), _texts(b.column("chunk_")), _texts(b.column("ids"))):
-                piece = counted(codec, np.frombuffer(x, "<u4"), lo, hi)
+                piece = counted(codec, codec.unpacked(x), lo, hi)
                 raw.append(piece is None)
-                out.append(c[lo:hi] if piece is None else piece.tobytes())
+                out.append(c[lo:hi] if piece is None else codec.packed(piece))
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("seq"), pa.array(raw, pa.bool_()), pa.array(out, pa.binary())], ["uid", "doc_id", "seq", "raw", "piece"])
 
     used = steps.where("h is not null").select("uid", "doc_id", "h", "seq", "lo", "hi").join(chunks.select("h", F.col("chunk").alias("chunk_"), "ids"), "h")
     pieces = used.mapInArrow(cut, f"uid long, doc_id {kind}, seq int, raw boolean, piece binary")
     own = steps.where("seq is not null and h is null").select("uid", "doc_id", "seq", F.col("lo").isNotNull().alias("raw"), "piece")
 
-    def whole(t):
+    def whole(batches):
+        """Texts put together from their pieces, which come one text after the other and in order."""
         codec = Codec.of(path)
-        t = t.sort_values("seq")
-        if t["raw"].any():
-            text = b"".join(p if r else codec.decode(np.frombuffer(p, "<u4")) for p, r in zip(t["piece"], t["raw"]))
-            ids = codec.encode([text])[0]
-        else:
-            ids = np.frombuffer(b"".join(t["piece"]), "<u4")
-        n, a, b = digests(codec, ids)
-        return pd.DataFrame({"doc_id": t["doc_id"].iloc[:1].tolist(), "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b], "piece": [ids.tobytes() if with_ids else None]})
 
-    joined = pieces.union(own).groupBy("uid").applyInPandas(whole, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, piece binary")
+        def one(doc, raw, parts):
+            if any(raw):
+                ids = codec.encode([b"".join(p if r else codec.decode(codec.unpacked(p)) for p, r in zip(parts, raw))])[0]
+            else:
+                ids = codec.unpacked(b"".join(parts))
+            return (doc, *digests(codec, ids), codec.packed(ids) if with_ids else None)
+
+        now, doc, raw, parts = None, None, [], []
+        for b in batches:
+            out = []
+            for u, x, r, p in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("raw").to_pylist(), _texts(b.column("piece"))):
+                if u != now:
+                    if now is not None:
+                        out.append(one(doc, raw, parts))
+                    now, doc, raw, parts = u, x, [], []
+                raw.append(r)
+                parts.append(p)
+            yield joined_rows(b.column("doc_id").type, out)
+        if now is not None:
+            yield joined_rows(id_type, [one(doc, raw, parts)])
+
+    id_type = to_arrow_type(d.schema["doc_id"].dataType)
+
+    def joined_rows(kind_, rows):
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [kind_, pa.int64(), pa.string(), pa.string(), pa.binary()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "piece"])
+
+    joined = pieces.union(own).repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(whole, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, piece binary")
     out = steps.where("n_tokens is not null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "piece").union(joined)
     if not with_ids:
         return out.drop("piece")
 
+    narrow = Codec.of(path).kind
+
     @F.pandas_udf("array<int>")
     def numbers(x: pd.Series) -> pd.Series:
-        return x.map(lambda p: np.frombuffer(p, "<u4").astype(np.int32))
+        return x.map(lambda p: np.frombuffer(p, narrow).astype(np.int32))
 
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", numbers("piece").alias("ids"))
