@@ -32,7 +32,9 @@ PHONE = (
 )
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD))
+#: The look ahead lets all other places fail at their first character.
+NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IPV4, DATE, SSN, PHONE, CARD))})"
+PATTERN = f"{EMAIL}|{NUMBERS}"
 KINDS = ("email", "ipv4", "date", "phone", "ssn", "card")
 
 
@@ -161,8 +163,8 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     back = dict(zip(names, docs.columns))
     t = next(n for n, c in back.items() if c == text_col)
     df = docs.toDF(*names)
-    # Few texts have a digit or an @, and only those are searched with the long pattern.
-    found = F.when(F.col(t).rlike("[0-9@]"), F.regexp_extract_all(F.col(t), F.lit(PATTERN), 0))
+    # Texts without an @ are searched for numbers alone, those without a digit either not at all.
+    found = F.when(F.col(t).contains("@"), F.regexp_extract_all(F.col(t), F.lit(PATTERN), 0)).when(F.col(t).rlike("[0-9]"), F.regexp_extract_all(F.col(t), F.lit(NUMBERS), 0))
     df = df.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     df = df.withColumn("_kinds", F.transform("_found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
 
@@ -180,7 +182,8 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
         return F.struct(k.alias("kind"), new.alias("pseudonym"))
 
     df = df.withColumn("_new", F.transform("_kinds", replaced))
-    df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(F.col(t), PATTERN, -1)))
+    gaps = F.when(F.col(t).contains("@"), F.split(F.col(t), PATTERN, -1)).otherwise(F.split(F.col(t), NUMBERS, -1))
+    df = df.withColumn("_gaps", F.when(F.size("_found") > 0, gaps))
     joined = F.concat(F.get("_gaps", F.lit(0)), F.array_join(F.transform("_new", lambda x, i: F.concat(x["pseudonym"], F.get("_gaps", i + 1))), ""))
     text = F.when(F.size("_found") > 0, joined).otherwise(F.col(t))
     pii = F.filter("_new", lambda x: x["kind"].isNotNull())
