@@ -182,7 +182,8 @@ def _compared(tasks: DataFrame, num: int, den: int) -> DataFrame:
     """
 
     def run(key, t):
-        t = t.sort_values(["shared", "node"], ascending=[False, True])
+        # A document that stands in several rows of the input comes as often.
+        t = t.drop_duplicates("node").sort_values(["shared", "node"], ascending=[False, True])
         node, side = t["node"].tolist(), t["side"].tolist()
         sets = [np.frombuffer(x, np.uint64) for x in t["h"]]
         parent = list(range(len(node)))
@@ -249,16 +250,20 @@ def _links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Data
                 cols = [b.column(0).slice(i, j - i), pa.array([h[e - c : e].tobytes() for c, e in zip(n, end)], pa.binary()), pa.array([s[x:y].tobytes() for x, y in zip(np.concatenate([[0], cut[:-1]]), cut)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "sigs"])
 
-    full = docs.select("doc_id", "text", "b").mapInArrow(run, f"doc_id {kind}, h binary, sigs binary")
-    full = written(members.join(full.dropDuplicates(["doc_id"]), "doc_id").select("node", "family", "shared", "h", "sigs"), "families")
+    sets_of = docs.select("doc_id", "text", "b").mapInArrow(run, f"doc_id {kind}, h binary, sigs binary")
+
+    def compared(t):
+        """Links of tasks (node, doc_id, shared, task, side, part): sets are made where the text is and travel to their tasks."""
+        # Merged at every size, so that what is shuffled grows with the input and not in a jump.
+        return written(_compared(t.hint("merge").join(sets_of, "doc_id"), num, den), "links")
+
     by = [F.col("shared").desc(), "node"]
     # First every block for itself, with the hubs of its family; that settles all families of one block.
-    b = written(_blocks(full.select("node", "family", "shared"), by), "blocks")
+    b = written(_blocks(members, by), "blocks")
     task = lambda *c: F.xxhash64("family", *c)
     hubs = b.where((F.col("r") < HUBS) & (F.col("m") > 1)).withColumn("block", F.explode(F.sequence(F.lit(1), F.col("m") - 1)))
-    t = b.unionByName(hubs).select("node", task("block").alias("task"), F.lit(2).alias("side"), F.col("node").alias("part"))
-    found = written(_compared(t.join(full, "node"), num, den), "links")
-    large = b.where("m > 1").select("node", "family", "shared")
+    found = compared(b.unionByName(hubs).select("node", "doc_id", "shared", task("block").alias("task"), F.lit(2).alias("side"), F.col("node").alias("part")))
+    large = b.where("m > 1").select("node", "doc_id", "family", "shared")
     if large.isEmpty():
         return found
     # Then, in the order of what is linked so far, each pair of blocks that isn't one linked part.
@@ -271,8 +276,7 @@ def _links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Data
     pairs = pairs.select("family", "i", F.col("block").alias("j"))
     sides = pairs.select("family", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s"))
     sides = sides.select("family", "i", "j", "s.block", F.when(F.col("i") == F.col("j"), 2).otherwise(F.col("s.side")).alias("side")).distinct()
-    t = sides.join(b, ["family", "block"]).select("node", task("i", "j").alias("task"), "side", "part")
-    return found.union(written(_compared(t.join(full, "node"), num, den), "links"))
+    return found.union(compared(sides.join(b, ["family", "block"]).select("node", "doc_id", "shared", task("i", "j").alias("task"), "side", "part")))
 
 
 def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
