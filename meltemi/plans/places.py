@@ -25,7 +25,7 @@ _D2 = "(t.x - c.x) * (t.x - c.x) + (t.y - c.y) * (t.y - c.y)"
 
 def _near(spark, d, k: int, land: bool):
     cos = F.cos(F.radians(F.lit(38.0)))
-    t = roles.targets(spark, d).where("id % 5 = 0").select(F.col("id").alias("target_id"), (F.col("lon") * cos).alias("x"), F.col("lat").alias("y"))
+    t = roles.targets(spark, d).select(F.col("id").alias("target_id"), (F.col("lon") * cos).alias("x"), F.col("lat").alias("y"))
     g = roles.grid(spark, d)
     c = (g.where("is_land") if land else g).select("cell_id", (F.col("lon") * cos).alias("x"), F.col("lat").alias("y"))
     return sp.nearest_cells(t, c, k)
@@ -51,7 +51,7 @@ _PTS = "pts AS (SELECT id, lon AS px, lat AS py FROM targets WHERE id % 10 = 0)"
 
 
 def _points(spark, d):
-    return roles.targets(spark, d).where("id % 10 = 0").select("id", F.col("lon").alias("px"), F.col("lat").alias("py"))
+    return roles.targets(spark, d).select("id", F.col("lon").alias("px"), F.col("lat").alias("py"))
 
 
 _T = "greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))"
@@ -99,7 +99,7 @@ def slope(spark, d):
 @query("a08_patch_mean", _sql(roles.GRID, body="SELECT g.cell_id, round(avg(q.v), 6) AS mean FROM grid g JOIN grid q ON q.x BETWEEN g.x - 2 AND g.x + 1 AND q.y BETWEEN g.y - 2 AND g.y + 1 WHERE g.cell_id % 7 = 0 GROUP BY 1"))
 def patch_mean(spark, d):
     g = roles.grid(spark, d)
-    near = g.where("cell_id % 7 = 0").select("cell_id", F.explode(F.sequence(F.col("x") - 2, F.col("x") + 1)).alias("x"), "y").select("cell_id", "x", F.explode(F.sequence(F.col("y") - 2, F.col("y") + 1)).alias("y"))
+    near = g.select("cell_id", F.explode(F.sequence(F.col("x") - 2, F.col("x") + 1)).alias("x"), "y").select("cell_id", "x", F.explode(F.sequence(F.col("y") - 2, F.col("y") + 1)).alias("y"))
     return near.join(g.select("x", "y", "v"), ["x", "y"]).groupBy("cell_id").agg(r6(F.avg("v")).alias("mean"))
 
 
@@ -142,7 +142,7 @@ def island(spark, d):
 
 @query("g04_cubic_weights")
 def weights(spark, d):
-    """Patch weights of every tenth target, and the surface they give."""
+    """Patch weights of every target, and the surface they give."""
     near = _near(spark, d, 16, True)
     g = roles.grid(spark, d).select("cell_id", F.col("lon").alias("cx"), F.col("lat").alias("cy"), "v")
     t = roles.targets(spark, d).select(F.col("id").alias("target_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
@@ -153,10 +153,10 @@ def weights(spark, d):
 @query("g11_tpi")
 def tpi(spark, d):
     g = roles.grid(spark, d)
-    return sp.terrain(g.where("cell_id % 20 = 0").select(F.col("cell_id").alias("id"), "x", "y"), g).select("id", "tpi_500", "tpi_2000")
+    return sp.terrain(g.select(F.col("cell_id").alias("id"), "x", "y"), g).select("id", "tpi_500", "tpi_2000")
 
 
 @query("g12_svf")
 def svf(spark, d):
     g = roles.grid(spark, d)
-    return sp.terrain(g.where("cell_id % 20 = 0").select(F.col("cell_id").alias("id"), "x", "y"), g, radii=(500.0,)).select("id", "svf")
+    return sp.terrain(g.select(F.col("cell_id").alias("id"), "x", "y"), g, radii=(500.0,)).select("id", "svf")
