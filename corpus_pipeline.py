@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meltemi.llm import bpe, jaccard, kernel, mixing, pii
 from meltemi.llm.queries import PII_KEY, tokenizer_path
-from meltemi.llm.shared import release, shared_dir
+from meltemi.llm.shared import release, shared_dir, written
 
 #: Near copies: texts whose sets of five-word shingles are similar by 0.8 or more.
 WORDS, NUM, DEN = 5, 80, 100
@@ -21,12 +21,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kernel.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of each row's own that orders as doc_id does, null last.
+
+    Ids may be null or repeated, so a stage that joins does so on _row. Written, so that all its readers see the same.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("n"))
+    return written(docs.withColumn("_row", key), "numbered")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id; all documents without words."""
+    """Of each group of linked rows the one of the smallest id (null last, any of equal ids); all rows without words."""
     release(spark)
-    groups = jaccard.linked(docs, WORDS, NUM, DEN)
-    stay = groups.where("n_shingles = 0 or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    rows = numbered(docs)
+    groups = jaccard.linked(rows, WORDS, NUM, DEN, id_col="_row")
+    stay = groups.where("n_shingles = 0 or component_id = doc_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +47,11 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each row, also of null or repeated id, as often as the mix takes it: not at all, once or twice."""
     release(spark)
-    copies = mixing.mixed(docs).select("doc_id", "copies").where("copies > 0")
-    out = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = numbered(docs)
+    copies = mixing.mixed(rows, id_col="_row", hash_col="doc_id").select(F.col("doc_id").alias("_row"), "copies").where("copies > 0")
+    out = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*docs.columns)
 
 

@@ -80,18 +80,18 @@ def solved(cells: DataFrame, goals: DataFrame, most: float = MOST, steps: int =
     return s.select("source", "target", "lam")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", hash_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, rate, copies.
 
     size counts the words of the text (null: 0); taken = copies * size, with copies 0, 1 or 2. The words taken of a
     source differ from its target by less than its smallest positive size. Documents without words are taken once.
-    Nulls form a source of their own; rows of equal id share their hash, so which of them is taken twice is arbitrary
-    but equal in number. Reruns agree.
+    Nulls form a source of their own. The hash is of hash_col, or else of the id; rows of equal hash_col share it, so
+    which of them is taken twice is arbitrary but equal in number. Reruns agree.
     """
-    d = pruned(docs, id_col, source_col, text_col).toDF("doc_id", "source", "text")
+    d = pruned(docs, id_col, source_col, text_col, hash_col or id_col).toDF("doc_id", "source", "text", "key")
     size = F.coalesce(F.size(F.filter(F.split("text", "[ \\t-\\r]+", -1), lambda x: x != "")).cast("long"), F.lit(0).cast("long"))
-    place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(PLACES)).cast("int")
-    rows = written(d.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("size"), place.alias("place")), "sizes")
+    place = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(PLACES)).cast("int")
+    rows = written(d.select("doc_id", "key", "source", F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("size"), place.alias("place")), "sizes")
     by_place = written(rows.groupBy("source", "size", "place").agg(F.count("*").alias("n")), "places")
     cells = written(by_place.groupBy("source", "size").agg(F.sum("n").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -121,10 +121,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     p = p.select("source", "size", "place", "n", "rate", F.expr("total div all").alias("base"), F.greatest(F.lit(0), F.least(F.col("n"), odd)).alias("odd"))
     p = p.alias("p").join(goals.alias("g"), F.expr("p.source <=> g.source")).select("p.*", "g.source_size", "g.target")
     j = rows.alias("r").join(p.alias("p"), F.expr("r.source <=> p.source and r.size = p.size and r.place = p.place"))
-    j = written(j.select("r.doc_id", "r.source", "r.size", "r.place", "p.source_size", "p.target", "p.rate", "p.base", "p.odd", "p.n"), "shares")
+    j = written(j.select("r.doc_id", "r.key", "r.source", "r.size", "r.place", "p.source_size", "p.target", "p.rate", "p.base", "p.odd", "p.n"), "shares")
     # Ranked are only the places that some but not all rows of get one more.
     some = F.expr("odd > 0 and odd < n")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "place").orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "place").orderBy(F.xxhash64(F.lit(29), "key"), "doc_id"))
     whole = j.where(~some).withColumn("copies", F.col("base") + (F.col("odd") > 0).cast("long"))
     split = j.where(some).withColumn("copies", F.col("base") + (rank <= F.col("odd")).cast("long"))
     out = whole.unionByName(split)
