@@ -136,46 +136,57 @@ def without_each(df: DataFrame, key: str, folds: DataFrame) -> DataFrame:
     return j.select(F.col(key).alias("fold"), n.alias("n"), F.round((F.col("_ws") - F.col("_s")) / n, 6).alias("obs_mean"))
 
 
+def _counted_quantile(v: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Linear quantiles p of the ascending values v that occur c times each, as np.quantile gives of them written out."""
+    end = np.cumsum(c)
+    at = (end[-1] - 1) * np.asarray(p, float)
+    lo = np.floor(at).astype(np.int64)
+    a, b = (v[np.searchsorted(end, np.minimum(i, end[-1] - 1), "right")] for i in (lo, lo + 1))
+    t = at - lo
+    return np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t)
+
+
 def leave_one_out(df: DataFrame, key: str, folds: DataFrame, n: int = 200, wet: float = 0.1) -> DataFrame:
     """Rows of each fold with `mapped`, by the transfer of all other rows.
 
     The pools of all folds differ by one fold's rows each, so they aren't written out: the values of everything are
-    counted once, and a fold's quantiles are read from those counts less its own. Distinct values, not rows, travel.
+    counted once, and a fold's quantiles are read from those counts less its own. The counts of distinct values pass
+    through the driver and reach each executor once, whatever the number of folds.
     """
     counts = lambda c, by: df.where(F.col("obs").isNotNull() & F.col("mdl").isNotNull()).groupBy(*by, F.col(c).alias("v")).agg(F.count("*").alias("c"))
-    side = lambda c: counts(c, [key]).select(key, F.lit(c).alias("side"), "v", "c")
+    side = lambda c: counts(c, [key]).select(key, F.lit(c).alias("side"), F.col("v").cast("double").alias("v"), "c")
     own = side("obs").unionByName(side("mdl")).groupBy(key).agg(F.collect_list(F.struct("side", "v", "c")).alias("own"))
-    all_ = own.select(F.explode("own").alias("x")).groupBy("x.side", "x.v").agg(F.sum("x.c").alias("c"))
-    total = all_.agg(F.collect_list(F.struct("side", "v", "c")).alias("total"))
+    all_ = own.select(F.explode("own").alias("x")).groupBy("x.side", "x.v").agg(F.sum("x.c").alias("c")).toPandas().sort_values("v")
+    total = {s: (g["v"].to_numpy(float), g["c"].to_numpy(np.int64)) for s in ("obs", "mdl") for g in [all_[all_["side"] == s]]}
+    total = df.sparkSession.sparkContext.broadcast(total)
     rows = df.join(folds, key)
 
     def transfer(batches):
         for b in batches:
             out = []
-            for k, o, t in zip(b[key], b["own"], b["total"]):
+            for k, o in zip(b[key], b["own"]):
                 vals = {}
                 for s in ("obs", "mdl"):
-                    left = {x["v"]: x["c"] for x in t if x["side"] == s}
-                    for x in o:
-                        if x["side"] == s:
-                            left[x["v"]] -= x["c"]
-                    v = np.array(sorted(left), float)
-                    vals[s] = np.repeat(v, [left[q] for q in v])
-                ob, md = vals["obs"], vals["mdl"]
-                om, mm = (float(v.mean()) if len(v) else 0.0 for v in (ob, md))
-                share = (ob > wet).mean() if len(ob) else 0.0
-                thr = float(np.quantile(md, 1 - share)) if share > 0 else 0.0
-                ob, md = ob[ob > wet], md[md > thr]
+                    v, c = total.value[s]
+                    left = c.copy()
+                    mine = [(x["v"], x["c"]) for x in o if x["side"] == s]
+                    left[np.searchsorted(v, [x for x, _ in mine])] -= np.array([x for _, x in mine], np.int64)
+                    vals[s] = v[left > 0], left[left > 0]
+                (ov, oc), (mv, mc) = vals["obs"], vals["mdl"]
+                om, mm = (float(v @ c / c.sum()) if len(v) else 0.0 for v, c in vals.values())
+                share = oc[ov > wet].sum() / oc.sum() if len(ov) else 0.0
+                thr = float(_counted_quantile(mv, mc, 1 - share)) if share > 0 else 0.0
+                (ov, oc), (mv, mc) = (ov[ov > wet], oc[ov > wet]), (mv[mv > thr], mc[mv > thr])
                 p = np.linspace(0, 1, n)
-                if len(ob) < 2 or len(md) < 2:
-                    both = np.concatenate([ob, md])
+                if oc.sum() < 2 or mc.sum() < 2:
+                    both = np.concatenate([ov, mv])
                     mq = oq = np.linspace(both.min(), both.max(), n) if len(both) else p
                 else:
-                    mq, oq = np.quantile(md, p), np.quantile(ob, p)
+                    mq, oq = _counted_quantile(mv, mc, p), _counted_quantile(ov, oc, p)
                 out.append((k, mq.tolist(), oq.tolist(), om, mm, thr))
             yield pd.DataFrame(out, columns=[key, *TRANSFER])
 
     kind = df.schema[key].dataType.simpleString()
-    t = own.join(folds, key).join(F.broadcast(total))  # one row of distinct values
+    t = own.join(folds, key)
     t = t.mapInPandas(transfer, f"{key} {kind}, mq array<double>, oq array<double>, obs_mean double, mdl_mean double, wet_thr double")
     return rows.join(t, key).withColumn("mapped", applied(F.col("mdl"), True)).drop(*TRANSFER)

@@ -130,12 +130,12 @@ _FOLDS = "(SELECT DISTINCT id AS fold FROM donor WHERE id < 12)"
 
 @query("j21_loo_donors", _sql(_DONOR, body=f"SELECT fold, count(*)::BIGINT AS n, round(avg(obs), 6) AS obs_mean FROM donor d, {_FOLDS} f WHERE d.id <> f.fold GROUP BY 1"))
 def loo(spark, d):
-    return qm.without_each(roles.donor(spark, d, 0), "id", roles.donor(spark, d, 0).where("id < 12").select("id").distinct())
+    return qm.without_each(roles.donor(spark, d, 0), "id", roles.donor(spark, d, 0).select("id").distinct())
 
 
 @query("n10_loo_qm", _sql(_DONOR, f"pool AS (SELECT fold, obs, mdl FROM donor d, {_FOLDS} f WHERE d.id <> f.fold)", fit_sql("t", "pool", "fold", 100), body=f"SELECT id, doy, round(mdl, 6) AS mdl, round({apply_sql('mdl')}, 6) AS mapped FROM donor JOIN t ON id = fold"))
 def loo_mapping(spark, d):
-    out = qm.leave_one_out(roles.donor(spark, d, 0), "id", roles.donor(spark, d, 0).where("id < 12").select("id").distinct(), n=100)
+    out = qm.leave_one_out(roles.donor(spark, d, 0), "id", roles.donor(spark, d, 0).select("id").distinct(), n=100)
     return out.select("id", "doy", r6(F.col("mdl")).alias("mdl"), r6(F.col("mapped")).alias("mapped"))
 
 
