@@ -45,7 +45,7 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.scored(_table(spark, sf_dir, "documents"))
+    return trie.scored(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Words are hashes. A backoff bigram model over the training texts: p(w | v) is (c(v, w) - D) / c(v) for pairs seen
-twice or more, else lambda(v) * p(w), with p(w) the add-one estimate (c(w) + 1) / (N + V + 1) and lambda(v) such that
+`least` times or more, else lambda(v) * p(w), with p(w) the add-one estimate (c(w) + 1) / (N + V + 1) and lambda(v) such that
 all sums to one. The logarithm of a text is therefore its unigram score plus, for each token, log p(w | v) / p(w) of a
 kept pair or log lambda(v); these corrections are what the trie holds, quantised to a byte.
 
@@ -245,11 +245,12 @@ def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.diff(np.append(new, len(key)))
 
 
-def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (base 10 logarithms).
 
     held_out is an expression over doc_id; such rows don't train. Null text counts as empty and has its end token
-    alone. Repeated rows train as often as they occur. Without training rows N and V are 0.
+    alone. Repeated rows train as often as they occur. Without training rows N and V are 0. The model holds the pairs that
+    the training texts have `least` times or more; with 1 that is every pair.
     """
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -334,7 +335,7 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([p for _, p in got], pa.binary())], ["shard", "payload"])
 
     def kept(key, t):
-        """Pairs of a shard that the training texts hold twice or more."""
+        """Pairs of a shard that the training texts hold `least` times or more."""
         vs, ws, cs = [], [], []
         for p in t["payload"]:
             dl, n, low, top, m = unpacked(p)
@@ -346,14 +347,14 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         v, w, c = v[order], w[order], c[order]
         new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
         c = np.add.reduceat(c, new)
-        two = c > 1
-        return pd.DataFrame({"shard": key[0], "v": v[new][two].view(np.int64), "w": w[new][two].astype(np.int64), "c": c[two]})
+        held = c >= least
+        return pd.DataFrame({"shard": key[0], "v": v[new][held].view(np.int64), "w": w[new][held].astype(np.int64), "c": c[held]})
 
     pair_rows = source.mapInArrow(lambda it: pairs(it, True), "shard int, payload binary").groupBy("shard").applyInPandas(kept, "shard int, v long, w long, c long")
     pair_rows = written(pair_rows, "pairs")
     n_texts = rows.where("train").count()
-    # Words of kept pairs occur twice at least, which leaves few rows to join.
-    often = words.where("c > 1")
+    # Words of kept pairs occur as often as the pairs at least.
+    often = words.where(F.col("c") >= least)
     succ = often.groupBy(F.col("h").bitwiseAND(int(W_MASK)).alias("w")).agg(F.max("c").alias("cw"))
     begin = int(BEGIN.astype(np.int64))
     ctx = often.select(F.col("h").alias("v"), F.col("c").alias("cv")).where(F.col("v") != begin).union(rows.sparkSession.createDataFrame([(begin, n_texts)], "v long, cv long"))
