@@ -70,10 +70,42 @@ def ray_hit(px: Column, py: Column, bearing: Column, x1: Column, y1: Column, x2:
     return F.when((t >= 0) & (s >= 0) & (s <= 1), t)
 
 
-def coast_distance(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """(id, coast_km) in the units of the coordinates; segments are a coastline of fixed size, checked before it is broadcast."""
+def coast_distance(points: DataFrame, segments: DataFrame, reach: int = 1, cell_size: float | None = None) -> DataFrame:
+    """(id, coast_km) in the units of the coordinates.
+
+    Segments lie in the buckets of a square grid that their boxes touch. A point looks into the buckets within `reach`,
+    an equi-join, and is settled when its nearest segment is no farther than the ring it has seen; the others look into
+    twice the reach, until all are.
+    """
+    s = segments.select("x1", "y1", "x2", "y2").where("x1 + y1 + x2 + y2 is not null")
+    lo, hi = (lambda c: F.least(f"{c}1", f"{c}2")), (lambda c: F.greatest(f"{c}1", f"{c}2"))
+    a = s.agg(F.count("*"), *[f(g(c)) for c in "xy" for f, g in ((F.min, lo), (F.max, hi))], F.avg(F.greatest(hi("x") - lo("x"), hi("y") - lo("y")))).first()
+    if not a[0]:
+        return points.select("id", F.lit(None).cast("double").alias("coast_km")).limit(0)
+    if cell_size is None:
+        # About one segment a bucket, and few buckets a segment.
+        cell_size = max(1e-9, a[5], math.sqrt(max(a[2] - a[1], 1e-9) * max(a[4] - a[3], 1e-9) / a[0]))
+    at = lambda c: F.floor(c / cell_size).cast("long")
+    box = [math.floor(v / cell_size) for v in a[1:5]]
+    for c, b in (("x", "bx"), ("y", "by")):
+        s = s.withColumn(b, F.explode(F.sequence(at(lo(c)), at(hi(c)))))
+    tx, ty = at(F.col("px")), at(F.col("py"))
+    todo, out = points.select("id", "px", "py").where("px is not null and py is not null"), None
+    widest = todo.agg(F.max(F.greatest(F.abs(tx - box[0]), F.abs(tx - box[1]), F.abs(ty - box[2]), F.abs(ty - box[3])))).first()[0] or 0
     d = point_segment_distance(*map(F.col, ("px", "py", "x1", "y1", "x2", "y2")))
-    return points.join(bounded(segments)).groupBy("id").agg(F.min(d).alias("coast_km"))
+    while True:
+        side = lambda c, m, n: F.when((c + reach >= m) & (c - reach <= n), F.sequence(F.greatest(c - reach, F.lit(m)), F.least(c + reach, F.lit(n))))
+        t = todo.withColumn("bx", F.explode(side(tx, box[0], box[1]))).withColumn("by", F.explode(side(ty, box[2], box[3])))
+        near = t.join(s, ["bx", "by"]).groupBy("id").agg(F.min(d).alias("coast_km"))
+        whole = reach > widest
+        found = near if whole else near.where(F.col("coast_km") <= reach * cell_size)
+        out = found if out is None else out.unionByName(found)
+        if whole:
+            return out
+        todo = todo.join(found.select("id"), "id", "left_anti")
+        if todo.isEmpty():
+            return out
+        reach *= 2
 
 
 def bounded(df: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -87,14 +119,28 @@ BEARINGS = {"N": 0, "NE": 45, "E": 90, "SE": 135, "S": 180, "SW": 225, "W": 270,
 
 
 def fetch(points: DataFrame, segments: DataFrame, own_coast: float = 6.5, cap: float = 400.0) -> DataFrame:
-    """(id, fetch_N ... fetch_NW): log1p of the distance to the first other coast by bearing, at most cap."""
-    j = points.join(bounded(segments))
-    out = []
-    for name, b in BEARINGS.items():
-        d = ray_hit(F.col("px"), F.col("py"), F.lit(float(b)), *map(F.col, ("x1", "y1", "x2", "y2")))
-        first = F.min(F.when((d > own_coast) & (d <= cap), d))
-        out.append(F.round(F.log1p(F.coalesce(first, F.lit(cap))), 6).alias(f"fetch_{name}"))
-    return j.groupBy("id").agg(*out)
+    """(id, fetch_N ... fetch_NW): log1p of the distance to the first other coast by bearing, at most cap.
+
+    A ray crosses only segments whose extent across its bearing holds it. That extent is cut into strips, and points and
+    segments of a bearing meet by strip, an equi-join.
+    """
+    s = segments.select("x1", "y1", "x2", "y2").where("x1 + y1 + x2 + y2 is not null")
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    width = max(1e-9, s.agg(F.avg(F.sqrt(dx * dx + dy * dy))).first()[0] or 1.0)
+    turns = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(b)).alias("b")) for n, b in BEARINGS.items()]))
+    across = lambda x, y: F.col(x) * F.cos(F.radians("b")) - F.col(y) * F.sin(F.radians("b"))
+    strip = lambda c: F.floor(c / width).cast("long")
+    turned = lambda t: t.withColumn("_t", turns).select("*", "_t.name", "_t.b").drop("_t")
+    s, p = turned(s), turned(points.select("id", "px", "py"))
+    u, v = across("x1", "y1"), across("x2", "y2")
+    # A little wider than the segment, as rounding may put a ray through its end beside it.
+    s = s.withColumn("strip", F.explode(F.sequence(strip(F.least(u, v) - 1e-6 * width), strip(F.greatest(u, v) + 1e-6 * width))))
+    d = ray_hit(*map(F.col, ("px", "py", "b", "x1", "y1", "x2", "y2")))
+    j = p.withColumn("strip", strip(across("px", "py"))).join(s.drop("b"), ["name", "strip"])
+    hit = j.select("id", "name", d.alias("d")).where((F.col("d") > own_coast) & (F.col("d") <= cap)).groupBy("id", "name").agg(F.min("d").alias("d"))
+    all_ = points.select("id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("d")).unionByName(hit)
+    first = lambda n: F.min(F.when(F.col("name") == n, F.col("d")))
+    return all_.groupBy("id").agg(*[F.round(F.log1p(F.coalesce(first(n), F.lit(cap))), 6).alias(f"fetch_{n}") for n in BEARINGS])
 
 
 def gradients(grid: DataFrame, value: str = "v", x: str = "x", y: str = "y") -> DataFrame:

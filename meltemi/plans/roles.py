@@ -99,8 +99,8 @@ GRID = "grid AS (SELECT p_partkey AS cell_id, (p_partkey % 50)::INT AS x, (p_par
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """A coastline of segments between neighbouring cells of the first rows of the raster."""
-    g = grid(spark, d).where("y < 4")
+    """A coastline of segments between consecutive cells of the whole raster."""
+    g = grid(spark, d)
     n = g.select((F.col("cell_id") - 1).alias("cell_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
     return g.join(n, "cell_id").select(F.col("cell_id").alias("seg"), F.col("lon").alias("x1"), (F.col("lat") + F.col("v") / 1000).alias("y1"), "x2", F.col("y2").alias("y2"))
 
