@@ -124,7 +124,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_ou
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.int32())], ["doc_id", "statistic"])
 
     stats = written(docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, statistic int"), "distances")
-    other = y.where(F.pmod("h", F.lit(2)) == 1).select("doc_id", "y")
+    other = y.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti").select("doc_id", "y")
     counts = sorted(map(tuple, stats.join(other, "doc_id").groupBy("statistic").agg(F.count("*"), F.avg("y")).collect()))
     if counts:
         at, n, share = map(np.array, zip(*counts))
