@@ -3,8 +3,9 @@
 Two sets of sizes in neighbouring bands whose Jaccard similarity reaches the threshold differ in at most k elements, k
 known by band. The domain of hashes is cut into n1 * n2 parts; with at most k differences one of the n1 first-level
 parts has at most K of them, so some n2 - K of its n2 second-level parts agree entirely. A set's signatures are the
-sums over all such subsets of parts; similar sets share one. A part without elements says nothing, so a set with an
-empty subset gets signatures of a second cut as well, and both sets of a pair that agrees in it do.
+sums over all such subsets of parts; similar sets share one. A part without elements says nothing. So there are some
+spare parts, and similar sets agree in more subsets than there are spare ones: unless both have more empty subsets than
+that, they share one with elements. A set that has more gets signatures of a further cut as well.
 
 Sets that share signatures form families. A family's sets meet in tasks of bounded size, where an index of their
 signatures names the pairs to compare exactly; each task returns a forest of links, never all pairs. Larger families
@@ -14,10 +15,12 @@ meet block by block, after a first turn against their most shared sets has joine
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ N2, K = 2, 1
 LEVELS = 4
 #: Sets that one task compares at most, and those that every task of a larger family starts from.
 BLOCK, HUBS = 512, 8
+#: Signatures that a task sorts at once, some 100 MB.
+PIECE = 1 << 19
 #: Bits of the filter that keeps texts outside of all families from being shuffled: 512 KB at any size of the corpus.
 FILTER_BITS = 1 << 22
 SUBSETS = tuple(itertools.combinations(range(N2), N2 - K))
@@ -39,7 +44,7 @@ class Bands:
     """Band of a size and differences allowed in each band, for the threshold num / den."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.right = num, den, [0]
+        self.num, self.den, self.right, self.parts, self.spare = num, den, [0], [], []
 
     def _longer(self) -> None:
         left = self.right[-1] + 1
@@ -56,6 +61,31 @@ class Bands:
             self._longer()
         return 2 * np.array(self.right)[band] * (self.den - self.num) // (self.den + self.num)
 
+    def cuts(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first-level parts, empty parts that a set may have) of each band's cuts."""
+        at = band.max(initial=0) + 1
+        if len(self.parts) < at:
+            every = np.arange(len(self.parts), at)
+            for b, k in zip(every.tolist(), self.differences(every).tolist()):
+                # Sets of the lower of the two bands that meet here are the smallest ones.
+                n1 = self._parts(k, max(1, int(self.right[b] * (self.num / self.den) ** 1.5)))
+                self.parts.append(n1)
+                self.spare.append(n1 * N2 - k - 1)
+        return np.array(self.parts)[band], np.array(self.spare)[band]
+
+    @staticmethod
+    def _parts(k: int, n: int) -> int:
+        """First-level parts for which a set of n elements is expected to need the fewest signatures, all cuts together."""
+        if not k:
+            return 1
+        least = -(-(k + 1) // (K + 1))
+        n1 = np.arange(least, least + 8 + least // 2)
+        mean = n1 * N2 * np.exp(-n / (n1 * N2))
+        spare = n1 * N2 - k - 1
+        # Chance of more empty parts than spare ones, by the normal law.
+        more = [0.5 * math.erfc((s + 0.5 - m) / math.sqrt(2 * m + 1e-9)) for s, m in zip(spare.tolist(), mean.tolist())]
+        return int(n1[np.argmin(n1 * (1 + 1.3 * np.array(more)))])
+
 
 def signatures(h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of its set) for sets given as by shingle_sets()."""
@@ -65,9 +95,8 @@ def signatures(h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray,
     g = mixed(h, 0x5EED)
     for up in (0, 1):
         band = own + up
-        k = bands.differences(band)
-        exact = k == 0
-        n1 = np.where(exact, 1, -(-(k + 1) // (K + 1)))
+        exact = bands.differences(band) == 0
+        n1, spare = bands.cuts(band)
         wanted = np.asarray(n) > 0
         for level in range(LEVELS):
             if not wanted.any():
@@ -81,16 +110,21 @@ def signatures(h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray,
             at = base[d] + first * N2 + second
             sums, count = np.zeros(width.sum(), np.uint64), np.bincount(at, minlength=width.sum())
             np.add.at(sums, at, gg)
-            who = np.repeat(np.arange(len(n)), np.where(wanted, n1, 0))
-            place = np.arange(len(who)) - np.repeat(np.cumsum(np.where(wanted, n1, 0)) - np.where(wanted, n1, 0), np.where(wanted, n1, 0))
+            many = np.where(wanted, n1, 0)
+            who = np.repeat(np.arange(len(n)), many)
+            place = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
             sums, count = sums.reshape(-1, N2), count.reshape(-1, N2)
-            again = np.zeros(len(n), bool)
+            empty = np.zeros(len(n), np.int64)
+            subsets = []
             for x, subset in enumerate(SUBSETS):
                 s, c = sums[:, subset].sum(1, dtype=np.uint64), count[:, subset].sum(1)
-                if x:
-                    c = np.where(exact[who], -1, c)
-                keep = (c > 0) | ((c == 0) & (level == LEVELS - 1))
-                again[who[c == 0]] = True
+                # Without differences the whole set is the one signature.
+                held = ~exact[who] if x else np.ones(len(who), bool)
+                empty += np.bincount(who[held & (c == 0)], minlength=len(n))
+                subsets.append((x, s, c, held))
+            again = wanted & (empty > spare)
+            for x, s, c, held in subsets:
+                keep = held & ((c > 0) | again[who] & (level == LEVELS - 1))
                 # Band, level, first-level part and subset take part in the sum.
                 tag = (band[who].astype(np.uint64) << np.uint64(32)) + (place * len(SUBSETS) + x).astype(np.uint64) + np.uint64(level << 60)
                 out.append(mixed(s + mixed(tag))[keep])
@@ -103,6 +137,13 @@ def _texts(column) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
 
+def nodes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each set, whatever document holds it."""
+    end = np.cumsum(n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h, 0xFACE), dtype=np.uint64)])
+    return mixed(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
+
+
 def with_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n (size of its set), node (64-bit hash of the set, null if empty), sigs binary (64-bit signatures)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -113,9 +154,7 @@ def with_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             texts = _texts(b.column(1))
             for i, j in runs(texts):
                 h, n = shingle_sets(texts[i:j], k)
-                end = np.cumsum(n)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h, 0xFACE), dtype=np.uint64)])
-                node = mixed(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
+                node = nodes(h, n)
                 s, owner = signatures(h, n, bands) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 order = np.argsort(owner, kind="stable")
                 s, cut = s[order], np.cumsum(np.bincount(owner, minlength=len(n)))
@@ -130,13 +169,20 @@ def _stars(sets: DataFrame) -> DataFrame:
     """Candidate edges (u, v) of nodes such that nodes sharing a signature are connected by them.
 
     Each task first joins those of its own rows that share one to the most shared among them and passes one row a
-    signature on, so that a signature of very many sets meets again as one row for each batch.
+    signature on, so that a signature of very many sets meets again as one row for each piece of a task's rows.
     """
 
-    def run(batches):
+    def pieces(batches):
+        """(node, sig) of about PIECE signatures each."""
         for b in batches:
-            node = np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in _texts(b.column(1))])
-            sig = np.frombuffer(b"".join(_texts(b.column(1))), np.int64)
+            n = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False) // 8
+            cut = np.flatnonzero(np.diff(np.cumsum(n) // PIECE)) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(n)]):
+                part = b.slice(i, j - i)
+                yield np.repeat(part.column(0).to_numpy(), n[i:j]), np.frombuffer(b"".join(_texts(part.column(1))), np.int64)
+
+    def run(batches):
+        for node, sig in pieces(batches):
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             new = np.ones(len(sig), bool)
@@ -151,14 +197,12 @@ def _stars(sets: DataFrame) -> DataFrame:
             head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
             top = node[head][group] if len(group) else node
             pairs = pd.DataFrame({"u": node[~head], "v": top[~head]}).drop_duplicates()
-            nil = np.zeros(len(pairs), bool)
-            cols = [
-                pa.concat_arrays([pa.array(sig[head]), pa.nulls(len(pairs), pa.int64())]),
-                pa.concat_arrays([pa.array(node[head], pa.int64()), pa.array(pairs["u"], pa.int64())]),
-                pa.concat_arrays([pa.nulls(int(head.sum()), pa.int64()), pa.array(pairs["v"], pa.int64(), mask=nil)]),
-                pa.concat_arrays([pa.array(shared[head], pa.int64()), pa.nulls(len(pairs), pa.int64())]),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["sig", "u", "v", "shared"])
+            rows = (sig[head], node[head], shared[head])
+            for i in range(0, max(1, len(rows[0])), 1 << 17):
+                x, u, c = (r[i : i + (1 << 17)] for r in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(u, pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(c, pa.int64())], ["sig", "u", "v", "shared"])
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs["u"], pa.int64()), pa.array(pairs["v"], pa.int64()), none], ["sig", "u", "v", "shared"])
 
     rows = written(sets.where("node is not null").select("node", "sigs").mapInArrow(run, "sig long, u long, v long, shared long"), "stars")
     # One shuffle of the signatures: a batch's row for a signature is all that is left of its sets.
@@ -247,15 +291,16 @@ def _links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Data
                 s, owner = signatures(h, n, bands) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 order = np.argsort(owner, kind="stable")
                 s, cut, end = s[order], np.cumsum(np.bincount(owner, minlength=len(n))), np.cumsum(n)
-                cols = [b.column(0).slice(i, j - i), pa.array([h[e - c : e].tobytes() for c, e in zip(n, end)], pa.binary()), pa.array([s[x:y].tobytes() for x, y in zip(np.concatenate([[0], cut[:-1]]), cut)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "sigs"])
+                cols = [b.column(0).slice(i, j - i), pa.array(nodes(h, n)), pa.array([h[e - c : e].tobytes() for c, e in zip(n, end)], pa.binary()), pa.array([s[x:y].tobytes() for x, y in zip(np.concatenate([[0], cut[:-1]]), cut)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "h", "sigs"])
 
-    sets_of = docs.select("doc_id", "text", "b").mapInArrow(run, f"doc_id {kind}, h binary, sigs binary")
+    # An id may stand for several texts, hence the node as well.
+    sets_of = docs.select("doc_id", "text", "b").mapInArrow(run, f"doc_id {kind}, node long, h binary, sigs binary")
 
     def compared(t):
         """Links of tasks (node, doc_id, shared, task, side, part): sets are made where the text is and travel to their tasks."""
         # Merged at every size, so that what is shuffled grows with the input and not in a jump.
-        return written(_compared(t.hint("merge").join(sets_of, "doc_id"), num, den), "links")
+        return written(_compared(t.hint("merge").join(sets_of, ["doc_id", "node"]), num, den), "links")
 
     by = [F.col("shared").desc(), "node"]
     # First every block for itself, with the hubs of its family; that settles all families of one block.
@@ -285,6 +330,8 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: s
     Texts link when den * intersection >= num * union of their sets of k-word shingles. component_id is the smallest
     doc_id that links reach, class_id that of the texts with an equal set. Texts without words or null have no
     shingles and link with nothing. Rows with null id are kept, with the component of their set if another row has it.
+    Rows that share an id are texts of their own: each has its own set and component, and links of one say nothing of
+    the other.
     """
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     sets = written(with_signatures(d, k, num, den), "signatures")

@@ -109,3 +109,24 @@ def test_degenerate_tables(spark):
     rows = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, None)]
     got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 2, 3), (3, 2, 3), (3, 2, 3)]
+
+
+def test_repeated_ids_are_texts_of_their_own(spark):
+    rnd = random.Random(9)
+    text = lambda: [f"w{rnd.randint(0, 9999)}" for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near = [*b[:-1], "other"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (3, " ".join(near)), (4, " ".join(c)), (4, " ".join(c))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(1, 58, 1), (1, 58, 1), (3, 58, 1), (4, 58, 4), (4, 58, 4)]
+    one = jaccard.linked(spark.createDataFrame([*rows[:2], (0, " ".join(a))], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in one.collect()) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_cuts_of_sets_with_many_elements_and_few_parts():
+    """Long sets at 0.8: few need a further cut, and signatures stay near one for each allowed difference and band."""
+    rnd, bands = np.random.default_rng(1), jaccard.Bands(80, 100)
+    n = np.array([300] * 50)
+    s, owner = jaccard.signatures(rnd.integers(0, 2**63, n.sum(), dtype=np.uint64), n, bands)
+    allowed = sum(int(bands.differences(bands.of(n) + up)[0]) for up in (0, 1))
+    assert len(s) < 1.3 * len(n) * allowed
