@@ -1,24 +1,20 @@
-"""Connected components by alternating large and small stars, as joins and aggregations."""
+"""Connected components: tasks contract their edges, large and small stars join what they leave."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.llm.shared import written
 
+#: Edges that a task contracts at once, some 100 MB there.
+CHUNK = 1_000_000
 
-#: Edges that one task settles (some 100 MB there); with more of them the stars turn until they settle themselves.
-ONE_TASK = 1_000_000
 
-
-def _settled(batches):
-    """(node, component) of all edges of one task, by union-find over node numbers."""
-    parts = list(batches)
-    u = np.concatenate([p["u"].to_numpy(np.int64) for p in parts] or [np.zeros(0, np.int64)])
-    v = np.concatenate([p["v"].to_numpy(np.int64) for p in parts] or [np.zeros(0, np.int64)])
+def _forest(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Edges from every node to the smallest one that these edges reach."""
     ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     parent = list(range(len(ids)))
     for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
@@ -34,20 +30,33 @@ def _settled(batches):
     root = np.array(parent, np.int64)
     while len(root) and not np.array_equal(root, root[root]):
         root = root[root]
-    yield pd.DataFrame({"node": ids, "component": ids[root] if len(ids) else ids})
+    out = root != np.arange(len(root))
+    return pa.RecordBatch.from_arrays([pa.array(ids[out], pa.int64()), pa.array(ids[root[out]], pa.int64())], ["u", "v"])
+
+
+def _contracted(batches, chunk):
+    """Edges (u, v) of a task as forests of at most `chunk` edges each."""
+    held, size = [], 0
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size >= chunk:
+            yield _forest(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _forest(*map(np.concatenate, zip(*held)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v) of type long; component is its smallest node.
 
-    Each turn hooks larger neighbours to the smallest one and writes the edges anew; there are about as many turns as
-    the logarithm of the largest component. Two numbers a turn come to the driver.
+    Each turn contracts the edges task by task, hooks larger neighbours to the smallest one and writes the edges anew;
+    there are about as many turns as the logarithm of the largest component, fewer where tasks see much of it. Two
+    numbers a turn come to the driver.
     """
-    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    if e.count() <= ONE_TASK:
-        return e.coalesce(1).mapInPandas(_settled, "node long, component long")
-    seen = None
+    e, seen, chunk = edges.select("u", "v").where("u <> v"), None, CHUNK
     while True:
+        e = e.mapInArrow(lambda batches: _contracted(batches, chunk), "u long, v long").distinct()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -7,9 +7,12 @@ sums over all such subsets of parts; similar sets share one. A part without elem
 spare parts, and similar sets agree in more subsets than there are spare ones: unless both have more empty subsets than
 that, they share one with elements. A set that has more gets signatures of a further cut as well.
 
-Sets that share signatures form families. A family's sets meet in tasks of bounded size, where an index of their
-signatures names the pairs to compare exactly; each task returns a forest of links, never all pairs. Larger families
-meet block by block, after a first turn against their most shared sets has joined most of them.
+Signatures travel packed, and of those that a task's own rows share only one goes on, so that a very common one weighs
+once for each piece of the input. Sets that share a signature are candidates. Before any set travels, parities of hashed
+bits tell pairs apart that are too far from each other for certain: no more bits differ than elements do. First each
+set meets its nearest candidate of a smaller number, which links most of what is alike; then only pairs of sets that
+are in different linked parts and still share a signature. Both times sets meet in tasks of bounded size and are compared
+exactly.
 """
 
 from __future__ import annotations
@@ -20,22 +23,24 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.llm.components import components
+from meltemi.llm.packing import deltas, packed, unpacked
 from meltemi.llm.shared import pruned, written
 from meltemi.llm.shingles import mixed, runs, shingle_sets
 
 #: Second-level parts and the differences that one first-level part may hold.
 N2, K = 2, 1
 LEVELS = 4
-#: Sets that one task compares at most, and those that every task of a larger family starts from.
-BLOCK, HUBS = 512, 8
-#: Signatures that a task sorts at once, some 100 MB.
-PIECE = 1 << 19
-#: Bits of the filter that keeps texts outside of all families from being shuffled: 512 KB at any size of the corpus.
+#: Sets that meet one set in a task, and rows of one signature that do.
+BLOCK, GROUP = 512, 4096
+#: Signatures that a task sorts at once (some 50 MB), and bytes of text for each shard of signatures.
+PIECE, SHARD_BYTES = 1 << 19, 16 << 20
+#: Pairs of candidates told apart at once.
+PAIRS = 1 << 18
+#: Bits of the filter that keeps texts without candidates from being shuffled: 512 KB at any size of the corpus.
 FILTER_BITS = 1 << 22
 SUBSETS = tuple(itertools.combinations(range(N2), N2 - K))
 
@@ -144,8 +149,45 @@ def nodes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mixed(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
 
 
-def with_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (size of its set), node (64-bit hash of the set, null if empty), sigs binary (64-bit signatures)."""
+def parities(h: np.ndarray, n: np.ndarray, bands: Bands) -> list[bytes]:
+    """For each set the parity of its elements in each of a power of two of places, four times its allowed differences."""
+    allowed = bands.differences(bands.of(n))
+    words = 1 << np.ceil(np.log2(np.maximum(1, allowed / 16))).astype(np.int64)
+    first = np.cumsum(words) - words
+    doc = np.repeat(np.arange(len(n)), n)
+    at = (mixed(h, 0xB175) & (words[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, first[doc] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return [out[i : i + k].tobytes() for i, k in zip(first.tolist(), words.tolist())]
+
+
+def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketch: list[bytes], num: int, den: int) -> np.ndarray:
+    """Bits that differ between the parities of sets i and j (pairwise), or -1 where they can't reach num / den."""
+    a, b = n[i], n[j]
+    out = np.full(len(i), -1)
+    words = np.array([len(x) // 8 for x in sketch], np.int64)
+    ok = np.flatnonzero(np.minimum(a, b) * den >= np.maximum(a, b) * num)
+    # Places are powers of two, so the halves of a longer one add up to a shorter one.
+    for k in np.unique(words[i[ok]]).tolist():
+        for m in np.unique(words[j[ok[words[i[ok]] == k]]]).tolist():
+            at = ok[(words[i[ok]] == k) & (words[j[ok]] == m)]
+            width = min(k, m)
+            for x in range(0, len(at), max(1, (PAIRS * 4) // width)):
+                p = at[x : x + max(1, (PAIRS * 4) // width)]
+                own = lambda ids, w: _folded(ids, w, width, sketch)
+                d = np.bitwise_count(own(i[p], k) ^ own(j[p], m)).sum(1, dtype=np.int64)
+                out[p] = np.where(d * (den + num) <= (a[p] + b[p]) * (den - num), d, -1)
+    return out
+
+
+def _folded(ids: np.ndarray, words: int, width: int, sketch: list[bytes]) -> np.ndarray:
+    unique, at = np.unique(ids, return_inverse=True)
+    x = np.frombuffer(b"".join(sketch[k] for k in unique.tolist()), np.uint64).reshape(len(unique), words // width, width)
+    return np.bitwise_xor.reduce(x, axis=1)[at]
+
+
+def with_parities(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n (size of its set), node (64-bit hash of the set, null if empty), sketch (parities)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -154,174 +196,202 @@ def with_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             texts = _texts(b.column(1))
             for i, j in runs(texts):
                 h, n = shingle_sets(texts[i:j], k)
-                node = nodes(h, n)
-                s, owner = signatures(h, n, bands) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                order = np.argsort(owner, kind="stable")
-                s, cut = s[order], np.cumsum(np.bincount(owner, minlength=len(n)))
-                parts = [s[x:y].tobytes() for x, y in zip(np.concatenate([[0], cut[:-1]]), cut)]
-                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "sigs"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, sigs binary")
+                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(nodes(h, n), pa.int64(), mask=n == 0), pa.array(parities(h, n, bands), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "sketch"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, sketch binary")
 
-def _stars(sets: DataFrame) -> DataFrame:
-    """Candidate edges (u, v) of nodes such that nodes sharing a signature are connected by them.
 
-    Each task first joins those of its own rows that share one to the most shared among them and passes one row a
-    signature on, so that a signature of very many sets meets again as one row for each piece of a task's rows.
-    """
+def _shared(docs: DataFrame, k: int, num: int, den: int, shards: int) -> DataFrame:
+    """(sig, node) of every set and each of its signatures that some other set has as well; rows may repeat."""
 
-    def pieces(batches):
-        """(node, sig) of about PIECE signatures each."""
-        for b in batches:
-            n = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False) // 8
-            cut = np.flatnonzero(np.diff(np.cumsum(n) // PIECE)) + 1
-            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(n)]):
-                part = b.slice(i, j - i)
-                yield np.repeat(part.column(0).to_numpy(), n[i:j]), np.frombuffer(b"".join(_texts(part.column(1))), np.int64)
+    def sent(batches):
+        bands = Bands(num, den)
 
-    def run(batches):
-        for node, sig in pieces(batches):
+        def piece(held):
+            sig, node = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
             sig, node = sig[new], node[new]
-            group = np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
-            size = np.bincount(group)[group] if len(group) else group
-            ids, inverse = np.unique(node, return_inverse=True)
-            shared = np.bincount(inverse, weights=size - 1, minlength=len(ids))[inverse].astype(np.int64) if len(ids) else group
-            order = np.lexsort((node, -shared, group))
-            sig, node, group, shared = sig[order], node[order], group[order], shared[order]
-            head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-            top = node[head][group] if len(group) else node
-            pairs = pd.DataFrame({"u": node[~head], "v": top[~head]}).drop_duplicates()
-            rows = (sig[head], node[head], shared[head])
-            for i in range(0, max(1, len(rows[0])), 1 << 17):
-                x, u, c = (r[i : i + (1 << 17)] for r in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(u, pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(c, pa.int64())], ["sig", "u", "v", "shared"])
-            none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(pairs["u"], pa.int64()), pa.array(pairs["v"], pa.int64()), none], ["sig", "u", "v", "shared"])
-
-    rows = written(sets.where("node is not null").select("node", "sigs").mapInArrow(run, "sig long, u long, v long, shared long"), "stars")
-    # One shuffle of the signatures: a batch's row for a signature is all that is left of its sets.
-    top = F.first("u").over(Window.partitionBy("sig").orderBy(F.col("shared").desc(), "u"))
-    far = rows.where("sig is not null").select("u", top.alias("v")).where("u <> v")
-    return rows.where("sig is null").select("u", "v").union(far.select("u", "v")).distinct()
-
-
-def _blocks(members: DataFrame, order: list) -> DataFrame:
-    """members (family, ...) with block (from 0) of at most BLOCK rows each by `order`, and m, the family's blocks."""
-    w = Window.partitionBy("family")
-    n = members.withColumn("r", F.row_number().over(w.orderBy(*order)) - 1)
-    return n.withColumn("block", (F.col("r") / BLOCK).cast("int")).withColumn("m", F.max("block").over(w) + 1)
-
-
-def _compared(tasks: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) found in each task: rows (task, node, side, part, h binary, sigs binary).
-
-    Rows of one side are compared with those of the other; side 2 stands on both. Nodes of one part are linked already.
-    Only a link that joins two parts is returned.
-    """
+            head = np.concatenate([[True], sig[1:] != sig[:-1]])
+            size = np.diff(np.append(np.flatnonzero(head), len(sig)))
+            many = np.repeat(size > 1, size)
+            out = []
+            # What these rows share by themselves is known already and only passes through, by whatever shard.
+            for kind, keep in ((0, head), (1, many)):
+                s, d = sig[keep], node[keep]
+                shard = ((s >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                if kind and len(s):
+                    shard = np.full(len(s), int(d[0]) % shards)
+                cut = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+                for a, b in zip(cut, [*cut[1:], len(s)]):
+                    ids, local = np.unique(d[a:b], return_inverse=True)
+                    local = local.astype(np.uint16 if len(ids) <= 65536 else np.uint32)
+                    out.append((int(shard[a]), packed(np.array([kind], np.uint8), deltas(s[a:b]), local, ids.view(np.uint64))))
+            cols = [pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["shard", "payload"])
 
-    def run(key, t):
-        # A document that stands in several rows of the input comes as often.
-        t = t.drop_duplicates("node").sort_values(["shared", "node"], ascending=[False, True])
-        node, side = t["node"].tolist(), t["side"].tolist()
-        sets = [np.frombuffer(x, np.uint64) for x in t["h"]]
-        parent = list(range(len(node)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        first = {}
-        for i, p in enumerate(t["part"]):
-            parent[i] = first.setdefault(p, i)
-        index, out = {}, []
-        for i, s in enumerate(t["sigs"]):
-            near = set()
-            for x in np.frombuffer(s, np.int64).tolist():
-                at = index.setdefault(x, [])
-                near.update(at)
-                at.append(i)
-            for j in sorted(near):
-                if side[i] == side[j] != 2 or root(i) == root(j):
-                    continue
-                a, b = sets[i], sets[j]
-                if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
+        for b in batches:
+            texts, held, size = _texts(b.column(0)), [], 0
+            for i, j in runs(texts):
+                h, n = shingle_sets(texts[i:j], k)
+                if not len(h):
                     continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both * den >= (len(a) + len(b) - both) * num:
-                    parent[root(i)] = root(j)
-                    out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    return tasks.groupBy("task").applyInPandas(run, "u long, v long")
-
-
-def _links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) of nodes that connect the same nodes as all pairs at the threshold do."""
-    stars = written(_stars(sets), "candidates")
-    families = components(stars)
-    # One document stands for a node; those of families are few, and a filter of fixed size finds nearly only them.
-    reps = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    degree = stars.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("shared"))
-    members = families.withColumnRenamed("component", "family").join(reps, "node").join(degree, "node", "left")
-    members = written(members.select("node", "family", "doc_id", F.coalesce("shared", F.lit(0)).alias("shared")), "members")
+                s, owner = signatures(h, n, bands)
+                held.append((s, nodes(h, n)[owner]))
+                size += len(s)
+                if size >= PIECE:
+                    yield piece(held)
+                    held, size = [], 0
+            if held:
+                yield piece(held)
+
+    def met(t: pa.Table) -> pa.Table:
+        sig, node, known = [], [], []
+        for p in t["payload"]:
+            kind, delta, local, ids = unpacked(p.as_buffer().to_pybytes())
+            (known if kind[0] else sig).append(np.cumsum(delta, dtype=np.uint64) if not kind[0] else (np.cumsum(delta, dtype=np.uint64), ids[local]))
+            if not kind[0]:
+                node.append(ids[local])
+        cat = lambda x: np.concatenate([np.zeros(0, np.uint64), *x])
+        sig, node = cat(sig), cat(node)
+        order = np.argsort(sig, kind="stable")
+        s = sig[order]
+        same = s[1:] == s[:-1]
+        keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(s) else order
+        sig, node = np.concatenate([sig[keep], cat([x for x, _ in known])]), np.concatenate([node[keep], cat([x for _, x in known])])
+        return pa.table({"sig": sig.view(np.int64), "node": node.view(np.int64)})
+
+    return docs.select("text").mapInArrow(sent, "shard int, payload binary").groupBy("shard").applyInArrow(met, "sig long, node long")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets reach the threshold. Sets travel once for each task that needs them."""
+    few = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tasks"))
+    dealt = pairs.join(few, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("tasks")).cast("int").alias("block"))
+    rows = dealt.select("u", "block", F.col("v").alias("node")).union(dealt.select("u", "block", F.col("u").alias("node")).distinct())
+    rows = written(rows.join(reps, "node"), "tasks")
+    # Tasks are filled up with the sets of several u.
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("u", "block"), F.lit(1 + rows.count() // BLOCK)))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = members.select(bit.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("m"))
+    words = rows.select(bit.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("m"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     for r in words.collect():  # at most FILTER_BITS / 32 rows
         bits[r.w] = r.m
-    docs = docs.withColumn("b", bit.cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        bands = Bands(num, den)
         for b in batches:
             at = b.column(2).to_numpy()
             b = b.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1, pa.bool_()) if len(at) else pa.array([], pa.bool_()))
             texts = _texts(b.column(1))
             for i, j in runs(texts):
                 h, n = shingle_sets(texts[i:j], k)
-                s, owner = signatures(h, n, bands) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                order = np.argsort(owner, kind="stable")
-                s, cut, end = s[order], np.cumsum(np.bincount(owner, minlength=len(n))), np.cumsum(n)
-                cols = [b.column(0).slice(i, j - i), pa.array(nodes(h, n)), pa.array([h[e - c : e].tobytes() for c, e in zip(n, end)], pa.binary()), pa.array([s[x:y].tobytes() for x, y in zip(np.concatenate([[0], cut[:-1]]), cut)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "h", "sigs"])
-
-    # An id may stand for several texts, hence the node as well.
-    sets_of = docs.select("doc_id", "text", "b").mapInArrow(run, f"doc_id {kind}, node long, h binary, sigs binary")
-
-    def compared(t):
-        """Links of tasks (node, doc_id, shared, task, side, part): sets are made where the text is and travel to their tasks."""
-        # Merged at every size, so that what is shuffled grows with the input and not in a jump.
-        return written(_compared(t.hint("merge").join(sets_of, ["doc_id", "node"]), num, den), "links")
-
-    by = [F.col("shared").desc(), "node"]
-    # First every block for itself, with the hubs of its family; that settles all families of one block.
-    b = written(_blocks(members, by), "blocks")
-    task = lambda *c: F.xxhash64("family", *c)
-    hubs = b.where((F.col("r") < HUBS) & (F.col("m") > 1)).withColumn("block", F.explode(F.sequence(F.lit(1), F.col("m") - 1)))
-    found = compared(b.unionByName(hubs).select("node", "doc_id", "shared", task("block").alias("task"), F.lit(2).alias("side"), F.col("node").alias("part")))
-    large = b.where("m > 1").select("node", "doc_id", "family", "shared")
-    if large.isEmpty():
-        return found
-    # Then, in the order of what is linked so far, each pair of blocks that isn't one linked part.
+                end = np.cumsum(n)
+                cols = [b.column(0).slice(i, j - i), pa.array(nodes(h, n)), pa.array([h[e - c : e].tobytes() for c, e in zip(n, end)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "h"])
+
+    # An id may stand for several texts, hence the node as well; equal rows give equal sets.
+    sets = docs.select("doc_id", "text", bit.cast("int").alias("b")).mapInArrow(run, f"doc_id {kind}, node long, h binary")
+
+    def compared(t: pa.Table) -> pa.Table:
+        u, node = t["u"].to_numpy(), t["node"].to_numpy()
+        h = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["h"].combine_chunks()]
+        own = {x: k for k, (x, y) in enumerate(zip(u.tolist(), node.tolist())) if x == y}
+        out = set()
+        for x, y, b in zip(u.tolist(), node.tolist(), h):
+            if x != y and (x, y) not in out:
+                a = h[own[x]]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both * den >= (len(a) + len(b) - both) * num:
+                    out.add((x, y))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    # Merged at every size, so that what is shuffled grows with the input and not in a jump.
+    met = rows.hint("merge").join(sets, ["doc_id", "node"]).select("task", "u", "node", "h")
+    return written(met.groupBy("task").applyInArrow(compared, "u long, v long"), "links")
+
+
+def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of sets that share a signature, are in different parts and near by their parities.
+
+    rows: sig, node, part, n, sketch, and tasks, the number of blocks of the signature's rows: each two blocks meet.
+    """
+    block = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("tasks")).cast("int")
+    x = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    x = x.select(F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "part", "n", "sketch")
+
+    def run(batches):
+        """Rows come in order of their group; a group may stretch over batches."""
+        rest = None
+        for b in batches:
+            t = b.to_pandas()
+            t = t if rest is None else pd.concat([rest, t], ignore_index=True)
+            last = t["group"].to_numpy() == t["group"].iloc[-1] if len(t) else np.zeros(0, bool)
+            rest, t = t[last], t[~last]
+            if len(t):
+                yield from told(t)
+        if rest is not None and len(rest):
+            yield from told(rest)
+
+    def told(t):
+        group, node, part = t["group"].to_numpy(), t["node"].to_numpy(), t["part"].to_numpy()
+        n, sketch = t["n"].to_numpy(), t["sketch"].tolist()
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        # Row r meets the rows after it in its group.
+        ends = np.repeat(first + size, size)
+        at = 0
+        while at < len(group):
+            todo = np.cumsum(ends[at:] - np.arange(at, len(group)) - 1)
+            stop = at + max(1, int(np.searchsorted(todo, PAIRS, "right")))
+            r = np.arange(at, stop)
+            many = ends[at:stop] - r - 1
+            i = np.repeat(r, many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            keep = (part[i] != part[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+            i, j = i[keep], j[keep]
+            keep = near(i, j, n, sketch, num, den) >= 0
+            a, b = node[i[keep]], node[j[keep]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["u", "v"])
+            at = stop
+
+    sorted_ = x.repartition("group").sortWithinPartitions("group")
+    return sorted_.mapInArrow(run, "u long, v long").distinct()
+
+
+def _links(docs: DataFrame, sets: DataFrame, shards: int, k: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) of nodes that connect the same nodes as all pairs at the threshold do."""
+    shared = written(_shared(docs, k, num, den, shards), "shared")
+    # One document stands for a node.
+    reps = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    used = shared.select("node").distinct()
+    reps = written(reps.join(used, "node", "left_semi"), "nodes")
+    ids, sketches = reps.select("node", "doc_id"), reps.select("node", "n", "sketch")
+    # First the nearest candidate among the smallest numbers of each signature.
+    least = shared.groupBy("sig").agg(F.min("node").alias("u"))
+    edges = shared.join(least, "sig").where("u <> node").select("u", F.col("node").alias("v")).distinct()
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def told(batches):
+        for b in batches:
+            m = b.num_rows
+            n = np.concatenate([b.column("n_u").to_numpy(), b.column("n_v").to_numpy()])
+            d = near(np.arange(m), np.arange(m, 2 * m), n, _texts(b.column("s_u")) + _texts(b.column("s_v")), num, den) if m else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(d, pa.int64())], ["u", "v", "d"]).filter(pa.array(d >= 0))
+
+    close = edges.join(side("v"), "v").join(side("u"), "u").mapInArrow(told, "u long, v long, d long")
+    nearest = close.groupBy("v").agg(F.min(F.struct("d", "u")).alias("x")).select("x.u", "v")
+    found = _verified(docs, ids, written(nearest, "nearest"), k, num, den)
+    # Then what shares a signature across the parts linked so far.
     parts = components(found).withColumnRenamed("component", "part")
-    large = large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    b = written(_blocks(large, ["part", *by]).withColumn("x", F.col("block")), "blocks")
-    span = b.groupBy("family", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    left = span.select("family", F.col("block").alias("i"), F.col("lo").alias("ilo"), F.col("hi").alias("ihi"))
-    pairs = left.join(span, "family").where("i < block and not (ilo = ihi and lo = hi and ilo = lo) or i = block and lo < hi")
-    pairs = pairs.select("family", "i", F.col("block").alias("j"))
-    sides = pairs.select("family", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s"))
-    sides = sides.select("family", "i", "j", "s.block", F.when(F.col("i") == F.col("j"), 2).otherwise(F.col("s.side")).alias("side")).distinct()
-    return found.union(compared(sides.join(b, ["family", "block"]).select("node", "doc_id", "shared", task("i", "j").alias("task"), "side", "part")))
+    parts = written(sketches.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+    rows = shared.join(parts.select("node", "part"), "node")
+    open_ = rows.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("tasks")).where("lo < hi")
+    rows = shared.join(open_.select("sig", "tasks"), "sig").join(parts, "node")
+    return found.union(_verified(docs, ids, written(_across(rows, num, den), "across"), k, num, den))
 
 
 def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,8 +404,9 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: s
     the other.
     """
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
-    sets = written(with_signatures(d, k, num, den), "signatures")
-    links = _links(d.where("doc_id is not null"), sets.where("doc_id is not null"), k, num, den)
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sets = written(with_parities(d, k, num, den), "sets")
+    links = _links(d.where("doc_id is not null"), sets.where("doc_id is not null"), max(8, -(-size // SHARD_BYTES)), k, num, den)
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     comp = components(links).join(classes, "node")
     least = comp.groupBy("component").agg(F.min("class_id").alias("component_id"))

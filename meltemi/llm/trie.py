@@ -1,407 +1,533 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-Words are hashes. A backoff bigram model over the training texts: p(w | v) is (c(v, w) - D) / c(v) for pairs seen
-`least` times or more, else lambda(v) * p(w), with p(w) the add-one estimate (c(w) + 1) / (N + V + 1) and lambda(v) such that
-all sums to one. The logarithm of a text is therefore its unigram score plus, for each token, log p(w | v) / p(w) of a
-kept pair or log lambda(v); these corrections are what the trie holds, quantised to a byte.
-
-Nothing of the corpus comes to the driver or is broadcast. Tokens go, packed by batch, to shards by word (unigrams)
-and by context (pairs); a context is dealt over SALT shards by its successors, so that a very common one fills none. A
-shard's trie is a file of monotone levels in Elias-Fano code that the task maps into memory: contexts, pointers to
-their successors, and successors as numbers that rise with the context, searched within the context's range.
+"""Language-model scoring with an Elias-Fano n-gram trie of order three.
+
+p(w | u v) = f(w | u v) + b(u v) * p(w | v), likewise p(w | v) over the add-one p(w) = (c(w) + 1) / (N + V + 1). With c
+occurrences of an n-gram among n of its context, which has d distinct successors, f = (c - D) / n and b = D * d / n:
+interpolated absolute discounting of every n-gram that trains, also those seen once. Each level of the trie holds log f
+and log b as numbers of 16 bits on a fixed scale; probabilities of all words add up to one but for that rounding.
+
+Nothing of the corpus comes to the driver or is broadcast. Texts are rewritten once as runs: a bounded stretch of tokens
+as places in the run's own list of words. For each order a run sends each of its distinct n-grams once, packed by
+shard of the context; a shard adds them up, builds its trie, looks the n-grams of each run up in it and answers with
+codes. A run thus weighs once for each n-gram however often its texts hold it. A context of very many occurrences is
+dealt over shards by its successors; as none of them sees all its successors, its b is MASS / (n + MASS) instead, and
+f = (1 - b) * c / n. Last, every run meets its answers and scores its texts.
 """
 
 from __future__ import annotations
 
-import math
-import os
-import tempfile
+import mmap
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.llm import shingles
+from meltemi.llm.packing import deltas, packed, small, unpacked
 from meltemi.llm.shared import pruned, written
 
-DISCOUNT = 0.5
-SALT = 16
-#: Bytes of text for each shard, which bounds a task's memory.
+#: D and MASS of each order.
+DISCOUNT = {2: 0.8, 3: 0.8}
+MASS = {2: 500.0, 3: 50.0}
+#: Steps of a code for a factor of ten, and the code of what the trie doesn't hold.
+STEPS, ABSENT = 256, 65535
+#: Tokens of a run and bytes of text for each shard, which bound the memory of tasks.
+RUN_TOKENS = 1 << 18
 SHARD_BYTES = 16 << 20
+#: Contexts of more than HOT occurrences go to SALT shards, of more than SALT * HOT to SALT * SALT, and so on.
+HOT, SALT, DEPTH = 1 << 17, 16, 3
+#: Places of the table that tells such contexts; with very many of them it deals others as well, alike in all runs.
+SLOTS = 1 << 22
 END, BEGIN = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0B0B0B0B0B0B0B0B)
-W_BITS = 40
-W_MASK = np.uint64((1 << W_BITS) - 1)
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every token: each text's lower-cased words and then one end."""
-    word, doc = shingles.words(texts)
-    n = np.bincount(doc, minlength=len(texts))
-    at = np.arange(len(word)) + doc
-    out = np.full(len(word) + len(texts), END, np.uint64)
-    out[at] = word
-    return out, np.repeat(np.arange(len(texts)), n + 1)
-
+LOW = np.uint64(0xFFFFFFFF)
+FRAGMENTS = "run long, shard int, payload binary"
 
-# --- packing -----------------------------------------------------------------
 
+# --- codes -----------------------------------------------------------------------
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays with their bytes transposed, so that equal high bytes compress away."""
-    parts = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        b = zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
-        parts.append(np.array([len(b), len(a), a.itemsize], "<u4").tobytes() + b)
-    return b"".join(parts)
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """Codes of probabilities above zero."""
+    return np.clip(np.rint(-np.log10(x) * STEPS), 0, ABSENT - 1).astype(np.uint16)
 
-def unpacked(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
-    while at < len(data):
-        size, n, item = np.frombuffer(data, "<u4", 3, at).tolist()
-        raw = zstandard.ZstdDecompressor().decompress(data[at + 12 : at + 12 + size], max_output_size=max(1, n * item)) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(item, n).T).view(kinds[item]).ravel() if n else np.zeros(0, kinds[item]))
-        at += 12 + size
-    return out
 
+def valued(code: np.ndarray) -> np.ndarray:
+    return np.where(code == ABSENT, 0.0, 10.0 ** (-code.astype(float) / STEPS))
 
-def _small(a: np.ndarray) -> np.ndarray:
-    """a in the smallest unsigned type that holds it."""
-    top = int(a.max(initial=0))
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 2**32 else np.uint64)
 
-
-def _deltas(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=np.uint64(0)).astype(np.uint64)
+# --- Elias-Fano ----------------------------------------------------------------
 
 
-# --- Elias-Fano ----------------------------------------------------------------
+class Bits:
+    """A packed string of bits with select over its ones or zeros, by counts of ones at every BLOCK words."""
+
+    BLOCK = 4
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
+
+    @classmethod
+    def arrays(cls, ones: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words, counts) of a string with ones at the ascending places given."""
+        words = np.zeros(-(-(size + 1) // (64 * cls.BLOCK)) * cls.BLOCK, np.uint64)
+        np.bitwise_or.at(words, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
+        count = np.bitwise_count(words).reshape(-1, cls.BLOCK).sum(1, dtype=np.int64)
+        return words, np.concatenate([[0], np.cumsum(count)])
+
+    def select(self, i: np.ndarray, bit: int = 1) -> np.ndarray:
+        """Place of the i-th (from 0) one or zero."""
+        width = 64 * self.BLOCK
+        if bit:
+            block = np.searchsorted(self.counts, i, "right") - 1
+            left = i - self.counts[block]
+        else:
+            zeros = np.arange(len(self.counts)) * width - self.counts
+            block = np.searchsorted(zeros, i, "right") - 1
+            left = i - zeros[block]
+        at = block * self.BLOCK
+        for _ in range(self.BLOCK - 1):
+            n = np.bitwise_count(self.words[at]).astype(np.int64)
+            n = n if bit else 64 - n
+            on = left >= n
+            left = np.where(on, left - n, left)
+            at = np.where(on, at + 1, at)
+            if not on.any():
+                break
+        word = self.words[at] if bit else ~self.words[at]
+        place = at * 64
+        for half in (32, 16, 8, 4, 2, 1):
+            n = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            on = left >= n
+            left = np.where(on, left - n, left)
+            place = np.where(on, place + half, place)
+            word = np.where(on, word >> np.uint64(half), word)
+        return place
 
 
 class EliasFano:
-    """An ascending sequence of 64-bit numbers: low bits in whole bytes, high parts in unary.
-
-    find() locates numbers: the unary part narrows each down to the few entries that share its high part, and a binary
-    search over their low bytes decides. The byte arrays may be maps of a file.
-    """
+    """An ascending sequence of 64-bit numbers: `width` low bits each, packed, and the high parts in unary."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, n: int, width: int, base: int):
-        self.low, self.high, self.n, self.width, self.base = low, high, n, width, base
-        ones = np.unpackbits(high, count=None) if len(high) else np.zeros(0, np.uint8)
-        at = np.flatnonzero(ones)[:n] - np.arange(min(n, int(ones.sum())))
-        buckets = int(at[-1]) + 1 if n else 0
-        self.start = np.searchsorted(at, np.arange(buckets + 1)).astype(np.int64)
+    def __init__(self, n: int, width: int, base: int, low: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        self.n, self.width, self.base, self.low, self.high = n, width, np.uint64(base), low, Bits(words, counts)
+        self.mask = np.uint64((1 << width) - 1)
 
     @staticmethod
-    def coded(a: np.ndarray) -> tuple[bytes, bytes, int, int, int]:
-        n = len(a)
-        base = int(a[0]) if n else 0
+    def parts(a: np.ndarray) -> tuple[tuple[int, int, int], list[np.ndarray]]:
+        n, base = len(a), int(a[0]) if len(a) else 0
         x = a - np.uint64(base)
-        bits = max(0, int(int(x[-1]) // max(1, n)).bit_length()) if n else 0
-        width = min(7, -(-bits // 8))
-        high = (x >> np.uint64(8 * width)).astype(np.int64)
-        unary = np.zeros(int(high[-1]) + n + 1 if n else 0, np.uint8)
-        unary[high + np.arange(n)] = 1
-        low = np.ascontiguousarray(x).view(np.uint8).reshape(n, 8)[:, :width] if n else np.zeros((0, width), np.uint8)
-        return low.tobytes(), np.packbits(unary).tobytes(), n, width, base
+        width = min(58, max(0, (int(x[-1]) // n).bit_length() - 1)) if n else 0
+        high = (x >> np.uint64(width)).astype(np.int64)
+        bit = np.arange(n) * width
+        low = np.zeros((n * width >> 6) + 2, np.uint64)
+        if width:
+            v, s = x & np.uint64((1 << width) - 1), (bit & 63).astype(np.uint64)
+            np.bitwise_or.at(low, bit >> 6, v << s)
+            over = s > np.uint64(64 - width)
+            np.bitwise_or.at(low, (bit[over] >> 6) + 1, v[over] >> (np.uint64(64) - s[over]))
+        return (n, width, base), [low, *Bits.arrays(high + np.arange(n), n + (int(high[-1]) if n else 0) + 1)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(i), 8), np.uint8)
-        if self.width:
-            out[:, : self.width] = self.low.reshape(self.n, self.width)[i]
-        return out.view(np.uint64).ravel()
+        bit = i * self.width
+        s = (bit & 63).astype(np.uint64)
+        after = np.where(s > 0, self.low[(bit >> 6) + 1] << ((np.uint64(64) - s) & np.uint64(63)), np.uint64(0))
+        return ((self.low[bit >> 6] >> s) | after) & self.mask if self.width else np.zeros(len(i), np.uint64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self.start, i, side="right") - 1
-        return self._low(i) + (high.astype(np.uint64) << np.uint64(8 * self.width)) + np.uint64(self.base)
+        return (((self.high.select(i) - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)) + self.base
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 where it isn't in the sequence."""
-        if not self.n:
-            return np.full(len(key), -1)
-        x = key - np.uint64(self.base)
-        high = x >> np.uint64(8 * self.width)
-        inside = (key >= np.uint64(self.base)) & (high < np.uint64(len(self.start) - 1))
-        h = np.where(inside, high, 0).astype(np.int64)
-        lo, end = self.start[h].copy(), self.start[h + 1]
-        hi = end.copy()
-        want = x & np.uint64((1 << (8 * self.width)) - 1)
+    def within(self, lo: np.ndarray, hi: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Index of each key among the numbers lo to hi (without hi), -1 where it isn't there."""
+        lo, end = lo.copy(), hi
+        hi = hi.copy()
         while (todo := np.flatnonzero(lo < hi)).size:
             mid = (lo[todo] + hi[todo]) // 2
-            less = self._low(mid) < want[todo]
+            less = self.get(mid) < key[todo]
             lo[todo] = np.where(less, mid + 1, lo[todo])
             hi[todo] = np.where(less, hi[todo], mid)
-        hit = inside & (lo < end)
-        hit[hit] = self._low(lo[hit]) == want[hit]
-        return np.where(hit, lo, -1)
-
+        at = np.flatnonzero(lo < end)
+        out = np.full(len(key), -1)
+        hit = at[self.get(lo[at]) == key[at]] if len(at) else at
+        out[hit] = lo[hit]
+        return out
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, centres): 256 equally filled bins, each by its mean."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    edges = np.unique(np.quantile(x, np.linspace(0, 1, 257)[1:-1]))
-    code = np.searchsorted(edges, x, side="right")
-    n = np.bincount(code, minlength=len(edges) + 1)
-    return code.astype(np.uint8), np.bincount(code, weights=x, minlength=len(edges) + 1) / np.maximum(n, 1)
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 where it isn't in the sequence; the zeros of the unary part bound those of its high part."""
+        out = np.full(len(key), -1)
+        if not self.n:
+            return out
+        last = self.get(np.array([self.n - 1]))[0]
+        at = np.flatnonzero((key >= self.base) & (key <= last))
+        h = ((key[at] - self.base) >> np.uint64(self.width)).astype(np.int64)
+        lo = np.where(h > 0, self.high.select(np.maximum(h - 1, 0), 0) - h + 1, 0)
+        out[at] = self.within(lo, self.high.select(h, 0) - h, key[at])
+        return out
 
 
 class Trie:
-    """A shard's levels in one file: contexts, pointers, successors, codes of backoffs and of pair corrections."""
+    """Two levels in one stretch of memory, of a file or of none: contexts, pointers, successors, codes of f and of b.
 
-    def __init__(self, context: np.ndarray, backoff: np.ndarray, owner: np.ndarray, word: np.ndarray, correction: np.ndarray):
-        """context ascending with its log lambda; owner (index of the context), word (32 bits) and correction of each pair."""
-        order = np.lexsort((word, owner))
-        owner, word, correction = owner[order], word[order], correction[order]
-        pointers = np.searchsorted(owner, np.arange(len(context) + 1)).astype(np.uint64)
-        levels = [EliasFano.coded(context), EliasFano.coded(pointers), EliasFano.coded((owner.astype(np.uint64) << np.uint64(32)) + word)]
-        (bc, self.backoffs), (cc, self.corrections) = quantised(backoff), quantised(correction)
-        handle, self.path = tempfile.mkstemp(suffix=".trie")
-        spans, at = [], 0
-        with os.fdopen(handle, "wb") as f:
-            for part in [b for x in levels for b in x[:2]] + [bc.tobytes(), cc.tobytes()]:
-                f.write(part)
-                spans.append((at, at + len(part)))
-                at += len(part)
-            f.write(b"\0")
-        data = np.memmap(self.path, np.uint8, "r")
-        cut = [data[a:b] for a, b in spans]
-        self.contexts, self.pointers, self.successors = (EliasFano(cut[2 * i], cut[2 * i + 1], *x[2:]) for i, x in enumerate(levels))
-        self.codes = cut[6:]
-
-    def corrected(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """For each pair its correction if it is held, else the backoff of its context, else 0."""
-        i = self.contexts.find(v)
-        out = np.zeros(len(v))
-        known = np.flatnonzero(i >= 0)
-        out[known] = self.backoffs[self.codes[0][i[known]]]
-        # The numbers of one context fill the range between its pointers; the key rises with the context.
-        j = self.successors.find((i[known].astype(np.uint64) << np.uint64(32)) + w[known])
-        hit = j >= 0
-        out[known[hit]] = self.corrections[self.codes[1][j[hit]]]
-        return out
+    Contexts and pointers ascend; a successor counts as its context's index times 2**32 plus its own 32 bits, so all of
+    them ascend, too, and those of one context fill the range between its pointers.
+    """
 
-    def close(self) -> None:
-        self.codes = None
-        self.contexts = self.pointers = self.successors = None
-        os.unlink(self.path)
+    LEVELS = 3
 
+    def __init__(self, data):
+        head = np.frombuffer(data, np.int64, 64)
+        spans = [(int(head[2 * k]), int(head[2 * k + 1])) for k in range(11)]
+        cut = [np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at) for (at, size), kind in zip(spans, [*[np.uint64, np.uint64, np.int64] * 3, np.uint16, np.uint16])]
+        shape = head[22:31].tolist()
+        self.contexts, self.pointers, self.successors = (EliasFano(*shape[3 * k : 3 * k + 3], *cut[3 * k : 3 * k + 3]) for k in range(self.LEVELS))
+        self.f, self.b = cut[9:]
 
-# --- the model -------------------------------------------------------------------
+    @staticmethod
+    def laid_out(context: np.ndarray, b: np.ndarray, owner: np.ndarray, word: np.ndarray, f: np.ndarray) -> list[bytes]:
+        """The bytes of a trie. Ascending contexts with their b; owner (index of the context), word and f by (owner, word)."""
+        pointers = np.searchsorted(owner, np.arange(len(context) + 1)).astype(np.uint64)
+        levels = [EliasFano.parts(x) for x in (context, pointers, (owner.astype(np.uint64) << np.uint64(32)) | word)]
+        arrays = [a for _, x in levels for a in x] + [coded(f), coded(b)]
+        head, at = np.zeros(64, np.int64), 512
+        for k, a in enumerate(arrays):
+            head[2 * k : 2 * k + 2] = at, a.nbytes
+            at += -(-a.nbytes // 8) * 8
+        head[22:31] = np.array([x for shape, _ in levels for x in shape], np.uint64).astype(np.int64)
+        return [head.tobytes(), *(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)]
+
+    @classmethod
+    def mapped(cls, *levels: np.ndarray) -> Trie:
+        parts = cls.laid_out(*levels)
+        m = mmap.mmap(-1, sum(map(len, parts)))
+        for p in parts:
+            m.write(p)
+        return cls(m)
+
+    def of(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index or -1, code of b or 0) of each context."""
+        i = self.contexts.find(context)
+        return i, np.where(i >= 0, self.b[np.maximum(i, 0)], 0).astype(np.uint16) if len(self.b) else np.zeros(len(i), np.uint16)
+
+    def codes(self, i: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Code of f of each successor of the contexts of index i, searched between the pointers of its context."""
+        out = np.full(len(i), ABSENT, np.uint16)
+        at = np.flatnonzero(i >= 0)
+        if len(at):
+            x = i[at]
+            j = self.successors.within(self.pointers.get(x).astype(np.int64), self.pointers.get(x + 1).astype(np.int64), (x.astype(np.uint64) << np.uint64(32)) | word[at])
+            out[at[j >= 0]] = self.f[j[j >= 0]]
+        return out
 
 
-def _shard_of(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    return ((shingles.mixed(v, 0x51) % np.uint64(shards)) + (w % np.uint64(min(SALT, shards)))) % np.uint64(shards)
+# --- runs ------------------------------------------------------------------------
 
 
 def _texts(column) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
 
-def _batch_tokens(b):
-    """Tokens of a batch: hash, context, text's index, whether it trains; made run by run."""
-    texts = _texts(b.column(1))
-    h, v, d = [], [], []
-    for i, j in shingles.runs(texts):
-        t, doc = tokens(texts[i:j])
-        before = np.concatenate([[BEGIN], t[:-1]]) if len(t) else t
-        first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(t) else np.zeros(0, bool)
-        h.append(t)
-        v.append(np.where(first, BEGIN, before))
-        d.append(doc + i)
-    cat = lambda x, k: np.concatenate(x) if x else np.zeros(0, k)
-    h, v, d = cat(h, np.uint64), cat(v, np.uint64), cat(d, np.int64)
-    return h, v, d, b.column(2).to_numpy(zero_copy_only=False)
-
-
-def _counted(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the key arrays in order, and how often each occurs."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.diff(np.append(at, len(order)))
-
-
-def _spread(shard: np.ndarray, shards: int):
-    """(shard, slice) of arrays ascending by shard."""
-    cut = np.searchsorted(shard, np.arange(shards + 1))
-    for s in range(shards):
-        if cut[s] < cut[s + 1]:
-            yield s, slice(cut[s], cut[s + 1])
-
-
-def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of an ascending key and how many rows each has."""
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    return key[new], np.diff(np.append(new, len(key)))
-
-
-def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+def _pieces(texts: list[bytes]):
+    """(text's index, piece, is it the last) of at most shingles.RUN bytes, cut at white space; a longer word is whole."""
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > shingles.RUN:
+            end = at + shingles.RUN
+            while end < len(t) and t[end] not in b" \t\n\x0b\x0c\r":
+                end += 1
+            yield i, t[at:end], False
+            at = end
+        yield i, t[at:], True
+
+
+def tokens(texts: list[bytes]):
+    """(hash, index of its text) of tokens in stretches of bounded size: each text's lower-cased words and then one end."""
+    held, size = [], 0
+
+    def done():
+        word, piece = shingles.words([p for _, p, _ in held])
+        n = np.bincount(piece, minlength=len(held))
+        ends = np.array([e for _, _, e in held])
+        base = np.cumsum(n + ends) - (n + ends)
+        out = np.full(int((n + ends).sum()), END, np.uint64)
+        out[base[piece] + np.arange(len(word)) - (np.cumsum(n) - n)[piece]] = word
+        return out, np.repeat(np.array([i for i, _, _ in held]), n + ends)
+
+    for p in _pieces(texts):
+        if held and size + len(p[1]) > shingles.RUN:
+            yield done()
+            held, size = [], 0
+        held.append(p)
+        size += len(p[1])
+    if held:
+        yield done()
+
+
+def token_runs(texts: list[bytes]):
+    """(hashes, texts' indices, the two tokens before, does the first text go on, does the last one) of bounded size."""
+    h, d, n, lead, on = [], [], 0, (BEGIN, BEGIN), False
+
+    def cut(last):
+        nonlocal h, d, n, lead, on
+        hh, dd = np.concatenate(h), np.concatenate(d)
+        more = not last and hh[-1] != END
+        out = (hh, dd, lead, on, more)
+        before = np.concatenate([np.array([*(lead if on else (BEGIN, BEGIN))], np.uint64), hh])
+        own = int((dd == dd[-1]).sum()) + (2 if on and dd[0] == dd[-1] else 0)
+        lead = tuple(np.concatenate([np.full(2, BEGIN), before[len(before) - own :]])[-2:]) if more else (BEGIN, BEGIN)
+        h, d, n, on = [], [], 0, more
+        return out
+
+    for hh, dd in tokens(texts):
+        if not len(hh):
+            continue
+        for i in range(0, len(hh), RUN_TOKENS):
+            part = slice(i, i + RUN_TOKENS)
+            if n and n + len(hh[part]) > RUN_TOKENS:
+                yield cut(False)
+            h.append(hh[part])
+            d.append(dd[part])
+            n += len(hh[part])
+    if n:
+        yield cut(True)
+
+
+def runs_of(docs: DataFrame) -> DataFrame:
+    """The texts of (doc_id, text, train) as runs: run, ids and train of its texts, uid of each, shape and tokens.
+
+    shape: numbers of tokens by text, the tokens before, and whether the first and the last text go on in other runs.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def rewritten(batches):
+        top = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        run = uid = 0
+        for b in batches:
+            first = uid
+            for h, d, lead, begun, more in token_runs(_texts(b.column(1))):
+                at = int(d[0])
+                ids = b.column(0).slice(at, int(d[-1]) - at + 1)
+                words, place = np.unique(h, return_inverse=True)
+                shape = packed(small(np.bincount(d - at)), np.array(lead, np.uint64), np.array([begun, more], np.uint8))
+                own = np.arange(len(ids)) + first + at + top
+                train = b.column(2).slice(at, len(ids))
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                cols = [pa.array([top + run], pa.int64()), one(ids), one(train), one(pa.array(own, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([shape], pa.binary()), pa.array([packed(deltas(words))], pa.binary()), pa.array([packed(small(place))], pa.binary())], ["run", "ids", "train", "uid", "shape", "words", "tokens"])
+                run += 1
+            uid += b.num_rows
+
+    schema = f"run long, ids array<{kind}>, train array<boolean>, uid array<long>, shape binary, words binary, tokens binary"
+    return docs.select("doc_id", "text", "train").mapInArrow(rewritten, schema)
+
+
+class Run:
+    """One row of runs_of(), unpacked."""
+
+    def __init__(self, row: dict):
+        self.words = np.cumsum(unpacked(row["words"])[0], dtype=np.uint64)
+        self.place = unpacked(row["tokens"])[0]
+        self.n, lead, (self.begun, self.more) = unpacked(row["shape"])
+        self.train = np.array(row["train"], bool)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.h = self.words[self.place]
+        first = np.concatenate([[True], self.doc[1:] != self.doc[:-1]])
+        second = np.concatenate([[False], first[:-1]])
+        self.v = np.where(first, BEGIN, np.concatenate([[BEGIN], self.h[:-1]]))
+        self.u = np.where(first | second, BEGIN, np.concatenate([[BEGIN, BEGIN], self.h[:-2]])[: len(self.h)])
+        if self.begun:
+            self.v[0], self.u[0] = lead[1], lead[0]
+            if len(self.h) > 1 and not first[1]:
+                self.u[1] = lead[1]
+
+    def context(self, order: int) -> np.ndarray:
+        return follows(self.u, self.v) if order == 3 else shingles.mixed(self.v, 0xC2)
+
+
+def follows(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The hash of a context of two words."""
+    return shingles.mixed(shingles.mixed(u, 0xC3) * np.uint64(0x9E3779B97F4A7C15) + v)
+
+
+class Grams:
+    """The distinct n-grams of a run in the order in which they are sent: by shard, context and successor."""
+
+    def __init__(self, run: Run, order: int, shards: int, level: np.ndarray):
+        ctx, w = run.context(order), run.h & LOW
+        train = run.train[run.doc]
+        deal = level[(ctx % np.uint64(SLOTS)).astype(np.int64)]
+        salts = np.minimum(np.uint64(shards), np.uint64(SALT) ** deal.astype(np.uint64))
+        first = (ctx >> np.uint64(20)) % np.uint64(shards)
+        shard = (first + shingles.mixed(run.h, 0x5A) % salts) % np.uint64(shards)
+        # 40 bits tell the contexts of a shard apart, 32 the successors of a context.
+        key = (shard << np.uint64(40)) | (ctx >> np.uint64(24))
+        order_ = np.lexsort((w, key))
+        k, x = key[order_], w[order_]
+        newk = np.concatenate([[True], k[1:] != k[:-1]])
+        new = newk | np.concatenate([[True], x[1:] != x[:-1]])
+        gram = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        self.gram_of = np.empty(len(key), np.int64)
+        self.gram_of[order_] = gram
+        self.key, self.w, self.count = k[at], x[at], np.bincount(gram, weights=train[order_]).astype(np.int64)
+        self.ctx_at = np.flatnonzero(newk[at])
+        self.ctx_of = (np.cumsum(newk[at]) - 1)[self.gram_of]
+        # Occurrences of dealt contexts, for each shard that may hold a successor.
+        hot = np.flatnonzero((deal > 0) & train)
+        c, i, n = np.unique(ctx[hot], return_index=True, return_counts=True)
+        many, f = salts[hot[i]].astype(np.int64), first[hot[i]]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        where = (np.repeat(f, many) + step.astype(np.uint64)) % np.uint64(shards)
+        t = (where << np.uint64(40)) | np.repeat(c >> np.uint64(24), many)
+        o = np.argsort(t, kind="stable")
+        self.hot_key, self.hot_n = t[o], np.repeat(n, many)[o]
+
+    def fragments(self):
+        """(shard, payload): contexts, their numbers of successors, those and their counts; dealt contexts and occurrences."""
+        shard = (self.key >> np.uint64(40)).astype(np.int64)
+        hot = (self.hot_key >> np.uint64(40)).astype(np.int64)
+        ctx = self.key[self.ctx_at] & np.uint64((1 << 40) - 1)
+        n = np.diff(np.append(self.ctx_at, len(self.key)))
+        for s in np.union1d(shard, hot).tolist():
+            a, b = np.searchsorted(shard, [s, s + 1])
+            i, j = np.searchsorted(self.ctx_at, [a, b])
+            x, y = np.searchsorted(hot, [s, s + 1])
+            dealt = self.hot_key[x:y] & np.uint64((1 << 40) - 1)
+            yield s, packed(deltas(ctx[i:j]), small(n[i:j]), self.w[a:b].astype(np.uint32), small(self.count[a:b]), deltas(dealt), small(self.hot_n[x:y]))
+
+
+def _rows(batches, columns):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: b.column(c)[i].as_py() for c in columns}
+
+
+def _sent(got: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    run, shard, payload = zip(*got) if got else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(shard, pa.int32()), pa.array(payload, pa.binary())], ["run", "shard", "payload"])
+
+
+COLUMNS = ["words", "tokens", "shape", "train"]
+ANSWERS = "run long, shard int, payload binary, n long, v long, hot array<int>, hotter array<int>, hottest array<int>"
+
+
+def _answer(rows: list[tuple[int, int, bytes]], totals: tuple | None, hot: list[np.ndarray]) -> pa.Table:
+    """Answers by run, then one row of the shard's own: tokens, words, and the slots of contexts that are to be dealt."""
+    run, shard, payload = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+    n = len(rows)
+    none = lambda k: [None] * n + [k]
+    t = totals or (None, None)
+    cols = [pa.array([*run, None], pa.int64()), pa.array([*shard, None], pa.int32()), pa.array([*payload, None], pa.binary()), pa.array(none(t[0]), pa.int64()), pa.array(none(t[1]), pa.int64())]
+    return pa.Table.from_arrays([*cols, *(pa.array(none(x), pa.list_(pa.int32())) for x in hot)], ["run", "shard", "payload", "n", "v", "hot", "hotter", "hottest"])
+
+
+def _dealt(ctx: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Slots of the contexts of more than HOT, SALT * HOT, SALT**2 * HOT occurrences."""
+    return [np.unique(ctx[count > HOT * SALT**k] % np.uint64(SLOTS)).astype(np.int32) for k in range(DEPTH)]
+
+
+def _unigrams(runs: DataFrame, shards: int) -> DataFrame:
+    """Each run's words with their counts in training texts, by shard of the word; a run's words are sent once."""
+
+    def ask(batches):
+        for row in _rows(batches, ["run", *COLUMNS]):
+            r = Run(row)
+            count = np.bincount(r.place, weights=r.train[r.doc], minlength=len(r.words)).astype(np.int64)
+            shard = ((r.words >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+            yield _sent([(row["run"], int(shard[i]), packed(deltas(r.words[i:j]), small(count[i:j]))) for i, j in zip(cut, [*cut[1:], len(shard)])])
+
+    def answer(t: pa.Table) -> pa.Table:
+        parts = [unpacked(p) for p in t["payload"].to_pylist()]
+        words = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(distinct)).astype(np.int64)
+        cut = np.cumsum([0, *map(len, words)]).tolist()
+        rows = [(run, s, packed(small(count[at[i:j]]))) for run, s, i, j in zip(t["run"].to_pylist(), t["shard"].to_pylist(), cut, cut[1:])]
+        # A word is the context of pairs.
+        return _answer(rows, (int(count.sum()), int((count > 0).sum())), _dealt(shingles.mixed(distinct, 0xC2), count))
+
+    return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+
+
+def _grams(runs: DataFrame, order: int, shards: int, level: np.ndarray) -> DataFrame:
+    """Codes of f and b for each run's n-grams, from the tries of the shards."""
+
+    def ask(batches):
+        for row in _rows(batches, ["run", *COLUMNS]):
+            r = Run(row)
+            yield _sent([(row["run"], s, p) for s, p in Grams(r, order, shards, level).fragments()])
+
+    def answer(t: pa.Table) -> pa.Table:
+        parts = [unpacked(p) for p in t["payload"].to_pylist()]
+        n_ctx, n_gram = np.array([len(p[0]) for p in parts]), np.array([len(p[2]) for p in parts])
+        cat = lambda x, k: np.concatenate(x) if x else np.zeros(0, k)
+        asked = cat([np.cumsum(p[0], dtype=np.uint64) for p in parts], np.uint64)
+        successors = cat([p[1].astype(np.int64) for p in parts], np.int64)
+        w = cat([p[2] for p in parts], np.uint32)
+        m = cat([p[3].astype(np.uint32) for p in parts], np.uint32)
+        dealt, times = cat([np.cumsum(p[4], dtype=np.uint64) for p in parts], np.uint64), cat([p[5].astype(np.int64) for p in parts], np.int64)
+        parts = None
+        trie = built(order, np.repeat(asked, successors), w, m, dealt, times)
+        m = None
+        i, b = trie.of(asked)
+        f = np.full(len(w), ABSENT, np.uint16)
+        owner = np.repeat(np.arange(len(asked)), successors)
+        for k in range(0, len(w), 1 << 18):
+            f[k : k + (1 << 18)] = trie.codes(i[owner[k : k + (1 << 18)]], w[k : k + (1 << 18)].astype(np.uint64))
+        ci, gi = np.cumsum([0, *n_ctx]).tolist(), np.cumsum([0, *n_gram]).tolist()
+        ids = zip(t["run"].to_pylist(), t["shard"].to_pylist())
+        rows = [(run, s, packed(f[gi[k] : gi[k + 1]], b[ci[k] : ci[k + 1]])) for k, (run, s) in enumerate(ids)]
+        return _answer(rows, None, [np.zeros(0, np.int32)] * DEPTH)
+
+    return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+
+
+def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.ndarray, times: np.ndarray) -> Trie:
+    """The trie of n-grams (ctx, w) with their counts m, which may repeat, and the occurrences of contexts dealt elsewhere, too."""
+    on = m > 0
+    contexts = np.unique(np.concatenate([np.unique(ctx[on]), dealt]))
+    key = (np.searchsorted(contexts, ctx[on]).astype(np.uint64) << np.uint64(32)) | w[on]
+    order_ = np.argsort(key, kind="stable")
+    key, c = key[order_], m[on][order_].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    key, c = key[new], np.add.reduceat(c, new) if len(new) else c
+    owner = (key >> np.uint64(32)).astype(np.int64)
+    n = np.bincount(owner, weights=c, minlength=len(contexts))
+    known = np.bincount(owner, minlength=len(contexts))
+    total = np.bincount(np.searchsorted(contexts, dealt), weights=times, minlength=len(contexts))
+    spread = total > 0
+    n = np.where(spread, total, n)
+    b = np.where(spread, MASS[order] / (n + MASS[order]), DISCOUNT[order] * known / np.maximum(n, 1))
+    f = np.where(spread[owner], (1 - b[owner]) * c / n[owner], (c - DISCOUNT[order]) / n[owner])
+    return Trie.mapped(contexts, b, owner, key & LOW, f)
+
+
+def _levels(answers: DataFrame, always: np.ndarray) -> np.ndarray:
+    """For each slot how far its contexts are dealt; at most SLOTS / 32 rows come to the driver."""
+    level = np.zeros(SLOTS, np.uint8)
+    for k, c in enumerate(["hot", "hotter", "hottest"][:DEPTH]):
+        words = answers.where(f"{c} is not null").select(F.explode(c).alias("b")).groupBy(F.shiftright("b", 5).alias("w"))
+        for r in words.agg(F.bit_or(F.expr("shiftleft(1L, b & 31)")).alias("m")).collect():
+            level[r.w * 32 + np.flatnonzero([(r.m >> i) & 1 for i in range(32)])] = k + 1
+    level[(always % np.uint64(SLOTS)).astype(np.int64)] = DEPTH
+    return level
+
+
+def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (base 10 logarithms).
 
     held_out is an expression over doc_id; such rows don't train. Null text counts as empty and has its end token
-    alone. Repeated rows train as often as they occur. Without training rows N and V are 0. The model holds the pairs that
-    the training texts have `least` times or more; with 1 that is every pair.
+    alone. Repeated rows train, and are scored, as often as they occur; null ids train. Without training rows N and V are
+    0 and both scores agree. Texts of any length are worked on in stretches.
     """
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-size // SHARD_BYTES))
+    shards = int(max(8, -(-size // SHARD_BYTES)))
     kind = d.schema["doc_id"].dataType.simpleString()
-    out_flag = F.expr(f"coalesce({held_out}, false)")
-    # Equal rows have one name and equal scores; their sums are divided by their number.
-    rows = d.select("doc_id", "text", (~out_flag).alias("train"), F.xxhash64("doc_id", "text").alias("uid"))
-
-    def unigrams(batches):
-        for b in batches:
-            h, _, doc, train = _batch_tokens(b)
-            (h, doc), m = _counted([h, doc])
-            shard = (shingles.mixed(h, 0x77) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            h, doc, m, shard = h[order], doc[order], m[order], shard[order]
-            uid = b.column(3).to_numpy()
-            got = []
-            for s, at in _spread(shard, shards):
-                u, n = _runs_of(h[at])
-                ids, local = np.unique(doc[at], return_inverse=True)
-                got.append((s, packed(_deltas(u), _small(n), _small(local), _small(m[at]), uid[ids].astype(np.uint64), train[ids].astype(np.uint8))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([p for _, p in got], pa.binary())], ["shard", "payload"])
-
-    def word_counts(t):
-        """Training counts of a shard's words, and of each text its tokens by training count."""
-        hs, cs, parts = [], [], []
-        for p in t["payload"]:
-            dl, n, local, m, uid, train = unpacked(p)
-            h = np.repeat(np.cumsum(dl, dtype=np.uint64), n)
-            hs.append(h)
-            cs.append(np.where(train[local] > 0, m.astype(np.int64), 0))
-            parts.append((local, m, uid))
-        words, inverse = np.unique(np.concatenate(hs), return_inverse=True)
-        c = np.bincount(inverse, weights=np.concatenate(cs), minlength=len(words)).astype(np.int64)
-        return words, c, inverse, parts
-
-    def counts(t):
-        words, c, inverse, parts = word_counts(t)
-        # Texts' sums of log10(c + 1), known tokens and tokens; the common divisor follows when N and V are known.
-        seen = c > 0
-        h, cols, at = words[seen].view(np.int64), [[], [], [], []], 0
-        for local, m, uid in parts:
-            k = inverse[at : at + len(local)]
-            at += len(local)
-            w = m.astype(float)
-            for col, x in zip(cols[1:], (w, w * (c[k] > 0), w * np.log10(c[k] + 1.0))):
-                col.append(np.bincount(local, weights=x, minlength=len(uid)))
-            cols[0].append(uid.view(np.int64))
-        uid, n, known, s = map(np.concatenate, cols)
-        gap = lambda x, before, after: pd.arrays.IntegerArray(np.concatenate([np.zeros(before, np.int64), x.astype(np.int64), np.zeros(after, np.int64)]), np.repeat([True, False, True], [before, len(x), after]))
-        i, j = len(h), len(uid)
-        head = {"h": gap(h, 0, j), "c": gap(c[seen], 0, j)}
-        return pd.DataFrame(head | {"uid": gap(uid, i, 0), "n": gap(n, i, 0), "known": gap(known, i, 0), "s": np.concatenate([np.full(i, np.nan), s])})
-
-    source = rows.select("doc_id", "text", "train", "uid")
-    uni = source.mapInArrow(unigrams, "shard int, payload binary").groupBy("shard").applyInPandas(counts, "h long, c long, uid long, n long, known long, s double")
-    uni = written(uni, "unigrams")
-    words = uni.where("h is not null").select("h", "c")
-    total = words.agg(F.sum("c"), F.count("*")).first()
-    n_train, n_words = total[0] or 0, total[1]
-    base = uni.where("uid is not null").groupBy("uid").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("s").alias("s"))
-
-    def pairs(batches, train_only):
-        for b in batches:
-            h, v, doc, train = _batch_tokens(b)
-            if train_only:
-                keep = train[doc]
-                h, v, doc = h[keep], v[keep], doc[keep]
-            w = h & W_MASK
-            (shard, v, w, *doc), m = _counted([_shard_of(v, w, shards), v, w] + ([] if train_only else [doc]))
-            uid = b.column(3).to_numpy()
-            got = []
-            for s, at in _spread(shard.astype(np.int64), shards):
-                u, n = _runs_of(v[at])
-                low, top = w[at].astype(np.uint32), (w[at] >> np.uint64(32)).astype(np.uint8)
-                if train_only:
-                    got.append((s, packed(_deltas(u), _small(n), low, top, _small(m[at]))))
-                else:
-                    ids, local = np.unique(doc[0][at], return_inverse=True)
-                    got.append((s, packed(_deltas(u), _small(n), low, _small(m[at]), _small(local), uid[ids].astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([p for _, p in got], pa.binary())], ["shard", "payload"])
-
-    def kept(key, t):
-        """Pairs of a shard that the training texts hold `least` times or more."""
-        vs, ws, cs = [], [], []
-        for p in t["payload"]:
-            dl, n, low, top, m = unpacked(p)
-            vs.append(np.repeat(np.cumsum(dl, dtype=np.uint64), n))
-            ws.append(low.astype(np.uint64) + (top.astype(np.uint64) << np.uint64(32)))
-            cs.append(m.astype(np.int64))
-        v, w, c = map(np.concatenate, (vs, ws, cs))
-        order = np.lexsort((w, v))
-        v, w, c = v[order], w[order], c[order]
-        new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
-        c = np.add.reduceat(c, new)
-        held = c >= least
-        return pd.DataFrame({"shard": key[0], "v": v[new][held].view(np.int64), "w": w[new][held].astype(np.int64), "c": c[held]})
-
-    pair_rows = source.mapInArrow(lambda it: pairs(it, True), "shard int, payload binary").groupBy("shard").applyInPandas(kept, "shard int, v long, w long, c long")
-    pair_rows = written(pair_rows, "pairs")
-    n_texts = rows.where("train").count()
-    # Words of kept pairs occur as often as the pairs at least.
-    often = words.where(F.col("c") >= least)
-    succ = often.groupBy(F.col("h").bitwiseAND(int(W_MASK)).alias("w")).agg(F.max("c").alias("cw"))
-    begin = int(BEGIN.astype(np.int64))
-    ctx = often.select(F.col("h").alias("v"), F.col("c").alias("cv")).where(F.col("v") != begin).union(rows.sparkSession.createDataFrame([(begin, n_texts)], "v long, cv long"))
-    m = pair_rows.join(succ, "w").join(ctx, "v")
-    p1 = (F.col("cw") + 1) / F.lit(float(n_train + n_words + 1))
-    m = m.select("shard", "v", "w", ((F.col("c") - DISCOUNT) / F.col("cv")).alias("alpha"), p1.alias("p1"))
-    m = written(m.withColumn("r", F.log10(F.col("alpha") / F.col("p1"))), "model")
-    lam = m.groupBy("v").agg(F.sum("alpha").alias("a"), F.sum("p1").alias("b"))
-    lam = lam.select("v", F.log10(F.greatest(F.lit(1e-12), (1 - F.col("a")) / (1 - F.col("b")))).alias("lam"))
-    # A context's backoff goes to each shard that may be asked for it, SALT at most.
-    tables = m.select("shard", "v", "w", "r", F.lit(None).cast("double").alias("lam"))
-
-    def homes(batches):
-        for b in batches:
-            v = b["v"].to_numpy(np.int64).view(np.uint64)
-            first = (shingles.mixed(v, 0x51) % np.uint64(shards)).astype(np.int64)
-            k = min(SALT, shards)
-            yield pd.DataFrame({"shard": ((first[:, None] + np.arange(k)) % shards).ravel().astype(np.int32), "v": np.repeat(b["v"].to_numpy(), k), "w": pd.array([None] * (len(v) * k), "Int64"), "r": np.nan, "lam": np.repeat(b["lam"].to_numpy(), k)})
-
-    backs = lam.mapInPandas(homes, "shard int, v long, w long, r double, lam double")
-    model = tables.union(backs)
-
-    def corrected(key, model, queries):
-        has = model["w"].isna().to_numpy()
-        contexts, at = np.unique(model["v"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        back = np.zeros(len(contexts))
-        back[at[has]] = model["lam"].to_numpy(float)[has]
-        w32 = model["w"][~has].to_numpy(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)
-        trie = Trie(contexts, back, at[~has], w32, model["r"].to_numpy(float)[~has])
-        frames = []
-        try:
-            for p in queries["payload"]:
-                dl, n, low, m, local, uid = unpacked(p)
-                v = np.repeat(np.cumsum(dl, dtype=np.uint64), n)
-                x = trie.corrected(v, low.astype(np.uint64)) * m
-                frames.append(pd.DataFrame({"uid": uid.astype(np.int64), "s": np.bincount(local, weights=x, minlength=len(uid))}))
-        finally:
-            trie.close()
-        return pd.concat(frames) if frames else pd.DataFrame({"uid": [], "s": []})
-
-    asked = source.mapInArrow(lambda it: pairs(it, False), "shard int, payload binary")
-    delta = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(corrected, "uid long, s double")
-    delta = delta.groupBy("uid").agg(F.sum("s").alias("delta"))
-    names = rows.groupBy("uid", "doc_id", (~F.col("train")).alias("held_out")).agg(F.count("*").alias("k"))
-    out = names.join(base, "uid").join(delta, "uid", "left").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-    out = out.withColumns({"n": (F.col("n") / F.col("k")).cast("long"), "known": (F.col("known") / F.col("k")).cast("long"), "s": F.col("s") / F.col("k"), "delta": F.col("delta") / F.col("k")})
-    score = F.col("s") - F.col("n") * F.lit(math.log10(n_train + n_words + 1))
-    return out.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), score.alias("base_score"), (score + F.coalesce("delta", F.lit(0.0))).alias("score")
-    )
+    runs = written(runs_of(d.withColumn("train", ~F.expr(f"coalesce({held_out}, false)"))), "runs")
+    uni = written(_unigrams(runs, shards), "unigrams")
+    n_train, n_words = (x or 0 for x in uni.agg(F.sum("n"), F.sum("v")).first())
+    begin = np.array([BEGIN])
+    pairs = written(_grams(runs, 2, shards, _levels(uni, shingles.mixed(begin, 0xC2))), "pairs")
+    # A context of two words has no more occurrences than its last one: what is dealt for pairs is dealt for them.
+    triples = written(_grams(runs, 3, shards, _levels(_pairs_dealt(runs, pairs), follows(begin, begin))), "triples")
+    return _joined(runs, uni, pairs, triples, shards, kind, n_train, n_words)

@@ -76,11 +76,11 @@ def test_similar_sets_share_a_signature(num, den):
         assert set(s[owner == 0]) & set(s[owner == 1])
 
 
-@pytest.mark.parametrize("one_task", [1_000_000, 0])
-def test_components(spark, monkeypatch, one_task):
+@pytest.mark.parametrize("chunk", [1_000_000, 3])
+def test_components(spark, monkeypatch, chunk):
     import meltemi.llm.components as module
 
-    monkeypatch.setattr(module, "ONE_TASK", one_task)
+    monkeypatch.setattr(module, "CHUNK", chunk)
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
     comp = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -88,16 +88,14 @@ def test_components(spark, monkeypatch, one_task):
         for u, v in edges:
             if u != v:
                 comp[u] = comp[v] = min(comp[u], comp[v])
-    assert dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect())) == comp
+    assert dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect())) == comp
 
 
 @pytest.mark.parametrize("block", [512, 8])
 def test_links_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "HUBS", 2)
-    import meltemi.llm.components as module
-
-    monkeypatch.setattr(module, "ONE_TASK", 0 if block == 8 else 1_000_000)
+    monkeypatch.setattr(jaccard, "GROUP", block)
+    monkeypatch.setattr(jaccard, "PIECE", 40 * block)
     rows = corpus(260, block)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, node int, family string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(df).collect()}
