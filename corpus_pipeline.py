@@ -24,10 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with _row, a key of each row's own that orders as doc_id does, null last.
 
-    Ids may be null or repeated, so a stage that joins does so on _row. Written, so that all its readers see the same.
+    Ids may be null or repeated, so a stage that joins does so on _row. A row of a Parquet table is known by its file
+    and place there; any other DataFrame is written first, so that all its readers see the same.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("n"))
-    return written(docs.withColumn("_row", key), "numbered")
+    table = docs.inputFiles() and docs._jdf.queryExecution().analyzed().children().isEmpty()
+    docs = docs if table else written(docs, "numbered")
+    n = F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("place"))
+    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), n.alias("n")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
