@@ -261,7 +261,7 @@ def tokens(texts: list[bytes]):
         yield done()
 
 
-def token_runs(texts: list[bytes]):
+def token_runs(texts: list[bytes], most: int = RUN_TOKENS):
     """(hashes, texts' indices, the two tokens before, does the first text go on, does the last one) of bounded size."""
     h, d, n, lead, on = [], [], 0, (BEGIN, BEGIN), False
 
@@ -279,9 +279,9 @@ def token_runs(texts: list[bytes]):
     for hh, dd in tokens(texts):
         if not len(hh):
             continue
-        for i in range(0, len(hh), RUN_TOKENS):
-            part = slice(i, i + RUN_TOKENS)
-            if n and n + len(hh[part]) > RUN_TOKENS:
+        for i in range(0, len(hh), most):
+            part = slice(i, i + most)
+            if n and n + len(hh[part]) > most:
                 yield cut(False)
             h.append(hh[part])
             d.append(dd[part])
@@ -290,7 +290,7 @@ def token_runs(texts: list[bytes]):
         yield cut(True)
 
 
-def runs_of(docs: DataFrame) -> DataFrame:
+def runs_of(docs: DataFrame, most: int) -> DataFrame:
     """The texts of (doc_id, text, train) as runs: run, ids and train of its texts, uid of each, shape and tokens.
 
     shape: numbers of tokens by text, the tokens before, and whether the first and the last text go on in other runs.
@@ -302,7 +302,7 @@ def runs_of(docs: DataFrame) -> DataFrame:
         run = uid = 0
         for b in batches:
             first = uid
-            for h, d, lead, begun, more in token_runs(_texts(b.column(1))):
+            for h, d, lead, begun, more in token_runs(_texts(b.column(1)), most):
                 at = int(d[0])
                 ids = b.column(0).slice(at, int(d[-1]) - at + 1)
                 words, place = np.unique(h, return_inverse=True)
@@ -339,22 +339,28 @@ class Run:
                 self.u[1] = lead[1]
 
     def context(self, order: int) -> np.ndarray:
-        return follows(self.u, self.v) if order == 3 else shingles.mixed(self.v, 0xC2)
+        one = context(self.u if order == 3 else self.v)
+        return followed(one >> np.uint64(24), self.v & LOW) if order == 3 else one
 
 
-def follows(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The hash of a context of two words."""
-    return shingles.mixed(shingles.mixed(u, 0xC3) * np.uint64(0x9E3779B97F4A7C15) + v)
+def context(word: np.ndarray) -> np.ndarray:
+    """The hash of a context of one word; all but its last 24 bits tell contexts apart."""
+    return shingles.mixed(word, 0xC2)
+
+
+def followed(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context of two words, from 40 bits of the context of the first and 32 of the second."""
+    return shingles.mixed(shingles.mixed(ctx, 0xC3) + word * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Grams:
     """The distinct n-grams of a run in the order in which they are sent: by shard, context and successor."""
 
-    def __init__(self, run: Run, order: int, shards: int, level: np.ndarray):
+    def __init__(self, run: Run, order: int, shards: int, level: np.ndarray, salt: int):
         ctx, w = run.context(order), run.h & LOW
         train = run.train[run.doc]
         deal = level[(ctx % np.uint64(SLOTS)).astype(np.int64)]
-        salts = np.minimum(np.uint64(shards), np.uint64(SALT) ** deal.astype(np.uint64))
+        salts = np.minimum(np.uint64(shards), np.uint64(salt) ** deal.astype(np.uint64))
         first = (ctx >> np.uint64(20)) % np.uint64(shards)
         shard = (first + shingles.mixed(run.h, 0x5A) % salts) % np.uint64(shards)
         # 40 bits tell the contexts of a shard apart, 32 the successors of a context.
@@ -419,12 +425,12 @@ def _answer(rows: list[tuple[int, int, bytes]], totals: tuple | None, hot: list[
     return pa.Table.from_arrays([*cols, *(pa.array(none(x), pa.list_(pa.int32())) for x in hot)], ["run", "shard", "payload", "n", "v", "hot", "hotter", "hottest"])
 
 
-def _dealt(ctx: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Slots of the contexts of more than HOT, SALT * HOT, SALT**2 * HOT occurrences."""
-    return [np.unique(ctx[count > HOT * SALT**k] % np.uint64(SLOTS)).astype(np.int32) for k in range(DEPTH)]
+def _dealt(ctx: np.ndarray, count: np.ndarray, hot: int, salt: int) -> list[np.ndarray]:
+    """Slots of the contexts of more than hot, salt * hot, salt**2 * hot occurrences."""
+    return [np.unique(ctx[count > hot * salt**k] % np.uint64(SLOTS)).astype(np.int32) for k in range(DEPTH)]
 
 
-def _unigrams(runs: DataFrame, shards: int) -> DataFrame:
+def _unigrams(runs: DataFrame, shards: int, hot: int, salt: int) -> DataFrame:
     """Each run's words with their counts in training texts, by shard of the word; a run's words are sent once."""
 
     def ask(batches):
@@ -443,18 +449,18 @@ def _unigrams(runs: DataFrame, shards: int) -> DataFrame:
         cut = np.cumsum([0, *map(len, words)]).tolist()
         rows = [(run, s, packed(small(count[at[i:j]]))) for run, s, i, j in zip(t["run"].to_pylist(), t["shard"].to_pylist(), cut, cut[1:])]
         # A word is the context of pairs.
-        return _answer(rows, (int(count.sum()), int((count > 0).sum())), _dealt(shingles.mixed(distinct, 0xC2), count))
+        return _answer(rows, (int(count.sum()), int((count > 0).sum())), _dealt(context(distinct), count, hot, salt))
 
     return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
-def _grams(runs: DataFrame, order: int, shards: int, level: np.ndarray) -> DataFrame:
+def _grams(runs: DataFrame, order: int, shards: int, level: np.ndarray, hot: int, salt: int) -> DataFrame:
     """Codes of f and b for each run's n-grams, from the tries of the shards."""
 
     def ask(batches):
         for row in _rows(batches, ["run", *COLUMNS]):
             r = Run(row)
-            yield _sent([(row["run"], s, p) for s, p in Grams(r, order, shards, level).fragments()])
+            yield _sent([(row["run"], s, p) for s, p in Grams(r, order, shards, level, salt).fragments()])
 
     def answer(t: pa.Table) -> pa.Table:
         parts = [unpacked(p) for p in t["payload"].to_pylist()]
@@ -466,7 +472,7 @@ def _grams(runs: DataFrame, order: int, shards: int, level: np.ndarray) -> DataF
         m = cat([p[3].astype(np.uint32) for p in parts], np.uint32)
         dealt, times = cat([np.cumsum(p[4], dtype=np.uint64) for p in parts], np.uint64), cat([p[5].astype(np.int64) for p in parts], np.int64)
         parts = None
-        trie = built(order, np.repeat(asked, successors), w, m, dealt, times)
+        trie, often = built(order, np.repeat(asked, successors), w, m, dealt, times, hot)
         m = None
         i, b = trie.of(asked)
         f = np.full(len(w), ABSENT, np.uint16)
@@ -476,13 +482,16 @@ def _grams(runs: DataFrame, order: int, shards: int, level: np.ndarray) -> DataF
         ci, gi = np.cumsum([0, *n_ctx]).tolist(), np.cumsum([0, *n_gram]).tolist()
         ids = zip(t["run"].to_pylist(), t["shard"].to_pylist())
         rows = [(run, s, packed(f[gi[k] : gi[k + 1]], b[ci[k] : ci[k + 1]])) for k, (run, s) in enumerate(ids)]
-        return _answer(rows, None, [np.zeros(0, np.int32)] * DEPTH)
+        return _answer(rows, None, _dealt(*often, hot, salt))
 
     return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
-def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.ndarray, times: np.ndarray) -> Trie:
-    """The trie of n-grams (ctx, w) with their counts m, which may repeat, and the occurrences of contexts dealt elsewhere, too."""
+def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.ndarray, times: np.ndarray, hot: int) -> tuple[Trie, tuple[np.ndarray, np.ndarray]]:
+    """The trie of n-grams (ctx, w) with their counts m, which may repeat; and those of more than `hot`.
+
+    dealt and times: contexts whose successors are in other shards, too, and parts of their occurrences.
+    """
     on = m > 0
     contexts = np.unique(np.concatenate([np.unique(ctx[on]), dealt]))
     key = (np.searchsorted(contexts, ctx[on]).astype(np.uint64) << np.uint64(32)) | w[on]
@@ -498,7 +507,8 @@ def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.n
     n = np.where(spread, total, n)
     b = np.where(spread, MASS[order] / (n + MASS[order]), DISCOUNT[order] * known / np.maximum(n, 1))
     f = np.where(spread[owner], (1 - b[owner]) * c / n[owner], (c - DISCOUNT[order]) / n[owner])
-    return Trie.mapped(contexts, b, owner, key & LOW, f)
+    common = np.flatnonzero(c > hot)
+    return Trie.mapped(contexts, b, owner, key & LOW, f), (followed(contexts[owner[common]], key[common] & LOW), c[common])
 
 
 def _levels(answers: DataFrame, always: np.ndarray) -> np.ndarray:
@@ -521,13 +531,44 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     """
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(8, -(-size // SHARD_BYTES)))
+    shards, hot, salt = int(max(8, -(-size // SHARD_BYTES))), HOT, SALT
     kind = d.schema["doc_id"].dataType.simpleString()
-    runs = written(runs_of(d.withColumn("train", ~F.expr(f"coalesce({held_out}, false)"))), "runs")
-    uni = written(_unigrams(runs, shards), "unigrams")
+    runs = written(runs_of(d.withColumn("train", ~F.expr(f"coalesce({held_out}, false)")), RUN_TOKENS), "runs")
+    uni = written(_unigrams(runs, shards, hot, salt), "unigrams")
     n_train, n_words = (x or 0 for x in uni.agg(F.sum("n"), F.sum("v")).first())
+    # Each text has an occurrence of the contexts before its first word.
     begin = np.array([BEGIN])
-    pairs = written(_grams(runs, 2, shards, _levels(uni, shingles.mixed(begin, 0xC2))), "pairs")
-    # A context of two words has no more occurrences than its last one: what is dealt for pairs is dealt for them.
-    triples = written(_grams(runs, 3, shards, _levels(_pairs_dealt(runs, pairs), follows(begin, begin))), "triples")
-    return _joined(runs, uni, pairs, triples, shards, kind, n_train, n_words)
+    levels = {2: _levels(uni, context(begin))}
+    pairs = written(_grams(runs, 2, shards, levels[2], hot, salt), "pairs")
+    levels[3] = _levels(pairs, followed(context(begin) >> np.uint64(24), begin & LOW))
+    triples = written(_grams(runs, 3, shards, levels[3], hot, salt), "triples")
+    answers = None
+    for order, x in ((1, uni), (2, pairs), (3, triples)):
+        x = x.where("run is not null").select("run", F.lit(order).alias("order"), "shard", "payload")
+        answers = x if answers is None else answers.union(x)
+
+    def finished(own: pa.Table, got: pa.Table) -> pa.Table:
+        row = next(_rows(own.to_batches(), ["run", *COLUMNS, "uid"]))
+        r, ids = Run(row), own["ids"].combine_chunks().flatten()
+        got = got.sort_by([("order", "ascending"), ("shard", "ascending")])
+        parts = {k: [unpacked(p) for o, p in zip(got["order"].to_pylist(), got["payload"].to_pylist()) if o == k] for k in (1, 2, 3)}
+        c = np.concatenate([p[0] for p in parts[1]]).astype(float)[r.place]
+        p1 = (c + 1) / (n_train + n_words + 1)
+        p = p1
+        for order in (2, 3):
+            g = Grams(r, order, shards, levels[order], salt)
+            f, b = (valued(np.concatenate([x[k] for x in parts[order]])) for k in (0, 1))
+            p = f[g.gram_of] + b[g.ctx_of] * p
+        of = lambda x: np.bincount(r.doc, weights=x, minlength=len(r.n))
+        whole = np.ones(len(r.n), bool)
+        whole[0] &= not r.begun
+        whole[-1] &= not r.more
+        cols = [ids, pa.array(row["uid"], pa.int64()), pa.array(whole), pa.array(~r.train), pa.array(r.n.astype(np.int64)), pa.array(of(c > 0).astype(np.int64)), pa.array(of(np.log10(p1))), pa.array(of(np.log10(p)))]
+        return pa.Table.from_arrays(cols, ["doc_id", "uid", "whole", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = f"doc_id {kind}, uid long, whole boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = written(runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(finished, schema), "scores")
+    sums = [F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]
+    parts = out.where("not whole").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score"]
+    return out.where("whole").select(*names).union(parts.select(*names))
