@@ -36,7 +36,8 @@ def nearest_cells(targets: DataFrame, cells: DataFrame, k: int = 1, reach: int =
         t = t.withColumn("bx", F.explode(side(F.col("tx"), box[0], box[1]))).withColumn("by", F.explode(side(F.col("ty"), box[2], box[3])))
         j = t.join(cells, ["bx", "by"])
         d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-        w = Window.partitionBy("target_id").orderBy("d2", "cell_id")
+        # Rounded, so that equal distances are equal whatever their last bits.
+        w = Window.partitionBy("target_id").orderBy(F.round("d2", 9), "cell_id")
         top = j.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         seen = reach * cell_size
         done = top.groupBy("target_id").agg(F.count("*").alias("n"), F.max("d2").alias("m")).where((F.col("n") == k) & (F.col("m") <= seen * seen)).select("target_id")

@@ -125,7 +125,7 @@ def blend(spark, d):
     return out.select("id", "doy", r6(qm.blend(F.col("mapped"), F.col("mdl") * 0.8)).alias("blended"))
 
 
-_FOLDS = "(SELECT DISTINCT id AS fold FROM donor WHERE id < 12)"
+_FOLDS = "(SELECT DISTINCT id AS fold FROM donor)"
 
 
 @query("j21_loo_donors", _sql(_DONOR, body=f"SELECT fold, count(*)::BIGINT AS n, round(avg(obs), 6) AS obs_mean FROM donor d, {_FOLDS} f WHERE d.id <> f.fold GROUP BY 1"))

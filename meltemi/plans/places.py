@@ -19,7 +19,7 @@ def _sql(*ctes: str, body: str) -> str:
 
 
 _COS = "cos(radians(38))"
-_XY = f"t AS (SELECT id AS target_id, lon * {_COS} AS x, lat AS y FROM targets WHERE id % 5 = 0), c AS (SELECT cell_id, lon * {_COS} AS x, lat AS y FROM grid WHERE {{land}})"
+_XY = f"t AS (SELECT id AS target_id, lon * {_COS} AS x, lat AS y FROM targets), c AS (SELECT cell_id, lon * {_COS} AS x, lat AS y FROM grid WHERE {{land}})"
 _D2 = "(t.x - c.x) * (t.x - c.x) + (t.y - c.y) * (t.y - c.y)"
 
 
@@ -47,7 +47,7 @@ def bbox(spark, d):
     return g.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
-_PTS = "pts AS (SELECT id, lon AS px, lat AS py FROM targets WHERE id % 10 = 0)"
+_PTS = "pts AS (SELECT id, lon AS px, lat AS py FROM targets)"
 
 
 def _points(spark, d):
@@ -96,7 +96,7 @@ def slope(spark, d):
     return out.select("x", "y", F.round("slope_deg", 5).alias("slope_deg"))
 
 
-@query("a08_patch_mean", _sql(roles.GRID, body="SELECT g.cell_id, round(avg(q.v), 6) AS mean FROM grid g JOIN grid q ON q.x BETWEEN g.x - 2 AND g.x + 1 AND q.y BETWEEN g.y - 2 AND g.y + 1 WHERE g.cell_id % 7 = 0 GROUP BY 1"))
+@query("a08_patch_mean", _sql(roles.GRID, body="SELECT g.cell_id, round(avg(q.v), 6) AS mean FROM grid g JOIN grid q ON q.x BETWEEN g.x - 2 AND g.x + 1 AND q.y BETWEEN g.y - 2 AND g.y + 1 GROUP BY 1"))
 def patch_mean(spark, d):
     g = roles.grid(spark, d)
     near = g.select("cell_id", F.explode(F.sequence(F.col("x") - 2, F.col("x") + 1)).alias("x"), "y").select("cell_id", "x", F.explode(F.sequence(F.col("y") - 2, F.col("y") + 1)).alias("y"))

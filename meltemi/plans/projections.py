@@ -116,18 +116,18 @@ def _series(spark, d):
     return roles.ens(spark, d).select("model", "scenario", "point", "date", F.least(F.dayofyear("date"), F.lit(365)).alias("doy"), F.when(F.col("year") <= 1998, "cal").otherwise("fut").alias("period"), F.col("tmean").alias("obs"), (F.col("tmean") * 0.7 + F.col("precip") * 0.2).alias("mdl"))
 
 
-_S = "s AS (SELECT model, point, date, least(dayofyear(date), 365)::INT AS doy, CASE WHEN year <= 1998 THEN 'cal' ELSE 'fut' END AS period, tmean AS obs, tmean * 0.7e0 + precip * 0.2e0 AS mdl FROM ens WHERE point < 2 AND scenario = 'F')"
-_W = "win AS (SELECT a.model, a.point, c.doy AS centre, a.obs, a.mdl FROM s a JOIN (SELECT DISTINCT model, point, doy FROM s) c ON a.model = c.model AND a.point = c.point AND least(abs(a.doy - c.doy), 365 - abs(a.doy - c.doy)) <= 15 WHERE a.period = 'cal')"
+_S = "s AS (SELECT model, scenario, point, date, least(dayofyear(date), 365)::INT AS doy, CASE WHEN year <= 1998 THEN 'cal' ELSE 'fut' END AS period, tmean AS obs, tmean * 0.7e0 + precip * 0.2e0 AS mdl FROM ens)"
+_W = "win AS (SELECT a.model, a.scenario, a.point, c.doy AS centre, a.obs, a.mdl FROM s a JOIN (SELECT DISTINCT model, scenario, point, doy FROM s) c ON a.model = c.model AND a.scenario = c.scenario AND a.point = c.point AND least(abs(a.doy - c.doy), 365 - abs(a.doy - c.doy)) <= 15 WHERE a.period = 'cal')"
 
 
-@query("n05_eqm_grid", _sql(roles.ENS, _S, "cal AS (SELECT point, (doy // 92)::INT AS season, obs, mdl FROM s WHERE period = 'cal')", fit_sql("t", "cal", "point, season", 40, precip=False), body="SELECT point, season, i::INT AS i, round(mq[i + 1] + 2e-9, 6) AS mq, round(oq[i + 1] + 2e-9, 6) AS oq FROM t, range(0, 40) r(i)"))
+@query("n05_eqm_grid", _sql(roles.ENS, _S, "cal AS (SELECT scenario, point, (doy // 92)::INT AS season, obs, mdl FROM s WHERE period = 'cal')", fit_sql("t", "cal", "scenario, point, season", 40, precip=False), body="SELECT scenario, point, season, i::INT AS i, round(mq[i + 1] + 2e-9, 6) AS mq, round(oq[i + 1] + 2e-9, 6) AS oq FROM t, range(0, 40) r(i)"))
 def eqm_grid(spark, d):
     s = _series(spark, d).where("period = 'cal'").withColumn("season", F.expr("cast(doy div 92 as int)"))
     t = qm.fit(s, ["scenario", "point", "season"], n=40)
     return t.select("scenario", "point", "season", F.posexplode(F.arrays_zip("mq", "oq")).alias("i", "q")).select("scenario", "point", "season", "i", r6(F.col("q.mq") + 2e-9).alias("mq"), r6(F.col("q.oq") + 2e-9).alias("oq"))
 
 
-@query("n11_projection_eqm", _sql(roles.ENS, _S, _W, fit_sql("t", "win", "model, point, centre", 250, precip=False), body=f"SELECT s.model, s.point, s.date, round({apply_sql('mdl', False)}, 5) AS corrected FROM s LEFT JOIN t ON s.model = t.model AND s.point = t.point AND s.doy = t.centre"))
+@query("n11_projection_eqm", _sql(roles.ENS, _S, _W, fit_sql("t", "win", "model, scenario, point, centre", 250, precip=False), body=f"SELECT s.model, s.scenario, s.point, s.date, round({apply_sql('mdl', False)}, 5) AS corrected FROM s LEFT JOIN t ON s.model = t.model AND s.scenario = t.scenario AND s.point = t.point AND s.doy = t.centre"))
 def projection(spark, d):
     out = qm.projection(_series(spark, d), MEMBER)
     return out.select(*MEMBER, "date", F.round("corrected", 5).alias("corrected"))

@@ -105,4 +105,4 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return g.join(n, "cell_id").select(F.col("cell_id").alias("seg"), F.col("lon").alias("x1"), (F.col("lat") + F.col("v") / 1000).alias("y1"), "x2", F.col("y2").alias("y2"))
 
 
-SEGMENTS = GRID + ", segments AS (SELECT g.cell_id AS seg, g.lon AS x1, g.lat + g.v / 1000 AS y1, n.lon AS x2, n.lat AS y2 FROM grid g JOIN grid n ON n.cell_id - 1 = g.cell_id WHERE g.y < 4 AND n.y < 4)"
+SEGMENTS = GRID + ", segments AS (SELECT g.cell_id AS seg, g.lon AS x1, g.lat + g.v / 1000 AS y1, n.lon AS x2, n.lat AS y2 FROM grid g JOIN grid n ON n.cell_id - 1 = g.cell_id)"
