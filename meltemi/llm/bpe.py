@@ -1,7 +1,7 @@
 """BPE encoding with reuse of content-defined chunks, and decoding.
 
 A rolling hash of the last bytes cuts each text where its content says so, which gives passages that documents share
-the same chunks wherever they stand. Chunks found twice or more are encoded once, each by one task, and sent to the
+the same chunks wherever they stand. Chunks found twice or more (of very many, the most frequent) are encoded once, each by one task, and sent to the
 documents that hold them; all other text is encoded in place. At each join of separately encoded stretches the span
 between the nearest places where the tokenizer always splits is encoded anew; the pieces must then agree byte by byte
 with the text, else the whole text is encoded again.
@@ -24,8 +24,8 @@ from meltemi.llm.shingles import _BYTES, _power, mixed, runs
 
 #: Bytes that the rolling hash sees, and the mean number of bytes between cuts.
 WINDOW, MEAN = 48, 1024
-#: Bits of the filter of repeated chunks (512 KB); at more chunks than it can tell apart it only says "repeated" too often.
-FILTER_BITS = 1 << 22
+#: Bits of the filter of repeated chunks (512 KB) and of each chunk in it; others are encoded in place.
+FILTER_BITS, BITS_EACH = 1 << 22, 8
 STEP_SCHEMA = "uid long, doc_id {id}, n_tokens long, ids_sha256 string, decoded_sha256 string, h long, seq int, lo long, hi long, piece binary, chunk binary"
 
 
@@ -152,17 +152,30 @@ def _texts(column) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
 
+def _valid(texts: list[bytes]) -> list[bytes]:
+    """Texts in UTF-8: of other bytes each stretch becomes U+FFFD."""
+    out = []
+    for t in texts:
+        try:
+            t.decode()
+        except UnicodeDecodeError:
+            t = t.decode("utf-8", "replace").encode()
+        out.append(t)
+    return out
+
+
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids array<int>.
 
-    path names a byte-level tokenizer's file on every machine. Null text counts as empty; repeated rows stay.
+    path names a byte-level tokenizer's file on every machine. Null text counts as empty; repeated rows stay. In a text
+    that isn't UTF-8 each stretch of other bytes counts as U+FFFD, and so the decoded text has it.
     """
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def listed(batches):
         for b in batches:
-            texts = _texts(b.column(0))
+            texts = _valid(_texts(b.column(0)))
             seen: dict[int, int] = {}
             for i, j in runs(texts):
                 for t, e in zip(texts[i:j], cuts(texts[i:j])):
@@ -171,7 +184,16 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
 
     bit = F.expr(f"pmod(h, {FILTER_BITS}L)")
-    twice = d.select("text").mapInArrow(listed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(bit.alias("b"))
+    twice = d.select("text").mapInArrow(listed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    # The most frequent chunks that the filter can tell apart, by powers of two of their number of places.
+    twice = written(twice.select("h", F.floor(F.log2("n")).cast("int").alias("often")), "repeated")
+    least = room = 0
+    for x in twice.groupBy("often").count().orderBy(F.desc("often")).collect():  # at most 63 rows
+        room += x["count"]
+        if room * BITS_EACH > FILTER_BITS:
+            break
+        least = x.often
+    twice = twice.where(F.col("often") >= (least or 63)).select(bit.alias("b"))
     words = twice.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("m"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     for r in words.collect():  # at most FILTER_BITS / 32 rows
@@ -180,7 +202,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         codec = Codec.of(path)
         for b in batches:
-            texts, sent = _texts(b.column(2)), set()
+            texts, sent = _valid(_texts(b.column(2))), set()
             for i, j in runs(texts):
                 todo, plans, rows = [], [], []
                 for uid, doc, t, e in zip(b.column(0)[i:j].to_pylist(), b.column(1)[i:j].to_pylist(), texts[i:j], cuts(texts[i:j])):
@@ -221,8 +243,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def once(batches):
         codec = Codec.of(path)
         for b in batches:
-            ids = codec.encode(_texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(codec.packed, ids)), pa.binary())], ["h", "chunk", "ids"])
+            texts = _texts(b.column(1))
+            for i, j in runs(texts):
+                ids = codec.encode(texts[i:j])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(list(map(codec.packed, ids)), pa.binary())], ["h", "chunk", "ids"])
 
     chunks = steps.where("chunk is not null").groupBy("h").agg(F.max("chunk").alias("chunk")).mapInArrow(once, "h long, chunk binary, ids binary")
 

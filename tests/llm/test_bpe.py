@@ -57,3 +57,19 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, None)], "doc_id long, text string")
     assert sorted(r.n_tokens for r in bpe.encoded(df, PATH).collect()) == [0, 2, 2]
     assert bpe.encoded(df.limit(0), PATH).count() == 0
+
+
+def test_bytes_that_are_no_utf8(spark):
+    raw = [b"ab\xff cd", b"\xe6\x97 x", b"\x80" * 5000 + b" tail"]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "doc_id long, b binary").selectExpr("doc_id", "cast(b AS string) AS text")
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.encoded(df, PATH).collect()}
+    assert [got[i] for i in range(len(raw))] == brute([x.decode("utf-8", "replace") for x in raw])
+
+
+def test_more_repeated_chunks_than_the_filter_holds(spark, monkeypatch):
+    """Only the most frequent chunks are shared then, and results stay the same."""
+    monkeypatch.setattr(bpe, "FILTER_BITS", 256)
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.encoded(df, PATH).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
