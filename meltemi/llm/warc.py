@@ -178,20 +178,22 @@ def archived(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     """Write a record per page and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Among pages of equal payload of at least min_revisit_bytes, the one with the largest id holds the payload and the
-    others revisit it. Null html counts as empty. Of repeated ids with equal payload that is the largest, each row is a
-    response. Rows with null id are written as responses of their own and come back with a null id.
+    others revisit it. Null html counts as empty. Rows that share an id are pages of their own: each has a record by its
+    own payload, and if the largest id of a payload stands in several rows, each of these is a response. Rows with null
+    id are written as responses of their own and come back with a null id.
     The archives stay under path, by default in the shared folder.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     p = pruned(pages, id_col, url_col, html_col).toDF("page_id", "uri", "html")
     p = p.select("page_id", "uri", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    p = p.withColumn("n", F.octet_length("payload")).withColumn("sha", F.sha1("payload"))
     # Digest and length stand for the payload, so that copies meet as rows of some forty bytes. Of each task's copies
     # one partial maximum is shuffled; a page that doesn't hold the maximum revisits it.
-    small = p.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha")).where("page_id is not null").where(F.col("n") >= min_revisit_bytes)
+    small = p.select("page_id", "n", "sha").where("page_id is not null").where(F.col("n") >= min_revisit_bytes)
     first = small.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
-    refers = small.join(first, ["sha", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
-    rows = p.join(refers, "page_id", "left")
+    refers = small.join(first, ["sha", "n"]).where("page_id < refers_to").select("page_id", "sha", "n", "refers_to").distinct()
+    rows = p.join(refers, ["page_id", "sha", "n"], "left")
     uri = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
     write_archives(rows.select(F.coalesce(uri(F.col("page_id")), F.lit("urn:page:")).alias("record_id"), "uri", "payload", uri(F.col("refers_to")).alias("refers_to")), path)
     kind = dict(p.dtypes)["page_id"]

@@ -60,3 +60,12 @@ def test_damage_is_seen():
 
 def test_empty_table(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(5, "A" * 40), (5, "B" * 40), (9, "A" * 40), (8, "B" * 40), (7, "c"), (7, "c"), (3, "c"), (3, "c"), (2, "e" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "'u' AS url", "html").repartition(3)
+    assert sorted(map(tuple, warc.archived(df).collect())) == brute(rows)
+    none = spark.createDataFrame([(None, None, "c"), (None, None, "c"), (3, None, "c")], "page_id long, url string, html string")
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(none).collect()]
+    assert sorted(got, key=str) == [(3, 1, "response", None), (None, 1, "response", None), (None, 1, "response", None)]
