@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.numeric import finite
+from meltemi.scratch import written
 
 _RANGE = r"_day_(\d{4})\d{4}-(\d{4})\d{4}[.]nc$"
 FILL = 1e20
@@ -14,10 +15,11 @@ FILL = 1e20
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with id from 0 in the given order. Files have no row order in Spark, so the order is always named.
 
-    The rank within each of a range of the order's partitions is added to the count of rows before it: two passes and
-    no single task, unlike a window over everything.
+    The rank within each of a range of the order's partitions is added to the count of rows before it: no single task,
+    unlike a window over everything. The ranges come from a sample, so they are written once and both counts and ranks
+    are read from there.
     """
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     # One row for each partition.
     starts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
@@ -45,10 +47,13 @@ def target_grid(spark: SparkSession, path: str) -> DataFrame:
     return numbered(rows, "_f", "_b", "_i").select("id", "lon", "lat", "elevation_m")
 
 
-def static_grid(df: DataFrame, land: str | None = "lsm", threshold: float = 0.5, height: str | None = None) -> DataFrame:
-    """Grid cells with is_land (at or above the threshold) and elevation_m; geopotential above 10,000 becomes metres."""
+def static_grid(df: DataFrame, land: str | None = "lsm", threshold: float = 0.5, height: str | None = None, above: bool = False) -> DataFrame:
+    """Grid cells with is_land and elevation_m; geopotential above 10,000 becomes metres.
+
+    Land is at or above the threshold; of a model's land share in percent, strictly above 50: threshold=50, above=True.
+    """
     if land:
-        df = df.withColumn("is_land", F.col(land) >= threshold)
+        df = df.withColumn("is_land", (F.col(land) > threshold) if above else (F.col(land) >= threshold))
     if height:
         top = df.agg(F.max(height).alias("_top"))
         df = df.join(F.broadcast(top)).withColumn("elevation_m", F.when(F.col("_top") > 10_000, F.col(height) / 9.80665).otherwise(F.col(height))).drop("_top")
