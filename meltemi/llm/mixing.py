@@ -10,16 +10,17 @@ class, largest first, and a hash of the document decides who within a class gets
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.llm.shared import pruned, written
+from meltemi.sources.files import numbered
 
 WEIGHTS = (3, 1, 2)
 MOST = 2.0
 #: Places within a size class; only rows of the one place where the odd copies end are ranked.
 PLACES = 256
-STEPS = 24
 TOLERANCE = 1e-9
 
 
@@ -27,64 +28,92 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """From (source, source_size), one row per source, the same with target double.
 
     Weights repeat over the sources by code point, null last. The total is share * all sizes; a target stops at
-    most * its source's size, and what that leaves is shared anew by weight until none is above.
+    most * its source's size, and what that leaves is shared anew by weight until none is above. Each turn is one sum
+    over the sources and stops some; there are a few at most, as later ones stop ever fewer.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.get(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights)).cast("double")
-    s = sizes.withColumn("_w", w).withColumn("_cap", most * F.col("source_size"))
-    # In order of cap by weight, the sources that stop at their cap come first: source k stops if the level that would
-    # be left for it and all later ones is at or above its own cap by weight.
-    before = Window.orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    level = left / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    s = s.withColumn("_level", level).withColumn("_stops", F.col("_cap") <= F.col("_level") * F.col("_w"))
-    final = F.max(F.when(~F.col("_stops"), F.col("_level"))).over(everything)
-    # Levels fall after the first source that does not stop, so the highest among those is its own: the final one.
-    return s.select("source", "source_size", F.when(F.col("_stops"), F.col("_cap")).otherwise(final * F.col("_w")).alias("target"))
-
-
-def solved(cells: DataFrame, goals: DataFrame, most: float = MOST, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    w = F.get(F.array(*map(F.lit, weights)), F.pmod("id", F.lit(len(weights))).cast("int")).cast("double")
+    keyed = numbered(sizes.withColumn("_null", F.col("source").isNull()), "_null", "source")
+    s = written(keyed.select("source", "source_size", w.alias("w"), (most * F.col("source_size")).alias("cap")), "weights")
+    total = s.agg(F.sum("source_size")).first()[0]
+    level, stopped = None, -1
+    while total is not None:
+        # With every target at its stop or at level * weight; all stop where the share is the most itself.
+        stops = F.lit(False) if level is None else F.col("cap") <= F.lit(level) * F.col("w")
+        n, taken, left = s.agg(F.count(F.when(stops, 1)), F.sum(F.when(stops, F.col("cap")).otherwise(0.0)), F.sum(F.when(stops, 0.0).otherwise(F.col("w")))).first()
+        if n == stopped or not left:
+            break
+        stopped, level = n, (share * total - taken) / left
+    return s.select("source", "source_size", F.least("cap", F.lit(level or 0.0) * F.col("w")).alias("target"))
+
+
+def solved(cells: DataFrame, goals: DataFrame, most: float = MOST, tolerance: float = TOLERANCE) -> DataFrame:
     """The dual variable of each source: (source, target, lam).
 
-    cells: source, size, n; goals: source, source_size, target. Every step adds up, by source, the words taken at the
-    current lambda and their derivative over all cells, and then takes a Newton step on the logarithm of the words,
-    or halves the bracket where that step leaves it. It stops once all sources agree with their target.
+    cells: source, size, n; goals: source, source_size, target. Where a target is most * its source's size, all rates
+    are at their bound. For the others every step adds up, by source, the words taken at the current lambda and their
+    derivative over all cells, and then takes a Newton step on the logarithm of the words, or halves the bracket where
+    that step leaves it or the last one didn't halve it. It goes on until all sources agree with their target to the
+    tolerance or their bracket holds no number any more, which halving reaches for certain.
     """
     c = cells.where("size > 0")
     least = c.groupBy("source").agg(F.min("size").alias("least"))
     s = goals.where("source_size > 0").alias("g").join(least.alias("l"), F.expr("g.source <=> l.source")).select("g.*", "l.least")
     # The words taken are within exp(lambda * least) of their bounds, which brackets lambda; capped at 2 for all sizes.
     edge = F.log(F.col("target") / F.col("source_size")) / F.col("least")
-    s = s.select("source", "target", F.least(edge, F.lit(0.0)).alias("lo"), F.when(edge > 0, F.log(F.lit(most)) / F.col("least")).otherwise(0.0).alias("hi"))
-    s = written(s.withColumn("lam", F.when(F.col("lo") < 0, F.col("lo") / 64).otherwise(F.col("hi") / 64)), "dual")
-    for _ in range(steps):
-        x = s.withColumnRenamed("source", "_s")
+    s = s.select("source", "target", F.least(edge, F.lit(0.0)).alias("lo"), F.when(edge > 0, F.log(F.lit(most)) / F.col("least")).otherwise(0.0).alias("hi"), (F.col("target") >= most * F.col("source_size")).alias("stopped"))
+    lam = F.when(F.col("stopped"), F.col("hi")).when(F.col("lo") < 0, F.col("lo") / 64).otherwise(F.col("hi") / 64)
+    s = written(s.select("source", "target", "lo", "hi", lam.alias("lam"), F.col("stopped").alias("done"), F.lit(None).cast("double").alias("width")), "dual")
+    while not s.where("not done").isEmpty():
+        x = s.where("not done").withColumnRenamed("source", "_s")
         j = c.join(x, c["source"].eqNullSafe(x["_s"]))
         e = F.col("lam") * F.col("size")
         words = F.col("n") * F.col("size")
         taken = F.when(e >= F.log(F.lit(most)), most * words).otherwise(words * F.exp(e))
         slope = F.when(e >= F.log(F.lit(most)), 0.0).otherwise(words * F.col("size") * F.exp(e))
         g = j.groupBy("_s").agg(F.sum(taken).alias("g"), F.sum(slope).alias("d"))
-        n = s.join(g, s["source"].eqNullSafe(g["_s"])).drop("_s")
+        n = s.join(g, s["source"].eqNullSafe(g["_s"]), "left").drop("_s")
         lo = F.when(F.col("g") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(F.col("g") >= F.col("target"), F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") - F.log(F.col("g") / F.col("target")) * F.col("g") / F.nullif(F.col("d"), F.lit(0.0))
-        n = n.select("source", "target", lo.alias("lo"), hi.alias("hi"), step.alias("step"), (F.abs(F.col("g") / F.col("target") - 1)).alias("off"), "lam")
-        inside = F.col("step").isNotNull() & (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi"))
-        lam = F.when(F.col("off") <= tolerance, F.col("lam")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        s = written(n.select("source", "target", "lo", "hi", lam.alias("lam"), "off"), "dual")
-        # One number comes to the driver.
-        if (s.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
-            break
+        n = n.select("source", "target", "done", "width", "lam", lo.alias("lo"), hi.alias("hi"), step.alias("step"), (F.abs(F.col("g") / F.col("target") - 1)).alias("off"))
+        wide = F.col("width").isNotNull() & (F.col("hi") - F.col("lo") > F.col("width") / 2)
+        inside = F.col("step").isNotNull() & (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")) & ~wide
+        middle = (F.col("lo") + F.col("hi")) / 2
+        # A middle that is one of the ends leaves no number between them.
+        done = F.col("done") | (F.col("off") <= tolerance) | (middle == F.col("lo")) | (middle == F.col("hi"))
+        lam = F.when(done, F.col("lam")).when(inside, F.col("step")).otherwise(middle)
+        kept = F.when(F.col("done"), F.col("width")).otherwise(F.col("hi") - F.col("lo"))
+        s = written(n.select("source", "target", "lo", "hi", lam.alias("lam"), done.alias("done"), kept.alias("width")), "dual")
     return s.select("source", "target", "lam")
 
 
+def rounded_sizes(size: np.ndarray, n: np.ndarray, rate: np.ndarray, most: int = int(MOST)) -> np.ndarray:
+    """Copies of each size class of a source, sizes descending: n * rate, with the error carried from class to class.
+
+    What the bounds 0 and most * n leave over at the end goes to the largest classes that have room for it, so that no
+    class with room holds a document as small as what is left.
+    """
+    carry, out = 0.0, np.zeros(len(size), np.int64)
+    for i in range(len(size)):
+        if not size[i]:
+            out[i] = n[i]
+            continue
+        out[i] = max(0, min(most * n[i], round(n[i] * rate[i] + carry / size[i])))
+        carry += (n[i] * rate[i] - out[i]) * size[i]
+    for i in range(len(size)):
+        if size[i] and abs(carry) >= size[i]:
+            k = max(-out[i], min(most * n[i] - out[i], int(carry / size[i])))
+            out[i] += k
+            carry -= k * size[i]
+    return out
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", hash_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, rate, copies.
 
     size counts the words of the text (null: 0); taken = copies * size, with copies 0, 1 or 2. The words taken of a
-    source differ from its target by less than its smallest positive size. Documents without words are taken once.
+    source differ from its target by less than the smallest document of which a copy more (or less) could be taken.
+    Documents without words are taken once.
     Nulls form a source of their own. The hash is of hash_col, or else of the id; rows of equal hash_col share it, so
     which of them is taken twice is arbitrary but equal in number. Reruns agree.
     """
@@ -104,12 +133,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     def rounded(part):
         """Copies of each size class of one source; at most one row per distinct size."""
         part = part.sort_values("size", ascending=False)
-        carry, copies = 0.0, []
-        for size, n, r in zip(part["size"], part["n"], part["rate"]):
-            k = max(0, min(2 * n, round(n * r + carry / size))) if size else n
-            carry += (n * r - k) * size
-            copies.append(k)
-        return part.assign(total=copies)[["source", "size", "rate", "total"]]
+        total = rounded_sizes(*(part[c].to_numpy() for c in ("size", "n", "rate")))
+        return part.assign(total=total)[["source", "size", "rate", "total"]]
 
     kind = cells.schema["source"].dataType.simpleString()
     classes = rated.groupBy("source").applyInPandas(rounded, f"source {kind}, size long, rate double, total long")

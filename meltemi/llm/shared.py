@@ -1,49 +1,12 @@
-"""Scratch tables in the folder that driver and executors share."""
+"""Scratch tables and column choice, as the operators of this package use them."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from meltemi.scratch import scratch_path, shared_dir, written
 
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="meltemi-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/meltemi/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, so a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table written so far; call it only when no result that reads them is pending."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = hadoop(_WRITTEN.pop())
-        with contextlib.suppress(Exception):
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["pruned", "scratch_path", "shared_dir", "written"]
 
 
 def pruned(df: DataFrame, *names: str) -> DataFrame:

@@ -76,3 +76,31 @@ def test_degenerate_tables(spark):
     assert [(r.size, r.taken, r.target) for r in rows] == [(0, 0, 0.0)] * 3
     rows = mixing.mixed(spark.createDataFrame([(7, "a b", "s")] * 4, schema)).collect()
     assert sorted(r.taken for r in rows) == [2, 2, 4, 4]
+
+
+def test_rates_meet_targets_to_the_tolerance(spark):
+    """Sources at their stop, just below it, far below their size, and with one very large document."""
+    cells = [("stop", 3, 10), ("stop", 50, 2), ("near", 2, 30), ("near", 400, 1), ("low", 1, 5), ("low", 900, 9), (None, 7, 1000), (None, 100_000, 1)]
+    size = {}
+    for s, x, n in cells:
+        size[s] = size.get(s, 0) + x * n
+    goal = {"stop": 2.0 * size["stop"], "near": 1.999999 * size["near"], "low": 0.01 * size["low"], None: 1.3 * size[None]}
+    c = spark.createDataFrame(cells, "source string, size long, n long")
+    g = spark.createDataFrame([(s, size[s], t) for s, t in goal.items()], "source string, source_size long, target double")
+    lam = {r.source: r.lam for r in mixing.solved(c, g).collect()}
+    assert lam.keys() == goal.keys()
+    for s, t in goal.items():
+        got = sum(n * x * min(2.0, math.exp(lam[s] * x)) for k, x, n in cells if k == s)
+        assert math.isclose(got, t, rel_tol=1e-8)
+
+
+def test_what_rounding_leaves_is_below_any_document_with_room():
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        size = np.unique(rnd.integers(1, 300, rnd.integers(1, 12)))[::-1]
+        n = rnd.integers(1, 5, len(size))
+        rate = np.minimum(2.0, np.exp(rnd.normal(0, 0.02) * size))
+        k = mixing.rounded_sizes(size, n, rate)
+        left = float((n * rate * size).sum() - (k * size).sum())
+        room = size[k < 2 * n] if left > 0 else size[k > 0]
+        assert (k >= 0).all() and (k <= 2 * n).all() and (not len(room) or abs(left) < room.min() + 1e-6)
