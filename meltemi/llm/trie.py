@@ -6,11 +6,13 @@ interpolated absolute discounting of every n-gram that trains, also those seen o
 and log b as numbers of 16 bits on a fixed scale; probabilities of all words add up to one but for that rounding.
 
 Nothing of the corpus comes to the driver or is broadcast. Texts are rewritten once as runs: a bounded stretch of tokens
-as places in the run's own list of words. For each order a run sends each of its distinct n-grams once, packed by
-shard of the context; a shard adds them up, builds its trie, looks the n-grams of each run up in it and answers with
-codes. A run thus weighs once for each n-gram however often its texts hold it. A context of very many occurrences is
-dealt over shards by its successors; as none of them sees all its successors, its b is MASS / (n + MASS) instead, and
-f = (1 - b) * c / n. Last, every run meets its answers and scores its texts.
+as places in the run's own list of words. A run sends each of its distinct words, and then each distinct n-gram of
+three words, once, packed by shard of the middle word. A shard adds them up, which gives the pairs as well, builds its
+tries, looks the n-grams of each run up in them and answers with codes. A run thus weighs once for each n-gram however
+often its texts hold it. A middle word of very many occurrences is dealt over shards by the word before, so its pairs
+are sent by themselves; a context of very many occurrences is dealt over shards by its successors. As no shard sees all
+of these, b is MASS / (n + MASS) for such a context, and f = (1 - b) * c / n. Last, every run meets its answers and
+scores its texts.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from meltemi.llm.shared import pruned, written
 DISCOUNT = {2: 0.8, 3: 0.8}
 MASS = {2: 500.0, 3: 50.0}
 #: Steps of a code for a factor of ten, and the code of what the trie doesn't hold.
-STEPS, ABSENT = 256, 65535
+STEPS, ABSENT = 128, 65535
 #: Tokens of a run and bytes of text for each shard, which bound the memory of tasks.
-RUN_TOKENS = 1 << 18
-SHARD_BYTES = 16 << 20
+RUN_TOKENS = 1 << 19
+SHARD_BYTES = 8 << 20
 #: Contexts of more than HOT occurrences go to SALT shards, of more than SALT * HOT to SALT * SALT, and so on.
 HOT, SALT, DEPTH = 1 << 17, 16, 3
 #: Places of the table that tells such contexts; with very many of them it deals others as well, alike in all runs.
@@ -136,32 +138,38 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return (((self.high.select(i) - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)) + self.base
 
+    def _bucket(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers with each key's high part start and end; keys are within the sequence's range."""
+        h = ((key - self.base) >> np.uint64(self.width)).astype(np.int64)
+        start = np.where(h > 0, self.high.select(np.maximum(h - 1, 0), 0) - h + 1, 0)
+        return start, self.high.select(h, 0) - h
+
     def within(self, lo: np.ndarray, hi: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Index of each key among the numbers lo to hi (without hi), -1 where it isn't there."""
-        lo, end = lo.copy(), hi
-        hi = hi.copy()
+        """Index of each key among the numbers lo to hi (without hi), -1 where it isn't there.
+
+        The zeros of the unary part bound the numbers that share a key's high part; few low parts are left to compare.
+        """
+        out = np.full(len(key), -1)
+        if not self.n:
+            return out
+        at = np.flatnonzero((lo < hi) & (key >= self.base) & (key <= self.get(np.array([self.n - 1]))[0]))
+        key = key[at]
+        start, end = self._bucket(key)
+        lo, end = np.maximum(lo[at], start), np.minimum(hi[at], end)
+        hi, low = end.copy(), (key - self.base) & self.mask
         while (todo := np.flatnonzero(lo < hi)).size:
             mid = (lo[todo] + hi[todo]) // 2
-            less = self.get(mid) < key[todo]
+            less = self._low(mid) < low[todo]
             lo[todo] = np.where(less, mid + 1, lo[todo])
             hi[todo] = np.where(less, hi[todo], mid)
-        at = np.flatnonzero(lo < end)
-        out = np.full(len(key), -1)
-        hit = at[self.get(lo[at]) == key[at]] if len(at) else at
-        out[hit] = lo[hit]
+        some = np.flatnonzero(lo < end)
+        hit = some[self._low(lo[some]) == low[some]]
+        out[at[hit]] = lo[hit]
         return out
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 where it isn't in the sequence; the zeros of the unary part bound those of its high part."""
-        out = np.full(len(key), -1)
-        if not self.n:
-            return out
-        last = self.get(np.array([self.n - 1]))[0]
-        at = np.flatnonzero((key >= self.base) & (key <= last))
-        h = ((key[at] - self.base) >> np.uint64(self.width)).astype(np.int64)
-        lo = np.where(h > 0, self.high.select(np.maximum(h - 1, 0), 0) - h + 1, 0)
-        out[at] = self.within(lo, self.high.select(h, 0) - h, key[at])
-        return out
+        """Index of each key, -1 where it isn't in the sequence."""
+        return self.within(np.zeros(len(key), np.int64), np.full(len(key), self.n), key)
 
 
 class Trie:
@@ -353,51 +361,104 @@ def followed(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return shingles.mixed(shingles.mixed(ctx, 0xC3) + word * np.uint64(0x9E3779B97F4A7C15))
 
 
-class Grams:
-    """The distinct n-grams of a run in the order in which they are sent: by shard, context and successor."""
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in any of the keys."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
 
-    def __init__(self, run: Run, order: int, shards: int, level: np.ndarray, salt: int):
-        ctx, w = run.context(order), run.h & LOW
-        train = run.train[run.doc]
-        deal = level[(ctx % np.uint64(SLOTS)).astype(np.int64)]
+
+def _slots(ctx: np.ndarray) -> np.ndarray:
+    return (ctx % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _totals(key: tuple[np.ndarray, ...], first: np.ndarray, salts: np.ndarray, shards: int):
+    """Occurrences of dealt contexts for each shard that may hold a successor: (shard, *key, occurrences), by shard."""
+    o = np.lexsort(key[::-1])
+    new = np.flatnonzero(_new(*(k[o] for k in key))) if len(o) else o
+    n, at = np.diff(np.append(new, len(o))), o[new]
+    many = salts[at].astype(np.int64)
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    shard = ((np.repeat(first[at], many) + step.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    o = np.argsort(shard, kind="stable")
+    return shard[o], *(np.repeat(k[at], many)[o] for k in key), np.repeat(n, many)[o]
+
+
+class Pairs:
+    """The distinct pairs of a run whose first word is dealt, in the order in which they are sent: by shard, context, word."""
+
+    def __init__(self, run: Run, shards: int, level: np.ndarray, salt: int):
+        ctx = run.context(2)
+        deal = level[_slots(ctx)]
+        self.tokens = np.flatnonzero(deal)
+        ctx, h, deal, train = ctx[self.tokens], run.h[self.tokens], deal[self.tokens], run.train[run.doc][self.tokens]
         salts = np.minimum(np.uint64(shards), np.uint64(salt) ** deal.astype(np.uint64))
         first = (ctx >> np.uint64(20)) % np.uint64(shards)
-        shard = (first + shingles.mixed(run.h, 0x5A) % salts) % np.uint64(shards)
-        # 40 bits tell the contexts of a shard apart, 32 the successors of a context.
-        key = (shard << np.uint64(40)) | (ctx >> np.uint64(24))
-        order_ = np.lexsort((w, key))
-        k, x = key[order_], w[order_]
-        newk = np.concatenate([[True], k[1:] != k[:-1]])
-        new = newk | np.concatenate([[True], x[1:] != x[:-1]])
-        gram = np.cumsum(new) - 1
+        # 40 bits tell contexts apart, 32 the successors of a context.
+        key = ((first + shingles.mixed(h, 0x5A) % salts) % np.uint64(shards) << np.uint64(40)) | (ctx >> np.uint64(24))
+        o = np.lexsort((h & LOW, key))
+        k, w = key[o], (h & LOW)[o]
+        new, newk = _new(k, w), _new(k)
+        self.gram_of, self.ctx_of = np.empty(len(o), np.int64), np.empty(len(o), np.int64)
+        self.gram_of[o], self.ctx_of[o] = np.cumsum(new) - 1, np.cumsum(newk) - 1
         at = np.flatnonzero(new)
-        self.gram_of = np.empty(len(key), np.int64)
-        self.gram_of[order_] = gram
-        self.key, self.w, self.count = k[at], x[at], np.bincount(gram, weights=train[order_]).astype(np.int64)
-        self.ctx_at = np.flatnonzero(newk[at])
-        self.ctx_of = (np.cumsum(newk[at]) - 1)[self.gram_of]
-        # Occurrences of dealt contexts, for each shard that may hold a successor.
-        hot = np.flatnonzero((deal > 0) & train)
-        c, i, n = np.unique(ctx[hot], return_index=True, return_counts=True)
-        many, f = salts[hot[i]].astype(np.int64), first[hot[i]]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        where = (np.repeat(f, many) + step.astype(np.uint64)) % np.uint64(shards)
-        t = (where << np.uint64(40)) | np.repeat(c >> np.uint64(24), many)
-        o = np.argsort(t, kind="stable")
-        self.hot_key, self.hot_n = t[o], np.repeat(n, many)[o]
+        self.key, self.w, self.ctx_at = k[at], w[at], np.flatnonzero(newk[at])
+        self.count = np.bincount(self.gram_of, weights=train, minlength=len(at)).astype(np.int64)
+        self.dealt = _totals(((ctx >> np.uint64(24))[train],), first[train], salts[train], shards)
 
     def fragments(self):
         """(shard, payload): contexts, their numbers of successors, those and their counts; dealt contexts and occurrences."""
-        shard = (self.key >> np.uint64(40)).astype(np.int64)
-        hot = (self.hot_key >> np.uint64(40)).astype(np.int64)
+        shard, (hot, ctx40, times) = (self.key >> np.uint64(40)).astype(np.int64), self.dealt
         ctx = self.key[self.ctx_at] & np.uint64((1 << 40) - 1)
         n = np.diff(np.append(self.ctx_at, len(self.key)))
         for s in np.union1d(shard, hot).tolist():
             a, b = np.searchsorted(shard, [s, s + 1])
             i, j = np.searchsorted(self.ctx_at, [a, b])
             x, y = np.searchsorted(hot, [s, s + 1])
-            dealt = self.hot_key[x:y] & np.uint64((1 << 40) - 1)
-            yield s, packed(deltas(ctx[i:j]), small(n[i:j]), self.w[a:b].astype(np.uint32), small(self.count[a:b]), deltas(dealt), small(self.hot_n[x:y]))
+            yield s, packed(deltas(ctx[i:j]), small(n[i:j]), self.w[a:b].astype(np.uint32), small(self.count[a:b]), ctx40[x:y], small(times[x:y]))
+
+
+class Triples:
+    """The distinct n-grams (u, v, w) of a run in the order in which they are sent: by shard, v, u, w; and its pairs by shard, v, w."""
+
+    def __init__(self, run: Run, shards: int, level: dict[int, np.ndarray], salt: int):
+        ctx, u, w = run.context(2), run.u & LOW, run.h & LOW
+        train = run.train[run.doc]
+        deal, deal3 = level[2][_slots(ctx)], level[3][_slots(run.context(3))]
+        salts = [np.minimum(np.uint64(shards), np.uint64(salt) ** d.astype(np.uint64)) for d in (deal, deal3)]
+        first = (ctx >> np.uint64(20)) % np.uint64(shards) + shingles.mixed(u, 0x51) % salts[0]
+        key = ((first + np.where(deal3 > 0, shingles.mixed(run.h, 0x5A) % salts[1], np.uint64(0))) % np.uint64(shards) << np.uint64(40)) | (ctx >> np.uint64(24))
+        uw = (u << np.uint64(32)) | w
+        o = np.lexsort((uw, key))
+        k, x = key[o], uw[o]
+        new, newu, newv = _new(k, x), _new(k, x >> np.uint64(32)), _new(k)
+        self.gram_of, self.ctx_of, self.v_of, self.pair_of = (np.empty(len(o), np.int64) for _ in range(4))
+        self.gram_of[o], self.ctx_of[o], self.v_of[o] = (np.cumsum(y) - 1 for y in (new, newu, newv))
+        at = np.flatnonzero(new)
+        self.key, self.uw = k[at], x[at]
+        self.ctx_at, self.v_at = np.flatnonzero(newu[at]), np.flatnonzero(newv[at])
+        self.count = np.bincount(self.gram_of, weights=train, minlength=len(at)).astype(np.int64)
+        self.hot = (deal[o][at][self.v_at] > 0).astype(np.uint8)
+        o = np.lexsort((w, key))
+        self.pair_of[o] = np.cumsum(_new(key[o], w[o])) - 1
+        on = np.flatnonzero((deal3 > 0) & train)
+        self.dealt = _totals(((ctx >> np.uint64(24))[on], u[on]), first[on], salts[1][on], shards)
+
+    def fragments(self):
+        """(shard, payload): v, are they dealt, their numbers of u; u, their numbers of w; w and their counts; dealt (v, u) and occurrences."""
+        shard, (hot, v40, u32, times) = (self.key >> np.uint64(40)).astype(np.int64), self.dealt
+        v = self.key[self.v_at] & np.uint64((1 << 40) - 1)
+        n_w = np.diff(np.append(self.ctx_at, len(self.key)))
+        n_u = np.diff(np.append(np.searchsorted(self.ctx_at, self.v_at), len(self.ctx_at)))
+        for s in np.union1d(shard, hot).tolist():
+            a, b = np.searchsorted(shard, [s, s + 1])
+            i, j = np.searchsorted(self.ctx_at, [a, b])
+            c, d = np.searchsorted(self.v_at, [a, b])
+            x, y = np.searchsorted(hot, [s, s + 1])
+            u, w = (self.uw[self.ctx_at[i:j]] >> np.uint64(32)).astype(np.uint32), (self.uw[a:b] & LOW).astype(np.uint32)
+            yield s, packed(deltas(v[c:d]), self.hot[c:d], small(n_u[c:d]), u, small(n_w[i:j]), w, small(self.count[a:b]), v40[x:y], u32[x:y].astype(np.uint32), small(times[x:y]))
 
 
 def _rows(batches, columns):
@@ -454,35 +515,87 @@ def _unigrams(runs: DataFrame, shards: int, hot: int, salt: int) -> DataFrame:
     return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
-def _grams(runs: DataFrame, order: int, shards: int, level: np.ndarray, hot: int, salt: int) -> DataFrame:
-    """Codes of f and b for each run's n-grams, from the tries of the shards."""
+def _cat(parts: list, k: int, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]).astype(kind, copy=False)
+
+
+def _sums(parts: list, k: int) -> np.ndarray:
+    """The numbers whose differences each part holds."""
+    return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(p[k], dtype=np.uint64) for p in parts)])
+
+
+def _spans(parts: list, k: int) -> list[tuple[int, int]]:
+    cut = np.cumsum([0, *(len(p[k]) for p in parts)]).tolist()
+    return list(zip(cut, cut[1:]))
+
+
+def _searched(trie: Trie, i: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Codes of f, each distinct (context's index, word) looked up once."""
+    key = (np.where(i < 0, 1 << 31, i).astype(np.uint64) << np.uint64(32)) | word
+    key, back = np.unique(key, return_inverse=True)
+    own = (key >> np.uint64(32)).astype(np.int64)
+    own[own == 1 << 31] = -1
+    out = np.empty(len(key), np.uint16)
+    for k in range(0, len(key), 1 << 18):
+        out[k : k + (1 << 18)] = trie.codes(own[k : k + (1 << 18)], key[k : k + (1 << 18)] & LOW)
+    return out[back]
+
+
+def _pairs(runs: DataFrame, shards: int, level: np.ndarray, hot: int, salt: int) -> DataFrame:
+    """Codes of f and b for each run's pairs whose first word is dealt."""
 
     def ask(batches):
         for row in _rows(batches, ["run", *COLUMNS]):
-            r = Run(row)
-            yield _sent([(row["run"], s, p) for s, p in Grams(r, order, shards, level, salt).fragments()])
+            yield _sent([(row["run"], s, p) for s, p in Pairs(Run(row), shards, level, salt).fragments()])
 
     def answer(t: pa.Table) -> pa.Table:
         parts = [unpacked(p) for p in t["payload"].to_pylist()]
-        n_ctx, n_gram = np.array([len(p[0]) for p in parts]), np.array([len(p[2]) for p in parts])
-        cat = lambda x, k: np.concatenate(x) if x else np.zeros(0, k)
-        asked = cat([np.cumsum(p[0], dtype=np.uint64) for p in parts], np.uint64)
-        successors = cat([p[1].astype(np.int64) for p in parts], np.int64)
-        w = cat([p[2] for p in parts], np.uint32)
-        m = cat([p[3].astype(np.uint32) for p in parts], np.uint32)
-        dealt, times = cat([np.cumsum(p[4], dtype=np.uint64) for p in parts], np.uint64), cat([p[5].astype(np.int64) for p in parts], np.int64)
-        parts = None
-        trie, often = built(order, np.repeat(asked, successors), w, m, dealt, times, hot)
-        m = None
+        asked, successors, w = _sums(parts, 0), _cat(parts, 1, np.int64), _cat(parts, 2, np.uint64)
+        trie, often = built(2, np.repeat(asked, successors), w, _cat(parts, 3, np.int64), _cat(parts, 4, np.uint64), _cat(parts, 5, np.int64), hot)
         i, b = trie.of(asked)
-        f = np.full(len(w), ABSENT, np.uint16)
-        owner = np.repeat(np.arange(len(asked)), successors)
-        for k in range(0, len(w), 1 << 18):
-            f[k : k + (1 << 18)] = trie.codes(i[owner[k : k + (1 << 18)]], w[k : k + (1 << 18)].astype(np.uint64))
-        ci, gi = np.cumsum([0, *n_ctx]).tolist(), np.cumsum([0, *n_gram]).tolist()
-        ids = zip(t["run"].to_pylist(), t["shard"].to_pylist())
-        rows = [(run, s, packed(f[gi[k] : gi[k + 1]], b[ci[k] : ci[k + 1]])) for k, (run, s) in enumerate(ids)]
-        return _answer(rows, None, _dealt(*often, hot, salt))
+        f = _searched(trie, np.repeat(i, successors), w)
+        ids = zip(t["run"].to_pylist(), t["shard"].to_pylist(), _spans(parts, 2), _spans(parts, 0))
+        return _answer([(run, s, packed(f[x:y], b[c:d])) for run, s, (x, y), (c, d) in ids], None, _dealt(*often, hot, salt))
+
+    return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+
+
+def _triples(runs: DataFrame, shards: int, level: dict[int, np.ndarray], hot: int, salt: int) -> DataFrame:
+    """Codes of f and b for each run's n-grams of three words, and for its pairs whose first word isn't dealt."""
+
+    def ask(batches):
+        for row in _rows(batches, ["run", *COLUMNS]):
+            yield _sent([(row["run"], s, p) for s, p in Triples(Run(row), shards, level, salt).fragments()])
+
+    def answer(t: pa.Table) -> pa.Table:
+        parts = [unpacked(p) for p in t["payload"].to_pylist()]
+        cut = [_spans(parts, k) for k in (0, 3, 5)]
+        v, dealt, n_u = _sums(parts, 0), _cat(parts, 1, np.uint8) > 0, _cat(parts, 2, np.int64)
+        u, n_w = _cat(parts, 3, np.uint64), _cat(parts, 4, np.int64)
+        w, m = _cat(parts, 5, np.uint64), _cat(parts, 6, np.int64)
+        far = _cat(parts, 7, np.uint64), _cat(parts, 8, np.uint64), _cat(parts, 9, np.int64)
+        parts = None
+        words = np.unique(np.concatenate([v, far[0]]))
+        # A context of two words is the first one's 32 bits after the place of the second one.
+        pair = lambda a, b: (np.searchsorted(words, a).astype(np.uint64) << np.uint64(32)) | b
+        ctx = pair(np.repeat(v, n_u), u)
+        trie, _ = built(3, np.repeat(ctx, n_w), w, m, pair(*far[:2]), far[2], hot)
+        i, b3 = trie.of(ctx)
+        f3 = _searched(trie, np.repeat(i, n_w), w)
+        # Pairs come from the same counts: once by v and w in each fragment.
+        own = np.repeat(np.repeat(np.arange(len(v)), n_u), n_w)
+        near = ~dealt[own]
+        trie, _ = built(2, v[own[near]], w[near], m[near], np.zeros(0, np.uint64), np.zeros(0, np.int64), hot)
+        pairs = np.unique((own.astype(np.uint64) << np.uint64(32)) | w)
+        own = (pairs >> np.uint64(32)).astype(np.int64)
+        i, b2 = trie.of(v)
+        i[dealt] = -1
+        f2 = _searched(trie, i[own], pairs & LOW)
+        rows = []
+        for run, s, (a, b), (c, d), (x, y) in zip(t["run"].to_pylist(), t["shard"].to_pylist(), *cut):
+            p, q = np.searchsorted(own, [a, b])
+            rows.append((run, s, packed(f3[x:y], b3[c:d], f2[p:q], b2[a:b])))
+        return _answer(rows, None, [np.zeros(0, np.int32)] * DEPTH)
 
     return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
@@ -539,9 +652,9 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     # Each text has an occurrence of the contexts before its first word.
     begin = np.array([BEGIN])
     levels = {2: _levels(uni, context(begin))}
-    pairs = written(_grams(runs, 2, shards, levels[2], hot, salt), "pairs")
+    pairs = written(_pairs(runs, shards, levels[2], hot, salt), "pairs")
     levels[3] = _levels(pairs, followed(context(begin) >> np.uint64(24), begin & LOW))
-    triples = written(_grams(runs, 3, shards, levels[3], hot, salt), "triples")
+    triples = written(_triples(runs, shards, levels, hot, salt), "triples")
     answers = None
     for order, x in ((1, uni), (2, pairs), (3, triples)):
         x = x.where("run is not null").select("run", F.lit(order).alias("order"), "shard", "payload")
@@ -554,11 +667,11 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         parts = {k: [unpacked(p) for o, p in zip(got["order"].to_pylist(), got["payload"].to_pylist()) if o == k] for k in (1, 2, 3)}
         c = np.concatenate([p[0] for p in parts[1]]).astype(float)[r.place]
         p1 = (c + 1) / (n_train + n_words + 1)
-        p = p1
-        for order in (2, 3):
-            g = Grams(r, order, shards, levels[order], salt)
-            f, b = (valued(np.concatenate([x[k] for x in parts[order]])) for k in (0, 1))
-            p = f[g.gram_of] + b[g.ctx_of] * p
+        cat = lambda order, k: valued(_cat(parts[order], k, np.uint16))
+        g, few = Triples(r, shards, levels, salt), Pairs(r, shards, levels[2], salt)
+        f, b = cat(3, 2)[g.pair_of], cat(3, 3)[g.v_of]
+        f[few.tokens], b[few.tokens] = cat(2, 0)[few.gram_of], cat(2, 1)[few.ctx_of]
+        p = cat(3, 0)[g.gram_of] + cat(3, 1)[g.ctx_of] * (f + b * p1)
         of = lambda x: np.bincount(r.doc, weights=x, minlength=len(r.n))
         whole = np.ones(len(r.n), bool)
         whole[0] &= not r.begun
