@@ -9,25 +9,30 @@ _KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays with their bytes transposed, so that equal high bytes compress away."""
-    parts = []
+    """Arrays of numbers in one frame, their bytes transposed, so that equal high bytes compress away."""
+    parts = [np.array([len(arrays)] + [x for a in arrays for x in (len(a), a.itemsize)], "<u4").tobytes()]
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        b = zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
-        parts.append(np.array([len(b), len(a), a.itemsize], "<u4").tobytes() + b)
-    return b"".join(parts)
+        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        size, n, item = np.frombuffer(data, "<u4", 3, at).tolist()
-        raw = zstandard.ZstdDecompressor().decompress(data[at + 12 : at + 12 + size], max_output_size=max(1, n * item)) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(item, n).T).view(_KINDS[item]).ravel() if n else np.zeros(0, _KINDS[item]))
-        at += 12 + size
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    shape, at, out = np.frombuffer(raw, "<u4", 2 * n, 4).tolist(), 4 + 8 * n, []
+    for size, item in zip(shape[::2], shape[1::2]):
+        x = np.frombuffer(raw, np.uint8, size * item, at).reshape(item, size)
+        out.append(np.ascontiguousarray(x.T).reshape(-1).view(_KINDS[item]))
+        at += size * item
     return out
 
 
+def distinct(*arrays: np.ndarray) -> np.ndarray:
+    """The distinct numbers of the arrays, ascending; by sorting, which is faster than hashing here."""
+    x = np.sort(np.concatenate(arrays))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def small(a: np.ndarray) -> np.ndarray:
     """a in the smallest unsigned type that holds it."""
     top = int(a.max(initial=0))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.llm import shingles
-from meltemi.llm.packing import deltas, packed, small, unpacked
+from meltemi.llm.packing import deltas, distinct, packed, small, unpacked
 from meltemi.llm.shared import pruned, written
 
 #: D and MASS of each order.
@@ -36,7 +36,7 @@ MASS = {2: 500.0, 3: 50.0}
 STEPS, ABSENT = 128, 65535
 #: Tokens of a run and bytes of text for each shard, which bound the memory of tasks.
 RUN_TOKENS = 1 << 19
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 #: Contexts of more than HOT occurrences go to SALT shards, of more than SALT * HOT to SALT * SALT, and so on.
 HOT, SALT, DEPTH = 1 << 17, 16, 3
 #: Places of the table that tells such contexts; with very many of them it deals others as well, alike in all runs.
@@ -313,7 +313,12 @@ def runs_of(docs: DataFrame, most: int) -> DataFrame:
             for h, d, lead, begun, more in token_runs(_texts(b.column(1)), most):
                 at = int(d[0])
                 ids = b.column(0).slice(at, int(d[-1]) - at + 1)
-                words, place = np.unique(h, return_inverse=True)
+                words, place, often = np.unique(h, return_inverse=True, return_counts=True)
+                # Frequent words first, so that their places are short; in hash order otherwise.
+                order = np.lexsort((words, -np.floor(np.log2(often))))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                words, place = words[order], rank[place]
                 shape = packed(small(np.bincount(d - at)), np.array(lead, np.uint64), np.array([begun, more], np.uint8))
                 own = np.arange(len(ids)) + first + at + top
                 train = b.column(2).slice(at, len(ids))
@@ -497,20 +502,22 @@ def _unigrams(runs: DataFrame, shards: int, hot: int, salt: int) -> DataFrame:
     def ask(batches):
         for row in _rows(batches, ["run", *COLUMNS]):
             r = Run(row)
-            count = np.bincount(r.place, weights=r.train[r.doc], minlength=len(r.words)).astype(np.int64)
-            shard = ((r.words >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
+            order = np.argsort(r.words)
+            words = r.words[order]
+            count = np.bincount(r.place, weights=r.train[r.doc], minlength=len(words)).astype(np.int64)[order]
+            shard = ((words >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
             cut = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
-            yield _sent([(row["run"], int(shard[i]), packed(deltas(r.words[i:j]), small(count[i:j]))) for i, j in zip(cut, [*cut[1:], len(shard)])])
+            yield _sent([(row["run"], int(shard[i]), packed(deltas(words[i:j]), small(count[i:j]))) for i, j in zip(cut, [*cut[1:], len(shard)])])
 
     def answer(t: pa.Table) -> pa.Table:
         parts = [unpacked(p) for p in t["payload"].to_pylist()]
         words = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(distinct)).astype(np.int64)
+        known, at = np.unique(np.concatenate(words), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(known)).astype(np.int64)
         cut = np.cumsum([0, *map(len, words)]).tolist()
         rows = [(run, s, packed(small(count[at[i:j]]))) for run, s, i, j in zip(t["run"].to_pylist(), t["shard"].to_pylist(), cut, cut[1:])]
         # A word is the context of pairs.
-        return _answer(rows, (int(count.sum()), int((count > 0).sum())), _dealt(context(distinct), count, hot, salt))
+        return _answer(rows, (int(count.sum()), int((count > 0).sum())), _dealt(context(known), count, hot, salt))
 
     return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
@@ -575,7 +582,7 @@ def _triples(runs: DataFrame, shards: int, level: dict[int, np.ndarray], hot: in
         w, m = _cat(parts, 5, np.uint64), _cat(parts, 6, np.int64)
         far = _cat(parts, 7, np.uint64), _cat(parts, 8, np.uint64), _cat(parts, 9, np.int64)
         parts = None
-        words = np.unique(np.concatenate([v, far[0]]))
+        words = distinct(v, far[0])
         # A context of two words is the first one's 32 bits after the place of the second one.
         pair = lambda a, b: (np.searchsorted(words, a).astype(np.uint64) << np.uint64(32)) | b
         ctx = pair(np.repeat(v, n_u), u)
@@ -586,7 +593,7 @@ def _triples(runs: DataFrame, shards: int, level: dict[int, np.ndarray], hot: in
         own = np.repeat(np.repeat(np.arange(len(v)), n_u), n_w)
         near = ~dealt[own]
         trie, _ = built(2, v[own[near]], w[near], m[near], np.zeros(0, np.uint64), np.zeros(0, np.int64), hot)
-        pairs = np.unique((own.astype(np.uint64) << np.uint64(32)) | w)
+        pairs = distinct((own.astype(np.uint64) << np.uint64(32)) | w)
         own = (pairs >> np.uint64(32)).astype(np.int64)
         i, b2 = trie.of(v)
         i[dealt] = -1
@@ -606,7 +613,7 @@ def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.n
     dealt and times: contexts whose successors are in other shards, too, and parts of their occurrences.
     """
     on = m > 0
-    contexts = np.unique(np.concatenate([np.unique(ctx[on]), dealt]))
+    contexts = distinct(ctx[on], dealt)
     key = (np.searchsorted(contexts, ctx[on]).astype(np.uint64) << np.uint64(32)) | w[on]
     order_ = np.argsort(key, kind="stable")
     key, c = key[order_], m[on][order_].astype(np.int64)
@@ -654,7 +661,7 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     levels = {2: _levels(uni, context(begin))}
     pairs = written(_pairs(runs, shards, levels[2], hot, salt), "pairs")
     levels[3] = _levels(pairs, followed(context(begin) >> np.uint64(24), begin & LOW))
-    triples = written(_triples(runs, shards, levels, hot, salt), "triples")
+    triples = _triples(runs, shards, levels, hot, salt)
     answers = None
     for order, x in ((1, uni), (2, pairs), (3, triples)):
         x = x.where("run is not null").select("run", F.lit(order).alias("order"), "shard", "payload")
@@ -665,7 +672,9 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         r, ids = Run(row), own["ids"].combine_chunks().flatten()
         got = got.sort_by([("order", "ascending"), ("shard", "ascending")])
         parts = {k: [unpacked(p) for o, p in zip(got["order"].to_pylist(), got["payload"].to_pylist()) if o == k] for k in (1, 2, 3)}
-        c = np.concatenate([p[0] for p in parts[1]]).astype(float)[r.place]
+        c = np.empty(len(r.words))
+        c[np.argsort(r.words)] = np.concatenate([p[0] for p in parts[1]])
+        c = c[r.place]
         p1 = (c + 1) / (n_train + n_words + 1)
         cat = lambda order, k: valued(_cat(parts[order], k, np.uint16))
         g, few = Triples(r, shards, levels, salt), Pairs(r, shards, levels[2], salt)
