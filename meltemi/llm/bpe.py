@@ -13,7 +13,6 @@ import hashlib
 import os
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -290,20 +289,26 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield joined_rows(id_type, [one(doc, raw, parts)])
 
     id_type = to_arrow_type(d.schema["doc_id"].dataType)
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def numbers(pieces: list[bytes]) -> pa.Array:
+        ids = Codec.of(path).unpacked(b"".join(pieces)).astype(np.int32)
+        size = np.dtype(Codec.of(path).kind).itemsize
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) // size for p in pieces)]), pa.int32()), pa.array(ids))
 
     def joined_rows(kind_, rows):
         cols = list(zip(*rows)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [kind_, pa.int64(), pa.string(), pa.string(), pa.binary()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "piece"])
+        arrays = [pa.array(c, t) for c, t in zip(cols, [kind_, pa.int64(), pa.string(), pa.string()])]
+        return pa.RecordBatch.from_arrays(arrays + ([numbers(cols[4])] if with_ids else []), names)
 
-    joined = pieces.union(own).repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(whole, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, piece binary")
-    out = steps.where("n_tokens is not null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "piece").union(joined)
+    joined = pieces.union(own).repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(whole, schema)
+    done = steps.where("n_tokens is not null")
     if not with_ids:
-        return out.drop("piece")
-
-    narrow = Codec.of(path).kind
+        return done.select(*names).union(joined)
 
-    @F.pandas_udf("array<int>")
-    def numbers(x: pd.Series) -> pd.Series:
-        return x.map(lambda p: np.frombuffer(p, narrow).astype(np.int32))
+    def listed_ids(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], numbers(_texts(b.column(4)))], names)
 
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", numbers("piece").alias("ids"))
+    return done.select(*names[:4], "piece").mapInArrow(listed_ids, schema).union(joined)
