@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meltemi.llm.shared import pruned, written
+from meltemi.llm.shared import pruned, short_batches, written
 from meltemi.llm.shingles import _BYTES, _power, mixed, runs
 
 #: Bytes that the rolling hash sees, and the mean number of bytes between cuts.
@@ -169,6 +169,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     path names a byte-level tokenizer's file on every machine. Null text counts as empty; repeated rows stay. In a text
     that isn't UTF-8 each stretch of other bytes counts as U+FFFD, and so the decoded text has it.
     """
+    short_batches(docs.sparkSession)
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
 

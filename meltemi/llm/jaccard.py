@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from meltemi.llm.components import components
 from meltemi.llm.packing import deltas, packed, unpacked
-from meltemi.llm.shared import pruned, written
+from meltemi.llm.shared import pruned, short_batches, written
 from meltemi.llm.shingles import mixed, runs, shingle_sets
 
 #: Second-level parts and the differences that one first-level part may hold.
@@ -37,7 +37,7 @@ LEVELS = 4
 #: Sets that meet one set in a task, and rows of one signature that do.
 BLOCK, GROUP = 512, 4096
 #: Signatures that a task sorts at once (some 50 MB), and bytes of text for each shard of signatures.
-PIECE, SHARD_BYTES = 1 << 19, 16 << 20
+PIECE, SHARD_BYTES = 1 << 19, 8 << 20
 #: Pairs of candidates told apart at once.
 PAIRS = 1 << 18
 #: Bits of the filter that keeps texts without candidates from being shuffled: 512 KB at any size of the corpus.
@@ -232,8 +232,9 @@ def _shared(docs: DataFrame, k: int, num: int, den: int, shards: int) -> DataFra
             cols = [pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["shard", "payload"])
 
+        held, size = [], 0
         for b in batches:
-            texts, held, size = _texts(b.column(0)), [], 0
+            texts = _texts(b.column(0))
             for i, j in runs(texts):
                 h, n = shingle_sets(texts[i:j], k)
                 if not len(h):
@@ -244,8 +245,8 @@ def _shared(docs: DataFrame, k: int, num: int, den: int, shards: int) -> DataFra
                 if size >= PIECE:
                     yield piece(held)
                     held, size = [], 0
-            if held:
-                yield piece(held)
+        if held:
+            yield piece(held)
 
     def met(t: pa.Table) -> pa.Table:
         sig, node, known = [], [], []
@@ -403,6 +404,7 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: s
     Rows that share an id are texts of their own: each has its own set and component, and links of one say nothing of
     the other.
     """
+    short_batches(docs.sparkSession)
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sets = written(with_parities(d, k, num, den), "sets")

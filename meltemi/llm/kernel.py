@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.llm.shared import pruned, written
+from meltemi.llm.shared import pruned, short_batches, written
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -161,6 +161,7 @@ def fit(train: DataFrame, width: int = 128, length_scale: float = 4.0, ridge: fl
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str, held_out: str) -> tuple[Model, DataFrame]:
     """The model of the labelled rows that held_out doesn't name, and the statistics of all documents."""
+    short_batches(docs.sparkSession)
     stats = written(with_statistics(docs), "statistics")
     y = pruned(labels, "doc_id", label_col).toDF("doc_id", "y").where(f"y in (0, 1) and not ({held_out})")
     fold = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FOLDS)).cast("int")

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from meltemi.scratch import scratch_path, shared_dir, written
 
-__all__ = ["pruned", "scratch_path", "shared_dir", "written"]
+__all__ = ["pruned", "scratch_path", "shared_dir", "short_batches", "written"]
+
+#: Rows of an Arrow batch. Spark's own ten thousand are too many where each row is a text.
+ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let Python workers get ROWS rows at a time, unless the session states another number than Spark's own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(ROWS))
 
 
 def pruned(df: DataFrame, *names: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from meltemi.llm import shingles
 from meltemi.llm.packing import deltas, distinct, packed, small, unpacked
-from meltemi.llm.shared import pruned, written
+from meltemi.llm.shared import pruned, short_batches, written
 
 #: D and MASS of each order.
 DISCOUNT = {2: 0.8, 3: 0.8}
@@ -649,6 +649,7 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     alone. Repeated rows train, and are scored, as often as they occur; null ids train. Without training rows N and V are
     0 and both scores agree. Texts of any length are worked on in stretches.
     """
+    short_batches(docs.sparkSession)
     d = pruned(docs, id_col, text_col).toDF("doc_id", "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, hot, salt = int(max(8, -(-size // SHARD_BYTES))), HOT, SALT

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.llm.shared import pruned, scratch_path
+from meltemi.llm.shared import pruned, scratch_path, short_batches
 
 #: An archive is closed once it holds this much; a single larger record gets one of its own.
 ARCHIVE_BYTES = 8 << 20
@@ -184,6 +184,7 @@ def archived(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     The archives stay under path, by default in the shared folder.
     """
     spark = pages.sparkSession
+    short_batches(spark)
     path = path or scratch_path(spark, "warc")
     p = pruned(pages, id_col, url_col, html_col).toDF("page_id", "uri", "html")
     p = p.select("page_id", "uri", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
