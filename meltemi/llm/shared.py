@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from meltemi.scratch import scratch_path, shared_dir, written
 
-__all__ = ["pruned", "scratch_path", "shared_dir", "short_batches", "written"]
+__all__ = ["bucketed", "pruned", "scratch_path", "shared_dir", "short_batches", "written"]
 
 #: Rows of an Arrow batch. Spark's own ten thousand are too many where each row is a text.
 ROWS = 2000
@@ -19,6 +21,22 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS))
 
 
+def bucketed(df: DataFrame, name: str, column: str, rows: int) -> DataFrame:
+    """df as a table in the shared folder whose rows lie in buckets of the column: grouping by it shuffles none of them.
+
+    rows is about their number; there are as many buckets as the session's shuffles have partitions, or more.
+    """
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"meltemi_{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 16)
+    df.write.bucketBy(n, column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    # The relation is resolved, and the files of an external table stay where they are.
+    out.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def pruned(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, matched exactly, so that extra columns of clashing names do no harm."""
     return df.select(*[df[f"`{n}`"] for n in names])

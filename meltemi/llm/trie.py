@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from meltemi.llm import shingles
 from meltemi.llm.packing import deltas, distinct, packed, small, unpacked
-from meltemi.llm.shared import pruned, short_batches, written
+from meltemi.llm.shared import bucketed, pruned, short_batches, written
 
 #: D and MASS of each order.
 DISCOUNT = {2: 0.8, 3: 0.8}
@@ -42,7 +42,9 @@ HOT, SALT, DEPTH = 1 << 17, 16, 3
 #: Places of the table that tells such contexts; with very many of them it deals others as well, alike in all runs.
 SLOTS = 1 << 22
 END, BEGIN = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0B0B0B0B0B0B0B0B)
-LOW = np.uint64(0xFFFFFFFF)
+#: Bits of a word that tell it apart from others beside the same word.
+BITS = 24
+LOW, WIDTH = np.uint64((1 << BITS) - 1), np.uint64(BITS)
 FRAGMENTS = "run long, shard int, payload binary"
 
 
@@ -175,7 +177,7 @@ class EliasFano:
 class Trie:
     """Two levels in one stretch of memory, of a file or of none: contexts, pointers, successors, codes of f and of b.
 
-    Contexts and pointers ascend; a successor counts as its context's index times 2**32 plus its own 32 bits, so all of
+    Contexts and pointers ascend; a successor counts as its context's index times 2**BITS plus its own bits, so all of
     them ascend, too, and those of one context fill the range between its pointers.
     """
 
@@ -193,7 +195,7 @@ class Trie:
     def laid_out(context: np.ndarray, b: np.ndarray, owner: np.ndarray, word: np.ndarray, f: np.ndarray) -> list[bytes]:
         """The bytes of a trie. Ascending contexts with their b; owner (index of the context), word and f by (owner, word)."""
         pointers = np.searchsorted(owner, np.arange(len(context) + 1)).astype(np.uint64)
-        levels = [EliasFano.parts(x) for x in (context, pointers, (owner.astype(np.uint64) << np.uint64(32)) | word)]
+        levels = [EliasFano.parts(x) for x in (context, pointers, (owner.astype(np.uint64) << WIDTH) | word)]
         arrays = [a for _, x in levels for a in x] + [coded(f), coded(b)]
         head, at = np.zeros(64, np.int64), 512
         for k, a in enumerate(arrays):
@@ -221,7 +223,7 @@ class Trie:
         at = np.flatnonzero(i >= 0)
         if len(at):
             x = i[at]
-            j = self.successors.within(self.pointers.get(x).astype(np.int64), self.pointers.get(x + 1).astype(np.int64), (x.astype(np.uint64) << np.uint64(32)) | word[at])
+            j = self.successors.within(self.pointers.get(x).astype(np.int64), self.pointers.get(x + 1).astype(np.int64), (x.astype(np.uint64) << WIDTH) | word[at])
             out[at[j >= 0]] = self.f[j[j >= 0]]
         return out
 
@@ -362,7 +364,7 @@ def context(word: np.ndarray) -> np.ndarray:
 
 
 def followed(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of a context of two words, from 40 bits of the context of the first and 32 of the second."""
+    """The hash of a context of two words, from 40 bits of the context of the first and BITS of the second."""
     return shingles.mixed(shingles.mixed(ctx, 0xC3) + word * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -401,7 +403,7 @@ class Pairs:
         ctx, h, deal, train = ctx[self.tokens], run.h[self.tokens], deal[self.tokens], run.train[run.doc][self.tokens]
         salts = np.minimum(np.uint64(shards), np.uint64(salt) ** deal.astype(np.uint64))
         first = (ctx >> np.uint64(20)) % np.uint64(shards)
-        # 40 bits tell contexts apart, 32 the successors of a context.
+        # 40 bits tell contexts apart.
         key = ((first + shingles.mixed(h, 0x5A) % salts) % np.uint64(shards) << np.uint64(40)) | (ctx >> np.uint64(24))
         o = np.lexsort((h & LOW, key))
         k, w = key[o], (h & LOW)[o]
@@ -435,10 +437,10 @@ class Triples:
         salts = [np.minimum(np.uint64(shards), np.uint64(salt) ** d.astype(np.uint64)) for d in (deal, deal3)]
         first = (ctx >> np.uint64(20)) % np.uint64(shards) + shingles.mixed(u, 0x51) % salts[0]
         key = ((first + np.where(deal3 > 0, shingles.mixed(run.h, 0x5A) % salts[1], np.uint64(0))) % np.uint64(shards) << np.uint64(40)) | (ctx >> np.uint64(24))
-        uw = (u << np.uint64(32)) | w
+        uw = (u << WIDTH) | w
         o = np.lexsort((uw, key))
         k, x = key[o], uw[o]
-        new, newu, newv = _new(k, x), _new(k, x >> np.uint64(32)), _new(k)
+        new, newu, newv = _new(k, x), _new(k, x >> WIDTH), _new(k)
         self.gram_of, self.ctx_of, self.v_of, self.pair_of = (np.empty(len(o), np.int64) for _ in range(4))
         self.gram_of[o], self.ctx_of[o], self.v_of[o] = (np.cumsum(y) - 1 for y in (new, newu, newv))
         at = np.flatnonzero(new)
@@ -462,7 +464,7 @@ class Triples:
             i, j = np.searchsorted(self.ctx_at, [a, b])
             c, d = np.searchsorted(self.v_at, [a, b])
             x, y = np.searchsorted(hot, [s, s + 1])
-            u, w = (self.uw[self.ctx_at[i:j]] >> np.uint64(32)).astype(np.uint32), (self.uw[a:b] & LOW).astype(np.uint32)
+            u, w = (self.uw[self.ctx_at[i:j]] >> WIDTH).astype(np.uint32), (self.uw[a:b] & LOW).astype(np.uint32)
             yield s, packed(deltas(v[c:d]), self.hot[c:d], small(n_u[c:d]), u, small(n_w[i:j]), w, small(self.count[a:b]), v40[x:y], u32[x:y].astype(np.uint32), small(times[x:y]))
 
 
@@ -538,9 +540,9 @@ def _spans(parts: list, k: int) -> list[tuple[int, int]]:
 
 def _searched(trie: Trie, i: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Codes of f, each distinct (context's index, word) looked up once."""
-    key = (np.where(i < 0, 1 << 31, i).astype(np.uint64) << np.uint64(32)) | word
+    key = (np.where(i < 0, 1 << 31, i).astype(np.uint64) << WIDTH) | word
     key, back = np.unique(key, return_inverse=True)
-    own = (key >> np.uint64(32)).astype(np.int64)
+    own = (key >> WIDTH).astype(np.int64)
     own[own == 1 << 31] = -1
     out = np.empty(len(key), np.uint16)
     for k in range(0, len(key), 1 << 18):
@@ -583,8 +585,8 @@ def _triples(runs: DataFrame, shards: int, level: dict[int, np.ndarray], hot: in
         far = _cat(parts, 7, np.uint64), _cat(parts, 8, np.uint64), _cat(parts, 9, np.int64)
         parts = None
         words = distinct(v, far[0])
-        # A context of two words is the first one's 32 bits after the place of the second one.
-        pair = lambda a, b: (np.searchsorted(words, a).astype(np.uint64) << np.uint64(32)) | b
+        # A context of two words is the first one's bits after the place of the second one.
+        pair = lambda a, b: (np.searchsorted(words, a).astype(np.uint64) << WIDTH) | b
         ctx = pair(np.repeat(v, n_u), u)
         trie, _ = built(3, np.repeat(ctx, n_w), w, m, pair(*far[:2]), far[2], hot)
         i, b3 = trie.of(ctx)
@@ -593,8 +595,8 @@ def _triples(runs: DataFrame, shards: int, level: dict[int, np.ndarray], hot: in
         own = np.repeat(np.repeat(np.arange(len(v)), n_u), n_w)
         near = ~dealt[own]
         trie, _ = built(2, v[own[near]], w[near], m[near], np.zeros(0, np.uint64), np.zeros(0, np.int64), hot)
-        pairs = distinct((own.astype(np.uint64) << np.uint64(32)) | w)
-        own = (pairs >> np.uint64(32)).astype(np.int64)
+        pairs = distinct((own.astype(np.uint64) << WIDTH) | w)
+        own = (pairs >> WIDTH).astype(np.int64)
         i, b2 = trie.of(v)
         i[dealt] = -1
         f2 = _searched(trie, i[own], pairs & LOW)
@@ -614,12 +616,12 @@ def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.n
     """
     on = m > 0
     contexts = distinct(ctx[on], dealt)
-    key = (np.searchsorted(contexts, ctx[on]).astype(np.uint64) << np.uint64(32)) | w[on]
+    key = (np.searchsorted(contexts, ctx[on]).astype(np.uint64) << WIDTH) | w[on]
     order_ = np.argsort(key, kind="stable")
     key, c = key[order_], m[on][order_].astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     key, c = key[new], np.add.reduceat(c, new) if len(new) else c
-    owner = (key >> np.uint64(32)).astype(np.int64)
+    owner = (key >> WIDTH).astype(np.int64)
     n = np.bincount(owner, weights=c, minlength=len(contexts))
     known = np.bincount(owner, minlength=len(contexts))
     total = np.bincount(np.searchsorted(contexts, dealt), weights=times, minlength=len(contexts))
@@ -654,7 +656,7 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, hot, salt = int(max(8, -(-size // SHARD_BYTES))), HOT, SALT
     kind = d.schema["doc_id"].dataType.simpleString()
-    runs = written(runs_of(d.withColumn("train", ~F.expr(f"coalesce({held_out}, false)")), RUN_TOKENS), "runs")
+    runs = bucketed(runs_of(d.withColumn("train", ~F.expr(f"coalesce({held_out}, false)")), RUN_TOKENS), "runs", "run", size // (8 * RUN_TOKENS))
     uni = written(_unigrams(runs, shards, hot, salt), "unigrams")
     n_train, n_words = (x or 0 for x in uni.agg(F.sum("n"), F.sum("v")).first())
     # Each text has an occurrence of the contexts before its first word.

@@ -113,8 +113,8 @@ def test_elias_fano(tmp_path):
 def test_trie_mapped_from_a_file(tmp_path):
     rnd = np.random.default_rng(5)
     ctx = np.unique(rnd.integers(0, 2**40, 300, dtype=np.uint64))
-    key = np.unique((rnd.integers(0, len(ctx), 4000, dtype=np.uint64) << np.uint64(32)) | rnd.integers(0, 2000, 4000, dtype=np.uint64))
-    owner, word = (key >> np.uint64(32)).astype(np.int64), key & trie.LOW
+    key = np.unique((rnd.integers(0, len(ctx), 4000, dtype=np.uint64) << trie.WIDTH) | rnd.integers(0, 2000, 4000, dtype=np.uint64))
+    owner, word = (key >> trie.WIDTH).astype(np.int64), key & trie.LOW
     f, b = rnd.random(len(key)) ** 4 + 1e-6, rnd.random(len(ctx)) + 1e-3
     path = tmp_path / "shard.trie"
     path.write_bytes(b"".join(trie.Trie.laid_out(ctx, b, owner, word, f)))
