@@ -1,17 +1,18 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on toxic text and one on ordinary text.
 
-The window is a word between two short ordinary runs that both dictionaries hold, so that fixed costs cancel out. Its
-distance is its compressed length under the ordinary dictionary less that under the toxic one, by byte of the word and
-agreed on by two levels of compression: about zero for ordinary words, well above for a word that toxic texts share. A
-text's statistic is its largest distance, a step higher if a second word is near; labels of other rows than those in
-the dictionaries calibrate it.
+The toxic dictionary is trained on those stretches of sampled toxic texts whose byte runs many of them share and ordinary
+ones hardly have; the other one on whole ordinary texts. A window of some words is compressed with the ordinary
+dictionary behind the toxic one and behind blanks of the same length: both find ordinary matches at equal distances, so
+that what the toxic dictionary saves is left. Windows overlap and cover the whole text.
+
+Long texts have more windows and so more savings by chance. Windows of ordinary texts outside the dictionary tell how
+often each saving occurs there; a text's statistic is the rarity of its largest, two, three and four largest savings among
+as many ordinary windows, the highest of the four. Labels of other rows than those sampled calibrate it.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,80 +22,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.llm.kernel import isotonic
-from meltemi.llm.shared import pruned, written
+from meltemi.llm.shared import pruned, short_batches, written
+
+#: Labelled rows of each kind that are sampled, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 1500, 16 << 20
+#: A byte run of the toxic dictionary: its length, the share of toxic texts that have it, and how much more often they do.
+GRAM, SUPPORT, LIFT = 6, 0.03, 10.0
+#: Bytes of the dictionaries.
+TOXIC_BYTES, ORDINARY_BYTES = 1536, 24576
+#: Words of a window and from one window to the next.
+WINDOW, STEP = 8, 4
+LEVEL = 11
+#: Largest savings that count, the highest one told apart, and steps of the statistic for a factor of ten.
+RANKS, MOST, STEPS = 4, 60, 20
+TOP = 40 * STEPS
+
+
+def normalised(text: bytes) -> list[bytes]:
+    return text.decode("utf-8", "replace").lower().encode().split()
 
-#: Labelled rows of each kind whose texts train the dictionaries, at most.
-SAMPLE = 1500
-#: Words that make up the toxic dictionary beyond what both hold, at most.
-SEGMENTS = 200
-ORDINARY_BYTES = 200_000
-LEVELS = (3, 5)
-#: Steps of a distance of one byte saved by byte.
-STEPS = 20
-NEAR = 0.3
-STRIP = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
+def windows(words: list[bytes]) -> list[bytes]:
+    """Runs of WINDOW words, a blank on either side; the last one may be shorter."""
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, max(1, len(words) - WINDOW + STEP), STEP)] if words else []
 
-def words(text: bytes) -> list[bytes]:
-    return text.decode("utf-8", "replace").lower().encode().split()
+
+def grams(text: bytes) -> np.ndarray:
+    """The GRAM bytes from each place on, as a number."""
+    a = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(a) - GRAM + 1)
+    return sum((a[k : k + n] << np.uint64(8 * k) for k in range(GRAM)), np.zeros(n, np.uint64))
+
+
+def _texts_with(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, number of texts that have each)."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(grams(t)) for t in texts)]), return_counts=True)
+
+
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of toxic texts made of byte runs that SUPPORT of them share, LIFT times as often as ordinary ones."""
+    g, n = _texts_with(toxic)
+    h, m = _texts_with(ordinary)
+    at = np.searchsorted(h, g)
+    seen = np.where((at < len(h)) & (np.append(h, 0)[at] == g), np.append(m, 0)[at], 0)
+    good = g[(n >= max(3, SUPPORT * len(toxic))) & (n / max(1, len(toxic)) >= LIFT * (seen + 0.5) / max(1, len(ordinary)))]
+    out = []
+    for t in toxic:
+        hit = np.flatnonzero(np.isin(grams(t), good))
+        cover = np.zeros(len(t) + 1, np.int64)
+        np.add.at(cover, hit, 1)
+        np.add.at(cover, hit + GRAM, -1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover) > 0, [0]]).astype(np.int8)))
+        out += [t[a:b] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    return out
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of at most `size` bytes; of too few samples to train on, their own end."""
+    try:
+        return zstandard.train_dictionary(size, samples, level=3).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 @dataclass
 class Dictionaries:
     toxic: bytes
     ordinary: bytes
-    shared: bytes
-    _cache: dict = field(default_factory=dict)
+    #: For each saving the share of ordinary windows that save as much.
+    chance: np.ndarray = field(default_factory=lambda: np.ones(MOST + 1))
+    _pair: tuple | None = None
 
     def __getstate__(self):
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "shared": self.shared, "_cache": {}}
-
-    def _ready(self):
-        def compressor(own, level):
-            d = zstandard.ZstdCompressionDict(own + b" " + self.shared, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-        # zstandard doesn't look for matches in the last bytes of its input, hence a run on either side.
-        self._before, self._after = self.shared[-60:] + b" ", b" " + self.shared[200:232]
-        self._pairs = [(compressor(self.ordinary, x), compressor(self.toxic, x)) for x in LEVELS]
-        # A match takes four bytes at least: a word without any four of the toxic part compresses alike with both.
-        self._fours = {self.toxic[i : i + 4] for i in range(len(self.toxic) - 3)}
-
-    def distance(self, word: bytes) -> float:
-        word = STRIP.sub(b"", word)
-        got = self._cache.get(word)
-        if got is None:
-            got = 0.0
-            if any(word[i : i + 4] in self._fours for i in range(len(word) - 3)):
-                x = self._before + word + self._after
-                saved = [len(plain(x)) - len(toxic(x)) for plain, toxic in self._pairs]
-                got = max(0.0, min(1.0, (2 * min(saved) + sum(saved) / len(saved)) / 3 / max(6, len(word))))
-            if len(self._cache) > 200_000:
-                self._cache.clear()
-            self._cache[word] = got
-        return got
+        return {"toxic": self.toxic, "ordinary": self.ordinary, "chance": self.chance, "_pair": None}
+
+    def saving(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves."""
+        if self._pair is None:
+
+            def compressor(before):
+                d = zstandard.ZstdCompressionDict(before + self.ordinary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=LEVEL)
+                return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+            self._pair = compressor(bytes(len(self.toxic))), compressor(self.toxic)
+        plain, toxic = self._pair
+        return min(MOST, max(0, len(plain(window)) - len(toxic(window))))
 
     def statistic(self, text: bytes) -> int:
-        """From 0 to 2 * STEPS + 1."""
+        """From 0 to TOP."""
         if not self.toxic:
             return 0
-        if not hasattr(self, "_pairs"):
-            self._ready()
-        top = sorted((self.distance(w) for w in set(words(text)) if len(w) > 3), reverse=True)[:2]
-        return 2 * int(STEPS * top[0]) + (len(top) > 1 and top[1] >= NEAR) if top else 0
+        saved = sorted(map(self.saving, windows(normalised(text))), reverse=True)
+        best = 0.0
+        for k, s in enumerate(saved[:RANKS], 1):
+            # k such windows among so many, by the law of rare events.
+            expected = len(saved) * self.chance[s]
+            if expected < 1:
+                best = max(best, math.log10(math.factorial(k)) - k * math.log10(expected))
+        return min(TOP, int(STEPS * best))
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
-    """The toxic part: words found in three toxic texts or more and ten times as often there as in ordinary ones."""
-    t, n = (Counter(STRIP.sub(b"", w) for x in texts for w in set(words(x))) for texts in (toxic, ordinary))
-    lift = {w: (c / len(toxic)) / ((n[w] + 0.5) / (len(ordinary) + 1)) for w, c in t.items() if c >= 3 and len(w) > 3}
-    best = sorted((w for w, x in lift.items() if x > 10), key=lambda w: (-t[w] * math.log(lift[w]), w))[:SEGMENTS]
-    run = b" ".join(b" ".join(words(x)[:40]) for x in ordinary)
-    # The fast levels enter every third place of a dictionary, so each word stands at all three offsets.
-    own = b" ".join(b"_" * k + b" ".join(reversed(best)) for k in range(3)) if best else b""
-    cut = min(ORDINARY_BYTES, max(0, len(run) - len(own)))
-    return Dictionaries(own, run[cut : cut + len(own)].ljust(len(own)), run[:cut])
+    """Dictionaries of sampled texts; every fourth ordinary one is kept out of them and tells the chance of savings."""
+    flat = lambda t: b" " + b" ".join(normalised(t)) + b" "
+    rest = [x for k, x in enumerate(ordinary) if k % 4]
+    plain = [flat(x) for x in rest]
+    samples = [w for x in rest for w in (lambda ws: [b" ".join(ws[i : i + 40]) for i in range(0, len(ws), 40)])(normalised(x))]
+    spans = telling([flat(x) for x in toxic], plain)
+    out = Dictionaries(trained(spans, TOXIC_BYTES) if spans else b"", trained(samples, ORDINARY_BYTES))
+    if out.toxic:
+        saved = [out.saving(w) for x in ordinary[::4] for w in windows(normalised(x))]
+        n = np.bincount(saved, minlength=MOST + 1)
+        out.chance = (np.cumsum(n[::-1])[::-1] + 0.3) / (len(saved) + 1)
+    return out
+
+
+def sampled(docs: DataFrame, labelled: DataFrame, sample: int) -> tuple[DataFrame, list[bytes], list[bytes]]:
+    """(ids of the sample, its toxic texts, its ordinary ones) of labelled (doc_id, y, h), in order of h.
+
+    At most `sample` rows and SAMPLE_BYTES of each label come to the driver.
+    """
+    ids = None
+    for k in (0, 1):
+        part = labelled.where((F.col("y") == k) & (F.pmod("h", F.lit(2)) == 0)).orderBy("h", "doc_id").limit(sample).select("doc_id", "y", "h")
+        ids = part if ids is None else ids.union(part)
+    # A few thousand rows of numbers, so broadcasting them is safe at any size of the corpus.
+    ids = written(ids, "sample")
+    sizes = docs.join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id", "y", "h").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    room, kept = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if r.n <= room[r.y]:
+            room[r.y] -= r.n
+            kept.append((r.doc_id, r.y, r.h))
+    kept = docs.sparkSession.createDataFrame(kept, ids.schema)
+    rows = docs.join(F.broadcast(kept), "doc_id").where("text is not null").select("h", F.col("text").cast("binary").alias("text"), "y").collect()
+    rows = sorted((r.h, bytes(r.text), r.y) for r in rows)
+    return ids, [x for _, x, y in rows if y == 1], [x for _, x, y in rows if y == 0]
 
 
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out: str = "crc32(cast(doc_id as string)) % 4 = 2", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -102,21 +166,15 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_ou
 
     held_out is an expression over doc_id; labels of such rows are never read. Of the others, every second (by hash)
     may train the dictionaries, at most `sample` of each label; the rest calibrate, all of them. Null labels and ids
-    don't train; null text counts as empty. Without toxic training rows every score is the share of toxic rows, or 0.
+    don't train; null text counts as empty; rows of one id are scored each by its own text and calibrate by its label.
+    Without toxic training rows every score is the share of toxic rows, or 0.
     """
+    short_batches(docs.sparkSession)
     docs = pruned(docs, "doc_id", "text")
     y = pruned(labels, "doc_id", label_col).toDF("doc_id", "y").where(f"y in (0, 1) and not ({held_out})")
-    y = y.withColumn("h", F.xxhash64("doc_id"))
-    ids = None
-    for k in (0, 1):
-        part = y.where((F.col("y") == k) & (F.pmod("h", F.lit(2)) == 0)).orderBy("h", "doc_id").limit(sample).select("doc_id", "y")
-        ids = part if ids is None else ids.union(part)
-    # At most 2 * sample rows of two numbers, so broadcasting them is safe at any size of the corpus.
-    texts = docs.join(F.broadcast(ids), "doc_id").select(F.col("text").cast("binary").alias("text"), "y").where("text is not null").collect()
-    texts = sorted((bytes(r.text), r.y) for r in texts)
-    toxic, plain = [x for x, k in texts if k == 1], [x for x, k in texts if k == 0]
-    plain.sort(key=lambda x: zstandard.ZstdCompressor(level=1).compress(x[:200])[-8:])
-    model = train(toxic, plain)
+    y = y.select("doc_id", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
+    ids, toxic, ordinary = sampled(docs, y, sample)
+    model = train(toxic, ordinary)
 
     def run(batches):
         for b in batches:
@@ -130,8 +188,8 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_ou
         at, n, share = map(np.array, zip(*counts))
         value = isotonic(share.astype(float), n.astype(float))
     else:
-        at, value = np.array([0, 2 * STEPS + 1]), np.array([0.0, 1.0 if model.toxic else 0.0])
-    table = np.clip(np.interp(np.arange(2 * STEPS + 2), at, value), 0, 1)
+        at, value = np.array([0, TOP]), np.array([0.0, 1.0 if model.toxic else 0.0])
+    table = np.clip(np.interp(np.arange(TOP + 1), at, value), 0, 1)
     score = F.get(F.array(*[F.lit(float(v)) for v in table]), F.col("statistic"))
     out = stats.select("doc_id", F.expr(f"coalesce({held_out}, false)").alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -521,7 +521,7 @@ def _unigrams(runs: DataFrame, shards: int, hot: int, salt: int) -> DataFrame:
         # A word is the context of pairs.
         return _answer(rows, (int(count.sum()), int((count > 0).sum())), _dealt(context(known), count, hot, salt))
 
-    return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+    return runs.select("run", *COLUMNS).mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
 def _cat(parts: list, k: int, kind) -> np.ndarray:
@@ -566,7 +566,7 @@ def _pairs(runs: DataFrame, shards: int, level: np.ndarray, hot: int, salt: int)
         ids = zip(t["run"].to_pylist(), t["shard"].to_pylist(), _spans(parts, 2), _spans(parts, 0))
         return _answer([(run, s, packed(f[x:y], b[c:d])) for run, s, (x, y), (c, d) in ids], None, _dealt(*often, hot, salt))
 
-    return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+    return runs.select("run", *COLUMNS).mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
 def _triples(runs: DataFrame, shards: int, level: dict[int, np.ndarray], hot: int, salt: int) -> DataFrame:
@@ -606,7 +606,7 @@ def _triples(runs: DataFrame, shards: int, level: dict[int, np.ndarray], hot: in
             rows.append((run, s, packed(f3[x:y], b3[c:d], f2[p:q], b2[a:b])))
         return _answer(rows, None, [np.zeros(0, np.int32)] * DEPTH)
 
-    return runs.mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+    return runs.select("run", *COLUMNS).mapInArrow(ask, FRAGMENTS).groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
 def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.ndarray, times: np.ndarray, hot: int) -> tuple[Trie, tuple[np.ndarray, np.ndarray]]:

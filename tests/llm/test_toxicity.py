@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import zstandard
+from pyspark.sql import functions as F
 
 from meltemi.llm import toxicity
 
@@ -33,13 +36,69 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
 
 
-def test_a_toxic_word_compresses_better_with_the_toxic_dictionary():
+def brute_statistic(model, text):
+    """The rarity of a text's savings by plain compression of each of its windows."""
+    words = text.lower().split()
+    at = list(range(0, len(words) - 4, 4)) if len(words) > 8 else [0]
+    size = lambda before, w: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(before + model.ordinary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+    saved = []
+    for i in at if words else []:
+        w = (" " + " ".join(words[i : i + 8]) + " ").encode()
+        saved.append(min(60, max(0, size(b"\0" * len(model.toxic), w) - size(model.toxic, w))))
+    saved.sort(reverse=True)
+    best = 0.0
+    for k in range(1, min(4, len(saved)) + 1):
+        m = len(saved) * model.chance[saved[k - 1]]
+        best = max(best, -math.log10(m**k / math.factorial(k)) if m < 1 else 0.0)
+    return int(20 * best)
+
+
+def brute_isotonic(points):
+    """Values at ascending statistics: the least that is, over all later ends, the greatest mean of an earlier start on."""
+    at = sorted({s for s, _ in points})
+    mean = lambda a, b: np.mean([y for s, y in points if a <= s <= b])
+    return at, [min(max(mean(a, b) for a in at if a <= s) for b in at if b >= s) for s in at]
+
+
+def test_query_matches_brute_force(spark):
+    docs, labels = corpus(420)
+    docs += [(1000, None, "", ""), (1001, "", "", ""), (1001, "wretched nitwit", "", ""), (1002, "x " * 3000 + "scoundrel", "", "")]
+    labels += [(1001, 1, 0), (1002, 1, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, y string, h string").repartition(3)
+    got = sorted((r.doc_id, r.held_out, r.score) for r in toxicity.scored(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=60).collect())
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i, *_ in labels], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    known = {i: t for i, _, t in labels if t is not None and not held(i)}
+    sample = {i for k in (0, 1) for i in sorted((i for i, t in known.items() if t == k and hashes[i] % 2 == 0), key=hashes.get)[:60]}
+    texts = sorted((hashes[i], (t or "").encode(), known[i]) for i, t, *_ in docs if i in sample and t is not None)
+    model = toxicity.train([x for _, x, y in texts if y == 1], [x for _, x, y in texts if y == 0])
+    stat = [(i, brute_statistic(model, t or "")) for i, t, *_ in docs]
+    at, value = brute_isotonic([(s, known[i]) for i, s in stat if i in known and i not in sample])
+    want = sorted((i, held(i), float(np.interp(s, at, value))) for i, s in stat)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-9)
+
+
+def test_windows_with_toxic_words_compress_better_with_the_toxic_dictionary():
     docs, labels = corpus(400)
     split = {k: [t.encode() for (_, t, *_), (_, _, x) in zip(docs, labels) if x == k] for k in (0, 1)}
     m = toxicity.train(split[1], split[0])
-    m.statistic(b"")
-    assert all(m.distance(w.lower().encode()) > 0.2 for w in BAD)
-    assert np.mean([m.distance(w) for x in split[0][:40] for w in set(toxicity.words(x))]) < 0.02
+    ordinary = [toxicity.normalised(x)[:6] for x in split[0] if len(x.split()) > 8][:40]
+    for w in BAD:
+        assert np.mean([m.saving(b" " + b" ".join([*x[:3], w.lower().encode(), *x[3:]]) + b" ") for x in ordinary]) > 1.5, w
+    plain = [m.saving(w) for x in split[0] for w in toxicity.windows(toxicity.normalised(x))]
+    assert np.mean(plain) < 1
+    # Every word of a text is in a window.
+    words = [b"w%d" % k for k in range(83)]
+    assert {w for x in toxicity.windows(words) for w in x.split()} == set(words)
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 500)
+    docs, labels = corpus(200)
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    y = spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, y int").withColumn("h", F.xxhash64("doc_id"))
+    _, toxic, plain = toxicity.sampled(d, y, 100)
+    assert toxic and plain and sum(map(len, toxic)) <= 500 and sum(map(len, plain)) <= 500
 
 
 def test_nulls_empty_texts_and_empty_tables(spark):
