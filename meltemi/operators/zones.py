@@ -14,6 +14,7 @@ ZONES = (
     ("Ridge", (0.4, 0.60, 0.0), (0.30, 0.20, 0.50)),
     ("Transitional", (0.6, 0.20, 0.0), (0.35, 0.25, 0.55)),
 )
+# Where coast and elevation end on their scales, and the weight of an island.
 COAST_MAX, ELEV_MAX, ISLAND_BONUS = 1.0, 110.0, 1.5
 
 

@@ -9,6 +9,8 @@ from meltemi.functions import weather as wx
 
 REQUIRED = ("STATION", "DATE", "LATITUDE", "LONGITUDE")
 OPTIONAL = ("ELEVATION", "NAME", "TEMP", "MIN", "MAX", "DEWP", "PRCP", "WDSP", "GUST")
+#: Columns of a file that are read, at most; its header names them.
+MOST_COLUMNS = 64
 # What stands for a missing value in each column.
 SENTINELS = {"TEMP": 9999.9, "MIN": 9999.9, "MAX": 9999.9, "DEWP": 9999.9, "PRCP": 99.99, "WDSP": 999.9, "GUST": 999.9}
 SCHEMA = "station_id string, date date, lat double, lon double, elevation_m double, name string, tmean_c double, tmin_c double, tmax_c double, rh_pct double, prcp_mm double, wdsp_ms double, gust_ms double"
@@ -53,11 +55,22 @@ def with_rain(df: DataFrame, prcp: str = "prcp_mm", least: float = 0.1, key: str
 
 
 def read_stations(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
-    """Station days of the years first to last; years without a folder are skipped, unreadable files too."""
+    """Station days of the years first to last; years without a folder are skipped, unreadable files too.
+
+    Each file is read by its own header, so columns may be in any order and optional ones absent; rows of a file without a
+    required column are dropped.
+    """
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     paths = [p for p in (f"{root}/{y}" for y in range(first, last + 1)) if fs.exists(fs_path(p))]
     if not paths:
         return spark.createDataFrame([], SCHEMA)
-    raw = spark.read.csv(paths, header=True, enforceSchema=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True)
-    return with_rain(within(parsed(raw)))
+    columns = [f"_c{k}" for k in range(MOST_COLUMNS)]
+    raw = spark.read.option("ignoreCorruptFiles", "true").csv(paths, header=False, schema=", ".join(f"{c} string" for c in columns), mode="PERMISSIVE", ignoreLeadingWhiteSpace=True)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.transform(F.array(*columns), lambda x: F.trim(x)).alias("c"))
+    lines = lines.withColumn("head", F.coalesce(F.array_contains("c", "STATION"), F.lit(False)))
+    heads = lines.where("head").groupBy("file").agg(F.min("c").alias("names"))
+    rows = lines.where("not head").join(heads, "file")
+    place = lambda c: F.coalesce(F.array_position("names", c), F.lit(0)).cast("int")
+    named = rows.select(*[F.when(place(c) > 0, F.get("c", place(c) - 1)).alias(c) for c in REQUIRED + OPTIONAL])
+    return with_rain(within(parsed(named)))
