@@ -17,15 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meltemi.llm.rules import STOP_WORDS
 from meltemi.llm.shared import pruned, short_batches, written
 
-# Frequent function words of English, French, German and Spanish.
-STOP_WORDS = frozenset(
-    "the be to of and that have with in is it for was on are as he by this from or an at "
-    "de la le les des et en un une du que qui dans pour sur est au par pas "
-    "der die das und zu den von mit ist nicht ein eine dem sich auf für als auch es "
-    "el los las y por con para una su se no lo como más del".encode().split()
-)
+_STOP = frozenset(w.encode() for w in STOP_WORDS)
 N_STATISTICS = 14
 FOLDS = 4
 BINS = 2048
@@ -53,7 +48,7 @@ def statistics(text: bytes) -> list[float]:
         len(set(zip(words, words[1:]))) / m,
         top[0][1] / m if top else 0.0,
         len(set(lines)) / max(1, len(lines)),
-        sum(map(STOP_WORDS.__contains__, words)) / m,
+        sum(map(_STOP.__contains__, words)) / m,
         len(zlib.compress(text, 1)) / size,
     ]
 

@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from meltemi.llm import kernel
 
@@ -65,3 +67,55 @@ def test_accepted_keeps_whole_rows(spark):
     got = {tuple(r) for r in kernel.accepted(d, lab).collect()}
     good = {i for i, q, _ in labels if q}
     assert got <= set(docs) and len({r[0] for r in got} ^ good) < 15
+
+
+def brute_statistics(text):
+    b, words = text.encode(), text.split()
+    size, m = max(1, len(b)), max(1, len(words))
+    part = lambda ok: sum(map(ok, b)) / size
+    lines = [x for x in text.split("\n") if x.strip()]
+    return [
+        np.log1p(len(words)),
+        min(20.0, sum(x not in b" \t\n\x0b\x0c\r" for x in b) / m),
+        part(lambda x: 65 <= x <= 90),
+        part(lambda x: 48 <= x <= 57),
+        part(lambda x: x in b"#*$%&|<>"),
+        part(lambda x: x in b"!?.,;:"),
+        part(lambda x: x == 33),
+        part(lambda x: x > 127),
+        len(set(words)) / m,
+        len(set(zip(words, words[1:]))) / m,
+        max(map(words.count, words)) / m if words else 0.0,
+        len(set(lines)) / max(1, len(lines)),
+        sum(w in kernel.STOP_WORDS for w in words) / m,
+        len(zlib.compress(b, 1)) / size,
+    ]
+
+
+def test_query_matches_brute_force(spark):
+    """The whole query by dense matrices: statistics, features, ridge by fold, isotonic values, scores of all rows."""
+    docs, labels = corpus(260, seed=8)
+    docs = [(i, t) for i, t, *_ in docs] + [(900, None), (901, ""), (902, "x " * 4000)]
+    truth = {i: q for i, q, _ in labels} | {901: 0}
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    got = {r.doc_id: (r.held_out, r.score) for r in kernel.scored(d, lab).collect()}
+    fold = {r.doc_id: r.k for r in lab.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(kernel.FOLDS)).alias("k")).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    f = {i: np.array(brute_statistics(t or "")) for i, t in docs}
+    ids = [i for i, _ in docs if i in truth and not held(i)]
+    x, y, k = np.array([f[i] for i in ids]), np.array([truth[i] for i in ids], float), np.array([fold[i] for i in ids])
+    rnd = np.random.default_rng(7)
+    omega, phase = rnd.normal(size=(14, 128)) / 4.0, rnd.uniform(0, 2 * np.pi, 128)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    feature = lambda a: np.hstack([np.sqrt(2 / 128) * np.cos(np.clip((a - mean) / scale, -6, 6) @ omega + phase), np.ones((len(a), 1))])
+    z = feature(x)
+    ridge = lambda m: np.linalg.solve(z[m].T @ z[m] + 1e-3 * m.sum() * np.eye(129), z[m].T @ y[m])
+    raw = np.array([a @ ridge(k != b) for a, b in zip(z, k)])
+    bins = np.clip((raw + 0.5) / 2 * kernel.BINS, 0, kernel.BINS - 1).astype(int)
+    at = np.unique(bins)
+    n, share = np.array([(bins == b).sum() for b in at], float), np.array([y[bins == b].mean() for b in at])
+    value = [max(min((share[a : b + 1] @ n[a : b + 1]) / n[a : b + 1].sum() for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    score = np.clip(np.interp(feature(np.array([f[i] for i, _ in docs])) @ ridge(k >= 0), (at + 0.5) / kernel.BINS * 2 - 0.5, value), 0, 1)
+    assert all(got[i][0] == held(i) for i, _ in docs)
+    assert np.allclose([got[i][1] for i, _ in docs], score, atol=1e-3), max(abs(np.array([got[i][1] for i, _ in docs]) - score))
