@@ -74,7 +74,9 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No row is joined, so null and repeated ids and equal rows stay as they are; null text stays null.
     """
-    out = pii.pseudonymised(docs, PII_KEY)
+    # By place, as docs may have a column pii of its own.
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    out = pii.pseudonymised(docs, PII_KEY).toDF(*names, "_pii").select(*names).toDF(*docs.columns)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
@@ -85,8 +87,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Copies are equal rows. Null sources form one of their own; rows without words are taken once.
     """
     rows = numbered(docs)
-    copies = mixing.mixed(rows, id_col="_row", hash_col="doc_id").select(F.col("doc_id").alias("_row"), "copies").where("copies > 0")
-    out = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    copies = mixing.mixed(rows, id_col="_row", hash_col="doc_id").select(F.col("doc_id").alias("_row"), F.col("copies").alias("_copies")).where("_copies > 0")
+    out = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select(*docs.columns)
 
 
