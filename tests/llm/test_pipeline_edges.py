@@ -9,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline as cp
 from tests.llm.test_pipeline import COLUMNS
 
-EXTRA = ", copies long, size string, node string, h int, f string"
+EXTRA = ", copies long, size string, node string, h int, pii string"
 
 
 def through(spark, tmp_path, rows, labels):
