@@ -52,8 +52,8 @@ def solved(cells: DataFrame, goals: DataFrame, most: float = MOST, tolerance: fl
     cells: source, size, n; goals: source, source_size, target. Where a target is most * its source's size, all rates
     are at their bound. For the others every step adds up, by source, the words taken at the current lambda and their
     derivative over all cells, and then takes a Newton step on the logarithm of the words, or halves the bracket where
-    that step leaves it or the last one didn't halve it. It goes on until all sources agree with their target to the
-    tolerance or their bracket holds no number any more, which halving reaches for certain.
+    that step leaves it or the last one didn't halve the distance to the target. It goes on until all sources agree with
+    their target to the tolerance or their bracket holds no number any more; one of both is reached for certain.
     """
     c = cells.where("size > 0")
     least = c.groupBy("source").agg(F.min("size").alias("least"))
@@ -62,7 +62,7 @@ def solved(cells: DataFrame, goals: DataFrame, most: float = MOST, tolerance: fl
     edge = F.log(F.col("target") / F.col("source_size")) / F.col("least")
     s = s.select("source", "target", F.least(edge, F.lit(0.0)).alias("lo"), F.when(edge > 0, F.log(F.lit(most)) / F.col("least")).otherwise(0.0).alias("hi"), (F.col("target") >= most * F.col("source_size")).alias("stopped"))
     lam = F.when(F.col("stopped"), F.col("hi")).when(F.col("lo") < 0, F.col("lo") / 64).otherwise(F.col("hi") / 64)
-    s = written(s.select("source", "target", "lo", "hi", lam.alias("lam"), F.col("stopped").alias("done"), F.lit(None).cast("double").alias("width")), "dual")
+    s = written(s.select("source", "target", "lo", "hi", lam.alias("lam"), F.col("stopped").alias("done"), F.lit(None).cast("double").alias("was")), "dual")
     while not s.where("not done").isEmpty():
         x = s.where("not done").withColumnRenamed("source", "_s")
         j = c.join(x, c["source"].eqNullSafe(x["_s"]))
@@ -75,15 +75,14 @@ def solved(cells: DataFrame, goals: DataFrame, most: float = MOST, tolerance: fl
         lo = F.when(F.col("g") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(F.col("g") >= F.col("target"), F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") - F.log(F.col("g") / F.col("target")) * F.col("g") / F.nullif(F.col("d"), F.lit(0.0))
-        n = n.select("source", "target", "done", "width", "lam", lo.alias("lo"), hi.alias("hi"), step.alias("step"), (F.abs(F.col("g") / F.col("target") - 1)).alias("off"))
-        wide = F.col("width").isNotNull() & (F.col("hi") - F.col("lo") > F.col("width") / 2)
-        inside = F.col("step").isNotNull() & (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")) & ~wide
+        n = n.select("source", "target", "done", "was", "lam", lo.alias("lo"), hi.alias("hi"), step.alias("step"), (F.abs(F.col("g") / F.col("target") - 1)).alias("off"))
+        slow = F.col("was").isNotNull() & (F.col("off") > F.col("was") / 2)
+        newton = F.col("step").isNotNull() & (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")) & ~slow
         middle = (F.col("lo") + F.col("hi")) / 2
         # A middle that is one of the ends leaves no number between them.
         done = F.col("done") | (F.col("off") <= tolerance) | (middle == F.col("lo")) | (middle == F.col("hi"))
-        lam = F.when(done, F.col("lam")).when(inside, F.col("step")).otherwise(middle)
-        kept = F.when(F.col("done"), F.col("width")).otherwise(F.col("hi") - F.col("lo"))
-        s = written(n.select("source", "target", "lo", "hi", lam.alias("lam"), done.alias("done"), kept.alias("width")), "dual")
+        lam = F.when(done, F.col("lam")).when(newton, F.col("step")).otherwise(middle)
+        s = written(n.select("source", "target", "lo", "hi", lam.alias("lam"), done.alias("done"), F.when(newton, F.col("off")).alias("was")), "dual")
     return s.select("source", "target", "lam")
 
 
