@@ -9,10 +9,10 @@ that, they share one with elements. A set that has more gets signatures of a fur
 
 Signatures travel packed, and of those that a task's own rows share only one goes on, so that a very common one weighs
 once for each piece of the input. Sets that share a signature are candidates. Before any set travels, parities of hashed
-bits tell pairs apart that are too far from each other for certain: no more bits differ than elements do. First each
-set meets its nearest candidate of a smaller number, which links most of what is alike; then only pairs of sets that
-are in different linked parts and still share a signature. Both times sets meet in tasks of bounded size and are compared
-exactly.
+bits tell pairs apart that are too far from each other for certain: no more bits differ than elements do. In turns each
+set meets its nearest candidate among two sets for each of its signatures, of other linked parts than its own, which
+links most of what is alike; then only pairs of sets meet that are in different parts and still share a signature. Each
+time sets meet in tasks of bounded size and are compared exactly.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ LEVELS = 4
 BLOCK, GROUP = 512, 4096
 #: Signatures that a task sorts at once (some 50 MB), and bytes of text for each shard of signatures.
 PIECE, SHARD_BYTES = 1 << 19, 8 << 20
+#: The turns end when one adds less than this part of all links.
+TURN = 50
 #: Pairs of candidates told apart at once.
 PAIRS = 1 << 18
 #: Bits of the filter that keeps texts without candidates from being shuffled: 512 KB at any size of the corpus.
@@ -150,9 +152,9 @@ def nodes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def parities(h: np.ndarray, n: np.ndarray, bands: Bands) -> list[bytes]:
-    """For each set the parity of its elements in each of a power of two of places, four times its allowed differences."""
+    """For each set the parity of its elements in each of a power of two of places, sixteen times its allowed differences."""
     allowed = bands.differences(bands.of(n))
-    words = 1 << np.ceil(np.log2(np.maximum(1, allowed / 16))).astype(np.int64)
+    words = 1 << np.ceil(np.log2(np.maximum(1, allowed / 4))).astype(np.int64)
     first = np.cumsum(words) - words
     doc = np.repeat(np.arange(len(n)), n)
     at = (mixed(h, 0xB175) & (words[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
@@ -371,9 +373,6 @@ def _links(docs: DataFrame, sets: DataFrame, shards: int, k: int, num: int, den:
     used = shared.select("node").distinct()
     reps = written(reps.join(used, "node", "left_semi"), "nodes")
     ids, sketches = reps.select("node", "doc_id"), reps.select("node", "n", "sketch")
-    # First the nearest candidate among the smallest numbers of each signature.
-    least = shared.groupBy("sig").agg(F.min("node").alias("u"))
-    edges = shared.join(least, "sig").where("u <> node").select("u", F.col("node").alias("v")).distinct()
     side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def told(batches):
@@ -383,12 +382,29 @@ def _links(docs: DataFrame, sets: DataFrame, shards: int, k: int, num: int, den:
             d = near(np.arange(m), np.arange(m, 2 * m), n, _texts(b.column("s_u")) + _texts(b.column("s_v")), num, den) if m else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(d, pa.int64())], ["u", "v", "d"]).filter(pa.array(d >= 0))
 
-    close = edges.join(side("v"), "v").join(side("u"), "u").mapInArrow(told, "u long, v long, d long")
-    nearest = close.groupBy("v").agg(F.min(F.struct("d", "u")).alias("x")).select("x.u", "v")
-    found = _verified(docs, ids, written(nearest, "nearest"), k, num, den)
-    # Then what shares a signature across the parts linked so far.
-    parts = components(found).withColumnRenamed("component", "part")
-    parts = written(sketches.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+    # In turns: each set meets the nearest of those that stand for its signatures and are in another part than its own.
+    parts = sketches.select("node", "n", "sketch", F.col("node").alias("part"))
+    found = tested = None
+    total = 0
+    while True:
+        rows = shared.join(parts.select("node", "part"), "node")
+        ends = rows.groupBy("sig").agg(F.min(F.struct("part", "node")).alias("a"), F.max(F.struct("part", "node")).alias("b")).where("a.part < b.part")
+        ends = ends.select("sig", F.explode(F.array("a", "b")).alias("x")).select("sig", F.col("x.node").alias("u"), F.col("x.part").alias("own"))
+        edges = rows.join(ends, "sig").where("part <> own").select("u", F.col("node").alias("v")).distinct()
+        if tested is not None:
+            edges = edges.join(tested, ["u", "v"], "left_anti")
+        close = edges.join(side("v"), "v").join(side("u"), "u").mapInArrow(told, "u long, v long, d long")
+        pairs = written(close.groupBy("v").agg(F.min(F.struct("d", "u")).alias("x")).select("x.u", "v"), "nearest")
+        links = _verified(docs, ids, pairs, k, num, den)
+        more = links.count()
+        found, tested = (links, pairs) if found is None else (found.union(links), tested.union(pairs))
+        total += more
+        joined = components(found).withColumnRenamed("component", "part")
+        parts = written(sketches.join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+        # The turns only spare comparisons: what they leave is compared below, all of it.
+        if more * TURN <= total:
+            break
+    # Then whatever still shares a signature across the parts.
     rows = shared.join(parts.select("node", "part"), "node")
     open_ = rows.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("tasks")).where("lo < hi")
     rows = shared.join(open_.select("sig", "tasks"), "sig").join(parts, "node")
