@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import bpe, jaccard, kernel, mixing, pii, rules, topk, toxicity, trie, warc
+from meltemi.llm import bpe, interaction, jaccard, kernel, lloyd, mixing, pii, rules, sequences, topk, toxicity, trie, warc
 
 
 #: The secret of the pseudonyms; a deployment passes its own.
@@ -67,6 +67,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clustered(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mixture": op1_entropy_mixture,
@@ -79,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_dictionary_toxicity": op8_dictionary_toxicity,
         "op9_fourier_quality": op9_fourier_quality,
         "op10_quality_rules": op10_quality_rules,
+        "op11_filter_interaction": op11_filter_interaction,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_weighted_lloyd": op13_weighted_lloyd,
     }
 
 
@@ -86,4 +101,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_threshold_topk": topk.ORACLE_SQL,
         "op10_quality_rules": rules.ORACLE_SQL,
+        "op11_filter_interaction": interaction.ORACLE_SQL,
+        "op13_weighted_lloyd": lloyd.oracle_sql(),
     }

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meltemi.scratch import scratch_path, shared_dir, written
 
-__all__ = ["bucketed", "pruned", "scratch_path", "shared_dir", "short_batches", "written"]
+__all__ = ["bucketed", "classed", "pruned", "scratch_path", "shared_dir", "short_batches", "written"]
 
 #: Rows of an Arrow batch. Spark's own ten thousand are too many where each row is a text.
 ROWS = 2000
@@ -40,3 +41,18 @@ def bucketed(df: DataFrame, name: str, column: str, rows: int) -> DataFrame:
 def pruned(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, matched exactly, so that extra columns of clashing names do no harm."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+#: A class with at least a thousandth of the rows is hot; there are at most so many.
+HOT = 1000
+
+
+def classed(rows: DataFrame, classes: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to their class; classes has one row for each key and in n the number of rows that have it.
+
+    Keys that hold a thousandth of all `total` rows are at most a thousand, so they are broadcast and their rows stay
+    where they are; the rest meet by a shuffle in which no key is large. key is not null. how: inner or left.
+    """
+    hot = F.broadcast(classes.where(F.col("n") * HOT >= total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(classes.where(F.col("n") * HOT < total), key, how)
+    return rows.join(hot, key).unionByName(rest)
