@@ -23,12 +23,12 @@ LARGEST = 1 << 27
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, dims: int, scale: int) -> DataFrame:
     """vec_id, v (floor(scale * x) as longs) of the vectors of exactly `dims` components, none null or non-finite."""
     v = pruned(vectors, id_col, vector_col).toDF("vec_id", "v")
-    # A size of another number or a null array gives null, which the condition drops.
     fine = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     whole = lambda x: F.floor(x.cast("double") * scale)
     small = F.forall("v", lambda x: (x.cast("double") * scale >= -LARGEST) & (x.cast("double") * scale < LARGEST))
     checked = F.when(small, F.transform("v", whole)).otherwise(F.raise_error(F.lit(f"a quantised component lies beyond {LARGEST}")))
-    return v.where((F.size("v") == dims) & fine).select("vec_id", checked.cast("array<long>").alias("v"))
+    # One expression, as Spark may move a projection before a filter.
+    return v.select("vec_id", F.when((F.size("v") == dims) & fine, checked).cast("array<long>").alias("v")).where("v is not null")
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
