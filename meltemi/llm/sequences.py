@@ -7,9 +7,11 @@ pieces of its length. The plan has at most 2 * size kinds of sequences, at any n
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,37 @@ _DOUBTFUL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u202
 _STRETCH = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]")
 
 
+#: Characters of which both tokenizers know alike whether they are letters or numbers.
+_PLAIN = re.compile("[\\0-\\u024f]*")
+# Fixed value: how a byte-level tokenizer splits a text before it merges.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _merges(path: str):
+    """The merges of a byte-level BPE file as a tiktoken encoding, three times as fast for a word; None if they aren't ordered by id."""
+    import tiktoken
+
+    with open(path) as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout") or spec["normalizer"] or any(before.get(k) != v for k, v in plain.items()):
+        return None
+    vocab = model["vocab"]
+    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    # Of byte-level tokens each character stands for one byte: printable ones for themselves, the rest from U+0100 on.
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(i): i for i in same} | {chr(256 + k): i for k, i in enumerate(sorted(set(range(256)) - set(same)))}
+    if any(a >= b for a, b in zip(merged, merged[1:])) or not all(set(x) <= byte.keys() for x in vocab):
+        return None
+    return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks={bytes(byte[c] for c in x): i for x, i in vocab.items()}, special_tokens={})
+
+
 class Stretches:
-    """Token ids of texts by the tokenizers library; each distinct stretch between sure splits is encoded once."""
+    """Token ids of texts as the tokenizers library gives them; each distinct stretch between sure splits is encoded once.
+
+    Stretches of Latin characters go through the same merges in tiktoken, all others through the library.
+    """
 
     _loaded: dict = {}
 
@@ -42,6 +73,7 @@ class Stretches:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merges = _merges(path)
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -51,7 +83,14 @@ class Stretches:
         return cls._loaded[path]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # In the order of the machine, which is little-endian.
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, stretches: list[str]) -> None:
+        quick = [s for s in stretches if self.merges and _PLAIN.fullmatch(s)]
+        self.known.update((s, array("I", self.merges.encode_ordinary(s)).tobytes()) for s in quick)
+        rest = [s for s in stretches if s not in self.known]
+        self.known.update(zip(rest, self._encoded(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -60,7 +99,7 @@ class Stretches:
         if len(self.known) + len(new) > KEPT:
             self.known.clear()
             new = list({s for p in parts if p is not None for s in p})
-        self.known.update(zip(new, self._encoded(new)))
+        self._learn(new)
         whole = iter(self._encoded([t for t, p in zip(texts, parts) if p is None]))
         return [next(whole) if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
 
@@ -163,7 +202,8 @@ def packed(docs: DataFrame, path: str, size: int = 1024, end: int = 2, id_col: s
     # At most `size` rows.
     table = slots(planned({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.join(counts.select("length", "task", before.alias("before")), ["length", "task"])
+    # As many rows as tasks have lengths, which grows with the data: not broadcast.
+    ranked = rows.join(counts.select("length", "task", before.alias("before")).hint("shuffle_hash"), ["length", "task"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = ranked.select(*names, (F.col("before") + F.col("nth")).alias("rank"))
 
