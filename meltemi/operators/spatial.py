@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meltemi.scratch import written
+
 
 def nearest_cells(targets: DataFrame, cells: DataFrame, k: int = 1, reach: int = 1, cell_size: float | None = None) -> DataFrame:
     """(target_id, cell_id, d2, rank): the k nearest cells of each target, ties to the lower cell_id.
@@ -20,7 +20,9 @@ def nearest_cells(targets: DataFrame, cells: DataFrame, k: int = 1, reach: int =
     if cell_size is None:
         # Buckets of about k cells settle nearly all targets in the first turn.
         a = cells.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-        cell_size = max(1e-9, math.sqrt(max(a[1] or 0.0, 1e-9) * max(a[2] or 0.0, 1e-9) * k / max(a[0], 1))) if a[0] else 1.0
+        # Cells on one line are as far apart as its length says.
+        wide, high = (max(v or 0.0, 1e-9) for v in a[1:])
+        cell_size = max(math.sqrt(wide * high * k / a[0]), max(wide, high) * k / a[0]) if a[0] else 1.0
     bx, by = (F.floor(F.col(c) / cell_size).cast("long") for c in ("x", "y"))
     cells = cells.select("cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"), bx.alias("bx"), by.alias("by"))
     box = cells.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by")).first()
@@ -39,11 +41,12 @@ def nearest_cells(targets: DataFrame, cells: DataFrame, k: int = 1, reach: int =
         # Rounded, so that equal distances are equal whatever their last bits.
         w = Window.partitionBy("target_id").orderBy(F.round("d2", 9), "cell_id")
         top = j.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        # Read three times from here on, and by all turns to come.
+        top = written(top.select("target_id", "cell_id", "d2", "rank"), "near")
         seen = reach * cell_size
         done = top.groupBy("target_id").agg(F.count("*").alias("n"), F.max("d2").alias("m")).where((F.col("n") == k) & (F.col("m") <= seen * seen)).select("target_id")
         whole = reach > widest
         found = top if whole else top.join(done, "target_id", "left_semi")
-        found = found.select("target_id", "cell_id", "d2", "rank")
         out = found if out is None else out.unionByName(found)
         if whole:
             return out
@@ -109,13 +112,6 @@ def coast_distance(points: DataFrame, segments: DataFrame, reach: int = 1, cell_
         reach *= 2
 
 
-def bounded(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """df for broadcasting, or an error where it has more than `most` rows."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows to broadcast; thin out or tile the table")
-    return F.broadcast(df)
-
-
 BEARINGS = {"N": 0, "NE": 45, "E": 90, "SE": 135, "S": 180, "SW": 225, "W": 270, "NW": 315}
 
 
@@ -186,98 +182,3 @@ def tile_corner(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
 
 def terrarium(r: Column, g: Column, b: Column) -> Column:
     return r * 256.0 + g + b / 256.0 - 32768.0
-
-
-def _raster(grid: DataFrame, value: str, x: str, y: str) -> np.ndarray:
-    rows = bounded_rows(grid.select(y, x, value), 4_000_000)
-    a = np.full((max((r[0] for r in rows), default=-1) + 1, max((r[1] for r in rows), default=-1) + 1), np.nan)
-    for i, j, v in rows:
-        a[i, j] = np.nan if v is None else v
-    return a
-
-
-def bounded_rows(df: DataFrame, most: int) -> list:
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; tile the raster")
-    return rows
-
-
-def terrain(points: DataFrame, grid: DataFrame, value: str = "v", x: str = "x", y: str = "y", px: float = 250.0, py: float = 250.0, radii=(500.0, 2000.0), directions: int = 16, far: int = 150) -> DataFrame:
-    """points (id, x, y) with tpi_500, tpi_2000 and svf on a raster of bounded size, which travels with the tasks."""
-    a = _raster(grid, value, x, y)
-
-    def run(batches):
-        h, w = a.shape
-        for p in batches:
-            out = {f"tpi_{int(r)}": [] for r in radii} | {"svf": []}
-            for i, j in zip(p[y], p[x]):
-                inside = 0 <= i < h and 0 <= j < w and np.isfinite(a[i, j])
-                for r in radii:
-                    v = 0.0
-                    if inside:
-                        ky, kx = int(r // py), int(r // px)
-                        i0, j0 = max(0, i - ky), max(0, j - kx)
-                        part = a[i0 : i + ky + 1, j0 : j + kx + 1]
-                        yy, xx = np.ogrid[i0 - i : i0 - i + part.shape[0], j0 - j : j0 - j + part.shape[1]]
-                        d2 = (yy * py) ** 2 + (xx * px) ** 2
-                        m = (d2 <= r * r) & (d2 > 0) & np.isfinite(part)
-                        v = float(a[i, j] - part[m].mean()) if m.sum() >= 4 else 0.0
-                    out[f"tpi_{int(r)}"].append(v)
-                sky = 1.0
-                if inside:
-                    s = []
-                    for q in range(directions):
-                        t = 2 * math.pi * q / directions
-                        k = np.arange(1, far + 1)
-                        yi, xj = i + np.round(k * math.cos(t)).astype(int), j + np.round(k * math.sin(t)).astype(int)
-                        ok = (yi >= 0) & (yi < h) & (xj >= 0) & (xj < w)
-                        e = a[yi[ok], xj[ok]] - a[i, j]
-                        d = np.hypot((yi[ok] - i) * py, (xj[ok] - j) * px)
-                        top = np.nanmax(e / d, initial=0.0) if len(d) else 0.0
-                        s.append(math.sin(math.atan(top)) ** 2)
-                    sky = max(0.0, 1.0 - float(np.mean(s)))
-                out["svf"].append(sky)
-            yield p.assign(**out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    return points.mapInPandas(run, schema + "".join(f", tpi_{int(r)} double" for r in radii) + ", svf double")
-
-
-def contains(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, polygon): the first polygon (by its number) around each point, by crossings of its edges; edges have polygon, x1, y1, x2, y2."""
-    j = points.join(bounded(edges), F.expr("(y1 > py) <> (y2 > py)"))
-    hit = F.col("px") < F.col("x1") + (F.col("py") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1"))
-    inside = j.where(hit).groupBy("id", "polygon").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    return inside.groupBy("id").agg(F.min("polygon").alias("polygon"))
-
-
-def polygon_area(edges: DataFrame) -> DataFrame:
-    """(polygon, area) by the shoelace sum."""
-    return edges.groupBy("polygon").agg(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2.0).alias("area"))
-
-
-def patch_weights(targets: DataFrame) -> DataFrame:
-    """(target_id, cell_id, weight): interpolation weights of patch cells, to be applied as sum(weight * value).
-
-    targets: target_id, x, y and cells array<struct<cell_id, x, y>>. The weights reproduce every quadratic surface over
-    the patch by least squares, shrunk to the nearest cell where the patch is degenerate.
-    """
-
-    def run(batches):
-        for p in batches:
-            rows = []
-            for t, px, py, cells in zip(p["target_id"], p["x"], p["y"], p["cells"]):
-                ids = [c["cell_id"] for c in cells]
-                xy = np.array([[c["x"] - px, c["y"] - py] for c in cells], float).reshape(-1, 2)
-                dx, dy = xy.T
-                basis = np.column_stack([np.ones(len(ids)), dx, dy, dx * dx, dx * dy, dy * dy])
-                if len(ids) >= 6 and np.linalg.matrix_rank(basis) == 6:
-                    w = np.linalg.pinv(basis)[0]
-                else:
-                    w = np.zeros(len(ids))
-                    w[np.argmin((xy**2).sum(1))] = 1.0
-                rows += [(t, i, float(v)) for i, v in zip(ids, w)]
-            yield pd.DataFrame(rows, columns=["target_id", "cell_id", "weight"])
-
-    return targets.select("target_id", "x", "y", "cells").mapInPandas(run, "target_id long, cell_id long, weight double")

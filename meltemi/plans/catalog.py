@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meltemi.plans import daily, downscaling, learning, mapping, places, projections, scalars, skill, zonal
+from meltemi.plans import daily, downscaling, learning, mapping, places, projections, scalars, skill, terrain, zonal
 
-MODULES = (scalars, daily, skill, mapping, projections, zonal, downscaling, places, learning)
+MODULES = (scalars, daily, skill, mapping, projections, zonal, downscaling, places, terrain, learning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.numeric import r6
+from meltemi.operators import polygons
 from meltemi.operators import spatial as sp
 from meltemi.plans import roles
 from meltemi.plans.registry import Registry
@@ -136,27 +137,5 @@ def island(spark, d):
     corner = [("x - h", "y - h"), ("x + h", "y - h"), ("x + h", "y + h"), ("x - h", "y + h")]
     sides = F.array(*[F.struct(*[F.expr(e).alias(n) for e, n in zip((*a, *b), ("x1", "y1", "x2", "y2"))]) for a, b in zip(corner, corner[1:] + corner[:1])])
     edges_ = s.select("polygon", F.explode(sides).alias("e")).select("polygon", "e.*")
-    found = sp.contains(_points(spark, d), edges_)
-    return found.join(sp.polygon_area(edges_), "polygon").select("id", "polygon", r6(F.col("area")).alias("area"))
-
-
-@query("g04_cubic_weights")
-def weights(spark, d):
-    """Patch weights of every target, and the surface they give."""
-    near = _near(spark, d, 16, True)
-    g = roles.grid(spark, d).select("cell_id", F.col("lon").alias("cx"), F.col("lat").alias("cy"), "v")
-    t = roles.targets(spark, d).select(F.col("id").alias("target_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    patches = near.join(g, "cell_id").groupBy("target_id").agg(F.collect_list(F.struct("cell_id", F.col("cx").alias("x"), F.col("cy").alias("y"))).alias("cells")).join(t, "target_id")
-    return sp.patch_weights(patches).join(g, "cell_id").groupBy("target_id").agg(F.sum(F.col("weight") * F.col("v")).alias("v"), F.sum("weight").alias("total"))
-
-
-@query("g11_tpi")
-def tpi(spark, d):
-    g = roles.grid(spark, d)
-    return sp.terrain(g.select(F.col("cell_id").alias("id"), "x", "y"), g).select("id", "tpi_500", "tpi_2000")
-
-
-@query("g12_svf")
-def svf(spark, d):
-    g = roles.grid(spark, d)
-    return sp.terrain(g.select(F.col("cell_id").alias("id"), "x", "y"), g, radii=(500.0,)).select("id", "svf")
+    found = polygons.contains(_points(spark, d), edges_)
+    return found.join(polygons.areas(edges_), "polygon").select("id", "polygon", r6(F.col("area")).alias("area"))

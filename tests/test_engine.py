@@ -3,7 +3,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from meltemi.operators import align, indices, skill, spatial, zones
+from meltemi.operators import align, indices, raster, skill, spatial, zones
 from meltemi.sources import files, stations
 from meltemi.streaming import ingest
 
@@ -39,7 +39,7 @@ def test_terrain(spark):
     g = spark.createDataFrame([(x, y, 2.0 * x) for x in range(9) for y in range(9)], "x int, y int, v double")
     s = {(r.x, r.y): r for r in spatial.slopes(g, px=1.0, py=1.0).collect()}
     assert abs(s[4, 4].slope_deg - 63.43494882) < 1e-6 and s[0, 4].slope_deg == 0.0
-    t = spatial.terrain(spark.createDataFrame([(1, 4, 4)], "id int, x int, y int"), g, px=250.0, py=250.0).first()
+    t = raster.terrain(spark.createDataFrame([(1, 4, 4)], "id int, x int, y int"), g, px=250.0, py=250.0).first()
     assert abs(t.tpi_500) < 1e-9 and 0 <= t.svf <= 1
 
 
