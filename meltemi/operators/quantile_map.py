@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.calendar import centres, centres_within, nearest_centre
 from meltemi.functions.numeric import clip, interpolated, quantile, quantiles
+from meltemi.operators import order
+from meltemi.scratch import written
 
 TRANSFER = ["mq", "oq", "obs_mean", "mdl_mean", "wet_thr"]
 
@@ -48,6 +50,30 @@ def fit(df: DataFrame, keys: list[str], obs: str = "obs", mdl: str = "mdl", n: i
     return g.select(*keys, q("_m").alias("mq"), q("_o").alias("oq"), *means, "wet_thr", "n_wet")
 
 
+def fit_pools(df: DataFrame, keys: list[str], n: int = 250, wet: float = 0.1) -> DataFrame:
+    """As fit() of precipitation (obs, mdl), for pools of any size: quantiles are read by rank and no pool is collected."""
+    both = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("v")) for c in ("obs", "mdl")])
+    r = order.ranked(df.select(*keys, F.explode(both).alias("_s")).select(*keys, "_s.side", "_s.v"), [*keys, "side"], "v")
+    o, m = F.col("obs").cast("double"), F.col("mdl").cast("double")
+    sums = df.groupBy(*keys).agg(F.avg(o).alias("obs_mean"), F.avg(m).alias("mdl_mean"), F.count(F.when(o > wet, 1)).alias("n_wet"), F.count(o).alias("_rows"))
+    share = (1 - F.col("n_wet") / F.nullif(F.col("_rows"), F.lit(0))).alias("_q")
+    # One row a pool on the right-hand sides from here on.
+    thr = order.at_level(r.where("side = 'mdl'").join(sums.where("n_wet > 0").select(*keys, share), keys), keys, F.col("_q"), "wet_thr")
+    sums = sums.join(thr, keys, "left").withColumn("wet_thr", F.coalesce("wet_thr", F.lit(0.0)))
+    floor = F.when(F.col("side") == "obs", F.lit(wet)).otherwise(F.col("wet_thr"))
+    kept = order.above(r.join(sums.select(*keys, "wet_thr"), keys), floor, [*keys, "side"])
+    side = lambda c: F.max(F.when(F.col("side") == c, F.col("total")))
+    ends = kept.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), *[F.coalesce(side(c), F.lit(0)).alias(f"_{c}") for c in ("obs", "mdl")])
+    lists = order.levels(kept, [*keys, "side"], n).groupBy(*keys).pivot("side", ["obs", "mdl"]).agg(F.first("quantiles"))
+    out = sums.join(ends, keys, "left").join(lists.withColumnsRenamed({"obs": "_oq", "mdl": "_mq"}), keys, "left")
+    lo, hi = F.coalesce("_lo", F.lit(0.0)), F.coalesce("_hi", F.lit(1.0))
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + (hi - lo) * i / (n - 1))
+    enough = (F.col("_obs") >= 2) & (F.col("_mdl") >= 2)
+    q = lambda c: F.when(enough, F.col(c)).otherwise(ramp)
+    means = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("obs_mean", "mdl_mean")]
+    return out.select(*keys, q("_mq").alias("mq"), q("_oq").alias("oq"), *means, "wet_thr", "n_wet")
+
+
 def applied(x: Column, precip: bool = False) -> Column:
     """x mapped by the transfer columns of its row; beyond the calibrated range it moves by the difference of means."""
     mq, oq = F.col("mq"), F.col("oq")
@@ -61,19 +87,21 @@ def applied(x: Column, precip: bool = False) -> Column:
 def seasonal(target: DataFrame, donors: DataFrame, x: str, out: str, doy: str = "doy", window: int = 45, step: int = 30, least_wet: int = 30, n: int = 200, wet: float = 0.1, keys: list[str] | None = None) -> DataFrame:
     """target with x mapped by the transfer of the nearest centre of season.
 
-    donors: keys, doy, obs, mdl. Each donor day is expanded to the few centres within the window, so the fit is one
-    hash aggregation. Centres with fewer than least_wet wet observations use the transfer of all days.
+    donors: keys, doy, obs, mdl. Each donor day is expanded to the few centres within the window and to centre 0, which
+    stands for all days. Centres with fewer than least_wet wet observations use the transfer of all days. Pools may hold
+    any number of rows.
     """
     keys = keys or []
     at = centres(step)
     valid = donors.where(F.col("obs").isNotNull() & F.col("mdl").isNotNull())
-    near = valid.withColumn("centre", F.explode(centres_within(F.col(doy), at, window, 366)))
-    whole = fit(valid, keys, n=n, precip=True, wet=wet) if keys else fit(valid.withColumn("_k", F.lit(1)), ["_k"], n=n, precip=True, wet=wet)
-    by = fit(near, [*keys, "centre"], n=n, precip=True, wet=wet).where(F.col("n_wet") >= least_wet)
-    t = target.withColumn("centre", nearest_centre(F.col(doy), at, 366))
-    t = t.join(by.select(*keys, "centre", F.struct(*TRANSFER).alias("_by")), [*keys, "centre"], "left")
-    whole = whole.select(*keys, F.struct(*TRANSFER).alias("_all"))
-    t = t.join(whole, keys, "left") if keys else t.join(F.broadcast(whole))  # one row
+    near = valid.withColumn("centre", F.explode(F.concat(F.array(F.lit(0)), centres_within(F.col(doy), at, window, 366))))
+    fits = written(fit_pools(near, [*keys, "centre"], n, wet), "transfers")
+    by = fits.where((F.col("n_wet") >= least_wet) & (F.col("centre") > 0)).select(*keys, "centre", F.struct(*TRANSFER).alias("_by"))
+    whole = fits.where("centre = 0").select(*keys, F.struct(*TRANSFER).alias("_all"))
+    if not keys:
+        by, whole = F.broadcast(by), F.broadcast(whole)  # as many rows as centres
+    t = target.withColumn("centre", nearest_centre(F.col(doy), at, 366)).join(by, [*keys, "centre"], "left")
+    t = t.join(whole, keys, "left") if keys else t.join(whole, how="left")
     t = t.withColumn("_t", F.coalesce("_by", "_all")).select("*", *[F.col(f"_t.{c}").alias(c) for c in TRANSFER])
     return t.withColumn(out, applied(F.col(x), True)).drop("centre", "_by", "_all", "_t", *TRANSFER)
 
@@ -136,57 +164,83 @@ def without_each(df: DataFrame, key: str, folds: DataFrame) -> DataFrame:
     return j.select(F.col(key).alias("fold"), n.alias("n"), F.round((F.col("_ws") - F.col("_s")) / n, 6).alias("obs_mean"))
 
 
-def _counted_quantile(v: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Linear quantiles p of the ascending values v that occur c times each, as np.quantile gives of them written out."""
-    end = np.cumsum(c)
-    at = (end[-1] - 1) * np.asarray(p, float)
-    lo = np.floor(at).astype(np.int64)
-    a, b = (v[np.searchsorted(end, np.minimum(i, end[-1] - 1), "right")] for i in (lo, lo + 1))
-    t = at - lo
-    return np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t)
+def _without(all_: DataFrame, own: DataFrame, requests: DataFrame, block: int = 256) -> DataFrame:
+    """requests (fold, side, tag, r) with v, the value of rank r among all values but the fold's own, and `upto`, how many of these are at most v.
+
+    all_: side, v, c, start of everything; own: fold, side, a, c, own_start, own_c, the fold's own values with their rank
+    and number in everything. From its own value on, a fold's ranks lag behind those of everything by the own values
+    passed. Each own value is handed to the first of the fold's requests, a few hundred at most, whose rank has reached
+    its turn, and holds from there on.
+    """
+    lists = requests.groupBy("fold", "side").agg(F.sort_array(F.collect_list(F.struct("r", "tag"))).alias("rs"))
+    turns = own.withColumn("turn", F.col("a") - F.col("own_start")).join(lists, ["fold", "side"])
+    turns = turns.withColumn("i", F.size(F.filter("rs", lambda x: x["r"] < F.col("turn")))).where(F.col("i") < F.size("rs"))
+    turns = turns.groupBy("fold", "side", "i").agg(F.max(F.struct("own_start", "turn", "c", "own_c")).alias("k"))
+    q = lists.select("fold", "side", F.posexplode("rs").alias("i", "x")).join(turns, ["fold", "side", "i"], "left")
+    so_far = Window.partitionBy("fold", "side").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    q = q.select("fold", "side", "x.r", "x.tag", F.max("k").over(so_far).alias("k"))
+    k = lambda c: F.coalesce(F.col(f"k.{c}"), F.lit(0))
+    own_upto = k("own_start") + k("own_c")
+    at_own = F.col("k").isNotNull() & (F.col("r") < k("turn") + k("c") - k("own_c"))
+    q = q.select("fold", "side", "tag", "r", own_upto.alias("own_upto"), (F.col("r") + F.when(at_own, k("own_start")).otherwise(own_upto)).alias("rank"))
+    # A rank meets the value that covers it in a block of ranks.
+    q = q.withColumn("b", F.floor(F.col("rank") / block))
+    spans = all_.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("c") - 1) / block))))
+    j = q.join(spans, ["side", "b"]).where("rank >= start and rank < start + c")
+    return j.select("fold", "side", "tag", "r", "v", (F.col("start") + F.col("c") - F.col("own_upto")).alias("upto"))
 
 
 def leave_one_out(df: DataFrame, key: str, folds: DataFrame, n: int = 200, wet: float = 0.1) -> DataFrame:
     """Rows of each fold with `mapped`, by the transfer of all other rows.
 
-    The pools of all folds differ by one fold's rows each, so they aren't written out: the values of everything are
-    counted once, and a fold's quantiles are read from those counts less its own. The counts of distinct values pass
-    through the driver and reach each executor once, whatever the number of folds.
+    The pools of all folds differ by one fold's rows each, so they aren't written out: values are ranked once over
+    everything and once within each fold, and a rank of a pool is a rank of everything moved by the own values before
+    it. Nothing passes through the driver, and no pool or fold is collected.
     """
-    counts = lambda c, by: df.where(F.col("obs").isNotNull() & F.col("mdl").isNotNull()).groupBy(*by, F.col(c).alias("v")).agg(F.count("*").alias("c"))
-    side = lambda c: counts(c, [key]).select(key, F.lit(c).alias("side"), F.col("v").cast("double").alias("v"), "c")
-    own = side("obs").unionByName(side("mdl")).groupBy(key).agg(F.collect_list(F.struct("side", "v", "c")).alias("own"))
-    all_ = own.select(F.explode("own").alias("x")).groupBy("x.side", "x.v").agg(F.sum("x.c").alias("c")).toPandas().sort_values("v")
-    total = {s: (g["v"].to_numpy(float), g["c"].to_numpy(np.int64)) for s in ("obs", "mdl") for g in [all_[all_["side"] == s]]}
-    total = df.sparkSession.sparkContext.broadcast(total)
-    rows = df.join(folds, key)
-
-    def transfer(batches):
-        for b in batches:
-            out = []
-            for k, o in zip(b[key], b["own"]):
-                vals = {}
-                for s in ("obs", "mdl"):
-                    v, c = total.value[s]
-                    left = c.copy()
-                    mine = [(x["v"], x["c"]) for x in o if x["side"] == s]
-                    left[np.searchsorted(v, [x for x, _ in mine])] -= np.array([x for _, x in mine], np.int64)
-                    vals[s] = v[left > 0], left[left > 0]
-                (ov, oc), (mv, mc) = vals["obs"], vals["mdl"]
-                om, mm = (float(v @ c / c.sum()) if len(v) else 0.0 for v, c in vals.values())
-                share = oc[ov > wet].sum() / oc.sum() if len(ov) else 0.0
-                thr = float(_counted_quantile(mv, mc, 1 - share)) if share > 0 else 0.0
-                (ov, oc), (mv, mc) = (ov[ov > wet], oc[ov > wet]), (mv[mv > thr], mc[mv > thr])
-                p = np.linspace(0, 1, n)
-                if oc.sum() < 2 or mc.sum() < 2:
-                    both = np.concatenate([ov, mv])
-                    mq = oq = np.linspace(both.min(), both.max(), n) if len(both) else p
-                else:
-                    mq, oq = _counted_quantile(mv, mc, p), _counted_quantile(ov, oc, p)
-                out.append((k, mq.tolist(), oq.tolist(), om, mm, thr))
-            yield pd.DataFrame(out, columns=[key, *TRANSFER])
-
-    kind = df.schema[key].dataType.simpleString()
-    t = own.join(folds, key)
-    t = t.mapInPandas(transfer, f"{key} {kind}, mq array<double>, oq array<double>, obs_mean double, mdl_mean double, wet_thr double")
-    return rows.join(t, key).withColumn("mapped", applied(F.col("mdl"), True)).drop(*TRANSFER)
+    both = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("v")) for c in ("obs", "mdl")])
+    d = df.where(F.col("obs").isNotNull() & F.col("mdl").isNotNull()).withColumn("fold", F.col(key))
+    long = d.select("fold", F.explode(both).alias("_s")).select("fold", "_s.side", "_s.v")
+    all_ = written(order.ranked(long, ["side"], "v"), "ranks")
+    names = folds.select(F.col(key).alias("fold")).distinct()
+    own = order.ranked(long.join(names, "fold", "left_semi"), ["fold", "side"], "v").select("fold", "side", "v", F.col("c").alias("own_c"), F.col("start").alias("own_start"))
+    own = written(own.join(all_.select("side", "v", "c", F.col("start").alias("a")), ["side", "v"]), "own")
+    # Of everything one row, of the folds one each.
+    o, m = F.col("obs").cast("double"), F.col("mdl").cast("double")
+    sums = [F.count("*").alias("n"), F.sum(o).alias("o"), F.sum(m).alias("m"), F.count(F.when(o > wet, 1)).alias("w")]
+    whole = d.agg(*sums).select(*[F.col(c).alias(f"all_{c}") for c in "nomw"])
+    pool = names.join(d.groupBy("fold").agg(*sums), "fold", "left").join(F.broadcast(whole)).fillna(0)
+    pool = pool.select("fold", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in "nomw"])
+    share = F.when(F.col("w") > 0, 1 - F.col("w") / F.col("n"))
+    at = share * (F.col("n") - 1)
+    ends = F.array(*[F.struct(F.lit(t).alias("tag"), F.least(F.floor(at) + t, F.col("n") - 1).alias("r")) for t in (0, 1)])
+    asked = pool.where("w > 0").select("fold", F.lit("mdl").alias("side"), F.explode(ends).alias("e"), at.alias("at")).select("fold", "side", "e.*", "at")
+    found = _without(all_, own, asked.select("fold", "side", "tag", "r"))
+    pick = lambda c, t: F.max(F.when(F.col("tag") == t, F.col(c)))
+    thr = found.groupBy("fold").agg(*[pick(c, t).alias(f"{c}{t}") for c in ("v", "upto") for t in (0, 1)]).join(pool.select("fold", at.alias("at")), "fold")
+    y = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - F.floor("at"))
+    thr = thr.select("fold", y.alias("wet_thr"), F.when(F.col("v1") <= y, F.col("upto1")).otherwise(F.col("upto0")).alias("low"))
+    # Without a wet day the threshold is 0, and the values up to it are counted.
+    dry = pool.where("w = 0").select("fold").join(own.where("side = 'mdl' and v <= 0").groupBy("fold").agg(F.sum("own_c").alias("own")), "fold", "left")
+    zero = all_.where("side = 'mdl' and v <= 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("z"))  # one row
+    dry = dry.join(F.broadcast(zero)).select("fold", F.lit(0.0).alias("wet_thr"), (F.col("z") - F.coalesce("own", F.lit(0))).alias("low"))
+    pool = written(pool.join(thr.unionByName(dry), "fold"), "pools")
+    sides = F.array(F.struct(F.lit("obs").alias("side"), (F.col("n") - F.col("w")).alias("low")), F.struct(F.lit("mdl").alias("side"), F.col("low").alias("low")))
+    kept = pool.select("fold", "n", F.explode(sides).alias("s")).select("fold", "s.*", (F.col("n") - F.col("s.low")).alias("size")).where("size > 0")
+    place = (F.col("i") / (n - 1)) * (F.col("size") - 1)
+    kept = kept.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", place - F.floor(place))
+    ends = F.array(*[F.struct((F.col("i") * 2 + t).alias("tag"), (F.col("low") + F.least(F.floor(place) + t, F.col("size") - 1)).alias("r")) for t in (0, 1)])
+    kept = kept.select("fold", "side", "size", "i", "t", F.explode(ends).alias("e")).select("fold", "side", "size", "i", "t", "e.*")
+    found = _without(all_, own, kept.select("fold", "side", "tag", "r")).join(kept, ["fold", "side", "tag"]).groupBy("fold", "side", "size", "i", "t").agg(*[F.max(F.when(F.col("tag") % 2 == t, F.col("v"))).alias(f"v{t}") for t in (0, 1)])
+    lists = found.groupBy("fold", "side", "size").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("t")).alias("q")))).alias("l"))  # n entries
+    lists = lists.select("fold", "side", "size", F.transform("l", lambda x: x["q"]).alias("q"))
+    t = pool.select("fold", "n", "o", "m", "wet_thr")
+    for c in ("obs", "mdl"):
+        t = t.join(lists.where(F.col("side") == c).select("fold", F.col("size").alias(f"n_{c}"), F.col("q").alias(f"q_{c}")), "fold", "left")
+    # greatest and least skip null, so one side's ends do where the other holds nothing.
+    lo = F.coalesce(F.least(F.get("q_obs", F.lit(0)), F.get("q_mdl", F.lit(0))), F.lit(0.0))
+    hi = F.coalesce(F.greatest(F.get("q_obs", F.lit(n - 1)), F.get("q_mdl", F.lit(n - 1))), F.lit(1.0))
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + (hi - lo) * i / (n - 1))
+    enough = F.coalesce((F.col("n_obs") >= 2) & (F.col("n_mdl") >= 2), F.lit(False))
+    mean = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    t = t.select(F.col("fold").alias(key), F.when(enough, F.col("q_mdl")).otherwise(ramp).alias("mq"), F.when(enough, F.col("q_obs")).otherwise(ramp).alias("oq"), mean("o").alias("obs_mean"), mean("m").alias("mdl_mean"), "wet_thr")
+    return df.join(t, key).withColumn("mapped", applied(F.col("mdl"), True)).drop(*TRANSFER)
