@@ -1,18 +1,22 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one trained on toxic text and one on ordinary text.
-
-The toxic dictionary is trained on those stretches of sampled toxic texts whose byte runs many of them share and ordinary
-ones hardly have; the other one on whole ordinary texts. A window of some words is compressed with the ordinary
-dictionary behind the toxic one and behind blanks of the same length: both find ordinary matches at equal distances, so
-that what the toxic dictionary saves is left. Windows overlap and cover the whole text.
-
-Long texts have more windows and so more savings by chance. Windows of ordinary texts outside the dictionary tell how
-often each saving occurs there; a text's statistic is the rarity of its largest, two, three and four largest savings among
-as many ordinary windows, the highest of the four. Labels of other rows than those sampled calibrate it.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, and which compresses a window better.
+
+Whole sampled texts of both kinds are cut into raw dictionaries of equal size. A window of a toxic text tells of toxicity
+if a dictionary of other toxic texts compresses it to fewer bytes than any dictionary of ordinary ones does, and if
+several texts have it; how many is chosen by texts kept aside. What tells makes up the toxic dictionary, the windows that
+most texts share at its end. A window is then compressed with ordinary text before blanks and before the toxic
+dictionary: both find ordinary matches at equal distances, so that what the toxic dictionary saves is left. Windows are
+words with the blanks around them, between two fixed runs of bytes: zstandard finds no match in the last bytes of its
+input, and stores very short inputs as they are.
+
+Long texts have more windows and so more savings by chance. Windows of ordinary texts kept aside tell how often each
+saving occurs there; a text's statistic is the rarity of its largest, two, three and more largest savings among as many
+ordinary windows, the highest of these. Labels of other rows than those sampled calibrate it.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,17 +29,19 @@ from meltemi.llm.kernel import isotonic
 from meltemi.llm.shared import pruned, short_batches, written
 
 #: Labelled rows of each kind that are sampled, and bytes of their texts, at most.
-SAMPLE, SAMPLE_BYTES = 1500, 16 << 20
-#: A byte run of the toxic dictionary: its length, the share of toxic texts that have it, and how much more often they do.
-GRAM, SUPPORT, LIFT = 6, 0.03, 10.0
-#: Bytes of the dictionaries.
-TOXIC_BYTES, ORDINARY_BYTES = 1536, 24576
-#: Words of a window and from one window to the next.
-WINDOW, STEP = 8, 4
-LEVEL = 11
+SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
+#: Bytes of the toxic texts of a sample that are compared, and of each raw dictionary; parts that toxic texts are dealt into.
+TOXIC_SAMPLE_BYTES, PART_BYTES, PARTS = 2 << 20, 1 << 17, 8
+#: Bytes of the toxic dictionary, and in how many texts a window of it may have to be.
+TOXIC_BYTES, SHARED = 1 << 15, (2, 3, 5, 8)
+LEVEL = 12
+#: Bytes before and behind a window, of no text.
+BEFORE, BEHIND = bytes(range(128, 192)), bytes(range(240, 252))
 #: Largest savings that count, the highest one told apart, and steps of the statistic for a factor of ten.
-RANKS, MOST, STEPS = 4, 60, 20
+RANKS, MOST, STEPS = 12, 40, 20
 TOP = 40 * STEPS
+#: Windows whose saving a Python worker keeps, some tens of megabytes.
+KEPT = 200_000
 
 
 def normalised(text: bytes) -> list[bytes]:
@@ -43,46 +49,44 @@ def normalised(text: bytes) -> list[bytes]:
 
 
 def windows(words: list[bytes]) -> list[bytes]:
-    """Runs of WINDOW words, a blank on either side; the last one may be shorter."""
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, max(1, len(words) - WINDOW + STEP), STEP)] if words else []
-
-
-def grams(text: bytes) -> np.ndarray:
-    """The GRAM bytes from each place on, as a number."""
-    a = np.frombuffer(text, np.uint8).astype(np.uint64)
-    n = max(0, len(a) - GRAM + 1)
-    return sum((a[k : k + n] << np.uint64(8 * k) for k in range(GRAM)), np.zeros(n, np.uint64))
-
-
-def _texts_with(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, number of texts that have each)."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(grams(t)) for t in texts)]), return_counts=True)
-
-
-def telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The stretches of toxic texts made of byte runs that SUPPORT of them share, LIFT times as often as ordinary ones."""
-    g, n = _texts_with(toxic)
-    h, m = _texts_with(ordinary)
-    at = np.searchsorted(h, g)
-    seen = np.where((at < len(h)) & (np.append(h, 0)[at] == g), np.append(m, 0)[at], 0)
-    good = g[(n >= max(3, SUPPORT * len(toxic))) & (n / max(1, len(toxic)) >= LIFT * (seen + 0.5) / max(1, len(ordinary)))]
-    out = []
-    for t in toxic:
-        hit = np.flatnonzero(np.isin(grams(t), good))
-        cover = np.zeros(len(t) + 1, np.int64)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + GRAM, -1)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover) > 0, [0]]).astype(np.int8)))
-        out += [t[a:b] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-    return out
+    """Each word with a blank on either side."""
+    return [b" " + w + b" " for w in words]
+
+
+class Length:
+    """Bytes of a window compressed with a raw dictionary."""
+
+    def __init__(self, dictionary: bytes):
+        d = zstandard.ZstdCompressionDict(dictionary + BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        self._compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+    def __call__(self, window: bytes) -> int:
+        return len(self._compress(BEFORE + window + BEHIND))
+
 
+def parts(texts: list[bytes]) -> list[bytes]:
+    """The texts one after the other, cut into dictionaries of PART_BYTES."""
+    flat = b"".join(texts)
+    return [flat[k : k + PART_BYTES] for k in range(0, len(flat), PART_BYTES)]
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of at most `size` bytes; of too few samples to train on, their own end."""
-    try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
+    """The windows that other toxic texts compress better than any ordinary ones, and how many texts have each.
+
+    Texts are normalised, with blanks between words and around.
+    """
+    dealt = [Length(d) for k in range(PARTS) for d in parts(toxic[k::PARTS])]
+    plain = [Length(d) for d in parts(ordinary)]
+    texts = Counter(w for t in toxic for w in set(windows(t.split())))
+    out = Counter()
+    for w, n in texts.items():
+        # A window of several texts is one that other texts have.
+        if n >= min(SHARED):
+            least = min(c(w) for c in dealt)
+            if all(c(w) > least for c in plain):
+                out[w] = n
+    return out
 
 
 @dataclass
@@ -92,50 +96,65 @@ class Dictionaries:
     #: For each saving the share of ordinary windows that save as much.
     chance: np.ndarray = field(default_factory=lambda: np.ones(MOST + 1))
     _pair: tuple | None = None
+    _known: dict | None = None
 
     def __getstate__(self):
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "chance": self.chance, "_pair": None}
+        return {"toxic": self.toxic, "ordinary": self.ordinary, "chance": self.chance, "_pair": None, "_known": None}
 
     def saving(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves."""
-        if self._pair is None:
-
-            def compressor(before):
-                d = zstandard.ZstdCompressionDict(before + self.ordinary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-            self._pair = compressor(bytes(len(self.toxic))), compressor(self.toxic)
-        plain, toxic = self._pair
-        return min(MOST, max(0, len(plain(window)) - len(toxic(window))))
+        if self._pair is None or len(self._known) >= KEPT:
+            self._pair = self._pair or (Length(self.ordinary + bytes(len(self.toxic))), Length(self.ordinary + self.toxic))
+            self._known = {}
+        out = self._known.get(window)
+        if out is None:
+            plain, toxic = self._pair
+            out = self._known[window] = min(MOST, max(0, plain(window) - toxic(window)))
+        return out
 
     def statistic(self, text: bytes) -> int:
         """From 0 to TOP."""
         if not self.toxic:
             return 0
-        saved = sorted(map(self.saving, windows(normalised(text))), reverse=True)
-        best = 0.0
-        for k, s in enumerate(saved[:RANKS], 1):
-            # k such windows among so many, by the law of rare events.
-            expected = len(saved) * self.chance[s]
-            if expected < 1:
-                best = max(best, math.log10(math.factorial(k)) - k * math.log10(expected))
+        saved = np.bincount([self.saving(w) for w in windows(normalised(text))], minlength=1)
+        n, k, best = int(saved.sum()), 0, 0.0
+        for s in range(len(saved) - 1, 0, -1):
+            for k in range(k + 1, min(RANKS, k + int(saved[s])) + 1):
+                # k such windows among so many, by the law of rare events.
+                expected = n * self.chance[s]
+                if expected < k:
+                    best = max(best, math.lgamma(k + 1) / math.log(10) - k * math.log10(expected))
         return min(TOP, int(STEPS * best))
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
-    """Dictionaries of sampled texts; every fourth ordinary one is kept out of them and tells the chance of savings."""
+    """The dictionaries of sampled texts; every fourth text of either kind is kept aside and chooses among them."""
     flat = lambda t: b" " + b" ".join(normalised(t)) + b" "
-    rest = [x for k, x in enumerate(ordinary) if k % 4]
-    plain = [flat(x) for x in rest]
-    samples = [w for x in rest for w in (lambda ws: [b" ".join(ws[i : i + 40]) for i in range(0, len(ws), 40)])(normalised(x))]
-    spans = telling([flat(x) for x in toxic], plain)
-    out = Dictionaries(trained(spans, TOXIC_BYTES) if spans else b"", trained(samples, ORDINARY_BYTES))
-    if out.toxic:
-        saved = [out.saving(w) for x in ordinary[::4] for w in windows(normalised(x))]
-        n = np.bincount(saved, minlength=MOST + 1)
-        out.chance = (np.cumsum(n[::-1])[::-1] + 0.3) / (len(saved) + 1)
-    return out
+    aside = [x for x in ordinary[::4]], [x for x in toxic[::4]]
+    taught, room = [], TOXIC_SAMPLE_BYTES
+    for k, x in enumerate(toxic):
+        if k % 4 and len(x) <= room:
+            taught.append(flat(x))
+            room -= len(x)
+    plain = [flat(x) for k, x in enumerate(ordinary) if k % 4]
+    found = telling(taught, plain)
+    base = (parts(plain) or [b""])[0]
+    best = None
+    for least in SHARED:
+        kept = sorted(((n, w) for w, n in found.items() if n >= least))
+        m = Dictionaries(b"".join(w for _, w in kept)[-TOXIC_BYTES:], base)
+        if m.toxic:
+            saved = [m.saving(w) for x in aside[0] for w in windows(normalised(x))]
+            n = np.bincount(saved, minlength=MOST + 1)
+            m.chance = (np.cumsum(n[::-1])[::-1] + 0.3) / (len(saved) + 1)
+        stats = sorted([(m.statistic(x), 0) for x in aside[0]] + [(m.statistic(x), 1) for x in aside[1]], reverse=True)
+        # The best balance of what is found and what is right at any threshold.
+        hits = np.cumsum([y for _, y in stats]) if stats else np.zeros(1)
+        last = np.array([k + 1 == len(stats) or stats[k][0] != stats[k + 1][0] for k in range(len(stats))] or [True])
+        score = float((2 * hits / (np.arange(1, len(hits) + 1) + max(1, len(aside[1]))))[last].max())
+        if best is None or score > best[0]:
+            best = score, m
+    return best[1]
 
 
 def sampled(docs: DataFrame, labelled: DataFrame, sample: int) -> tuple[DataFrame, list[bytes], list[bytes]]:
