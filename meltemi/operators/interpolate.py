@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.operators.spatial import nearest_cells
+from meltemi.operators.spatial import gradients, nearest_cells
 from meltemi.scratch import written
 
 
@@ -70,6 +70,23 @@ def nearest_land(targets: DataFrame, grid: DataFrame, candidates: int = 500) ->
     return near.join(first, "target_id", "left").select("target_id", F.coalesce("land_id", "cell_id").alias("cell_id"))
 
 
+def static_terrain(grid: DataFrame, value: str = "v", dx: float = 1.0, dy: float = 1.0, side: int = 4) -> DataFrame:
+    """(cell_id, elev_m, northness, eastness): means over the block that patches() takes around each cell.
+
+    grid: cell_id, x, y (rows northwards), value; dx and dy are a cell's width and height. The aspect of a cell is the
+    direction in which it rises, clockwise from north, from centred differences.
+    """
+    turn = F.atan2(F.col("gx") / dx, F.col("gy") / dy)
+    cells = gradients(grid, value).select("cell_id", "x", "y", F.col(value).alias("v"), F.cos(turn).alias("n"), F.sin(turn).alias("e"))
+    # A cell belongs to the blocks that begin up to `side` cells before it; the first block begins at the border.
+    own = cells.select("cell_id", *[F.greatest(F.col(c) - side // 2, F.lit(0)).alias(f"{c}0") for c in "xy"])
+    at = cells
+    for c in "xy":
+        at = at.withColumn(f"{c}0", F.explode(F.sequence(F.greatest(F.col(c) - side + 1, F.lit(0)), F.col(c))))
+    means = at.groupBy("x0", "y0").agg(F.avg("v").alias("elev_m"), F.avg("n").alias("northness"), F.avg("e").alias("eastness"))
+    return own.join(means, ["x0", "y0"]).drop("x0", "y0")
+
+
 def triangulated(xy: np.ndarray) -> np.ndarray:
     """Delaunay triangles (rows of three indices) of a few points: the faces below the points lifted to x2 + y2.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.calendar import centres, centres_within, nearest_centre
+from meltemi.functions import weather as wx
 from meltemi.functions.numeric import clip, interpolated, quantile, quantiles
 from meltemi.operators import order
 from meltemi.scratch import written
@@ -110,6 +111,36 @@ def blend(mapped_baseline: Column, source: Column, alpha: float = 0.6) -> Column
     return clip(alpha * mapped_baseline + (1 - alpha) * source, 0.0)
 
 
+def _mapped(x: np.ndarray, obs: np.ndarray, mdl: np.ndarray, precip: bool, n: int, wet: float) -> np.ndarray:
+    """x by the transfer of one window; NaN where a side of the window has no values."""
+    om, mm = (np.nanmean(v) if np.isfinite(v).any() else 0.0 for v in (obs, mdl))
+    rows, o, m = len(obs), obs[np.isfinite(obs)], mdl[np.isfinite(mdl)]
+    if not len(o) or not len(m):
+        return np.full(len(x), np.nan)
+    thr = 0.0
+    if precip:
+        share = (o > wet).sum() / rows
+        thr = np.quantile(m, 1 - share) if share > 0 else 0.0
+        o, m = o[o > wet], m[m > thr]
+    if len(o) < 2 or len(m) < 2:
+        both = np.concatenate([o, m])
+        oq = mq = np.linspace(both.min(), both.max(), n) if len(both) else np.linspace(0, 1, n)
+    else:
+        p = np.linspace(0, 1, n)
+        oq, mq = np.quantile(o, p), np.quantile(m, p)
+    y = np.interp(x, mq, oq)
+    far = (x < mq[0]) | (x > mq[-1])
+    y[far] = x[far] + om - mm
+    if precip:
+        y = np.where(x <= thr, 0.0, np.maximum(y, 0.0))
+    return np.where(np.isfinite(x), y, np.nan)
+
+
+def _near(doy: np.ndarray, d: int, window: int, length: int) -> np.ndarray:
+    gap = np.abs(doy - d)
+    return np.minimum(gap, length - gap) <= window
+
+
 def projection(df: DataFrame, keys: list[str], window: int = 15, length: int = 365, n: int = 250, precip: bool = False, wet: float = 0.1) -> DataFrame:
     """Day-of-year mapping of whole series: df has keys, doy, period ('cal' or 'fut'), obs, mdl; adds corrected.
 
@@ -123,38 +154,63 @@ def projection(df: DataFrame, keys: list[str], window: int = 15, length: int = 3
         obs, mdl = part["obs"].to_numpy(float), part["mdl"].to_numpy(float)
         out = np.full(len(part), np.nan)
         for d in np.unique(doy):
-            gap = np.abs(doy - d)
-            near = cal & (np.minimum(gap, length - gap) <= window)
-            o, m = obs[near], mdl[near]
-            om, mm = (np.nanmean(v) if np.isfinite(v).any() else 0.0 for v in (o, m))
-            rows, o, m = len(o), o[np.isfinite(o)], m[np.isfinite(m)]
-            if not len(o) or not len(m):
-                continue
-            thr = 0.0
-            if precip:
-                share = (o > wet).sum() / rows
-                thr = np.quantile(m, 1 - share) if share > 0 else 0.0
-                o, m = o[o > wet], m[m > thr]
-            if len(o) < 2 or len(m) < 2:
-                both = np.concatenate([o, m])
-                oq = mq = np.linspace(both.min(), both.max(), n) if len(both) else np.linspace(0, 1, n)
-            else:
-                p = np.linspace(0, 1, n)
-                oq, mq = np.quantile(o, p), np.quantile(m, p)
-            at = doy == d
-            x = mdl[at]
-            y = np.interp(x, mq, oq)
-            far = (x < mq[0]) | (x > mq[-1])
-            y[far] = x[far] + om - mm
-            if precip:
-                y = np.where(x <= thr, 0.0, np.maximum(y, 0.0))
-            out[at] = np.where(np.isfinite(x), y, np.nan)
+            near, at = cal & _near(doy, d, window, length), doy == d
+            out[at] = _mapped(mdl[at], obs[near], mdl[near], precip, n, wet)
         return part.assign(corrected=[None if np.isnan(v) else v for v in out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", corrected double"
     return df.select(*names).groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Variables of an ensemble, and which of them is precipitation.
+VARIABLES = {"tmean": False, "tmin": False, "tmax": False, "rh": False, "wind": False, "precip": True}
+
+
+def ensemble(truth: DataFrame, series: DataFrame, historical: str = "historical", variables: list[str] | None = None, window: int = 15, n: int = 250, wet: float = 0.1) -> DataFrame:
+    """series with every variable that truth has too corrected by its model's own calendar, point by point.
+
+    truth: point, doy (1 to 365) and variables, of the calibration years. series: model, scenario, point, date, doy,
+    calendar ('360_day', whose doy is 1 to 360, or any other) and variables; rows of the scenario `historical` with
+    calibrating = true are what truth is compared with. A day of a 360-day calendar looks up the truth around the
+    matching day of the year. Variables that only series has stay as they are. Humidity stays within 0 and 100, wind
+    and precipitation at or above 0, and tmin and tmax on their sides of tmean. Days whose window lacks either side
+    become null.
+    """
+    own = [v for v in VARIABLES if v in truth.columns and v in series.columns and (variables is None or v in variables)]
+    if not own:
+        return series
+    narrow = lambda df, *keep: df.select(*keep, F.explode(F.create_map(*[x for v in own for x in (F.lit(v), F.col(v).cast("double"))])).alias("variable", "x"))
+    keys = ["model", "scenario", "point", "date"]
+    sim = narrow(series, *keys, "doy", F.coalesce(F.col("calendar") == "360_day", F.lit(False)).alias("short"), ((F.col("scenario") == historical) & F.col("calibrating")).alias("cal"))
+    # Every model of a point meets the point's truth; the two sides of a group are one series each.
+    models = series.select(F.col("model").alias("m"), F.col("point").alias("p")).distinct()
+    obs = narrow(truth, "point", "doy").join(models, F.col("point") == F.col("p")).select("m", "p", F.col("variable").alias("v"), F.col("doy").alias("at"), F.col("x").alias("o"))
+    kinds = {f.name: f.dataType.simpleString() for f in sim.schema}
+
+    def run(obs: pd.DataFrame, sim: pd.DataFrame) -> pd.DataFrame:
+        out = np.full(len(sim), np.nan)
+        if len(sim) and len(obs):
+            precip = VARIABLES[sim["variable"].iloc[0]]
+            length = 360 if sim["short"].iloc[0] else 365
+            doy, x, cal = sim["doy"].to_numpy(), sim["x"].to_numpy(float), sim["cal"].fillna(False).to_numpy(bool)
+            at_obs, o = obs["at"].to_numpy(), obs["o"].to_numpy(float)
+            for d in np.unique(doy):
+                year_day = int(min(365, max(1, np.round((d - 0.5) / 360 * 365 + 0.5)))) if length == 360 else int(d)
+                mine, theirs = cal & _near(doy, d, window, length), _near(at_obs, year_day, window, 365)
+                if mine.any() and theirs.any():
+                    out[doy == d] = _mapped(x[doy == d], o[theirs], x[mine], precip, n, wet)
+        return sim[[*keys, "variable"]].assign(y=[None if np.isnan(v) else v for v in out])
+
+    long = obs.groupBy("m", "p", "v").cogroup(sim.groupBy("model", "point", "variable")).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "variable"]) + ", y double")
+    wide = long.groupBy(*keys).pivot("variable", own).agg(F.first("y"))
+    out = series.drop(*own).join(wide, keys, "left")
+    out = out.withColumns({v: wx.limited(v, F.col(v)) for v in own if v in ("rh", "wind", "precip")})
+    if {"tmin", "tmean", "tmax"} <= set(own):
+        lo, hi = wx.ordered_temperatures(F.col("tmin"), F.col("tmean"), F.col("tmax"))
+        out = out.withColumns({"tmin": lo, "tmax": hi})
+    return out.select(*series.columns)
+
+
 def without_each(df: DataFrame, key: str, folds: DataFrame) -> DataFrame:
     """(fold, n, obs_mean) of all rows but the fold's own: the sums of everything less those of the fold."""
     by = df.groupBy(key).agg(F.count("*").alias("_n"), F.sum("obs").alias("_s"))

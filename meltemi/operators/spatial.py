@@ -150,7 +150,10 @@ def gradients(grid: DataFrame, value: str = "v", x: str = "x", y: str = "y") ->
 
 
 def slopes(grid: DataFrame, value: str = "v", x: str = "x", y: str = "y", px: float = 250.0, py: float = 250.0) -> DataFrame:
-    """(x, y, slope_deg, northness, eastness) from means of rows and columns of the 3 x 3 neighbourhood; 0 without all nine."""
+    """(x, y, slope_deg, northness, eastness) from means of rows and columns of the 3 x 3 neighbourhood; 0 without all nine.
+
+    y grows northwards. The aspect is the direction in which the ground rises, clockwise from north.
+    """
     rows = Window.partitionBy(y).orderBy(x)
     g = grid
     for name, f in (("w", F.lag), ("e", F.lead)):
@@ -164,7 +167,7 @@ def slopes(grid: DataFrame, value: str = "v", x: str = "x", y: str = "y", px: fl
     g = g.withColumn("_dx", dx).withColumn("_dy", dy)
     ok = F.col("_dx").isNotNull() & F.col("_dy").isNotNull()
     slope = F.degrees(F.atan(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))))
-    aspect = F.atan2(-F.col("_dx"), -F.col("_dy"))
+    aspect = F.atan2("_dx", "_dy")
     z = lambda c: F.when(ok, c).otherwise(0.0)
     return g.select(x, y, z(slope).alias("slope_deg"), z(F.cos(aspect)).alias("northness"), z(F.sin(aspect)).alias("eastness"))
 

@@ -151,9 +151,9 @@ def group_membership(spark, d):
     return align.present_and_missing(groups, have, "station_id")
 
 
-@query("s19_resume", _sql(roles.STATIONS, body="SELECT station_id FROM stations WHERE station_id NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 11 = 0)"))
+@query("s19_resume", _sql(roles.STATIONS, body="SELECT station_id FROM stations WHERE station_id NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.1)"))
 def resume(spark, d):
     from meltemi.sources.files import unfinished
 
-    done = roles.table(spark, d, "lineitem").where("l_orderkey % 11 = 0").select(F.col("l_suppkey").alias("station_id"))
+    done = roles.table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount >= 0.1D").select(F.col("l_suppkey").alias("station_id"))
     return unfinished(roles.stations(spark, d).select("station_id"), done, "station_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meltemi.functions.calendar import centres, centres_within, nearest_centre
-from meltemi.functions.numeric import quantile, quantiles, r6
+from meltemi.functions.numeric import quantile, r6
+from meltemi.operators import order
 from meltemi.operators import quantile_map as qm
 from meltemi.plans import roles
 from meltemi.plans.registry import Registry
@@ -67,10 +68,10 @@ def doy_window(spark, d):
     return near.groupBy("centre").agg(F.count("*").alias("n"), r6(F.avg("obs")).alias("obs_mean"), r6(F.avg("mdl")).alias("mdl_mean"))
 
 
-@query("j16_nearest_centre", f"WITH {_CENTRES} SELECT d::INT AS doy, (SELECT arg_min(centre, {_DIST.format(a='d', b='centre')} * 1000 + centre) FROM centres)::INT AS centre FROM range(1, 367) t(d)")
+@query("j16_nearest_centre", _sql(_TARGET, _CENTRES, f"n AS (SELECT doy, arg_min(centre, {_DIST.format(a='doy', b='centre')} * 1000 + centre) AS centre FROM (SELECT DISTINCT doy FROM target), centres GROUP BY 1)", body="SELECT id, doy, centre::INT AS centre FROM target JOIN n USING (doy)"))
 def nearest(spark, d):
-    days = spark.range(1, 367).select(F.col("id").cast("int").alias("doy"))
-    return days.select("doy", nearest_centre(F.col("doy"), centres(), 366).alias("centre"))
+    """The centre of season of every target day."""
+    return roles.donor(spark, d, 1).select("id", "doy", nearest_centre(F.col("doy"), centres(), 366).alias("centre"))
 
 
 @query("a20_iqr", _sql(_DONOR, body="SELECT id, round(quantile_cont(mdl, 0.75) - quantile_cont(mdl, 0.25) + 2e-9, 6) AS iqr FROM donor GROUP BY 1"))
@@ -81,8 +82,8 @@ def iqr(spark, d):
 
 @query("a21_quantile_vector", _sql(_DONOR, body=f"SELECT id, i::INT AS i, round({_q('m', 'i::DOUBLE / 20')} + 2e-9, 6) AS q FROM (SELECT id, list_sort(list(mdl)) AS m FROM donor GROUP BY 1), range(0, 21) t(i)"))
 def quantile_vector(spark, d):
-    g = roles.donor(spark, d, 0).groupBy("id").agg(F.array_sort(F.collect_list("mdl")).alias("m"))
-    return g.select("id", F.posexplode(quantiles(F.col("m"), 21)).alias("i", "q")).withColumn("q", r6(F.col("q") + 2e-9))
+    g = order.levels(order.ranked(roles.donor(spark, d, 0), ["id"], "mdl"), ["id"], 21, "m")
+    return g.select("id", F.posexplode("m").alias("i", "q")).withColumn("q", r6(F.col("q") + 2e-9))
 
 
 @query("a22_dynamic_quantile", _sql(_DONOR, body=f"SELECT id, round({_q('m', '1 - wet')}, 6) AS thr FROM (SELECT id, list_sort(list(mdl)) AS m, avg(CASE WHEN obs > 0.1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS wet FROM donor GROUP BY 1)"))

@@ -131,3 +131,15 @@ def eqm_grid(spark, d):
 def projection(spark, d):
     out = qm.projection(_series(spark, d), MEMBER)
     return out.select(*MEMBER, "date", F.round("corrected", 5).alias("corrected"))
+
+
+@query("n11_ensemble")
+def ensemble(spark, d):
+    """Temperature and precipitation of every member, scenario and point corrected against the stations of its point."""
+    e = roles.ens(spark, d).withColumn("doy", F.least(F.dayofyear("date"), F.lit(365)))
+    short = F.col("model") == "N"
+    native = F.when(short, F.least(((F.month("date") - 1) * 30 + F.least(F.day("date"), F.lit(30))), F.lit(360))).otherwise(F.col("doy"))
+    e = e.withColumns({"scenario": F.when(F.col("scenario") == "F", "historical").otherwise(F.col("scenario")), "doy": native, "calendar": F.when(short, "360_day").otherwise("standard"), "calibrating": F.col("year") <= 1997})
+    o = roles.obs(spark, d).where("year(date) <= 1997").withColumn("point", F.col("station_id") % 5)
+    o = o.groupBy("point", "date").agg(F.avg("obs_tmean").alias("tmean"), F.avg("obs_prcp").alias("precip")).withColumn("doy", F.least(F.dayofyear("date"), F.lit(365)))
+    return qm.ensemble(o, e).select("model", "scenario", "point", "date", *[F.round(c, 5).alias(c) for c in ("tmean", "precip")])

@@ -114,9 +114,15 @@ def calendar_doy(spark, d):
     return roles.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.year(t).alias("y"), F.month(t).alias("m"), cal.doy(t, 365).alias("doy"), cal.doy360(F.month(t), F.least(F.day(t), F.lit(30))).alias("doy360"), cal.circular_distance(F.dayofyear(t), 10, 366).alias("gap"))
 
 
-@query("p25_map_360_to_365", "SELECT d::INT AS doy360, greatest(1, least(365, round((d - 0.5e0) / 360 * 365 + 0.5e0)))::INT AS doy365 FROM range(1, 361) t(d)")
+_DOY360 = "((month(l_shipdate) - 1) * 30 + least(day(l_shipdate), 30))"
+
+
+@query("p25_map_360_to_365", f"SELECT l_orderkey, l_linenumber, {_DOY360}::INT AS doy360, greatest(1, least(365, round(({_DOY360} - 0.5e0) / 360 * 365 + 0.5e0)))::INT AS doy365 FROM lineitem")
 def map_360(spark, d):
-    return spark.range(1, 361).select(F.col("id").cast("int").alias("doy360"), cal.map_360_to_365(F.col("id")).alias("doy365"))
+    """Days of a calendar of 360 days as days of the year."""
+    t = F.col("l_shipdate")
+    day = cal.doy360(F.month(t), F.least(F.day(t), F.lit(30)))
+    return roles.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", day.cast("int").alias("doy360"), cal.map_360_to_365(day).alias("doy365"))
 
 
 _RISK = "CASE WHEN v / 50 - 18 - 0.8e0 < 0 THEN -1 WHEN v / 50 - 18 - 0.8e0 <= 5 THEN 0 WHEN v / 50 - 18 - 0.8e0 <= 10 THEN 1 ELSE 2 END"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meltemi.functions.numeric import event, r6
 from meltemi.operators.indices import EVENTS, period_indices, r99p_threshold
 from meltemi.operators.skill import contingency, continuous, extreme_weight, matched, pooled
+from meltemi.operators import order
 from meltemi.plans import roles
 from meltemi.plans.registry import Registry
 
@@ -128,7 +129,7 @@ def levels(spark, d):
 @query("a31_extreme_weight", _sql(roles.OBS, "p AS (SELECT quantile_cont(obs_prcp, 0.95) AS p95 FROM obs WHERE obs_prcp > 0.1)", body="SELECT station_id, date, CASE WHEN obs_prcp > p95 THEN 6.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM obs, p"))
 def extremes(spark, d):
     o = roles.obs(spark, d)
-    p95 = o.where("obs_prcp > 0.1").agg(F.percentile("obs_prcp", 0.95).alias("p95"))
+    p95 = order.at_level(order.ranked(o.where("obs_prcp > 0.1"), [], "obs_prcp"), [], 0.95, "p95")
     return o.join(F.broadcast(p95)).select("station_id", "date", extreme_weight(F.col("obs_prcp"), F.col("p95")).alias("weight"))
 
 

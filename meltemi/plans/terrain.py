@@ -17,6 +17,13 @@ QUERIES = Registry()
 query = QUERIES.query
 
 
+def _grad(along: str, across: str) -> str:
+    """Centred differences inside, one-sided at the borders."""
+    w = f"OVER (PARTITION BY {across} ORDER BY {along})"
+    a, b = f"lag(v) {w}", f"lead(v) {w}"
+    return f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN 0 WHEN {a} IS NULL THEN {b} - v WHEN {b} IS NULL THEN v - {a} ELSE ({b} - {a}) / 2 END"
+
+
 def _sql(*ctes: str, body: str) -> str:
     return f"WITH {', '.join(ctes)} {body}"
 
@@ -204,3 +211,19 @@ def clip(spark, d):
     e = s.select("polygon", F.explode(sides).alias("e")).select("polygon", "e.*")
     g = roles.grid(spark, d).select("x", "y", (F.col("v") - 1200).alias("v"))
     return raster.clipped(g, e, TRANSFORM).select("x", "y", r6(F.col("v")).alias("v"))
+
+
+_ROSE = "SELECT c.x, c.y, sum(CASE WHEN n.x > c.x THEN n.v WHEN n.x < c.x THEN -n.v ELSE 0 END) / 3 / 500 AS de, sum(CASE WHEN n.y > c.y THEN n.v WHEN n.y < c.y THEN -n.v ELSE 0 END) / 3 / 500 AS dn, count(n.v) AS k FROM grid c JOIN grid n ON abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1 GROUP BY 1, 2"
+
+
+@query("g10_aspect", _sql(roles.GRID, f"r AS ({_ROSE})", body="SELECT x, y, round(CASE WHEN k = 9 THEN de / sqrt(de * de + dn * dn) ELSE 0 END, 5) + 0 AS eastness, round(CASE WHEN k = 9 THEN dn / sqrt(de * de + dn * dn) ELSE 0 END, 5) + 0 AS northness FROM r"))
+def aspect(spark, d):
+    """The direction of the rise over 3 x 3 cells."""
+    out = sp.slopes(roles.grid(spark, d).select("x", "y", "v"))
+    return out.select("x", "y", F.round("eastness", 5).alias("eastness"), F.round("northness", 5).alias("northness"))
+
+
+@query("g05_static_terrain", _sql(roles.GRID, f"a AS (SELECT cell_id, x, y, v, {_grad('x', 'y')} AS gx, {_grad('y', 'x')} AS gy FROM grid)", "s AS (SELECT cell_id, x, y, v, cos(atan2(gx, gy)) AS northness, sin(atan2(gx, gy)) AS eastness FROM a)", body="SELECT c.cell_id, round(avg(n.v), 6) AS elev_m, round(avg(n.northness), 6) + 0 AS northness, round(avg(n.eastness), 6) + 0 AS eastness FROM s c JOIN s n ON n.x BETWEEN greatest(c.x - 2, 0) AND greatest(c.x - 2, 0) + 3 AND n.y BETWEEN greatest(c.y - 2, 0) AND greatest(c.y - 2, 0) + 3 GROUP BY 1"))
+def static_terrain(spark, d):
+    """Mean height and aspect of the block of cells around each cell."""
+    return interpolate.static_terrain(roles.grid(spark, d)).select("cell_id", *[r6(F.col(c)).alias(c) for c in ("elev_m", "northness", "eastness")])

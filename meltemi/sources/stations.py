@@ -9,7 +9,7 @@ from meltemi.functions import weather as wx
 
 REQUIRED = ("STATION", "DATE", "LATITUDE", "LONGITUDE")
 OPTIONAL = ("ELEVATION", "NAME", "TEMP", "MIN", "MAX", "DEWP", "PRCP", "WDSP", "GUST")
-#: Columns of a file that are read, at most; its header names them.
+#: Columns of a file that are read; a longer header is an error.
 MOST_COLUMNS = 64
 # What stands for a missing value in each column.
 SENTINELS = {"TEMP": 9999.9, "MIN": 9999.9, "MAX": 9999.9, "DEWP": 9999.9, "PRCP": 99.99, "WDSP": 999.9, "GUST": 999.9}
@@ -58,7 +58,7 @@ def read_stations(spark: SparkSession, root: str, first: int, last: int) -> Data
     """Station days of the years first to last; years without a folder are skipped, unreadable files too.
 
     Each file is read by its own header, so columns may be in any order and optional ones absent; rows of a file without a
-    required column are dropped.
+    required column are dropped. A header of more than MOST_COLUMNS columns is an error.
     """
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -66,9 +66,12 @@ def read_stations(spark: SparkSession, root: str, first: int, last: int) -> Data
     if not paths:
         return spark.createDataFrame([], SCHEMA)
     columns = [f"_c{k}" for k in range(MOST_COLUMNS)]
-    raw = spark.read.option("ignoreCorruptFiles", "true").csv(paths, header=False, schema=", ".join(f"{c} string" for c in columns), mode="PERMISSIVE", ignoreLeadingWhiteSpace=True)
-    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.transform(F.array(*columns), lambda x: F.trim(x)).alias("c"))
+    raw = spark.read.option("ignoreCorruptFiles", "true").csv(paths, header=False, schema=", ".join(f"{c} string" for c in [*columns, "_whole"]), mode="PERMISSIVE", columnNameOfCorruptRecord="_whole", ignoreLeadingWhiteSpace=True)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.transform(F.array(*columns), lambda x: F.trim(x)).alias("c"), "_whole")
     lines = lines.withColumn("head", F.coalesce(F.array_contains("c", "STATION"), F.lit(False)))
+    # Of a line of another number of columns than asked for, Spark keeps the whole as well.
+    long = F.col("head") & (F.size(F.split("_whole", ",", -1)) > MOST_COLUMNS)
+    lines = lines.withColumn("c", F.when(long, F.raise_error(F.concat(F.lit(f"more than {MOST_COLUMNS} columns in "), F.col("file"))).cast("array<string>")).otherwise(F.col("c"))).drop("_whole")
     heads = lines.where("head").groupBy("file").agg(F.min("c").alias("names"))
     rows = lines.where("not head").join(heads, "file")
     place = lambda c: F.coalesce(F.array_position("names", c), F.lit(0)).cast("int")
