@@ -74,6 +74,18 @@ def ray_hit(px: Column, py: Column, bearing: Column, x1: Column, y1: Column, x2:
     return F.when((t >= 0) & (s >= 0) & (s <= 1), t)
 
 
+def along_hit(px: Column, py: Column, bearing: Column, x1: Column, y1: Column, x2: Column, y2: Column, far: Column) -> Column:
+    """Distance along a bearing to the middle of what the ray, `far` long, shares with a segment that lies on it; else null."""
+    ux, uy = F.sin(F.radians(bearing)), F.cos(F.radians(bearing))
+    size = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    # Sines and cosines of the bearings are exact to some 1e-16 only.
+    slack = 1e-9 * (1 + size)
+    beside = lambda x, y: F.abs((x - px) * uy - (y - py) * ux) <= slack
+    a, b = ((x - px) * ux + (y - py) * uy for x, y in ((x1, y1), (x2, y2)))
+    lo, hi = F.greatest(F.lit(0.0), F.least(a, b)), F.least(far, F.greatest(a, b))
+    return F.when(beside(x1, y1) & beside(x2, y2) & (size > 0) & (lo <= hi), (lo + hi) / 2)
+
+
 def coast_distance(points: DataFrame, segments: DataFrame, reach: int = 1, cell_size: float | None = None) -> DataFrame:
     """(id, coast_km) in the units of the coordinates.
 
@@ -132,7 +144,9 @@ def fetch(points: DataFrame, segments: DataFrame, own_coast: float = 6.5, cap: f
     u, v = across("x1", "y1"), across("x2", "y2")
     # A little wider than the segment, as rounding may put a ray through its end beside it.
     s = s.withColumn("strip", F.explode(F.sequence(strip(F.least(u, v) - 1e-6 * width), strip(F.greatest(u, v) + 1e-6 * width))))
-    d = ray_hit(*map(F.col, ("px", "py", "b", "x1", "y1", "x2", "y2")))
+    ends = list(map(F.col, ("px", "py", "b", "x1", "y1", "x2", "y2")))
+    # A segment on the ray counts by the middle of what they share.
+    d = F.coalesce(along_hit(*ends, F.lit(float(cap))), ray_hit(*ends))
     j = p.withColumn("strip", strip(across("px", "py"))).join(s.drop("b"), ["name", "strip"])
     hit = j.select("id", "name", d.alias("d")).where((F.col("d") > own_coast) & (F.col("d") <= cap)).groupBy("id", "name").agg(F.min("d").alias("d"))
     all_ = points.select("id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("d")).unionByName(hit)

@@ -227,3 +227,19 @@ def aspect(spark, d):
 def static_terrain(spark, d):
     """Mean height and aspect of the block of cells around each cell."""
     return interpolate.static_terrain(roles.grid(spark, d)).select("cell_id", *[r6(F.col(c)).alias(c) for c in ("elev_m", "northness", "eastness")])
+
+
+_SIDES = ((0, 1, 0), (1, 0, 90), (0, -1, 180), (-1, 0, 270))
+
+
+@query("g09_shared_segments", _sql(roles.TARGETS, "s AS (SELECT id, b, greatest(0, least(id % 7 - 2, id % 7 - 2 + id % 5)) / 10.0e0 AS lo, least(5, greatest(id % 7 - 2, id % 7 - 2 + id % 5)) / 10.0e0 AS hi, id % 5 AS n FROM targets, (VALUES (0), (90), (180), (270)) v(b))", body="SELECT id, b::DOUBLE AS b, round((lo + hi) / 2, 6) AS d FROM s WHERE n > 0 AND lo <= hi"))
+def shared_segments(spark, d):
+    """Distances from targets to coasts that lie on a ray, half a degree long, by the middle of what they share."""
+    t = roles.targets(spark, d)
+    near, far = (F.col("id") % 7 - 2) / 10.0, (F.col("id") % 7 - 2 + F.col("id") % 5) / 10.0
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(float(b)).alias("b")) for x, y, b in _SIDES]))
+    s = t.select("id", F.col("lon").alias("px"), F.col("lat").alias("py"), near.alias("near"), far.alias("far"), sides.alias("s")).select("*", "s.*")
+    for k, at in ((1, "near"), (2, "far")):
+        s = s.withColumns({f"x{k}": F.col("px") + F.col("dx") * F.col(at), f"y{k}": F.col("py") + F.col("dy") * F.col(at)})
+    hit = sp.along_hit(*map(F.col, ("px", "py", "b", "x1", "y1", "x2", "y2")), F.lit(0.5))
+    return s.select("id", "b", r6(hit).alias("d")).where("d is not null")
