@@ -21,6 +21,15 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(s).alias("_s")).select(*keys, "_s.*").select(*df.columns)
 
 
+def feature_matrix(series: DataFrame, features: DataFrame, date: str = "date", key: str = "id") -> DataFrame:
+    """One row a date and place with the features of the place; of repeated rows the least by their other columns counts.
+
+    Places without features keep their rows, with nulls.
+    """
+    least = lambda df, keys: first_by(df, keys, [c for c in df.columns if c not in keys])
+    return least(series, [date, key]).join(least(features, [key]), key, "left")
+
+
 def left_wins(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", suffix: str = "_geo") -> DataFrame:
     """A join in which the right side's columns that the left has too get a suffix."""
     both = set(left.columns) & set(right.columns) - set(on)

@@ -83,6 +83,17 @@ def aridity(df: DataFrame, keys: list[str], date: str, tmean: str, prcp: str) ->
     return g.withColumn("pet", pet).select(*keys, F.when(F.col("pet") > 0, ratio(F.col("_p"), F.col("pet"))).alias("aridity"))
 
 
+def aridities(df: DataFrame, keys: list[str], date: str, sources: dict[str, tuple[str, str]]) -> DataFrame:
+    """keys and <source>_aridity for each source's (temperature, precipitation) columns, as aridity() has it; one shuffle for all."""
+    m = F.month(date)
+    sums = [total(F.col(p)).alias(f"_p_{s}") for s, (_, p) in sources.items()]
+    months = [F.avg(F.when(m == i, F.col(t))).alias(f"_t_{s}_{i}") for s, (t, _) in sources.items() for i in range(1, 13)]
+    g = df.groupBy(*keys).agg(*sums, *months)
+    # Evaporation is a column of its own before it divides, or it would be worked out twice.
+    g = g.select(*keys, *[f"_p_{s}" for s in sources], *[thornthwaite_pet([F.col(f"_t_{s}_{i}") for i in range(1, 13)]).alias(f"_e_{s}") for s in sources])
+    return g.select(*keys, *[F.when(F.col(f"_e_{s}") > 0, ratio(F.col(f"_p_{s}"), F.col(f"_e_{s}"))).alias(f"{s}_aridity") for s in sources])
+
+
 def complete_years(df: DataFrame, keys: list[str], year: str, step: str, least: int = 340) -> DataFrame:
     """Keys and years with at least `least` distinct steps."""
     return df.groupBy(*keys, year).agg(F.count_distinct(step).alias("n_steps")).where(F.col("n_steps") >= least).drop("n_steps")

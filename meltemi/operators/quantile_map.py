@@ -166,6 +166,18 @@ def projection(df: DataFrame, keys: list[str], window: int = 15, length: int = 3
 VARIABLES = {"tmean": False, "tmin": False, "tmax": False, "rh": False, "wind": False, "precip": True}
 
 
+def blended_onto(df: DataFrame, donors: DataFrame | None, baseline: str = "baseline", source: str = "precip_best", out: str = "precip_best_eqm", alpha: float = 0.6, **options) -> DataFrame:
+    """df with out: alpha parts of the mapped baseline and the rest of the source, at every place by the same donors.
+
+    df is given back as it is where there are no donors or none with both values, or where df lacks one of the columns.
+    """
+    if donors is None or not {baseline, source} <= set(df.columns):
+        return df
+    if donors.where(F.col("obs").isNotNull() & F.col("mdl").isNotNull()).isEmpty():
+        return df
+    return seasonal(df, donors, baseline, "_mapped", **options).withColumn(out, blend(F.col("_mapped"), F.col(source), alpha)).drop("_mapped")
+
+
 def ensemble(truth: DataFrame, series: DataFrame, historical: str = "historical", variables: list[str] | None = None, window: int = 15, n: int = 250, wet: float = 0.1) -> DataFrame:
     """series with every variable that truth has too corrected by its model's own calendar, point by point.
 

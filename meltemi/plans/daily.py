@@ -92,6 +92,14 @@ def keep_first(spark, d):
     return align.first_by(roles.table(spark, d, "lineitem"), ["l_suppkey"], order).select("l_suppkey", *order[1:])
 
 
+@query("j08_feature_matrix", _sql(roles.STATIONS, "s AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS date, l_quantity::DOUBLE AS q, l_orderkey FROM lineitem)", "a AS (SELECT *, row_number() OVER (PARTITION BY id, date ORDER BY q, l_orderkey) AS r FROM s)", "g AS (SELECT nationkey AS id, elevation_m, lat, row_number() OVER (PARTITION BY nationkey ORDER BY elevation_m, lat) AS r FROM stations)", body="SELECT a.id, a.date, a.q, a.l_orderkey, g.elevation_m, g.lat FROM a LEFT JOIN g ON g.id = a.id AND g.r = 1 WHERE a.r = 1"))
+def feature_matrix(spark, d):
+    """One row a supplier and day with the features of the place of its number; most numbers have none."""
+    s = roles.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("double").alias("q"), "l_orderkey")
+    g = roles.stations(spark, d).select(F.col("nationkey").cast("long").alias("id"), "elevation_m", "lat")
+    return align.feature_matrix(s, g).select("id", "date", "q", "l_orderkey", "elevation_m", "lat")
+
+
 @query("a01_daily_stats", _sql(roles.SUB, body="SELECT id, CAST(ts AS DATE) AS date, round(avg(value), 6) AS value_avg, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max FROM sub GROUP BY 1, 2"))
 def daily_stats(spark, d):
     out = daily(roles.sub(spark, d), "id", "ts", "value")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.functions.numeric import event, r6
-from meltemi.operators.indices import EVENTS, period_indices, r99p_threshold
-from meltemi.operators.skill import contingency, continuous, extreme_weight, matched, pooled
 from meltemi.operators import order
+from meltemi.operators.indices import EVENTS, aridities, period_indices, r99p_threshold
+from meltemi.operators.skill import contingency, continuous, extreme_weight, matched, pooled
 from meltemi.plans import roles
 from meltemi.plans.registry import Registry
 
@@ -120,6 +120,31 @@ def summary(spark, d):
     return roles.obs(spark, d).agg(r6(F.min("obs_tmax")).alias("lo"), r6(F.avg("obs_tmax")).alias("mean"), r6(F.max("obs_tmax")).alias("hi"), r6(F.avg("obs_prcp")).alias("prcp"))
 
 
+_SOURCES = ("obs", "pred", "base")
+
+
+def _aridity_sql() -> str:
+    sources = " UNION ALL ".join(f"SELECT station_id, date, '{s}' AS source, {s}_tmean - 20 AS tmean, {s}_prcp AS precip FROM obs" for s in _SOURCES)
+    t = ", ".join(f"coalesce(avg(CASE WHEN month(date) = {i} THEN tmean END), 0)" for i in range(1, 13))
+    return _sql(
+        roles.OBS,
+        f"long AS ({sources})",
+        f"m AS (SELECT station_id, year(date)::INT AS year, source, sum(precip) AS p, [{t}] AS t FROM long GROUP BY 1, 2, 3)",
+        "h AS (SELECT *, list_sum(list_transform(t, lambda x: CASE WHEN x > 0 THEN pow(greatest(x, 0) / 5, 1.514e0) ELSE 0 END)) AS i FROM m)",
+        "e AS (SELECT *, 6.75e-7 * i ** 3 - 7.71e-5 * i ** 2 + 1.792e-2 * i + 0.49239e0 AS a FROM h)",
+        "q AS (SELECT *, list_sum(list_transform(t, lambda x: CASE WHEN x > 0 THEN 16 * pow(10 * greatest(x, 0) / nullif(i, 0), a) ELSE 0 END)) AS pet FROM e)",
+        body="SELECT station_id, year, " + ", ".join(f"round(max(CASE WHEN source = '{s}' AND pet > 0 THEN p / pet END), 5) AS {s}_aridity" for s in _SOURCES) + " FROM q GROUP BY 1, 2",
+    )
+
+
+@query("a09_aridity_sources", _aridity_sql())
+def aridity_sources(spark, d):
+    """Annual aridity of observations, predictions and baseline."""
+    o = roles.obs(spark, d).withColumns({f"{s}_tmean": F.col(f"{s}_tmean") - 20 for s in _SOURCES}).withColumn("year", F.year("date"))
+    out = aridities(o, ["station_id", "year"], "date", {s: (f"{s}_tmean", f"{s}_prcp") for s in _SOURCES})
+    return out.select("station_id", "year", *[F.round(f"{s}_aridity", 5).alias(f"{s}_aridity") for s in _SOURCES])
+
+
 @query("a29_levels", _sql(roles.OBS, body="SELECT month(date)::INT AS month, round(least(0, quantile_cont(obs_tmin, 0.02)), 6) AS lo, round(quantile_cont(obs_tmin, 0.98), 6) AS hi FROM obs GROUP BY 1"))
 def levels(spark, d):
     q = F.percentile("obs_tmin", F.array(F.lit(0.02), F.lit(0.98)))

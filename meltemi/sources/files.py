@@ -65,13 +65,33 @@ def cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.when(F.abs(finite(F.col(c))) < FILL, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def discovered(spark: SparkSession, folder: str, short: set[str] = frozenset(), scenarios: tuple[str, ...] = ("historical",)) -> DataFrame:
+    """(member, scenario, path, short_year) of the corrected files <member>_bc_<scenario>.nc in a folder, by member.
+
+    A member counts if it has a file of the first scenario; `short` names those of 360 days a year. Without any member
+    it is an error.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_bc_*.nc").load(folder).select("path")
+    part = lambda i: F.regexp_extract("path", r"([^/]+)_bc_([^/]+)[.]nc$", i)
+    found = files.select(part(1).alias("member"), part(2).alias("scenario"), "path").where((F.col("member") != "") & F.col("scenario").isin(*scenarios))
+    base = found.where(F.col("scenario") == scenarios[0]).select("member")
+    if base.isEmpty():
+        raise FileNotFoundError(f"no *_bc_{scenarios[0]}.nc in {folder}")
+    return found.join(base, "member", "left_semi").withColumn("short_year", F.col("member").isin(*short) if short else F.lit(False)).orderBy("member", "scenario")
+
+
 def write_series(df: DataFrame, path: str, by=("model", "scenario")) -> None:
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
-def read_series(spark: SparkSession, path: str, years: tuple[int, int] | None = None) -> DataFrame:
-    """A series with its own day of year: 360-day rows count thirty days a month, day 366 joins 365."""
+def read_series(spark: SparkSession, path: str, years: tuple[int, int] | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A series with its own day of year: 360-day rows count thirty days a month, day 366 joins 365.
+
+    Only the years, and the places within box (lowest and highest lon, lowest and highest lat), are read; both reach the scan.
+    """
     df = spark.read.parquet(path)
+    if box:
+        df = df.where(F.col("lon").between(box[0], box[1]) & F.col("lat").between(box[2], box[3]))
     if years:
         df = df.where(F.col("year").between(*years))
     own = F.when(F.col("calendar") == "360_day", (F.col("month") - 1) * 30 + F.col("day"))

@@ -114,3 +114,37 @@ def test_longer_headers_are_an_error(spark, tmp_path):
     (tmp_path / "2001" / "a.csv").write_text(",".join(names) + "\n" + ",".join(["7", "2001-05-05", "38"] + ["1"] * 70 + ["20"]) + "\n")
     with pytest.raises(Exception, match="more than 64 columns"):
         stations.read_stations(spark, str(tmp_path), 2001, 2001).collect()
+
+
+def test_nothing_to_map_leaves_the_frame(spark):
+    donors = spark.createDataFrame([(d, float(d % 7), float(d % 5)) for d in range(1, 366)], "doy int, obs double, mdl double")
+    df = spark.createDataFrame([(1, 10, 2.0, 3.0)], "id int, doy int, baseline double, precip_best double")
+    assert "precip_best_eqm" in qm.blended_onto(df, donors).columns
+    want = 0.6 * qm.seasonal(df, donors, "baseline", "m").first().m + 0.4 * 3.0
+    assert abs(qm.blended_onto(df, donors).first().precip_best_eqm - want) < 1e-12
+    for got in (qm.blended_onto(df, None), qm.blended_onto(df, donors.limit(0)), qm.blended_onto(df, donors.withColumn("obs", F.lit(None).cast("double")))):
+        assert got.columns == df.columns
+    assert qm.blended_onto(df.drop("precip_best"), donors).columns == ["id", "doy", "baseline"]
+
+
+def test_members_of_a_folder(spark, tmp_path):
+    from meltemi.sources import files
+
+    for n in ("b_bc_historical.nc", "a_x_bc_historical.nc", "a_x_bc_late.nc", "c_bc_late.nc", "other.nc"):
+        (tmp_path / n).write_bytes(b"x")
+    got = files.discovered(spark, str(tmp_path), {"b"}, ("historical", "late")).collect()
+    assert [(r.member, r.scenario, r.short_year) for r in got] == [("a_x", "historical", False), ("a_x", "late", False), ("b", "historical", True)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "c_bc_late.nc").write_bytes(b"x")
+    with pytest.raises(FileNotFoundError):
+        files.discovered(spark, str(tmp_path / "none"))
+
+
+def test_series_of_years_and_a_box(spark, tmp_path):
+    from meltemi.sources import files
+
+    rows = [("m", "s", y, 3, 30, c, lon, 38.0, 1.0) for y in (2000, 2001) for c in ("360_day", "standard") for lon in (20.0, 25.0)]
+    df = spark.createDataFrame(rows, "model string, scenario string, year int, month int, day int, calendar string, lon double, lat double, v double")
+    files.write_series(df, str(tmp_path / "s"))
+    got = files.read_series(spark, str(tmp_path / "s"), (2001, 2001), (24.0, 26.0, 37.0, 39.0)).collect()
+    assert sorted((r.year, r.lon, r.doy) for r in got) == [(2001, 25.0, 89), (2001, 25.0, 90)]
