@@ -7,6 +7,7 @@ the geometry of a patch alone, so targets that share a patch share its triangula
 from __future__ import annotations
 
 import itertools
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.operators.spatial import gradients, nearest_cells
+from meltemi.operators.spatial import by_place, gradients, nearest_cells
 from meltemi.scratch import written
 
 
@@ -32,8 +33,42 @@ def patches(targets: DataFrame, grid: DataFrame, land: bool = True, side: int =
 
     targets: target_id, lon, lat; grid: cell_id, x, y (its column and row from 0), lon, lat, is_land. Where the nearest
     cell is land, or with land=False, a block of side x side cells from two before it on, cut off at the grid's border.
-    Elsewhere the k nearest land cells among the `candidates` nearest cells; fewer than `least` are an error.
+    Elsewhere the k nearest land cells among the `candidates` nearest cells; fewer than `least` are an error. Targets of
+    one place share its patch.
     """
+    return by_place(targets.select("target_id", "lon", "lat"), "target_id", ["lon", "lat"], lambda t: _patches(t, grid, land, side, k, least, candidates))
+
+
+def _among(ranked: DataFrame, places: DataFrame, cells: DataFrame, candidates: int) -> DataFrame:
+    """ranked (target_id, cell_id, d2) without those that aren't among the `candidates` nearest cells of their target.
+
+    Counts of cells by bucket of a square grid tell the many targets around whose farthest row lie no more cells than
+    that. For the others, and for those whose square is as many buckets, the nearest cells are told one by one.
+    """
+    a = cells.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    wide, high = (max(v, 1e-9) for v in (a[2] - a[1], a[4] - a[3]))
+    # About eight cells a bucket.
+    size = max(math.sqrt(wide * high * 8 / a[0]), max(wide, high) * 8 / a[0])
+    at = lambda c: F.floor(c / size).cast("long")
+    counts = cells.groupBy(at(F.col("x")).alias("bx"), at(F.col("y")).alias("by")).agg(F.count("*").alias("n"))
+    # Ranks are by rounded distances.
+    far = ranked.groupBy("target_id").agg(F.sqrt(F.max("d2") + 2e-9).alias("r"))
+    lo = {c: math.floor(v / size) for c, v in (("x", a[1]), ("y", a[3]))}
+    hi = {c: math.floor(v / size) for c, v in (("x", a[2]), ("y", a[4]))}
+    box = places.join(far, "target_id")
+    for c in "xy":
+        box = box.withColumns({f"{c}0": F.greatest(at(F.col(c) - F.col("r")), F.lit(lo[c])), f"{c}1": F.least(at(F.col(c) + F.col("r")), F.lit(hi[c]))})
+    small = box.where((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) <= candidates)
+    small = small.withColumn("bx", F.explode(F.sequence("x0", "x1"))).withColumn("by", F.explode(F.sequence("y0", "y1")))
+    sure = written(small.join(counts, ["bx", "by"]).groupBy("target_id").agg(F.sum("n").alias("n")).where(F.col("n") <= candidates).select("target_id"), "sure")
+    rest = places.join(far.select("target_id"), "target_id", "left_semi").join(sure, "target_id", "left_anti")
+    if rest.isEmpty():
+        return ranked
+    within = nearest_cells(rest, cells, candidates)
+    return ranked.join(sure, "target_id", "left_semi").unionByName(ranked.join(within.select("target_id", "cell_id"), ["target_id", "cell_id"], "left_semi").select(*ranked.columns))
+
+
+def _patches(targets: DataFrame, grid: DataFrame, land: bool, side: int, k: int, least: int, candidates: int) -> DataFrame:
     scale = _scale(grid)
     t = _scaled(targets, "target_id", scale)
     near = nearest_cells(t, _scaled(grid, "cell_id", scale)).join(grid.select("cell_id", "x", "y", "is_land"), "cell_id")
@@ -50,8 +85,7 @@ def patches(targets: DataFrame, grid: DataFrame, land: bool = True, side: int =
     # Few land cells lie so far that `candidates` cells are nearer, so these are told apart only for targets that need it.
     ranked = nearest_cells(asked, _scaled(grid.where("is_land"), "cell_id", scale), k)
     if grid.count() > candidates:
-        within = nearest_cells(asked, _scaled(grid, "cell_id", scale), candidates)
-        ranked = ranked.join(within.select("target_id", "cell_id"), ["target_id", "cell_id"], "left_semi")
+        ranked = _among(written(ranked, "land"), asked, _scaled(grid, "cell_id", scale), candidates)
     counts = sea.join(ranked.groupBy("target_id").agg(F.count("*").alias("n")), "target_id", "left")
     enough = F.when(F.coalesce("n", F.lit(0)) >= least, F.col("target_id")).otherwise(F.raise_error(F.concat(F.lit("too few land cells near target "), F.col("target_id").cast("string"))))
     checked = counts.select(enough.cast(t.schema["target_id"].dataType).alias("target_id"))
@@ -60,6 +94,10 @@ def patches(targets: DataFrame, grid: DataFrame, land: bool = True, side: int =
 
 def nearest_land(targets: DataFrame, grid: DataFrame, candidates: int = 500) -> DataFrame:
     """(target_id, cell_id): the nearest cell; where that is sea, the nearest land among the `candidates` nearest, if any."""
+    return by_place(targets.select("target_id", "lon", "lat"), "target_id", ["lon", "lat"], lambda t: _nearest_land(t, grid, candidates))
+
+
+def _nearest_land(targets: DataFrame, grid: DataFrame, candidates: int) -> DataFrame:
     scale = _scale(grid)
     t, kinds = _scaled(targets, "target_id", scale), grid.select("cell_id", "is_land")
     near = nearest_cells(t, _scaled(grid, "cell_id", scale)).join(kinds, "cell_id").select("target_id", "cell_id", "is_land")
@@ -143,6 +181,8 @@ class Surface:
         self.triangles = triangulated(xy) if len(xy) >= 3 else np.zeros((0, 3), np.int64)
         if len(self.triangles):
             self.gradients = gradients_by_value(xy, self.triangles)
+            corners = xy[self.triangles].transpose(0, 2, 1)
+            self.shares = np.linalg.inv(np.concatenate([corners, np.ones((len(corners), 1, 3))], axis=1))
             self.edges: dict = {}
             for k, t in enumerate(self.triangles.tolist()):
                 for e in itertools.combinations(sorted(t), 2):
@@ -150,12 +190,15 @@ class Surface:
 
     def weights(self, at: np.ndarray) -> np.ndarray | None:
         """The weight of each point's value at a place, None outside the hull."""
-        for k, t in enumerate(self.triangles.tolist()):
-            v = self.xy[t]
-            b = np.linalg.solve(np.vstack([v.T, np.ones(3)]), np.array([*at, 1.0]))
-            if b.min() >= -1e-9:
-                return self._cubic(k, t, v, np.clip(b, 0.0, 1.0))
-        return None
+        if not len(self.triangles):
+            return None
+        b = self.shares @ np.array([*at, 1.0])
+        inside = b.min(1) >= -1e-9
+        if not inside.any():
+            return None
+        k = int(np.argmax(inside))
+        t = self.triangles[k].tolist()
+        return self._cubic(k, t, self.xy[t], np.clip(b[k], 0.0, 1.0))
 
     def _cubic(self, k: int, t: list[int], v: np.ndarray, b: np.ndarray) -> np.ndarray:
         n, centre = len(self.xy), v.mean(0)

@@ -116,9 +116,14 @@ def _targets(spark, d):
 @query("g04_cubic_weights")
 def cubic(spark, d):
     """The C1 cubic surface of the raster at every target, from the weights of its patch."""
-    g, t = roles.grid(spark, d), _targets(spark, d)
-    w = interpolate.cubic_weights(interpolate.patches(t, g), t, g)
-    return w.join(g.select("cell_id", "v"), "cell_id").groupBy("target_id").agg(F.sum(F.col("weight") * F.col("v")).alias("v"), F.sum("weight").alias("total"))
+    g = roles.grid(spark, d)
+
+    def at(t):
+        w = interpolate.cubic_weights(interpolate.patches(t, g), t, g)
+        return w.join(g.select("cell_id", "v"), "cell_id").groupBy("target_id").agg(F.sum(F.col("weight") * F.col("v")).alias("v"), F.sum("weight").alias("total"))
+
+    # Targets of one place have one value.
+    return sp.by_place(_targets(spark, d), "target_id", ["lon", "lat"], at)
 
 
 _BOXES = "b AS (SELECT s_suppkey AS polygon, 11 + (s_suppkey * 53 % 210) / 10.0e0 AS x, 33 + (s_suppkey * 37 % 100) / 10.0e0 AS y, 0.2137e0 + s_nationkey / 10.0e0 AS h FROM supplier)"
