@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meltemi.scratch import written
+
 #: Land masses below so many square kilometres are islands.
 ISLAND_KM2 = 25_000.0
 
@@ -24,8 +26,9 @@ def contains(points: DataFrame, edges: DataFrame, cell_size: float | None = None
     Whether the middle of a cell lies inside a polygon is read off the crossings of the polygon with the cell's middle
     line, row by row. A point then is inside if the way to it from the middle of its cell, first up or down and then
     sideways, crosses edges an even number of times, or an odd number where the middle is outside; these edges lie in
-    the cell. So each edge and each inner cell is met by equal keys alone. Polygons may overlap. Equal points are told
-    once; points on an edge count to one side.
+    the cell. So each edge and each inner cell is met by equal keys alone. Polygons may overlap: of those that hold a
+    whole cell the first alone counts there, and no later one's edges are looked at. Equal points are told once; points
+    on an edge count to one side.
     """
     e = edges.select("polygon", "x1", "y1", "x2", "y2").where("polygon is not null and x1 + y1 + x2 + y2 is not null")
     size = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
@@ -34,7 +37,7 @@ def contains(points: DataFrame, edges: DataFrame, cell_size: float | None = None
     if not a[0]:
         return empty
     # About as many cells as edges, and few cells an edge.
-    cell_size = cell_size or max(a[1], math.sqrt(max(a[3] - a[2], 1e-9) * max(a[5] - a[4], 1e-9) / a[0]), 1e-9)
+    cell_size = cell_size or max(a[1] / 4, math.sqrt(max(a[3] - a[2], 1e-9) * max(a[5] - a[4], 1e-9) / a[0]), 1e-9)
     # Cells begin at an odd fraction, so that round coordinates don't lie on middle lines.
     x0, y0 = a[2] - 0.3819660112501051 * cell_size, a[4] - 0.2360679774997897 * cell_size
     at = lambda c, o: F.floor((c - o) / cell_size)
@@ -56,6 +59,14 @@ def contains(points: DataFrame, edges: DataFrame, cell_size: float | None = None
     right = F.when(flat, F.greatest(*x)).otherwise(end(F.greatest, x))
     slack = 1e-9 * cell_size
     held = rows.withColumn("bx", F.explode(F.sequence(at(left - slack, x0), at(right + slack, x0))))
+    # No edge in the cell: all of it is inside, and later polygons can't be its points' first.
+    keys = ["polygon", "by", "bx"]
+    held = written(held, "edges")
+    marked = inner.withColumn("_e", F.lit(0)).unionByName(held.select(*keys, F.lit(1).alias("_e"))).groupBy(*keys).agg(F.max("_e").alias("_e"), F.min("_e").alias("_i"))
+    marked = written(marked.where("_i = 0"), "inner")
+    full = written(marked.where("_e = 0").groupBy("by", "bx").agg(F.min("polygon").alias("first")), "full")
+    before = lambda t: t.join(full, ["by", "bx"], "left").where("first is null or polygon < first").drop("first")
+    held, inner = before(held), before(marked.where("_e = 1").select(*keys))
     p = points.select("px", "py").where("px is not null and py is not null").distinct().withColumn("bx", at(F.col("px"), x0)).withColumn("by", at(F.col("py"), y0))
     px, py, mx, my = F.col("px"), F.col("py"), middle(F.col("bx"), x0), middle(F.col("by"), y0)
     # Up or down on the cell's middle line, from my to py; a tie counts as if the line lay a little further right.
@@ -68,6 +79,7 @@ def contains(points: DataFrame, edges: DataFrame, cell_size: float | None = None
     met = p.join(held, ["bx", "by"]).select("px", "py", "polygon", (F.coalesce(up, F.lit(False)).cast("int") + F.coalesce(side, F.lit(False)).cast("int")).alias("n"))
     both = met.unionByName(p.join(inner, ["bx", "by"]).select("px", "py", "polygon", F.lit(1).alias("n")))
     inside = both.groupBy("px", "py", "polygon").agg((F.sum("n") % 2).alias("odd")).where("odd = 1")
+    inside = inside.select("px", "py", "polygon").unionByName(p.join(full, ["by", "bx"]).select("px", "py", F.col("first").alias("polygon")))
     first = inside.groupBy("px", "py").agg(F.min("polygon").alias("polygon"))
     return points.select("id", "px", "py").join(first, ["px", "py"]).select("id", "polygon")
 
