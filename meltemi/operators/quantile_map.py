@@ -232,6 +232,15 @@ def without_each(df: DataFrame, key: str, folds: DataFrame) -> DataFrame:
     return j.select(F.col(key).alias("fold"), n.alias("n"), F.round((F.col("_ws") - F.col("_s")) / n, 6).alias("obs_mean"))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled whatever its estimated size.
+
+    Tables of one list of quantiles a fold compress to a small part of their size, by which Spark would take them for small
+    ones and gather them on the driver.
+    """
+    return df.hint("merge")
+
+
 def _without(all_: DataFrame, own: DataFrame, requests: DataFrame, block: int = 256) -> DataFrame:
     """requests (fold, side, tag, r) with v, the value of rank r among all values but the fold's own, and `upto`, how many of these are at most v.
 
@@ -241,10 +250,10 @@ def _without(all_: DataFrame, own: DataFrame, requests: DataFrame, block: int =
     its turn, and holds from there on.
     """
     lists = requests.groupBy("fold", "side").agg(F.sort_array(F.collect_list(F.struct("r", "tag"))).alias("rs"))
-    turns = own.withColumn("turn", F.col("a") - F.col("own_start")).join(lists, ["fold", "side"])
+    turns = own.withColumn("turn", F.col("a") - F.col("own_start")).join(_shuffled(lists), ["fold", "side"])
     turns = turns.withColumn("i", F.size(F.filter("rs", lambda x: x["r"] < F.col("turn")))).where(F.col("i") < F.size("rs"))
     turns = turns.groupBy("fold", "side", "i").agg(F.max(F.struct("own_start", "turn", "c", "own_c")).alias("k"))
-    q = lists.select("fold", "side", F.posexplode("rs").alias("i", "x")).join(turns, ["fold", "side", "i"], "left")
+    q = lists.select("fold", "side", F.posexplode("rs").alias("i", "x")).join(_shuffled(turns), ["fold", "side", "i"], "left")
     so_far = Window.partitionBy("fold", "side").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     q = q.select("fold", "side", "x.r", "x.tag", F.max("k").over(so_far).alias("k"))
     k = lambda c: F.coalesce(F.col(f"k.{c}"), F.lit(0))
@@ -254,7 +263,7 @@ def _without(all_: DataFrame, own: DataFrame, requests: DataFrame, block: int =
     # A rank meets the value that covers it in a block of ranks.
     q = q.withColumn("b", F.floor(F.col("rank") / block))
     spans = all_.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("c") - 1) / block))))
-    j = q.join(spans, ["side", "b"]).where("rank >= start and rank < start + c")
+    j = q.join(_shuffled(spans), ["side", "b"]).where("rank >= start and rank < start + c")
     return j.select("fold", "side", "tag", "r", "v", (F.col("start") + F.col("c") - F.col("own_upto")).alias("upto"))
 
 
@@ -270,13 +279,13 @@ def leave_one_out(df: DataFrame, key: str, folds: DataFrame, n: int = 200, wet:
     long = d.select("fold", F.explode(both).alias("_s")).select("fold", "_s.side", "_s.v")
     all_ = written(order.ranked(long, ["side"], "v"), "ranks")
     names = folds.select(F.col(key).alias("fold")).distinct()
-    own = order.ranked(long.join(names, "fold", "left_semi"), ["fold", "side"], "v").select("fold", "side", "v", F.col("c").alias("own_c"), F.col("start").alias("own_start"))
-    own = written(own.join(all_.select("side", "v", "c", F.col("start").alias("a")), ["side", "v"]), "own")
+    own = order.ranked(long.join(_shuffled(names), "fold", "left_semi"), ["fold", "side"], "v").select("fold", "side", "v", F.col("c").alias("own_c"), F.col("start").alias("own_start"))
+    own = written(own.join(_shuffled(all_.select("side", "v", "c", F.col("start").alias("a"))), ["side", "v"]), "own")
     # Of everything one row, of the folds one each.
     o, m = F.col("obs").cast("double"), F.col("mdl").cast("double")
     sums = [F.count("*").alias("n"), F.sum(o).alias("o"), F.sum(m).alias("m"), F.count(F.when(o > wet, 1)).alias("w")]
     whole = d.agg(*sums).select(*[F.col(c).alias(f"all_{c}") for c in "nomw"])
-    pool = names.join(d.groupBy("fold").agg(*sums), "fold", "left").join(F.broadcast(whole)).fillna(0)
+    pool = names.join(_shuffled(d.groupBy("fold").agg(*sums)), "fold", "left").join(F.broadcast(whole)).fillna(0)
     pool = pool.select("fold", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in "nomw"])
     share = F.when(F.col("w") > 0, 1 - F.col("w") / F.col("n"))
     at = share * (F.col("n") - 1)
@@ -284,26 +293,26 @@ def leave_one_out(df: DataFrame, key: str, folds: DataFrame, n: int = 200, wet:
     asked = pool.where("w > 0").select("fold", F.lit("mdl").alias("side"), F.explode(ends).alias("e"), at.alias("at")).select("fold", "side", "e.*", "at")
     found = _without(all_, own, asked.select("fold", "side", "tag", "r"))
     pick = lambda c, t: F.max(F.when(F.col("tag") == t, F.col(c)))
-    thr = found.groupBy("fold").agg(*[pick(c, t).alias(f"{c}{t}") for c in ("v", "upto") for t in (0, 1)]).join(pool.select("fold", at.alias("at")), "fold")
+    thr = found.groupBy("fold").agg(*[pick(c, t).alias(f"{c}{t}") for c in ("v", "upto") for t in (0, 1)]).join(_shuffled(pool.select("fold", at.alias("at"))), "fold")
     y = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - F.floor("at"))
     thr = thr.select("fold", y.alias("wet_thr"), F.when(F.col("v1") <= y, F.col("upto1")).otherwise(F.col("upto0")).alias("low"))
     # Without a wet day the threshold is 0, and the values up to it are counted.
-    dry = pool.where("w = 0").select("fold").join(own.where("side = 'mdl' and v <= 0").groupBy("fold").agg(F.sum("own_c").alias("own")), "fold", "left")
+    dry = pool.where("w = 0").select("fold").join(own.where("side = 'mdl' and v <= 0").groupBy("fold").agg(F.sum("own_c").alias("own")).hint("merge"), "fold", "left")
     zero = all_.where("side = 'mdl' and v <= 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("z"))  # one row
     dry = dry.join(F.broadcast(zero)).select("fold", F.lit(0.0).alias("wet_thr"), (F.col("z") - F.coalesce("own", F.lit(0))).alias("low"))
-    pool = written(pool.join(thr.unionByName(dry), "fold"), "pools")
+    pool = written(pool.join(_shuffled(thr.unionByName(dry)), "fold"), "pools")
     sides = F.array(F.struct(F.lit("obs").alias("side"), (F.col("n") - F.col("w")).alias("low")), F.struct(F.lit("mdl").alias("side"), F.col("low").alias("low")))
     kept = pool.select("fold", "n", F.explode(sides).alias("s")).select("fold", "s.*", (F.col("n") - F.col("s.low")).alias("size")).where("size > 0")
     place = (F.col("i") / (n - 1)) * (F.col("size") - 1)
     kept = kept.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", place - F.floor(place))
     ends = F.array(*[F.struct((F.col("i") * 2 + t).alias("tag"), (F.col("low") + F.least(F.floor(place) + t, F.col("size") - 1)).alias("r")) for t in (0, 1)])
     kept = kept.select("fold", "side", "size", "i", "t", F.explode(ends).alias("e")).select("fold", "side", "size", "i", "t", "e.*")
-    found = _without(all_, own, kept.select("fold", "side", "tag", "r")).join(kept, ["fold", "side", "tag"]).groupBy("fold", "side", "size", "i", "t").agg(*[F.max(F.when(F.col("tag") % 2 == t, F.col("v"))).alias(f"v{t}") for t in (0, 1)])
+    found = _without(all_, own, kept.select("fold", "side", "tag", "r")).join(_shuffled(kept), ["fold", "side", "tag"]).groupBy("fold", "side", "size", "i", "t").agg(*[F.max(F.when(F.col("tag") % 2 == t, F.col("v"))).alias(f"v{t}") for t in (0, 1)])
     lists = found.groupBy("fold", "side", "size").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("t")).alias("q")))).alias("l"))  # n entries
     lists = lists.select("fold", "side", "size", F.transform("l", lambda x: x["q"]).alias("q"))
     t = pool.select("fold", "n", "o", "m", "wet_thr")
     for c in ("obs", "mdl"):
-        t = t.join(lists.where(F.col("side") == c).select("fold", F.col("size").alias(f"n_{c}"), F.col("q").alias(f"q_{c}")), "fold", "left")
+        t = t.join(_shuffled(lists.where(F.col("side") == c).select("fold", F.col("size").alias(f"n_{c}"), F.col("q").alias(f"q_{c}"))), "fold", "left")
     # greatest and least skip null, so one side's ends do where the other holds nothing.
     lo = F.coalesce(F.least(F.get("q_obs", F.lit(0)), F.get("q_mdl", F.lit(0))), F.lit(0.0))
     hi = F.coalesce(F.greatest(F.get("q_obs", F.lit(n - 1)), F.get("q_mdl", F.lit(n - 1))), F.lit(1.0))
@@ -311,4 +320,4 @@ def leave_one_out(df: DataFrame, key: str, folds: DataFrame, n: int = 200, wet:
     enough = F.coalesce((F.col("n_obs") >= 2) & (F.col("n_mdl") >= 2), F.lit(False))
     mean = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
     t = t.select(F.col("fold").alias(key), F.when(enough, F.col("q_mdl")).otherwise(ramp).alias("mq"), F.when(enough, F.col("q_obs")).otherwise(ramp).alias("oq"), mean("o").alias("obs_mean"), mean("m").alias("mdl_mean"), "wet_thr")
-    return df.join(t, key).withColumn("mapped", applied(F.col("mdl"), True)).drop(*TRANSFER)
+    return df.join(_shuffled(t), key).withColumn("mapped", applied(F.col("mdl"), True)).drop(*TRANSFER)

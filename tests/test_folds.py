@@ -46,3 +46,13 @@ def test_every_series_is_mapped(spark):
     assert set(map(tuple, got[key].values)) == set(map(tuple, e[key].values)) and len(got) == len(e)
     grid = projections.QUERIES["n05_eqm_grid"][0](spark, SF).toPandas()
     assert set(zip(grid.scenario, grid.point)) == set(zip(e.scenario, e.point))
+
+
+def test_no_table_of_folds_is_gathered(spark):
+    """Lists of quantiles compress well, so estimates of their size mislead: all joins but those of one row are shuffled."""
+    from meltemi.operators import quantile_map as qm
+
+    df = spark.range(400).selectExpr("id % 20 as id", "cast(id % 366 + 1 as int) as doy", "cast(id % 7 as double) as obs", "cast(id % 11 as double) as mdl")
+    out = qm.leave_one_out(df, "id", df.select("id").distinct(), n=20)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 400
