@@ -41,6 +41,8 @@ SHARD_BYTES = 6 << 20
 HOT, SALT, DEPTH = 1 << 17, 16, 3
 #: Places of the table that tells such contexts; with very many of them it deals others as well, alike in all runs.
 SLOTS = 1 << 22
+#: Numbers of a sequence, and keys, that meet at once; with a key for every DENSE numbers or more, sequences are decoded in order.
+STRETCH, DENSE = 1 << 18, 8
 END, BEGIN = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0B0B0B0B0B0B0B0B)
 #: Bits of a word that tell it apart from others beside the same word.
 BITS = 24
@@ -169,8 +171,38 @@ class EliasFano:
         out[at[hit]] = lo[hit]
         return out
 
+    def values(self, lo: int, hi: int) -> np.ndarray:
+        """The numbers lo to hi (without hi), decoded one after the other."""
+        if lo >= hi:
+            return np.zeros(0, np.uint64)
+        first, last = self.high.select(np.array([lo, hi - 1])) >> 6
+        bits = np.unpackbits(self.high.words[first : last + 1].view(np.uint8), bitorder="little")
+        ones = np.flatnonzero(bits) + (first << 6)
+        before = int(self.high.counts[first // Bits.BLOCK]) + int(np.bitwise_count(self.high.words[first // Bits.BLOCK * Bits.BLOCK : first]).sum())
+        i = np.arange(lo, hi)
+        return (((ones[lo - before : hi - before] - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)) + self.base
+
+    def merged(self, key: np.ndarray) -> np.ndarray:
+        """As find(), of ascending keys: a stretch of them meets the stretch of the sequence that its ends enclose."""
+        out = np.full(len(key), -1)
+        if not self.n or not len(key):
+            return out
+        a, b = np.searchsorted(key, self.base), np.searchsorted(key, self.get(np.array([self.n - 1]))[0], "right")
+        for k in range(a, b, STRETCH):
+            own = key[k : min(b, k + STRETCH)]
+            start, end = self._bucket(own[[0, -1]])
+            for lo in range(int(start[0]), int(end[1]), STRETCH):
+                seq = self.values(lo, min(int(end[1]), lo + STRETCH))
+                x, y = np.searchsorted(own, seq[0]), np.searchsorted(own, seq[-1], "right")
+                at = np.searchsorted(seq, own[x:y])
+                out[k + x : k + y] = np.where(seq[at] == own[x:y], lo + at, out[k + x : k + y])
+        return out
+
     def find(self, key: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it isn't in the sequence."""
+        if len(key) * DENSE > self.n:
+            key, back = np.unique(key, return_inverse=True)
+            return self.merged(key)[back]
         return self.within(np.zeros(len(key), np.int64), np.full(len(key), self.n), key)
 
 
@@ -437,22 +469,44 @@ class Triples:
         salts = [np.minimum(np.uint64(shards), np.uint64(salt) ** d.astype(np.uint64)) for d in (deal, deal3)]
         first = (ctx >> np.uint64(20)) % np.uint64(shards) + shingles.mixed(u, 0x51) % salts[0]
         key = ((first + np.where(deal3 > 0, shingles.mixed(run.h, 0x5A) % salts[1], np.uint64(0))) % np.uint64(shards) << np.uint64(40)) | (ctx >> np.uint64(24))
-        uw = (u << WIDTH) | w
-        o = np.lexsort((uw, key))
-        k, x = key[o], uw[o]
-        new, newu, newv = _new(k, x), _new(k, x >> WIDTH), _new(k)
-        self.gram_of, self.ctx_of, self.v_of, self.pair_of = (np.empty(len(o), np.int64) for _ in range(4))
-        self.gram_of[o], self.ctx_of[o], self.v_of[o] = (np.cumsum(y) - 1 for y in (new, newu, newv))
-        at = np.flatnonzero(new)
-        self.key, self.uw = k[at], x[at]
-        self.ctx_at, self.v_at = np.flatnonzero(newu[at]), np.flatnonzero(newv[at])
-        self.count = np.bincount(self.gram_of, weights=train, minlength=len(at)).astype(np.int64)
-        self.hot = (deal[o][at][self.v_at] > 0).astype(np.uint8)
-        o = np.lexsort((w, key))
-        self.pair_of[o] = np.cumsum(_new(key[o], w[o])) - 1
+        # Ranks within the run are short, so that an n-gram is one number, which is sorted far faster than three.
+        keys, k = np.unique(key, return_inverse=True)
+        low = distinct(run.words & LOW, u[:2], np.array([BEGIN & LOW]))
+        r = np.searchsorted(low, run.words & LOW)[run.place]
+        before = np.concatenate([r[:2], r[:-2]])[: len(r)]
+        other = np.flatnonzero(low[before] != u)
+        before[other] = np.searchsorted(low, u[other])
+        bits, more = len(low).bit_length(), len(keys).bit_length()
+        if 2 * bits + more > 63:
+            raise ValueError("a run of too many tokens")
+        shift, two = np.uint64(bits), np.uint64(2 * bits)
+        self._v, self._w = k.astype(np.uint64), r.astype(np.uint64)
+        self._gram, self._shift = (self._v << two) | (before.astype(np.uint64) << shift) | self._w, shift
+        x = np.sort((self._gram << np.uint64(1)) | train)
+        at = np.flatnonzero(_new(x >> np.uint64(1)))
+        seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(x & np.uint64(1), dtype=np.int64)])
+        self.count = seen[np.append(at[1:], len(x))] - seen[at]
+        x = x[at] >> np.uint64(1)
+        self.key, mask = keys[(x >> two).astype(np.int64)], np.uint64((1 << bits) - 1)
+        self.uw = (low[((x >> shift) & mask).astype(np.int64)] << WIDTH) | low[(x & mask).astype(np.int64)]
+        self.ctx_at, self.v_at = np.flatnonzero(_new(x >> shift)), np.flatnonzero(_new(x >> two))
+        dealt = np.zeros(len(keys), np.uint8)
+        dealt[k] = deal > 0
+        self.hot = dealt[(x[self.v_at] >> two).astype(np.int64)]
         on = np.flatnonzero((deal3 > 0) & train)
         self.dealt = _totals(((ctx >> np.uint64(24))[on], u[on]), first[on], salts[1][on], shards)
 
+    def places(self) -> tuple[np.ndarray, ...]:
+        """Of each token its n-gram, its context, the middle word and the pair, as numbers in the order in which they are sent."""
+        gram_of, ctx_of, pair_of = (np.empty(len(self._gram), np.int64) for _ in range(3))
+        o = np.argsort(self._gram)
+        x = self._gram[o]
+        gram_of[o], ctx_of[o] = np.cumsum(_new(x)) - 1, np.cumsum(_new(x >> self._shift)) - 1
+        pair = (self._v << self._shift) | self._w
+        o = np.argsort(pair)
+        pair_of[o] = np.cumsum(_new(pair[o])) - 1
+        return gram_of, ctx_of, self._v.astype(np.int64), pair_of
+
     def fragments(self):
         """(shard, payload): v, are they dealt, their numbers of u; u, their numbers of w; w and their counts; dealt (v, u) and occurrences."""
         shard, (hot, v40, u32, times) = (self.key >> np.uint64(40)).astype(np.int64), self.dealt
@@ -542,11 +596,16 @@ def _searched(trie: Trie, i: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Codes of f, each distinct (context's index, word) looked up once."""
     key = (np.where(i < 0, 1 << 31, i).astype(np.uint64) << WIDTH) | word
     key, back = np.unique(key, return_inverse=True)
-    own = (key >> WIDTH).astype(np.int64)
-    own[own == 1 << 31] = -1
-    out = np.empty(len(key), np.uint16)
-    for k in range(0, len(key), 1 << 18):
-        out[k : k + (1 << 18)] = trie.codes(own[k : k + (1 << 18)], key[k : k + (1 << 18)] & LOW)
+    known = int(np.searchsorted(key, np.uint64(1 << 31) << WIDTH))
+    out = np.full(len(key), ABSENT, np.uint16)
+    if known * DENSE > trie.successors.n:
+        # Nearly all successors are asked for, in their order.
+        j = trie.successors.merged(key[:known])
+        out[:known][j >= 0] = trie.f[j[j >= 0]]
+        return out[back]
+    for k in range(0, known, STRETCH):
+        own = key[k : min(known, k + STRETCH)]
+        out[k : k + len(own)] = trie.codes((own >> WIDTH).astype(np.int64), own & LOW)
     return out[back]
 
 
@@ -617,7 +676,7 @@ def built(order: int, ctx: np.ndarray, w: np.ndarray, m: np.ndarray, dealt: np.n
     on = m > 0
     contexts = distinct(ctx[on], dealt)
     key = (np.searchsorted(contexts, ctx[on]).astype(np.uint64) << WIDTH) | w[on]
-    order_ = np.argsort(key, kind="stable")
+    order_ = np.argsort(key)
     key, c = key[order_], m[on][order_].astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     key, c = key[new], np.add.reduceat(c, new) if len(new) else c
@@ -681,9 +740,10 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         p1 = (c + 1) / (n_train + n_words + 1)
         cat = lambda order, k: valued(_cat(parts[order], k, np.uint16))
         g, few = Triples(r, shards, levels, salt), Pairs(r, shards, levels[2], salt)
-        f, b = cat(3, 2)[g.pair_of], cat(3, 3)[g.v_of]
+        gram_of, ctx_of, v_of, pair_of = g.places()
+        f, b = cat(3, 2)[pair_of], cat(3, 3)[v_of]
         f[few.tokens], b[few.tokens] = cat(2, 0)[few.gram_of], cat(2, 1)[few.ctx_of]
-        p = cat(3, 0)[g.gram_of] + cat(3, 1)[g.ctx_of] * (f + b * p1)
+        p = cat(3, 0)[gram_of] + cat(3, 1)[ctx_of] * (f + b * p1)
         of = lambda x: np.bincount(r.doc, weights=x, minlength=len(r.n))
         whole = np.ones(len(r.n), bool)
         whole[0] &= not r.begun

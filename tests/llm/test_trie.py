@@ -153,3 +153,19 @@ def test_very_long_texts_go_through_in_stretches(monkeypatch):
         assert before[4] == after[3]
         if after[3]:
             assert np.array_equal(np.array(after[2]), np.concatenate([np.array(before[2]), before[0]])[-2:])
+
+
+@pytest.mark.parametrize("n", [1, 5, 3000])
+def test_ascending_keys_meet_decoded_stretches(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    a = np.unique(np.concatenate([rng.integers(1 << 40, 1 << 62, n, dtype=np.uint64), np.arange(n, dtype=np.uint64) + np.uint64(1 << 41)]))
+    shape, parts = trie.EliasFano.parts(a)
+    seq = trie.EliasFano(*shape, *parts)
+    key = np.unique(np.concatenate([a[rng.random(len(a)) < 0.5], rng.integers(0, 1 << 63, n, dtype=np.uint64), a[:1], a[-1:] + np.uint64(1)]))
+    want = np.where(np.isin(key, a), np.searchsorted(a, key), -1)
+    for stretch in (1 << 18, 7):
+        monkeypatch.setattr(trie, "STRETCH", stretch)
+        assert (seq.merged(key) == want).all() and (seq.values(0, len(a)) == a).all()
+        assert (seq.values(len(a) // 3, len(a) // 2) == a[len(a) // 3 : len(a) // 2]).all()
+    shuffled = rng.permutation(np.concatenate([key, key]))
+    assert (seq.find(shuffled) == want[np.searchsorted(key, shuffled)]).all()
