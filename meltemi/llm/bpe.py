@@ -2,7 +2,7 @@
 
 A rolling hash of the last bytes cuts each text where its content says so, which gives passages that documents share
 the same chunks wherever they stand. Chunks found twice or more (of very many, the most frequent) are encoded once, each by one task, and sent to the
-documents that hold them; all other text is encoded in place. At each join of separately encoded stretches the span
+documents that hold them; all other text is encoded in place. A worker encodes a stretch between sure splits once. At each join of separately encoded stretches the span
 between the nearest places where the tokenizer always splits is encoded anew; the pieces must then agree byte by byte
 with the text, else the whole text is encoded again.
 """
@@ -10,7 +10,6 @@ with the text, else the whole text is encoded again.
 from __future__ import annotations
 
 import hashlib
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from meltemi.llm.sequences import Stretches
 from meltemi.llm.shared import pruned, short_batches, written
 from meltemi.llm.shingles import _BYTES, _power, mixed, runs
 
@@ -34,13 +34,8 @@ class Codec:
     _loaded: dict = {}
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        self.tokenizer = t
+        self.coder = Stretches.of(path)
+        self.tokenizer = t = self.coder.tokenizer
         n = t.get_vocab_size(with_added_tokens=True)
         # Of byte-level tokens each character stands for one byte: printable ones for themselves, the rest from U+0100 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -57,8 +52,11 @@ class Codec:
         return cls._loaded[path]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4") for e in got]
+        strings = [t.decode() for t in texts]
+        # Stretches are sure only of a tokenizer that splits as its merges tell.
+        if self.coder.merges:
+            return [np.frombuffer(ids, "<u4") for ids in self.coder.encode(strings)]
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """As the tokenizer's decode(ids, skip_special_tokens=False), in UTF-8."""

@@ -73,3 +73,11 @@ def test_more_repeated_chunks_than_the_filter_holds(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in bpe.encoded(df, PATH).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_a_worker_encodes_a_stretch_once():
+    codec = bpe.Codec(PATH)
+    texts = ["one more two", "two more", "語 one", ""]
+    got = codec.encode([t.encode() for t in texts])
+    assert [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest()) for x in got] == [x[:2] for x in brute(texts)]
+    assert {"one", " more", " two", "語"} <= set(codec.coder.known)
