@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from meltemi.llm.components import components
 from meltemi.llm.packing import deltas, packed, unpacked
-from meltemi.llm.shared import pruned, short_batches, written
+from meltemi.llm.shared import pruned, short_batches, trimmed, written
 from meltemi.llm.shingles import mixed, runs, shingle_sets
 
 #: Second-level parts and the differences that one first-level part may hold.
@@ -194,7 +194,7 @@ def with_parities(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         bands = Bands(num, den)
-        for b in batches:
+        for b in trimmed(batches):
             texts = _texts(b.column(1))
             for i, j in runs(texts):
                 h, n = shingle_sets(texts[i:j], k)
@@ -235,7 +235,7 @@ def _shared(docs: DataFrame, k: int, num: int, den: int, shards: int) -> DataFra
             return pa.RecordBatch.from_arrays(cols, ["shard", "payload"])
 
         held, size = [], 0
-        for b in batches:
+        for b in trimmed(batches):
             texts = _texts(b.column(0))
             for i, j in runs(texts):
                 h, n = shingle_sets(texts[i:j], k)
@@ -285,7 +285,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             at = b.column(2).to_numpy()
             b = b.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1, pa.bool_()) if len(at) else pa.array([], pa.bool_()))
             texts = _texts(b.column(1))

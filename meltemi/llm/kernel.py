@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.llm.rules import STOP_WORDS
-from meltemi.llm.shared import pruned, short_batches, written
+from meltemi.llm.shared import pruned, short_batches, trimmed, written
 
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 N_STATISTICS = 14
@@ -57,7 +57,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id and f array<double>; null text counts as empty, repeated rows stay."""
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             rows = [statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], [id_col, "f"])
 
@@ -170,7 +170,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", hel
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             if len(b):
                 rows = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(at)])
                 yield b.filter(pa.array(model.score(rows) >= threshold))

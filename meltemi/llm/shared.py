@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltemi.scratch import scratch_path, shared_dir, written
 
-__all__ = ["bucketed", "classed", "pruned", "scratch_path", "shared_dir", "short_batches", "written"]
+__all__ = ["bucketed", "classed", "pruned", "scratch_path", "shared_dir", "short_batches", "trimmed", "written"]
 
 #: Rows of an Arrow batch. Spark's own ten thousand are too many where each row is a text.
 ROWS = 2000
@@ -22,6 +26,20 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS))
 
 
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches; before each next one a Python worker gives back what memory the last one left free.
+
+    The C library keeps the space of large arrays, and Arrow's pool that of batches, for as long as the worker lives, which
+    idle ones do for a minute: what one step took at most would add to what the next one takes.
+    """
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def bucketed(df: DataFrame, name: str, column: str, rows: int) -> DataFrame:
     """df as a table in the shared folder whose rows lie in buckets of the column: grouping by it shuffles none of them.
 

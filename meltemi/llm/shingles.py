@@ -12,7 +12,7 @@ _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Texts are worked on in runs of about so many bytes, which bounds the memory at some hundred bytes for each.
-RUN = 1 << 19
+RUN = 1 << 18
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
