@@ -51,12 +51,26 @@ def fit(df: DataFrame, keys: list[str], obs: str = "obs", mdl: str = "mdl", n: i
     return g.select(*keys, q("_m").alias("mq"), q("_o").alias("oq"), *means, "wet_thr", "n_wet")
 
 
-def fit_pools(df: DataFrame, keys: list[str], n: int = 250, wet: float = 0.1) -> DataFrame:
-    """As fit() of precipitation (obs, mdl), for pools of any size: quantiles are read by rank and no pool is collected."""
-    both = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("v")) for c in ("obs", "mdl")])
-    r = order.ranked(df.select(*keys, F.explode(both).alias("_s")).select(*keys, "_s.side", "_s.v"), [*keys, "side"], "v")
+def fit_pools(df: DataFrame, keys: list[str], n: int = 250, wet: float = 0.1, days: list[str] | None = None, pools: Column | None = None) -> DataFrame:
+    """As fit() of precipitation (obs, mdl), for pools of any size: quantiles are read by rank and no pool is collected.
+
+    With pools, an array of the pools that a row belongs to by its days, the pool is the last of the keys; rows are counted
+    by days and value before they go to their pools, so that repeated values go there once.
+    """
+    first = days if pools is not None else keys
     o, m = F.col("obs").cast("double"), F.col("mdl").cast("double")
-    sums = df.groupBy(*keys).agg(F.avg(o).alias("obs_mean"), F.avg(m).alias("mdl_mean"), F.count(F.when(o > wet, 1)).alias("n_wet"), F.count(o).alias("_rows"))
+    both = F.array(*[F.struct(F.lit(c).alias("side"), v.alias("v")) for c, v in (("obs", o), ("mdl", m))])
+    long = df.select(*first, F.explode(both).alias("_s")).select(*first, "_s.side", "_s.v")
+    sums = df.groupBy(*first).agg(F.sum(o).alias("_o"), F.count(o).alias("_rows"), F.sum(m).alias("_m"), F.count(m).alias("_k"), F.count(F.when(o > wet, 1)).alias("n_wet"))
+    if pools is None:
+        r = order.ranked(long, [*keys, "side"], "v")
+    else:
+        counted = long.where("v is not null").groupBy(*first, "side", "v").agg(F.count("*").alias("_c"))
+        r = order.ranked(counted.withColumn(keys[-1], F.explode(pools)), [*keys, "side"], "v", "_c")
+        # As many rows as days.
+        sums = sums.withColumn(keys[-1], F.explode(pools)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_o", "_rows", "_m", "_k", "n_wet")])
+    mean = lambda s, k: (F.col(s) / F.nullif(F.col(k), F.lit(0)))
+    sums = sums.select(*keys, mean("_o", "_rows").alias("obs_mean"), mean("_m", "_k").alias("mdl_mean"), "n_wet", "_rows")
     share = (1 - F.col("n_wet") / F.nullif(F.col("_rows"), F.lit(0))).alias("_q")
     # One row a pool on the right-hand sides from here on.
     thr = order.at_level(r.where("side = 'mdl'").join(sums.where("n_wet > 0").select(*keys, share), keys), keys, F.col("_q"), "wet_thr")
@@ -95,8 +109,8 @@ def seasonal(target: DataFrame, donors: DataFrame, x: str, out: str, doy: str =
     keys = keys or []
     at = centres(step)
     valid = donors.where(F.col("obs").isNotNull() & F.col("mdl").isNotNull())
-    near = valid.withColumn("centre", F.explode(F.concat(F.array(F.lit(0)), centres_within(F.col(doy), at, window, 366))))
-    fits = written(fit_pools(near, [*keys, "centre"], n, wet), "transfers")
+    near = F.concat(F.array(F.lit(0)), centres_within(F.col(doy), at, window, 366))
+    fits = written(fit_pools(valid, [*keys, "centre"], n, wet, [*keys, doy], near), "transfers")
     by = fits.where((F.col("n_wet") >= least_wet) & (F.col("centre") > 0)).select(*keys, "centre", F.struct(*TRANSFER).alias("_by"))
     whole = fits.where("centre = 0").select(*keys, F.struct(*TRANSFER).alias("_all"))
     if not keys:
