@@ -1,4 +1,4 @@
-"""Connected components: tasks contract their edges, large and small stars join what they leave."""
+"""Connected components: tasks contract their edges, stars join what they leave."""
 
 from __future__ import annotations
 
@@ -34,38 +34,45 @@ def _forest(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[out], pa.int64()), pa.array(ids[root[out]], pa.int64())], ["u", "v"])
 
 
-def _contracted(batches, chunk):
-    """Edges (u, v) of a task as forests of at most `chunk` edges each."""
+def _contracted(batches, chunk, ordered):
+    """Edges (u, v) of a task as forests of about `chunk` edges each; where they come in order of u, no u's edges are parted."""
     held, size = [], 0
     for b in batches:
         held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
         size += b.num_rows
         if size >= chunk:
-            yield _forest(*map(np.concatenate, zip(*held)))
-            held, size = [], 0
-    if held:
+            u, v = map(np.concatenate, zip(*held))
+            cut = int(np.searchsorted(u, u[-1])) if ordered else size
+            if cut:
+                yield _forest(u[:cut], v[:cut])
+            held, size = [(u[cut:], v[cut:])], size - cut
+    if size:
         yield _forest(*map(np.concatenate, zip(*held)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v) of type long; component is its smallest node.
 
-    Each turn contracts the edges task by task, hooks larger neighbours to the smallest one and writes the edges anew;
-    there are about as many turns as the logarithm of the largest component, fewer where tasks see much of it. Two
-    numbers a turn come to the driver.
+    Each turn hooks the larger end of each edge to the smallest neighbour of the other, and tasks that hold all edges of
+    a larger end contract them; there are about as many turns as the logarithm of the largest component, fewer where
+    tasks see much of it. The turns end with stars. One number a turn comes to the driver; as its memory also holds what
+    Spark keeps of each task, a turn has few shuffles: edges twice, nodes twice at most. A forest has one edge from a
+    node at most, so that no larger end is hot; smaller ones meet in a join, which Spark can split.
     """
-    e, seen, chunk = edges.select("u", "v").where("u <> v"), None, CHUNK
+    chunk = CHUNK
+
+    def contracted(e, ordered):
+        return written(e.mapInArrow(lambda batches: _contracted(batches, chunk, ordered), "u long, v long"), "edges")
+
+    e = contracted(edges.select("u", "v").where("u <> v"), False)
     while True:
-        e = e.mapInArrow(lambda batches: _contracted(batches, chunk), "u long, v long").distinct()
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(least.select("u", "m")).distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
+        ends = e.select(F.col("u").alias("node"), F.col("v").alias("other"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(e.select("v", "u", F.lit(0), F.lit(1)))
+        near = ends.groupBy("node").agg(F.min("other").alias("m"), F.sum("up").alias("up"), F.max("down").alias("down"))
+        near = written(near.select("node", F.least("node", "m").alias("m"), "up", "down"), "near")
+        # Stars: whatever has an edge to a smaller node has that one alone.
+        if not near.where("up > 1 or up = 1 and down = 1").count():
             break
-        seen = now
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        hooked = e.join(near.select(F.col("node").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
+        e = contracted(hooked.repartition("u").sortWithinPartitions("u"), True)
+    return near.select("node", F.col("m").alias("component"))

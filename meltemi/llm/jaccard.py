@@ -383,11 +383,11 @@ def _links(docs: DataFrame, sets: DataFrame, shards: int, k: int, num: int, den:
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(d, pa.int64())], ["u", "v", "d"]).filter(pa.array(d >= 0))
 
     # In turns: each set meets the nearest of those that stand for its signatures and are in another part than its own.
-    parts = sketches.select("node", "n", "sketch", F.col("node").alias("part"))
-    found = tested = None
+    parts = found = tested = None
     total = 0
     while True:
-        rows = shared.join(parts.select("node", "part"), "node")
+        # At first each set is a part of its own.
+        rows = shared.withColumn("part", F.col("node")) if parts is None else shared.join(parts.select("node", "part"), "node")
         ends = rows.groupBy("sig").agg(F.min(F.struct("part", "node")).alias("a"), F.max(F.struct("part", "node")).alias("b")).where("a.part < b.part")
         ends = ends.select("sig", F.explode(F.array("a", "b")).alias("x")).select("sig", F.col("x.node").alias("u"), F.col("x.part").alias("own"))
         edges = rows.join(ends, "sig").where("part <> own").select("u", F.col("node").alias("v")).distinct()
